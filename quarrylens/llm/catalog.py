@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
-from quarrylens.llm import decontamination, language_id, license_scan, mixing, quality_rules, token_counts
+from quarrylens.llm import decontamination, jaccard_join, language_id, license_scan, line_dedup, mixing, quality_classifier, quality_rules, suffix_tree, token_counts
 
 QUERIES = {
     "op1_license_scan": license_scan.query,
+    "op2_suffix_tree": suffix_tree.query,
     "op3_decontamination": decontamination.query,
+    "op4_line_dedup": line_dedup.query,
     "op5_quality_rules": quality_rules.query,
     "op6_mixing": mixing.query,
+    "op7_jaccard_join": jaccard_join.query,
     "op8_token_counts": token_counts.query,
     "op9_language_id": language_id.query,
+    "op10_quality_classifier": quality_classifier.query,
 }
 
-ORACLES = {"op1_license_scan": license_scan.oracle(), "op3_decontamination": decontamination.oracle(), "op6_mixing": mixing.oracle()}
+#: The others cannot be put in SQL; tests/llm holds them against brute force.
+ORACLES = {
+    "op1_license_scan": license_scan.oracle(),
+    "op3_decontamination": decontamination.oracle(),
+    "op4_line_dedup": line_dedup.oracle(),
+    "op6_mixing": mixing.oracle(),
+    "op7_jaccard_join": jaccard_join.oracle(),
+}

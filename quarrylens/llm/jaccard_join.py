@@ -30,8 +30,8 @@ from quarrylens.llm.components import components
 
 WIDTH = 3
 PERCENT = 90
-#: Share of the hash range in which common shingles are looked for; prefixes lie there but for very short texts.
-HEAD = 0.2
+#: Times a prefix's share of a set, the share of the hash range in which common shingles are looked for.
+HEAD = 2
 #: A shingle of more classes than this goes behind the others in the order.
 COMMON = 16
 BITS = 512
@@ -51,8 +51,9 @@ def parity_bits(tokens: np.ndarray) -> list[int]:
     return np.packbits((np.bincount((tokens & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).view(np.int64).tolist()
 
 
-def _limit() -> np.uint64:
-    return np.uint64(int(HEAD * 2**64))
+def head_limit(percent: int) -> np.uint64:
+    """Where the head of the hash range ends; prefixes lie before it, but for very short texts."""
+    return np.uint64(min(HEAD * (100 - percent), 100) * (2**64 - 1) // 100)
 
 
 def described(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -64,7 +65,7 @@ def described(docs: DataFrame, width: int, percent: int) -> DataFrame:
         out = {k: [] for k in ("n", "cid", "bits", "head")}
         for text in texts(batch):
             tokens = shingle_set(memo[0].array(text.lower().split()), width)
-            size = max(int(np.searchsorted(tokens, _limit())), prefix_length(len(tokens), percent)) if len(tokens) else 0
+            size = max(int(np.searchsorted(tokens, head_limit(percent))), prefix_length(len(tokens), percent)) if len(tokens) else 0
             out["n"].append(len(tokens))
             out["cid"].append(int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes(), 7)).astype(np.int64)))
             out["bits"].append(parity_bits(tokens))
@@ -94,7 +95,7 @@ def with_prefixes(classes: DataFrame, common: DataFrame, percent: int) -> DataFr
             late = shared.value if known is None else np.sort(np.asarray(known[k].values if known[k].is_valid else [], np.int64))
             at = np.searchsorted(late, head)
             is_common = late[np.minimum(at, len(late) - 1)] == head if len(late) else np.zeros(len(head), bool)
-            beyond = head.view(np.uint64) >= _limit()
+            beyond = head.view(np.uint64) >= head_limit(percent)
             order = np.argsort(2 * beyond + (is_common & ~beyond), kind="stable")[: prefix_length(n, percent)]
             prefix = np.sort(head[order])
             prefixes.append(prefix)
@@ -211,6 +212,17 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     return made.select("doc_id", "n", "cid").join(named, (F.col("cid") == F.col("_cid")) & (F.col("n") > 0), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """docs with the row of the smallest doc_id of each component; of rows that share a doc_id, one. Rows without doc_id stay."""
+    found = cut(jaccard_components(docs, width, percent))
+    losers = found.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(F.broadcast(losers) if losers.count() <= BROADCAST_IDS else losers, "doc_id", "left_anti")  # broadcast only if checked to be small
+    again = cut(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    return kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 

@@ -80,35 +80,43 @@ def _boundary(sums: DataFrame, at: Column) -> DataFrame:
     return upto.where((F.col("upto") > F.col("budget")) & (F.col("upto") - F.col("n") <= F.col("budget"))).select("source", "at", (F.col("budget") - (F.col("upto") - F.col("n"))).alias("left"), "n")
 
 
-def plan_mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies (0 to most): how often the mix takes each document."""
+def mix_rules(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS) -> tuple[DataFrame, DataFrame, bool]:
+    """The sizes and hashes of docs; source, source_size, target, rounds, threshold (a row a source); are the sources few?"""
     sized = cut(docs.select("doc_id", "source", text_size(F.col("text")).alias("size"), row_hash(F.col("doc_id")).alias("h")))
     targets = cut(source_targets(sized, weights, most))
     few = targets.count() <= BROADCAST_SOURCES
     rounds = F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0)).cast("long")
     budgets = targets.select("source", "source_size", "target", rounds.alias("rounds"), (F.col("target") - rounds * F.col("source_size")).alias("budget"))
     limits, shift = budgets.select("source", "budget", F.lit(0).cast("long").alias("prefix")), HASH_BITS
-    for k, bits in enumerate((*LEVELS, 0)):
-        last = bits == 0
-        above, shift = shift, 0 if last else shift - bits
+    for bits in (*LEVELS, 0):
+        above, shift = shift, shift - bits if bits else 0
         rows = _with_source(sized.where("size > 0"), limits, few).where(F.shiftright("h", above) == F.col("prefix"))
         sums = rows.select("source", "budget", "size", F.shiftright("h", shift).alias("at")).groupBy("source", "at").agg(F.sum("size").alias("n"), F.max("budget").alias("budget"))
         edge = cut(_boundary(sums, F.col("at")))
         limits = edge.select("source", F.col("left").alias("budget"), F.col("at").alias("prefix"))
-        if last:
-            # The hash at the boundary is taken if the sum comes nearer to the budget with it.
-            cuts = edge.select("source", (F.col("at") + (F.col("n") - F.col("left") < F.col("left")).cast("long")).alias("threshold"))
-    full = budgets.join(cuts.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    full = full.select("source", "source_size", "target", "rounds", F.coalesce("threshold", F.lit(0)).alias("threshold"))
-    joined = _with_source(sized, full, few, "left")
-    return joined.select("doc_id", "source", "size", "source_size", "target", F.least(F.lit(most), F.col("rounds") + (F.col("h") < F.col("threshold")).cast("long")).cast("long").alias("copies"))
+    # The hash at the boundary is taken if the sum comes nearer to the budget with it.
+    cuts = edge.select(F.col("source").alias("_s"), (F.col("at") + (F.col("n") - F.col("left") < F.col("left")).cast("long")).alias("threshold"))
+    full = budgets.join(cuts, F.col("source").eqNullSafe(F.col("_s")), "left")
+    return sized, full.select("source", "source_size", "target", "rounds", F.coalesce("threshold", F.lit(0)).alias("threshold")), few
+
+
+def _copies(most: int) -> Column:
+    return F.least(F.lit(most), F.col("rounds") + (F.col("h") < F.col("threshold")).cast("long")).cast("long")
+
+
+def plan_mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies (0 to most): how often the mix takes each document."""
+    sized, rules, few = mix_rules(docs, weights, most)
+    return _with_source(sized, rules, few, "left").select("doc_id", "source", "size", "source_size", "target", _copies(most).alias("copies"))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
-    """docs as the mix takes them: each row 0 to `most` times, with all its columns and copy_no (from 1)."""
-    plan = plan_mix(docs, weights, most).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies").groupBy("_id").agg(F.max("copies").alias("copies"))
-    each = docs.where(text_size(F.col("text")) > 0).join(plan, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return each.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns, "copy_no")
+    """docs as the mix takes them: each row 0 to `most` times, with all its columns and copy_no (from 1). No text is shuffled."""
+    _, rules, few = mix_rules(docs, weights, most)
+    names = [F.col(f"_d.{c}").alias(c) for c in docs.columns]
+    rows = docs.where(text_size(F.col("text")) > 0).select(F.struct(*docs.columns).alias("_d"), "source", row_hash(F.col("doc_id")).alias("h"))
+    taken = _with_source(rows, rules.select("source", "rounds", "threshold"), few).select("_d", _copies(most).alias("copies")).where("copies > 0")
+    return taken.select("_d", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).select(*names, F.col("_copy").alias("copy_no"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
