@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from quarrylens.plans import stats_queries
+
+PARTS = (stats_queries,)
+QUERIES: dict = {name: query for part in PARTS for name, query in part.QUERIES.items()}
+ORACLES: dict[str, str] = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}
