@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quarrylens.plans import stats_queries
+from quarrylens.plans import anomaly_queries, stats_queries, tracing_queries, trend_queries
 
-PARTS = (stats_queries,)
+PARTS = (stats_queries, anomaly_queries, trend_queries, tracing_queries)
 QUERIES: dict = {name: query for part in PARTS for name, query in part.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}
