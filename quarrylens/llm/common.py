@@ -13,7 +13,11 @@ from pyspark.sql import functions as F
 
 #: White space of the word pattern [^\x20\x09-\x0D]+; bytes.split() splits on the same six bytes.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-WORD_HASH_MEMO = 400_000
+WORD_HASH_MEMO = 300_000
+#: Rows that an operator takes from a batch at a time.
+SLICE_ROWS = 2_000
+#: Rows of a narrow table that may be broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,8 +42,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[dict[str, list]] | dict[str, list]], schema: str) -> DataFrame:
-    """mapInArrow with fn from one record batch to column dictionaries in the order of schema."""
+def small(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if a count shows that it is small; else joins shuffle. df is materialised and narrow."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[dict[str, list]] | dict[str, list]], schema: str, rows: int = SLICE_ROWS) -> DataFrame:
+    """mapInArrow with fn from so many rows of a record batch (0: all) to columns by name."""
     from pyspark.sql.types import StructType, _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -47,10 +56,11 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[dict[str,
     arrow = to_arrow_schema(struct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = fn(batch)
-            for cols in [made] if isinstance(made, dict) else made:
-                yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type) for f in arrow], schema=arrow)
+        for part in batches:
+            for batch in (part.slice(k, rows or part.num_rows) for k in range(0, part.num_rows, rows or part.num_rows or 1)):
+                made = fn(batch)
+                for cols in [made] if isinstance(made, dict) else made:
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, struct)
 

@@ -17,40 +17,82 @@ table gives an empty result; further columns are ignored (plan) or kept (remove)
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import cut, table
+from quarrylens.llm.common import BROADCAST_ROWS, cut, doc_input, map_batches, small, table, texts
 
 MIN_TOKENS, DEPTH, MIN_DOCS, SIMILARITY = 4, 3, 5, 0.7
-FIELD = "<*>"
+FIELD = b"<*>"
 BLANK, VARIABLE = r"[ \t\x0B\f\r]+", r"[^ ]*[0-9][^ ]*"
-BROADCAST_LEAVES = 1_000_000
+DIGITS = b"0123456789"
+
+
+def signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
+def parsed(line: bytes) -> tuple[int, int, bytes] | None:
+    """Leaf, hash and masked text of a line that is long enough: single spaces, tokens with a digit as variable fields."""
+    tokens = line.split()
+    if len(tokens) < MIN_TOKENS:
+        return None
+    if len(line.translate(None, DIGITS)) < len(line):
+        tokens = [t if len(t.translate(None, DIGITS)) == len(t) else FIELD for t in tokens]
+    mask = b" ".join(tokens)
+    leaf = b"%d %s" % (len(tokens), b" ".join(tokens[:DEPTH]))
+    return signed(xxhash.xxh3_64_intdigest(leaf)), signed(xxhash.xxh3_64_intdigest(mask)), mask
+
+
+def parsed_lines(text: bytes) -> Iterator[tuple[int, int, bytes]]:
+    return (p for p in map(parsed, text.split(b"\n")) if p)
+
+
+def reached_leaves(docs: DataFrame) -> DataFrame:
+    """leaf: the leaves that MIN_DOCS documents reach."""
 
+    def run(batch):
+        ids, leaves = [], []
+        for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
+            mine = {p[0] for p in parsed_lines(text)}
+            ids.extend([doc] * len(mine))
+            leaves.extend(mine)
+        return {"doc_id": ids, "leaf": leaves}
 
-def masked(line: Column) -> Column:
-    """A line with single spaces and its tokens with digits as variable fields."""
-    return F.regexp_replace(F.trim(F.regexp_replace(line, BLANK, " ")), VARIABLE, FIELD)
+    pairs = map_batches(doc_input(docs), run, f"doc_id {dict(docs.dtypes)['doc_id']}, leaf long")
+    return pairs.distinct().groupBy("leaf").count().where(F.col("count") >= MIN_DOCS).select("leaf")
 
 
-def leaf_of(mask: Column) -> Column:
-    """The leaf of a masked line: token count and leading tokens."""
-    return F.xxhash64(F.length(mask) - F.length(F.translate(mask, " ", "")), F.substring_index(mask, " ", DEPTH))
+def lines_in(docs: DataFrame, leaves: DataFrame) -> DataFrame:
+    """leaf, mh, mask, doc_id of the distinct lines of each document in leaves (materialised)."""
+    few = leaves.count() <= BROADCAST_ROWS
+    known = docs.sparkSession.sparkContext.broadcast(np.sort(leaves.toArrow().column("leaf").to_numpy())) if few else None  # its size has just been checked
 
+    def run(batch):
+        out = {k: [] for k in ("leaf", "mh", "mask", "doc_id")}
+        for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
+            rows = list({p[:2]: p for p in parsed_lines(text)}.values())
+            if known is not None and rows:
+                at = np.searchsorted(known.value, mine := np.array([r[0] for r in rows]))
+                inside = known.value[np.minimum(at, len(known.value) - 1)] == mine if len(known.value) else np.zeros(len(rows), bool)
+                rows = [r for r, x in zip(rows, inside.tolist(), strict=True) if x]
+            for k, i in (("leaf", 0), ("mh", 1), ("mask", 2)):
+                out[k].extend(r[i] for r in rows)
+            out["doc_id"].extend([doc] * len(rows))
+        return out | {"mask": [m.decode("utf-8", "replace") for m in out["mask"]]}
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, mask of all lines that are long enough."""
-    each = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", masked(F.col("line")).alias("mask"))
-    return each.where(F.length("mask") - F.length(F.translate("mask", " ", "")) >= MIN_TOKENS - 1)
+    made = map_batches(doc_input(docs), run, f"leaf long, mh long, mask string, doc_id {dict(docs.dtypes)['doc_id']}")
+    return made if few else made.join(leaves, "leaf", "left_semi")
 
 
 def recurring(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(leaf, mh, doc_id) of the lines in leaves that many documents reach; (leaf, mh, first) of the lines whose template recurs."""
-    lines = lines_of(docs)
-    reached = cut(lines.select(leaf_of(F.col("mask")).alias("leaf"), "doc_id").distinct().groupBy("leaf").count().where(F.col("count") >= MIN_DOCS).select("leaf"))
-    few = reached.count() <= BROADCAST_LEAVES
-    here = lines.withColumn("leaf", leaf_of(F.col("mask"))).join(F.broadcast(reached) if few else reached, "leaf", "left_semi")  # broadcast only if checked to be small
-    held = cut(here.groupBy("leaf", "mask", "doc_id").agg(F.count("*").alias("times")).select("leaf", F.xxhash64("mask").alias("mh"), "mask", "doc_id"))
+    held = cut(lines_in(docs, cut(reached_leaves(docs))).groupBy("leaf", "mh", "mask", "doc_id").agg(F.count("*").alias("times")).drop("times"))
     distinct = cut(held.groupBy("leaf", "mh", "mask").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first")))
     tokens = distinct.select("leaf", "mh", "docs", F.posexplode(F.split("mask", " ")).alias("pos", "token"))
     support = tokens.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("support"))
@@ -63,29 +105,41 @@ def recurring(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         (F.count_if(frequent) >= SIMILARITY * F.count("*")).alias("alike"),
     )
     general = general.where("alike").select("leaf", "mh", F.array_join(F.col("parts.token"), " ").alias("general"))
-    template = distinct.join(general, ["leaf", "mh"], "left").withColumn("template", F.coalesce("general", "mask"))
-    totals = template.groupBy("leaf", "template").agg(F.sum("docs").alias("support"), F.min("first").alias("first")).where(F.col("support") >= MIN_DOCS)
-    return held.select("leaf", "mh", "doc_id"), template.select("leaf", "mh", "template").join(totals, ["leaf", "template"]).select("leaf", "mh", "first")
+    template = distinct.join(general, ["leaf", "mh"], "left").select("leaf", "mh", "docs", "first", F.xxhash64(F.coalesce("general", "mask")).alias("template"))
+    template = cut(template)
+    totals = cut(template.groupBy("leaf", "template").agg(F.sum("docs").alias("support"), F.min("first").alias("first")).where(F.col("support") >= MIN_DOCS).drop("support"))
+    return held.select("leaf", "mh", "doc_id"), template.select("leaf", "mh", "template").join(small(totals), ["leaf", "template"]).select("leaf", "mh", "first")
 
 
 def drop_lists(docs: DataFrame) -> DataFrame:
     """doc_id, drop: hashes of the masked lines that each document loses."""
     held, templates = recurring(docs)
-    lost = held.join(cut(templates), ["leaf", "mh"]).where(~F.col("doc_id").eqNullSafe(F.col("first")))
+    lost = held.join(small(cut(templates)), ["leaf", "mh"]).where(~F.col("doc_id").eqNullSafe(F.col("first")))
     return lost.groupBy("doc_id").agg(F.collect_set("mh").alias("drop"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """All columns of docs with the text that is left, and _n_lines and _n_dropped."""
-    lists = drop_lists(docs).select(F.col("doc_id").alias("_id"), F.col("drop").alias("_drop"))
-    joined = docs.join(lists, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    lines = F.split("text", "\n")
-    long = lambda m: F.length(m) - F.length(F.translate(m, " ", "")) >= MIN_TOKENS - 1
-    lost = lambda x: long(masked(x)) & F.array_contains("_drop", F.xxhash64(masked(x)))
-    left = F.when(F.col("_drop").isNull(), lines).otherwise(F.filter(lines, lambda x: ~lost(x)))
-    kept = joined.withColumn("_left", left).withColumn("_n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
-    kept = kept.withColumn("_n_dropped", F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.col("_n_lines") - F.size("_left")).cast("long"))
-    return kept.select(*(F.when(F.col("_n_dropped") > 0, F.array_join("_left", "\n")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns), "_n_lines", "_n_dropped")
+    lists = cut(drop_lists(docs).select(F.col("doc_id").alias("_id"), F.col("drop").alias("_drop")))
+    few = (lists.agg(F.sum(F.size("_drop"))).first()[0] or 0) <= BROADCAST_ROWS
+    joined = docs.join(F.broadcast(lists) if few else lists, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select(*docs.columns, "_drop")
+    at, schema = docs.columns.index("text"), docs.select("*", F.lit(0).cast("long").alias("_n_lines"), F.lit(0).cast("long").alias("_n_dropped")).schema
+
+    def run(batches):
+        for batch in batches:
+            new, n_lines, n_dropped = [], [], []
+            for text, drop in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                lines = text.split("\n") if text is not None else []
+                gone = set(drop or ())
+                left = [x for x in lines if not ((p := parsed(x.encode())) and p[1] in gone)] if gone else lines
+                new.append(text if len(left) == len(lines) else "\n".join(left))
+                n_lines.append(len(lines))
+                n_dropped.append(len(lines) - len(left))
+            arrays = [batch.column(k) for k in range(batch.num_columns - 1)]
+            arrays[at] = pa.array(new, arrays[at].type)
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=schema.names)
+
+    return joined.mapInArrow(run, schema)
 
 
 def remove_repeated_lines(docs: DataFrame) -> DataFrame:
@@ -106,7 +160,7 @@ def oracle_ctes(docs: str = "documents", prefix: str = "") -> str:
 {p}rows AS (SELECT row_number() OVER () AS r, * FROM {docs}),
 {p}split AS (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM {p}rows),
 {p}lines AS (
-  SELECT *, regexp_replace(trim(regexp_replace(line, '{BLANK}', ' ', 'g'), ' '), '{VARIABLE}', '{FIELD}', 'g') AS mask FROM {p}split),
+  SELECT *, regexp_replace(trim(regexp_replace(line, '{BLANK}', ' ', 'g'), ' '), '{VARIABLE}', '{FIELD.decode()}', 'g') AS mask FROM {p}split),
 {p}parsed AS (
   SELECT *, string_split(mask, ' ') AS tokens, len(string_split(mask, ' ')) AS n FROM {p}lines),
 {p}leafed AS (SELECT *, n || ' ' || array_to_string(tokens[1:{DEPTH}], ' ') AS leaf FROM {p}parsed WHERE n >= {MIN_TOKENS}),
