@@ -102,7 +102,7 @@ PARSED = """SELECT o_custkey::VARCHAR AS trace_id, 'o' || o_orderkey AS span_id,
   CASE WHEN o_orderstatus = 'F' THEN 'ERROR' ELSE '{ok}' END AS status_code, '{kind}' AS kind, o_orderstatus = 'F' AS is_error FROM orders"""
 
 QUERIES = {
-    "p01_self_time": lambda s, d: rounded(tracing.span_analysis(spans(s, d)).select("span_id", "child_count", "total_child_duration_ms", "self_time_ms", "is_slow", "slowness_factor"), 4),
+    "p01_self_time": lambda s, d: rounded(tracing.span_analysis(spans(s, d)).select("span_id", "child_count", "total_child_duration_ms", "self_time_ms", "is_slow", "slowness_factor"), 8),
     "p03_slow_spans": lambda s, d: rounded(tracing.slow_spans(spans(s, d), 5000.0).select("span_id", "duration_ms")),
     "p04_error_spans": lambda s, d: tracing.error_spans(spans(s, d)).select("span_id"),
     "p05_span_statistics": lambda s, d: rounded(tracing.span_statistics(spans(s, d), ["service_name"])),
@@ -136,7 +136,7 @@ QUERIES = {
 STAT = "count(*) AS span_count, sum(duration_ms) AS total_ms, avg(duration_ms) AS mean_ms, min(duration_ms) AS min_ms, max(duration_ms) AS max_ms, stddev_pop(duration_ms) AS std_dev_ms, " + ", ".join(f"quantile_cont(duration_ms, 0.{p}) AS p{p}" for p in ("50", "75", "90", "95", "99"))
 ORACLES = {
     "p01_self_time": rounded_sql(SPANS + """ch AS (SELECT parent_span_id AS span_id, count(*) AS n, sum(duration_ms) AS total FROM sp WHERE parent_span_id IS NOT NULL GROUP BY 1)
-      SELECT span_id, coalesce(n, 0) AS child_count, coalesce(total, 0.0) AS total_child_duration_ms, greatest(0.0, duration_ms - coalesce(total, 0.0)) AS self_time_ms, duration_ms > 100 AS is_slow, duration_ms / 100 AS slowness_factor FROM sp LEFT JOIN ch USING (span_id)""", "total_child_duration_ms", "self_time_ms", "slowness_factor", digits=4),
+      SELECT span_id, coalesce(n, 0) AS child_count, coalesce(total, 0.0) AS total_child_duration_ms, greatest(0.0, duration_ms - coalesce(total, 0.0)) AS self_time_ms, duration_ms > 100 AS is_slow, duration_ms / 100 AS slowness_factor FROM sp LEFT JOIN ch USING (span_id)""", "total_child_duration_ms", "self_time_ms", "slowness_factor", digits=8),
     "p03_slow_spans": rounded_sql(SPANS + "x AS (SELECT 1) SELECT span_id, duration_ms FROM sp WHERE duration_ms > 5000", "duration_ms"),
     "p04_error_spans": SPANS + "x AS (SELECT 1) SELECT span_id FROM sp WHERE is_error",
     "p05_span_statistics": rounded_sql(SPANS + f"x AS (SELECT 1) SELECT service_name, {STAT} FROM sp GROUP BY 1", "total_ms", "mean_ms", "min_ms", "max_ms", "std_dev_ms", "p50", "p75", "p90", "p95", "p99"),
