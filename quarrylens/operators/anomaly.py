@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from quarrylens.functions.numeric import change_percent_abs, nonzero_ratio, steps
 
@@ -178,7 +179,7 @@ def baseline_drift(history: DataFrame, keys: list[str], at: str) -> DataFrame:
     return made.withColumn("is_drifting", (F.abs("mean_drift_percent") >= SIGNIFICANT) | (F.abs("p99_drift_percent") >= SIGNIFICANT))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_p_value(t, df):
     """Two-sided p of a t statistic. Over 30 degrees of freedom it is the normal distribution's; below, the regularised incomplete beta function by a midpoint rule of 100 steps."""
     import numpy as np

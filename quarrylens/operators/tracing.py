@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from quarrylens.functions.numeric import ratio
 
@@ -185,7 +186,7 @@ def compare_traces(segments: DataFrame, a: str, b: str) -> DataFrame:
     return made.where(F.abs("difference_ms") > 1.0).orderBy(F.desc(F.abs("difference_ms")), "service_name", "operation_name")
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def chain_depth(ids, parents):
     """The longest chain of parents among the spans of each trace; a chain ends at a missing parent or where it closes."""
     import pandas as pd

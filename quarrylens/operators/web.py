@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 OG = ("og:title", "og:description", "og:image", "og:url", "og:type")
 TWITTER = ("twitter:card", "twitter:title", "twitter:description", "twitter:image")
@@ -149,7 +150,7 @@ def hash_distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(ArrayType(IntegerType()))
 def label_regions(mask, width):
     """The number of each marked pixel's region (4-neighbours, in order of their first pixel, from 1), 0 for others."""
     import pandas as pd
