@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 #: White space of the word pattern [^\x20\x09-\x0D]+; bytes.split() splits on the same six bytes.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-WORD_HASH_MEMO = 300_000
+WORD_HASH_MEMO = 150_000
 #: Rows that an operator takes from a batch at a time.
 SLICE_ROWS = 2_000
-#: Rows of a narrow table that may be broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Rows of a narrow table that may be broadcast for a join, and numbers that may be broadcast as an array or in lists.
+BROADCAST_ROWS, ARRAY_ROWS = 100_000, 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[dict[str,
     arrow = to_arrow_schema(struct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())  # gives memory back between batches
         for part in batches:
             for batch in (part.slice(k, rows or part.num_rows) for k in range(0, part.num_rows, rows or part.num_rows or 1)):
                 made = fn(batch)

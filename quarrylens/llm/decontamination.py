@@ -21,7 +21,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import doc_input, map_batches, table, texts
+from quarrylens.llm.common import SLICE_ROWS, doc_input, map_batches, table, texts
 
 WIDTH = 10
 BLOCK_BYTES = 4_000_000
@@ -159,7 +159,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WID
         import pyarrow as pa
 
         indexes = [index_of(b.value, width) for b in shared]
-        for batch in batches:
+        for batch in (b.slice(k, SLICE_ROWS) for b in batches for k in range(0, b.num_rows, SLICE_ROWS)):
             keep, new = [], []
             for text in batch.column(at).to_pylist():
                 raw = (text or "").encode()

@@ -50,7 +50,7 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
             grams, n = np.unique(np.concatenate(parts), return_counts=True)
             yield {"lang": [lang] * len(grams), "gram": grams.astype(np.int64), "n": n}
 
-    return map_batches(doc_input(docs, "lang"), run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return map_batches(doc_input(docs, "lang"), run, "lang string, gram long, n long", rows=0).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 class Filters:

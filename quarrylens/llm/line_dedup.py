@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import BROADCAST_ROWS, cut, doc_input, map_batches, small, table, texts
+from quarrylens.llm.common import ARRAY_ROWS, SLICE_ROWS, cut, doc_input, map_batches, small, table, texts
 
 MIN_TOKENS, DEPTH, MIN_DOCS, SIMILARITY = 4, 3, 5, 0.7
 FIELD = b"<*>"
@@ -70,7 +70,7 @@ def reached_leaves(docs: DataFrame) -> DataFrame:
 
 def lines_in(docs: DataFrame, leaves: DataFrame) -> DataFrame:
     """leaf, mh, mask, doc_id of the distinct lines of each document in leaves (materialised)."""
-    few = leaves.count() <= BROADCAST_ROWS
+    few = leaves.count() <= ARRAY_ROWS
     known = docs.sparkSession.sparkContext.broadcast(np.sort(leaves.toArrow().column("leaf").to_numpy())) if few else None  # its size has just been checked
 
     def run(batch):
@@ -121,12 +121,12 @@ def drop_lists(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """All columns of docs with the text that is left, and _n_lines and _n_dropped."""
     lists = cut(drop_lists(docs).select(F.col("doc_id").alias("_id"), F.col("drop").alias("_drop")))
-    few = (lists.agg(F.sum(F.size("_drop"))).first()[0] or 0) <= BROADCAST_ROWS
+    few = (lists.agg(F.sum(F.size("_drop"))).first()[0] or 0) <= ARRAY_ROWS
     joined = docs.join(F.broadcast(lists) if few else lists, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select(*docs.columns, "_drop")
     at, schema = docs.columns.index("text"), docs.select("*", F.lit(0).cast("long").alias("_n_lines"), F.lit(0).cast("long").alias("_n_dropped")).schema
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(k, SLICE_ROWS) for b in batches for k in range(0, b.num_rows, SLICE_ROWS)):
             new, n_lines, n_dropped = [], [], []
             for text, drop in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
                 lines = text.split("\n") if text is not None else []

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import doc_input, map_batches, table, texts
+from quarrylens.llm.common import SLICE_ROWS, WORD_HASH_MEMO, doc_input, map_batches, table, texts
 from quarrylens.llm.quality_rules import repeated_words
 
 TRAIN_ROWS = 20_000
@@ -54,7 +54,7 @@ class Shapes(dict):
     """Word to (hash bucket of its shape, does it have a letter)."""
 
     def __missing__(self, word: bytes) -> tuple[int, bool]:
-        if len(self) > 400_000:
+        if len(self) >= WORD_HASH_MEMO:
             self.clear()
         shape = word.translate(_SHAPE)
         runs = bytes(b for k, b in enumerate(shape) if k == 0 or b != shape[k - 1])[:12]
@@ -139,11 +139,9 @@ def label_model(counts: dict[int, int], rounds: int = 200) -> tuple[float, np.nd
     return prior, rate, dict(zip(patterns, good.tolist(), strict=True))
 
 
-def fit(at: list[np.ndarray], value: list[np.ndarray], label: np.ndarray) -> np.ndarray:
-    """Weights of the hashed features, the intercept last: logistic regression by gradient descent with momentum."""
+def fit(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Weights of the hashed features, the intercept last: logistic regression by gradient descent with momentum. Feature cols[k] of row rows[k] is vals[k]."""
     w, speed, m = np.zeros(DIM + 1), np.zeros(DIM + 1), max(len(label), 1)
-    rows = np.repeat(np.arange(len(label)), [len(x) for x in at])
-    cols, vals = (np.concatenate(at), np.concatenate(value).astype(float)) if len(at) else (np.zeros(0, np.int64), np.zeros(0))
     scale = 1 / np.maximum(np.sqrt(np.bincount(cols, vals**2, DIM) / m), 0.02)  # a step that suits rare features too
     for _ in range(EPOCHS):
         z = np.bincount(rows, vals * w[cols], len(label)) + w[DIM]
@@ -161,9 +159,13 @@ def learn(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, di
     key = F.xxhash64(F.lit("train"), F.col("doc_id").cast("string"))
     chosen = docs.select("doc_id", key.alias("k")).orderBy("k").limit(train_rows).agg(F.max("k")).first()[0]  # the sample bound is a parameter
     some = described(docs.where(key <= F.lit(chosen)).select("doc_id", "text")).select("pattern", "at", "value") if chosen is not None else None
-    rows = some.limit(train_rows).collect() if some is not None else []
-    weights = fit([np.array(r.at, np.int64) for r in rows], [np.array(r.value) for r in rows], np.array([posterior[r.pattern] for r in rows]))
-    return weights, posterior
+    if some is None:
+        return fit(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)), posterior
+    got = some.limit(train_rows).toArrow().combine_chunks()
+    at, value = (got.column(c).combine_chunks() for c in ("at", "value"))
+    lengths = np.diff(at.offsets.to_numpy()) if len(at) else np.zeros(0, np.int64)
+    label = np.array([posterior[p] for p in got.column("pattern").to_pylist()])
+    return fit(np.repeat(np.arange(len(label)), lengths), at.flatten().to_numpy().astype(np.int64), value.flatten().to_numpy().astype(float), label), posterior
 
 
 def score_quality(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -192,7 +194,7 @@ def keep_good(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
 
         memo or memo.append(Shapes())
         weights = shared.value[0]
-        for batch in batches:
+        for batch in (b.slice(k, SLICE_ROWS) for b in batches for k in range(0, b.num_rows, SLICE_ROWS)):
             made = (features((t or "").encode(), memo[0]) for t in batch.column(at_text).to_pylist())
             yield batch.filter(pa.array([bool(weights[at] @ value + weights[DIM] >= 0) for _, at, value in made], pa.bool_()))
 
