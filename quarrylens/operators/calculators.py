@@ -1,6 +1,6 @@
 """Cache, database, network, system and web figures: columns added to rows of counters, or aggregates of samples.
 
-Figures are not rounded; a value that the reference reports as missing when it is zero is null here too. Recommendations are
+Figures are not rounded; figures that count as missing when they are zero are null. Recommendations are
 arrays of short codes.
 """
 

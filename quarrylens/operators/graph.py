@@ -41,12 +41,12 @@ def closure(edges: DataFrame) -> DataFrame:
 
 
 def callees(edges: DataFrame) -> DataFrame:
-    """For each service all that it calls, directly or not. The reference's word for these is upstream."""
+    """For each service all that it calls, directly or not."""
     return closure(edges).select(F.col("src").alias("service"), F.col("dst").alias("callee"))
 
 
 def callers(edges: DataFrame) -> DataFrame:
-    """For each service all that call it. The reference's word for these is downstream."""
+    """For each service all that call it."""
     return closure(edges).select(F.col("dst").alias("service"), F.col("src").alias("caller"))
 
 
