@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import itertools
 from collections.abc import Callable, Iterable, Iterator
 
@@ -42,6 +43,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle and checkpoint files of finished phases: Spark deletes them when nothing refers to them any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(df: DataFrame) -> DataFrame:
     """df with a broadcast hint if a count shows that it is small; else joins shuffle. df is materialised and narrow."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import WordHashes, cut, doc_input, map_batches, table, texts, window_hashes
+from quarrylens.llm.common import ARRAY_ROWS, BROADCAST_ROWS, WordHashes, cut, doc_input, map_batches, release, small, table, texts, window_hashes
 from quarrylens.llm.components import components
 
 WIDTH = 3
@@ -34,8 +34,9 @@ PERCENT = 90
 HEAD = 2
 #: A shingle of more classes than this goes behind the others in the order.
 COMMON = 16
-BITS = 512
-BROADCAST_IDS = 1_000_000
+#: Parity bits of a class: at least BITS, and BITS_PER_TOKEN for each shingle, but not more than MOST_BITS. Posting lists carry
+#: them folded to a FOLD-th, but not below BITS.
+BITS, BITS_PER_TOKEN, MOST_BITS, FOLD = 1024, 4, 65536, 16
 
 
 def shingle_set(words: np.ndarray, width: int) -> np.ndarray:
@@ -43,12 +44,25 @@ def shingle_set(words: np.ndarray, width: int) -> np.ndarray:
     return np.unique(window_hashes(words, min(width, len(words)))) if len(words) else np.zeros(0, np.uint64)
 
 
+def class_id(tokens: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes(), 7)).astype(np.int64))
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
+def index_length(n: int, percent: int) -> int:
+    """How much of the smaller of two sets must be looked at: its prefix for sets that are not smaller."""
+    return n - -(-2 * n * percent // (100 + percent)) + 1
+
+
 def parity_bits(tokens: np.ndarray) -> list[int]:
-    return np.packbits((np.bincount((tokens & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).view(np.int64).tolist()
+    """The parity of the tokens in each of so many buckets that unlike sets of this size differ in more of them than like sets may."""
+    bits = BITS
+    while bits < BITS_PER_TOKEN * len(tokens) and bits < MOST_BITS:
+        bits *= 2
+    return np.packbits((np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view(np.int64).tolist()
 
 
 def head_limit(percent: int) -> np.uint64:
@@ -67,7 +81,7 @@ def described(docs: DataFrame, width: int, percent: int) -> DataFrame:
             tokens = shingle_set(memo[0].array(text.lower().split()), width)
             size = max(int(np.searchsorted(tokens, head_limit(percent))), prefix_length(len(tokens), percent)) if len(tokens) else 0
             out["n"].append(len(tokens))
-            out["cid"].append(int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes(), 7)).astype(np.int64)))
+            out["cid"].append(class_id(tokens))
             out["bits"].append(parity_bits(tokens))
             out["head"].append(tokens[:size].view(np.int64))
         return {"doc_id": batch.column("doc_id").to_pylist()} | out
@@ -76,11 +90,11 @@ def described(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def with_prefixes(classes: DataFrame, common: DataFrame, percent: int) -> DataFrame:
-    """cid, n, bits, prefix, gkey (of prefix and size). common: shingles that go behind the others of the head."""
+    """cid, n, bits, prefix (in order), lead (its part for sets that are not smaller), gkey (of prefix and size). common: shingles that go behind the others of the head."""
     n_common = common.count()
     shared = None
     rows = classes.select("cid", "n", "bits", "head")
-    if n_common <= BROADCAST_IDS:
+    if n_common <= ARRAY_ROWS:
         known = common.toArrow().column("token").to_numpy() if n_common else np.zeros(0, np.int64)  # its size has just been checked
         shared = classes.sparkSession.sparkContext.broadcast(np.sort(known))
     else:
@@ -97,43 +111,67 @@ def with_prefixes(classes: DataFrame, common: DataFrame, percent: int) -> DataFr
             is_common = late[np.minimum(at, len(late) - 1)] == head if len(late) else np.zeros(len(head), bool)
             beyond = head.view(np.uint64) >= head_limit(percent)
             order = np.argsort(2 * beyond + (is_common & ~beyond), kind="stable")[: prefix_length(n, percent)]
-            prefix = np.sort(head[order])
-            prefixes.append(prefix)
-            keys.append(int(np.uint64(xxhash.xxh3_64_intdigest(prefix.tobytes(), n)).astype(np.int64)))
-        return {"cid": batch.column("cid"), "n": batch.column("n"), "bits": batch.column("bits"), "prefix": prefixes, "gkey": keys}
+            prefixes.append(head[order])
+            keys.append(int(np.uint64(xxhash.xxh3_64_intdigest(np.sort(head[order]).tobytes(), n)).astype(np.int64)))
+        leads = [index_length(n, percent) for n in sizes]
+        return {"cid": batch.column("cid"), "n": batch.column("n"), "bits": batch.column("bits"), "prefix": prefixes, "lead": leads, "gkey": keys}
+
+    return map_batches(rows, run, "cid long, n long, bits array<long>, prefix array<long>, lead int, gkey long")
 
-    return map_batches(rows, run, "cid long, n long, bits array<long>, prefix array<long>, gkey long")
+
+def _apart(x: Column, y: Column) -> Column:
+    """Hamming distance of two parity bitmaps; the larger is folded to the size of the smaller, where each bit is the parity of two or more."""
+    words = BITS // 64
+    plain = sum((F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(words)), F.lit(0))
+    size = F.least(F.size(x), F.size(y))
+    fold = lambda z, k: F.aggregate(F.sequence(k, F.size(z) - 1, size), F.lit(0).cast("long"), lambda a, j: a.bitwiseXOR(F.get(z, j)))
+    general = F.aggregate(F.sequence(F.lit(0), size - 1), F.lit(0), lambda a, k: a + F.bit_count(fold(x, k).bitwiseXOR(fold(y, k))))
+    return F.when((F.size(x) == words) & (F.size(y) == words), plain).otherwise(general)
+
+
+def folded(bits: Column) -> Column:
+    """A parity bitmap folded to a FOLD-th of its size, but not below BITS."""
+    size = F.greatest(F.lit(BITS // 64), (F.size(bits) / FOLD).cast("int"))
+    fold = F.transform(F.sequence(F.lit(0), size - 1), lambda k: F.aggregate(F.sequence(k, F.size(bits) - 1, size), F.lit(0).cast("long"), lambda a, j: a.bitwiseXOR(F.get(bits, j))))
+    return F.when(F.size(bits) <= BITS // 64, bits).otherwise(fold)
 
 
 def may_link(a: str, b: str, percent: int) -> Column:
     """Size filter and parity filter. No pair at or above the threshold fails them."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    apart = sum((F.bit_count(F.col(f"{a}.bits")[k].bitwiseXOR(F.col(f"{b}.bits")[k])) for k in range(BITS // 64)), F.lit(0))
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (apart * (100 + percent) <= (100 - percent) * (na + nb))
+    fits = 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
+    return F.when(fits, _apart(F.col(f"{a}.bits"), F.col(f"{b}.bits")) * (100 + percent) <= (100 - percent) * (na + nb)).otherwise(False)
 
 
-def whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """cid, tokens of the documents in wanted (doc_id, cid)."""
+def whole_sets(docs: DataFrame, wanted: DataFrame, width: int, few: bool) -> DataFrame:
+    """cid, partner, tokens: the whole set of each class in wanted (doc_id, cid, partners), once for each partner."""
     memo: list[WordHashes] = []
+    mine = wanted.select(F.col("doc_id").alias("_id"), "cid", "partners")
+    some = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(mine) if few else mine, F.col("doc_id") == F.col("_id")).select("text", "cid", "partners")
 
     def run(batch):
         memo or memo.append(WordHashes())
-        sets = [shingle_set(memo[0].array(t.lower().split()), width) for t in texts(batch)]
-        return {"cid": [int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes(), 7)).astype(np.int64)) for s in sets], "tokens": [s.view(np.int64) for s in sets]}
+        out = {"cid": [], "partner": [], "tokens": []}
+        for text, cid, partners in zip(texts(batch), batch.column("cid").to_pylist(), batch.column("partners").to_pylist(), strict=True):
+            tokens = shingle_set(memo[0].array(text.lower().split()), width)
+            if class_id(tokens) == cid:  # rows that share a doc_id may differ in text
+                out["cid"].extend([cid] * len(partners))
+                out["partner"].extend(partners)
+                out["tokens"].extend([tokens.view(np.int64)] * len(partners))
+        return out
 
-    ids = wanted.select("doc_id").distinct()
-    some = docs.join(F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")  # broadcast only if checked to be small
-    return map_batches(doc_input(some), run, "cid long, tokens array<long>")
+    return map_batches(some, run, "cid long, partner long, tokens array<long>")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, first_docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of the pairs (u, v) of classes whose whole sets reach the threshold."""
-    nodes = pairs.select(F.col("u").alias("cid")).unionByName(pairs.select(F.col("v").alias("cid"))).distinct()
-    wanted = cut(nodes.join(first_docs, "cid").select("cid", "doc_id"))
-    sets = whole_sets(docs, wanted, width)
-    both = pairs.join(sets.select(F.col("cid").alias("v"), F.col("tokens").alias("b")), "v").join(sets.select(F.col("cid").alias("u"), F.col("tokens").alias("a")), "u")
+    """Those of the pairs (u, v) of classes whose whole sets reach the threshold. The sets of v go to that of u: one shuffle."""
+    few = pairs.count() <= BROADCAST_ROWS  # then what is broadcast has at most so many partners
+    hubs = pairs.select(F.col("u").alias("cid")).distinct().withColumn("partners", F.array("cid"))
+    rest = pairs.groupBy(F.col("v").alias("cid")).agg(F.collect_list("u").alias("partners"))
+    a = whole_sets(docs, cut(hubs.join(first_docs, "cid").select("cid", "doc_id", "partners")), width, few).select(F.col("cid").alias("u"), F.col("tokens").alias("a"))
+    b = whole_sets(docs, cut(rest.join(first_docs, "cid").select("cid", "doc_id", "partners")), width, few).select(F.col("partner").alias("u"), F.col("cid").alias("v"), F.col("tokens").alias("b"))
     common = F.size(F.array_intersect("a", "b"))
-    return both.where(100 * common >= percent * (F.size("a") + F.size("b") - common)).select("u", "v").distinct()
+    return b.join(a, "u").where(100 * common >= percent * (F.size("a") + F.size("b") - common)).select("u", "v").distinct()
 
 
 def ordered(u: Column, v: Column) -> list[Column]:
@@ -142,62 +180,79 @@ def ordered(u: Column, v: Column) -> list[Column]:
 
 def connected_classes(docs: DataFrame, described_docs: DataFrame, first_docs: DataFrame, width: int, percent: int) -> DataFrame:
     """u, v: classes and the least class of their component (u = v is left out)."""
-    least = 1  # the smallest set that can be linked with another set: one of n and one of n + 1 shingles
-    while 100 * least < percent * (least + 1):
-        least += 1
-    copies = first_docs.where("copies > 1").select(F.col("cid").alias("_cid"), F.col("doc_id").alias("_first"))
-    classes = described_docs.where(F.col("n") >= least).join(copies, F.col("cid") == F.col("_cid"), "left").where("_cid is null or doc_id = _first").drop("_cid", "_first")
+    if percent >= 100:
+        return docs.sparkSession.createDataFrame([], "u long, v long")  # only equal sets are linked, and those are one class
+    least = -(-percent // (100 - percent)) or 1  # the smallest set that can be linked with another: one of n and one of n + 1 shingles
+    copies = cut(first_docs.where("copies > 1").select(F.col("cid").alias("_cid"), F.col("doc_id").alias("_first")))
+    classes = described_docs.where(F.col("n") >= least).join(small(copies), F.col("cid") == F.col("_cid"), "left").where("_cid is null or doc_id = _first").drop("_cid", "_first")
     common = cut(classes.select(F.explode("head").alias("token")).groupBy("token").count().where(F.col("count") > COMMON).select("token"))
     nodes = cut(with_prefixes(classes, common, percent))
+    release(docs.sparkSession)
 
     grouped = nodes.groupBy("gkey").agg(F.min("cid").alias("gid"), F.count("*").alias("size")).where("size > 1").select("gkey", "gid")
     members = cut(nodes.select("gkey", "cid").join(grouped, "gkey").select("gid", "cid"))  # of groups of two and more
-    others = members.where("cid <> gid")
-    leaders = nodes.join(others.select("cid"), "cid", "left_anti")
+    others = cut(members.where("cid <> gid"))
+    leaders = nodes.join(small(others.select("cid")), "cid", "left_anti")
     bucket = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
-    postings = leaders.select(F.explode("prefix").alias("token"), F.col("cid").alias("gid"), bucket.alias("b"))
+    postings = leaders.select(F.posexplode("prefix").alias("pos", "token"), F.col("cid").alias("gid"), bucket.alias("b"), "lead").select("token", "gid", "b", (F.col("pos") < F.col("lead")).alias("leads"))
     met = cut(postings.groupBy("token").count().where("count > 1").select("token"))
-    shared = cut(postings.join(met, "token", "left_semi"))
+    shared = cut(postings.join(small(met), "token", "left_semi"))
+    release(docs.sparkSession)
 
     info = nodes.select("cid", "n", "bits")
     hubs = cut(shared.groupBy("token", "b").agg(F.min("gid").alias("hub"), F.count("*").alias("c")).where("c > 1").select("token", "b", "hub"))
     stars = shared.join(hubs, ["token", "b"]).where("gid <> hub").select(*ordered(F.col("hub"), F.col("gid")))
     stars = stars.unionByName(others.select(*ordered(F.col("gid"), F.col("cid")))).distinct()
     tested = cut(stars.join(info.alias("x"), F.col("u") == F.col("x.cid")).join(info.alias("y"), F.col("v") == F.col("y.cid")).where(may_link("x", "y", percent)).select("u", "v"))
+    release(docs.sparkSession)
     links = cut(verified(docs, tested, first_docs, width, percent))
     labels = components(links)
+    release(docs.sparkSession)
 
-    full = members.unionByName(leaders.join(members.select("gid").distinct(), F.col("cid") == F.col("gid"), "left_anti").select(F.col("cid").alias("gid"), "cid"))
-    most = 1
+    found = cut(untested_pairs(shared, members, info, labels, percent).join(tested, ["u", "v"], "left_anti"))
+    most = 4
     while True:
-        of = labels.select(F.col("u").alias("cid"), F.col("v").alias("label"))
-        member_labels = full.join(of, "cid", "left").select("gid", "cid", F.coalesce("label", "cid").alias("label"))
-        lists = shared.select("token", "gid", "b").join(member_labels, "gid")
-        sizes = lists.groupBy("token", "label").count()
-        majors = cut(sizes.groupBy("token").agg(F.max_by("label", F.struct("count", "label")).alias("major"), F.count("*").alias("labels")).where("labels > 1").select("token", "major"))
-        active = cut(lists.join(majors, "token").join(info, "cid").select("token", "cid", "label", "b", "n", "bits", (F.col("label") != F.col("major")).alias("minor")))
-        near = F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1))
-        x = active.where("minor").withColumn("near", near).alias("x")
-        y = active.alias("y")
-        joined = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.near") == F.col("y.b")) & (F.col("x.label") != F.col("y.label")) & may_link("x", "y", percent))
-        found = joined.select(*ordered(F.col("x.cid"), F.col("y.cid")), F.col("x.cid").alias("one"), F.col("y.label").alias("other")).distinct()
-        within = members.join(of, "cid", "left").select("gid", "cid", F.coalesce("label", "cid").alias("label"))
-        split = within.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("gid", F.col("lo").alias("major"))
-        inside = within.join(split, "gid").join(info, "cid")
-        p, q = inside.where("label <> major").alias("x"), inside.alias("y")
-        found = found.unionByName(
-            p.join(q, (F.col("x.gid") == F.col("y.gid")) & (F.col("x.label") != F.col("y.label")) & may_link("x", "y", percent)).select(*ordered(F.col("x.cid"), F.col("y.cid")), F.col("x.cid").alias("one"), F.col("y.label").alias("other"))
-        )
-        fresh = found.join(tested, ["u", "v"], "left_anti")
-        # Of the untested pairs of a member and another component some go first: one link is enough.
-        rank = F.row_number().over(W.partitionBy("one", "other").orderBy("u", "v"))
-        batch = cut(fresh.withColumn("rank", rank).where(F.col("rank") <= most).select("u", "v").distinct())
+        # Pairs of different components. Of those of two components some go first, as one link is enough.
+        of = small(cut(labels.select(F.col("u").alias("_n"), F.col("v").alias("_l"))))
+        named = found.join(of, F.col("u") == F.col("_n"), "left").withColumn("lu", F.coalesce("_l", "u")).drop("_n", "_l")
+        named = named.join(of, F.col("v") == F.col("_n"), "left").withColumn("lv", F.coalesce("_l", "v")).drop("_n", "_l")
+        fresh = named.where("lu <> lv").join(tested, ["u", "v"], "left_anti")
+        rank = F.row_number().over(W.partitionBy(F.least("lu", "lv"), F.greatest("lu", "lv")).orderBy(F.xxhash64("u", "v")))
+        batch = cut(fresh.withColumn("rank", rank).where(F.col("rank") <= most).select("u", "v"))
         if batch.isEmpty():
             return labels
         new = verified(docs, batch, first_docs, width, percent)
         tested = cut(tested.unionByName(batch))
         labels = components(labels.unionByName(new))
-        most *= 8
+        release(docs.sparkSession)
+        most *= 16
+
+
+def untested_pairs(shared: DataFrame, members: DataFrame, info: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """u, v: pairs of classes of different components that share a prefix shingle or a group and pass the filters.
+
+    In each posting list the largest component is left out on one side, so a list that one component fills makes no pairs.
+    """
+    of = small(cut(labels.select(F.col("u").alias("cid"), F.col("v").alias("label"))))
+    wide = small(cut(members.select(F.col("gid").alias("_g"), F.col("cid").alias("_c"))))
+    lists = shared.select("token", "gid", "leads").join(wide, F.col("gid") == F.col("_g"), "left").select("token", "leads", F.coalesce("_c", "gid").alias("cid"))
+    lists = lists.join(of, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    sizes = lists.groupBy("token", "label").count()
+    majors = sizes.groupBy("token").agg(F.max_by("label", F.struct("count", "label")).alias("major"), F.count("*").alias("labels")).where("labels > 1").select("token", "major")
+    brief = info.select("cid", "n", folded(F.col("bits")).alias("bits"))
+    active = lists.join(small(cut(majors)), "token").join(brief, "cid").select("token", "leads", "cid", "label", "n", "bits", (F.col("label") != F.col("major")).alias("minor"))
+    active = cut(active)
+    x, y = active.where("minor").alias("x"), active.alias("y")
+    # The shingle must stand in the index part of the smaller set, or of both if they are equally large.
+    placed = (F.col("x.leads") | (F.col("x.n") > F.col("y.n"))) & (F.col("y.leads") | (F.col("y.n") > F.col("x.n")))
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.label") != F.col("y.label")) & placed & may_link("x", "y", percent)).select(*ordered(F.col("x.cid"), F.col("y.cid"))).distinct()
+    met = met.join(info.alias("x"), F.col("u") == F.col("x.cid")).join(info.alias("y"), F.col("v") == F.col("y.cid")).where(may_link("x", "y", percent)).select("u", "v")
+    within = members.join(of, "cid", "left").select("gid", "cid", F.coalesce("label", "cid").alias("label"))
+    split = within.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("gid", F.col("lo").alias("major"))
+    inside = within.join(split, "gid").join(info, "cid")
+    p, q = inside.where("label <> major").alias("x"), inside.alias("y")
+    met = met.unionByName(p.join(q, (F.col("x.gid") == F.col("y.gid")) & (F.col("x.label") != F.col("y.label")) & may_link("x", "y", percent)).select(*ordered(F.col("x.cid"), F.col("y.cid")))).distinct()
+    return met
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -216,7 +271,7 @@ def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     """docs with the row of the smallest doc_id of each component; of rows that share a doc_id, one. Rows without doc_id stay."""
     found = cut(jaccard_components(docs, width, percent))
     losers = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(F.broadcast(losers) if losers.count() <= BROADCAST_IDS else losers, "doc_id", "left_anti")  # broadcast only if checked to be small
+    kept = docs.join(small(cut(losers)), "doc_id", "left_anti")
     again = cut(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if again.isEmpty():
         return kept.select(*docs.columns)
