@@ -4,6 +4,10 @@ A text is brought to a canonical form (case, punctuation, copyright lines, equiv
 whole form is looked up by a hash join among the digests of known licence texts. The same lookup is done for each whole
 line, because most documents carry their licence as a notice line.
 
+A text with a word of `IN_BODIES` is looked up a second time, in its body form, among the licence texts of license_texts.json,
+each with and without its usual titles: only lines that claim a copyright (a sign or a year follows) go, and lines are joined
+before spellings are made equal, so that neither wrapping nor comment marks matter. text_digest stays that of the first form.
+
 Defined results: a null or empty text, or one without a letter or digit, has no digest and no licence; repeated rows each
 keep their row; ties cannot occur, as every known digest names one licence; an empty table gives an empty result; columns
 other than doc_id and text are ignored.
@@ -11,6 +15,9 @@ other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import json
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,6 +100,28 @@ def canonical(text: Column) -> Column:
     return t
 
 
+#: Lines of the body form that claim a copyright: a sign or a year follows, and marks of a comment may precede.
+CLAIM = r"(^|\n)[^a-z0-9\n]*?(copyright[^a-z0-9\n]*(\(c\)|©|[0-9]{4})|\(c\)[^a-z0-9\n]*[0-9]{4}|©)[^\n]*"
+RESERVED = r"(^|\n)[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*(?=\n|$)"
+#: Each text of license_texts.json has one of these words (a test sees to it), and no spelling changes them.
+IN_BODIES = ("warrant", "conveying")
+
+
+def body(text: Column) -> Column:
+    """The body form: one line of words that does not depend on wrapping, comment marks or claims."""
+    t = F.regexp_replace(F.regexp_replace(F.translate(text, UPPER, LOWER), CLAIM, "$1"), RESERVED, "$1")
+    t = F.concat(F.lit(" "), F.regexp_replace(t, r"[^a-z0-9]+", " "), F.lit(" "))
+    for pattern, put in (*SPELLINGS, (" https ", " http ")):
+        t = F.regexp_replace(t, pattern, put)
+    return flat(t)
+
+
+def known_bodies() -> list[tuple[str, str]]:
+    """(license, text) of license_texts.json, each without and with each of its titles."""
+    known = json.loads(Path(__file__).with_name("license_texts.json").read_text("utf-8"))
+    return [(k["license"], f"{title}\n{k['text']}") for k in known for title in ("", *k["titles"])]
+
+
 def flat(form: Column) -> Column:
     """A canonical form as one line of words with single spaces."""
     return F.trim(F.regexp_replace(form, r"[ \n]+", " "))
@@ -102,10 +131,10 @@ def digest(words: Column) -> Column:
     return F.when(words != "", F.sha2(words, 256))
 
 
-def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
+def known_digests(spark: SparkSession, known=KNOWN, form=lambda text: flat(canonical(text))) -> DataFrame:
     """license, digest: as many rows as texts in known, so it is safe to broadcast."""
     rows = spark.createDataFrame(list(known), "license string, text string")
-    return rows.select(digest(flat(canonical(F.col("text")))).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+    return rows.select(digest(form(F.col("text"))).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def scan_licenses(docs: DataFrame, known=KNOWN) -> DataFrame:
@@ -116,12 +145,13 @@ def scan_licenses(docs: DataFrame, known=KNOWN) -> DataFrame:
     lines = F.filter(F.transform(F.split(form, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     found = F.filter(F.transform(lines, lambda x: F.try_element_at(names, F.sha2(x, 256))), lambda x: x.isNotNull())
     whole = (
-        docs.select("doc_id", canonical(F.col("text")).alias("_form"))
-        .select("doc_id", digest(flat(form)).alias("text_digest"), F.coalesce(found, F.array().cast("array<string>")).alias("_found"))
+        docs.select("doc_id", canonical(F.col("text")).alias("_form"), F.when(F.translate("text", UPPER, LOWER).rlike("|".join(IN_BODIES)), digest(body(F.col("text")))).alias("_body"))
+        .select("doc_id", "_body", digest(flat(form)).alias("text_digest"), F.coalesce(found, F.array().cast("array<string>")).alias("_found"))
     )
     lookup = F.broadcast(digests.select(F.col("digest").alias("_digest"), "license"))  # as small as the list of known licences
-    return whole.join(lookup, F.col("text_digest") == F.col("_digest"), "left").select(
-        "doc_id", "text_digest", "license", F.array_join(F.array_sort(F.array_distinct("_found")), ",").alias("line_licenses"), F.size("_found").cast("long").alias("n_license_lines")
+    bodies = F.broadcast(known_digests(docs.sparkSession, known_bodies(), body).select(F.col("digest").alias("_body"), F.col("license").alias("_body_license")))  # as small as license_texts.json
+    return whole.join(lookup, F.col("text_digest") == F.col("_digest"), "left").join(bodies, "_body", "left").select(
+        "doc_id", "text_digest", F.coalesce("license", "_body_license").alias("license"), F.array_join(F.array_sort(F.array_distinct("_found")), ",").alias("line_licenses"), F.size("_found").cast("long").alias("n_license_lines")
     )
 
 

@@ -396,6 +396,33 @@ def test_license_scan(spark):
     assert sorted(got, key=repr) == sorted([(1, "MIT", "", 0), (2, "MIT", "", 0), (3, None, "Apache-2.0", 1), (4, None, "", 0), (5, None, "", 0), (6, None, "", 0), (7, "all-rights-reserved", "all-rights-reserved", 1), (1, "MIT", "", 0)], key=repr)
 
 
+def test_license_texts_in_any_wrapping(spark):
+    import re
+    import textwrap
+
+    known = license_scan.known_bodies()
+    assert all(any(word in text.lower() for word in license_scan.IN_BODIES) for _, text in known)
+    first = {}
+    for name, text in known:
+        first.setdefault(name, text)
+    assert {"MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0"} <= set(first)
+    rows = []
+    for name, text in first.items():
+        lines = [x for x in text.split("\n") if x.strip()]
+        if name in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Unlicense"):
+            title = f"{name.replace('-', ' ', 1)} License" if name != "Unlicense" else "The Unlicense"
+            for width in (30, 60, 72, 79, 120, 5000):
+                wrapped = "\n\n".join(textwrap.fill(x, width) for x in lines)
+                rows += [(name, wrapped), (name, f"{title}\n\nCopyright (c) 2020-2024, A. Person\nAll rights reserved.\n\n{wrapped}\n"), (name, re.sub("(?m)^", "# ", f"© 2021 Some Firm\r\n{wrapped}"))]
+        else:
+            rows += [(name, text), (name, re.sub("(?m)^", " * ", text)), (name, text.replace("\n", "\r\n"))]
+    mit = first["MIT"]
+    rows += [(None, mit.replace("COPYRIGHT HOLDERS", "")), (None, mit + "\nNo commercial use."), (None, "copyright holders bear no warranty")]
+    docs = spark.createDataFrame([(k, text) for k, (_, text) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.license for r in license_scan.scan_licenses(docs).collect()}
+    assert [(k, name, got[k]) for k, (name, _) in enumerate(rows) if got[k] != name] == []
+
+
 # all operators and the pipeline
 
 
