@@ -1,7 +1,7 @@
 """Spans, traces, service maps and critical paths.
 
 A span has trace_id, span_id, parent_span_id, seq (input order), service_name, operation_name, is_error, start_ns, end_ns and
-duration_ms. Walks along parents are limited to `MAX_DEPTH` steps, so cyclic parents end.
+duration_ms. Walks along parents have any length; they end where they close.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from pyspark.sql.types import LongType
 
 from quarrylens.functions.numeric import ratio
 
-MAX_DEPTH = 64
 SLOW_SPAN_MS, SLOW_TRACE_MS = 100.0, 1000.0
 
 
@@ -128,11 +127,17 @@ def critical_paths(spans: DataFrame, latest: bool = False, fall_back: bool = Fal
         root = F.coalesce(root, F.min(F.struct("start_ns", "seq", "span_id"))["span_id"])
     starts = spans.groupBy("trace_id").agg(root.alias("root")).where("root is not null")
     steps = _child_ranks(spans, latest).groupBy("trace_id").agg(F.map_from_entries(F.collect_list(F.struct("span_id", "next_id"))).alias("_next"))
-    none = F.array().cast("array<string>")
+
+    def ahead(path: Column, last: Column) -> Column:
+        """path, next: the span after the last one, null where the path ends or closes; past the end the fold does no look-ups."""
+        follows = F.try_element_at("_next", last)
+        return F.struct(path.alias("path"), F.when(~F.array_contains(path, follows), follows).alias("next"))
+
     walk = F.aggregate(
-        F.sequence(F.lit(1), F.lit(MAX_DEPTH)),
-        F.array(F.col("root").cast("string")),
-        lambda path, _: F.concat(path, F.when(F.try_element_at("_next", F.element_at(path, -1)).isNotNull() & ~F.array_contains(path, F.try_element_at("_next", F.element_at(path, -1))), F.array(F.try_element_at("_next", F.element_at(path, -1)))).otherwise(none)),
+        F.sequence(F.lit(1), F.size("_next")),
+        ahead(F.array(F.col("root").cast("string")), F.col("root")),
+        lambda at, _: F.when(at["next"].isNull(), at).otherwise(ahead(F.concat(at["path"], F.array(at["next"])), at["next"])),
+        lambda at: at["path"],
     )
     return starts.join(steps, "trace_id", "left").select("trace_id", F.posexplode(F.when(F.col("_next").isNull(), F.array("root")).otherwise(walk)).alias("depth", "span_id"))
 

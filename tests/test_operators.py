@@ -105,6 +105,15 @@ def test_spans_with_missing_and_cyclic_parents(spans):
     assert self_time["a"] == 20.0 and self_time["p"] == 0.0
 
 
+def test_critical_path_of_any_length(spark):
+    """A chain of 200 spans, and beside it a shorter one that closes on itself."""
+    chain = [("t", f"s{k}", f"s{k - 1}" if k else None, k, "web", "x", False, k, 1000 - k, float(1000 - k)) for k in range(200)]
+    side = [("t", "z0", "s199", 200, "web", "x", False, 0, 1, 1.0), ("t", "z1", "z0", 201, "web", "x", False, 0, 1, 1.0), ("t", "z0", "z1", 202, "web", "x", False, 0, 1, 1.0)]
+    got = tracing.critical_paths(spark.createDataFrame(chain + side, SPAN)).orderBy("depth").collect()
+    assert [r.span_id for r in got] == [f"s{k}" for k in range(200)] + ["z0", "z1"]
+    assert tracing.path_segments(spark.createDataFrame(chain, SPAN), 0.0).count() == 200
+
+
 def test_graph_on_a_cycle(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (5, 5)], "src int, dst int")
     assert sorted((r.path, r.severity) for r in graph.cycles(edges).collect()) == [([1, 2, 3, 1], "high"), ([5, 5], "critical")]
