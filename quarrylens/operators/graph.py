@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_LEVELS = 100
+#: Levels after which what a walk has found is put together anew, so that plans do not grow with its length.
+GATHER_LEVELS = 16
 
 
 def _settled(df: DataFrame) -> DataFrame:
@@ -19,17 +22,19 @@ def _settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def levels(edges: DataFrame, starts: DataFrame, max_levels: int = MAX_LEVELS) -> DataFrame:
+def levels(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """origin, node, level: breadth first from each start (origin, node) along the edges; a node has the level of its first visit."""
     links = edges.select("src", "dst").distinct()
     frontier = _settled(starts.select("origin", "node").distinct().withColumn("level", F.lit(0)))
     seen = frontier
-    for level in range(1, max_levels + 1):
+    for level in itertools.count(1):  # ends, as each level has nodes not seen before
         step = frontier.join(links, frontier["node"] == links["src"]).select("origin", F.col("dst").alias("node")).distinct()
         frontier = _settled(step.join(seen, ["origin", "node"], "left_anti").withColumn("level", F.lit(level)))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if level % GATHER_LEVELS == 0:
+            seen = _settled(seen.repartition("origin", "node"))
     return seen
 
 
@@ -96,12 +101,14 @@ def topological_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     left = _settled(nodes.select("node").distinct())
     links = edges.where("src <> dst").select("src", "dst").distinct()
     done = None
-    for layer in range(MAX_LEVELS):
+    for layer in itertools.count():  # ends, as each layer takes nodes away
         blocked = links.join(left.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
         free = _settled(left.join(blocked, "node", "left_anti").withColumn("layer", F.lit(layer)))
         if free.isEmpty():
             break
         done = free if done is None else done.unionByName(free)
+        if layer % GATHER_LEVELS == GATHER_LEVELS - 1:
+            done = _settled(done.repartition("node"))
         left = _settled(left.join(free, "node", "left_anti"))
     rest = left.withColumn("layer", F.lit(None).cast("int"))
     return rest if done is None else done.unionByName(rest)
@@ -112,7 +119,7 @@ def components(edges: DataFrame) -> DataFrame:
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     both = _settled(both)
     label = _settled(both.select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node")))
-    for _ in range(MAX_LEVELS):
+    while True:  # ends, as labels only fall
         near = both.join(label, F.col("dst") == F.col("node")).groupBy("src").agg(F.min("component").alias("m")).withColumnRenamed("src", "node")
         down = label.join(near, "node", "left").select("node", F.least("component", "m").alias("component"), F.col("component").alias("was"))
         jump = down.join(down.select(F.col("node").alias("component"), F.col("component").alias("up")), "component", "left").select("node", F.least("component", "up").alias("component"), "was")

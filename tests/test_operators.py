@@ -123,6 +123,14 @@ def test_graph_on_a_cycle(spark):
     assert {r.node: r.depth for r in graph.depths(edges, nodes).collect()} == {1: -1, 4: -1, 9: 0}
 
 
+def test_walks_longer_than_a_hundred_levels(spark):
+    n = 108
+    chain = spark.createDataFrame([(k, k + 1) for k in range(n)], "src int, dst int")
+    nodes = spark.range(n + 1).select(F.col("id").cast("int").alias("node"))
+    assert {r.node: r.layer for r in graph.topological_levels(chain, nodes).collect()} == {k: k for k in range(n + 1)}
+    assert {r.node: r.distance for r in graph.shortest_paths(chain, 0).collect()} == {k: k for k in range(n + 1)}
+
+
 def test_calculators(spark):
     one = spark.range(1)
     assert [one.select(calculators.human_bytes(F.lit(v))).first()[0] for v in (0, 1023, 1024, 5 * 1024**3)] == ["0.00 B", "1023.00 B", "1.00 KB", "5.00 GB"]
