@@ -71,12 +71,15 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return nodes.join(least, "node", "left").select("node", F.least("node", F.coalesce("least", "node")).alias("component"))
 
 
-def cycles(edges: DataFrame, max_length: int = 6) -> DataFrame:
-    """Simple cycles of up to max_length edges, each once, from its least node; severity by length."""
-    links = _settled(edges.select("src", "dst").distinct())
+def cycles(edges: DataFrame) -> DataFrame:
+    """Simple cycles of any length, each once, from its least node; severity by length. Only edges inside a strongly
+    connected component are walked; in a dense component the number of cycles itself grows exponentially."""
+    part = _settled(strong_components(edges))
+    links = edges.select("src", "dst").distinct().join(part.select(F.col("node").alias("src"), F.col("component").alias("_a")), "src").join(part.select(F.col("node").alias("dst"), F.col("component").alias("_b")), "dst")
+    links = _settled(links.where("_a = _b").select("src", "dst"))
     paths = links.where("dst >= src").select(F.array("src", "dst").alias("path"))
     found = paths.where(F.col("path")[0] == F.col("path")[1])
-    for _ in range(max_length - 1):
+    while True:  # ends, as simple paths are no longer than a component
         open_ = paths.where(F.col("path")[0] != F.element_at("path", -1))
         step = open_.join(links, F.element_at("path", -1) == F.col("src")).where((F.col("dst") == F.col("path")[0]) | ((F.col("dst") > F.col("path")[0]) & ~F.array_contains("path", F.col("dst"))))
         paths = _settled(step.select(F.array_append("path", F.col("dst")).alias("path")))

@@ -113,7 +113,7 @@ QUERIES = {
     "p12_service_map": lambda s, d: rounded(tracing.service_map(spans(s, d))),
     "p12_roots_leaves": lambda s, d: tracing.roots_and_leaves(spans(s, d), tracing.service_map(spans(s, d))),
     "p13_critical_path": lambda s, d: tracing.critical_paths(spans(s, d)),
-    "p14_cycles": lambda s, d: graph.cycles(_edges(s, d), 4).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"), "length", "severity"),
+    "p14_cycles": lambda s, d: graph.cycles(_edges(s, d)).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"), "length", "severity"),
     "p15_callees": lambda s, d: graph.callees(_edges(s, d)),
     "p15_callers": lambda s, d: graph.callers(_edges(s, d)),
     "p16_depths": lambda s, d: graph.depths(_edges(s, d), _nodes(s, d)),

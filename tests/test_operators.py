@@ -123,6 +123,13 @@ def test_graph_on_a_cycle(spark):
     assert {r.node: r.depth for r in graph.depths(edges, nodes).collect()} == {1: -1, 4: -1, 9: 0}
 
 
+def test_cycles_of_any_length(spark):
+    ring = [(k, (k + 1) % 9) for k in range(9)]
+    edges = spark.createDataFrame([*ring, (2, 7), (8, 20), (20, 21), (21, 22)], "src int, dst int")
+    got = sorted((r.path, r.severity) for r in graph.cycles(edges).collect())
+    assert got == [([0, 1, 2, 3, 4, 5, 6, 7, 8, 0], "low"), ([0, 1, 2, 7, 8, 0], "medium")]
+
+
 def test_walks_longer_than_a_hundred_levels(spark):
     n = 108
     chain = spark.createDataFrame([(k, k + 1) for k in range(n)], "src int, dst int")
