@@ -184,6 +184,30 @@ def test_text_and_web(spark):
     assert mask == [1, 0, 2, 1, 0, 0]
 
 
+def test_near_clones_against_brute_force(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(6)
+    bases = [[rng.choice(["a", "7", "+", "(", ")", "=", "[", "]", ";", ":"]) for _ in range(40)] for _ in range(6)]
+    rows = []
+    for k in range(70):
+        words = list(bases[k % 6])
+        for _ in range(rng.randrange(0, 7)):
+            words[rng.randrange(len(words))] = rng.choice("*/%&|<>!~^")
+        rows.append((k, 1, " ".join(words[: rng.randrange(32, 41)])))
+    df = spark.createDataFrame([*rows, (90, 1, rows[0][2])], "doc_id long, start_line int, block string")
+    norm = {r.doc_id: r.tokens for r in df.select("doc_id", F.trim(F.regexp_replace(text.normalised(F.col("block")), r"\s+", " ")).alias("tokens")).collect()}
+    once = {}
+    for doc in sorted(norm):
+        once.setdefault(norm[doc], doc)
+    ids = sorted(doc for tokens, doc in once.items() if tokens)
+    ratio = lambda x, y: SequenceMatcher(None, norm[x].split(), norm[y].split()).ratio()
+    want = sorted((x, y, round(r, 9)) for x in ids for y in ids if x < y and (r := ratio(x, y)) >= text.NEAR)
+    got = sorted((r.a.doc_id, r.b.doc_id, round(r.similarity, 9)) for r in text.near_clones(df, "doc_id").collect())
+    assert len(want) > 20 and got == want
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"data": [{"timestamp": "2024-01-01T00:00:00", "value": 1.5}, {"value": 2}]}')
     assert [(r.seq, r.value) for r in readers.values_from_json(spark, str(tmp_path / "a.json")).collect()] == [(0, 1.5), (1, 2.0)]
