@@ -7,22 +7,26 @@ Classes with identical prefixes and size are one group. Groups meet on prefix sh
 their members, filtered by a parity bitmap (its Hamming distance never exceeds the symmetric difference), and verified on
 the whole sets.
 
-As the result is connected components, members already known to be connected need no verification: first every group and
-every posting list is tested as a star around one member, then the lists in which more than one component is left are joined,
-without their largest component on one side, until no untested pair of different components remains. So large groups of
-copies make a number of pairs in proportion to their size, and no link between components is lost.
+As the result is connected components, members already known to be connected need no verification. First every group and
+every posting list is tested as a star around one member. Lists in which more than one component is left are tested as stars
+around another member, for as long as that links much. Then each pair of members of different components that a list still
+holds comes up once, at the least shingle the two share, with the list's largest component on one side only; of the pairs of
+two components a few are verified at a time, until no untested pair of different components remains. So large groups of copies
+make a number of pairs in proportion to their size, and no link between components is lost.
 
 Defined results: a null or empty text, or one without words, has an empty set, no links, and is its own component; a text of
-fewer words than a shingle is one shingle; equal rows form one component, each its own row; documents without doc_id are
-linked by equal texts only; an empty table gives an empty result; columns other than doc_id and text are ignored.
+fewer words than a shingle is one shingle; equal rows form one component, each its own row; rows without doc_id take part like
+others, and a component of such rows alone has no component_id; an empty table gives an empty result; a very long text is one
+set like any other; columns other than doc_id and text are ignored (components) or kept (one_of_each).
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrylens.llm.common import ARRAY_ROWS, BROADCAST_ROWS, WordHashes, cut, doc_input, map_batches, release, small, table, texts, window_hashes
@@ -37,6 +41,10 @@ COMMON = 16
 #: Parity bits of a class: at least BITS, and BITS_PER_TOKEN for each shingle, but not more than MOST_BITS. Posting lists carry
 #: them folded to a FOLD-th, but not below BITS.
 BITS, BITS_PER_TOKEN, MOST_BITS, FOLD = 1024, 4, 65536, 16
+#: Another round of stars follows as long as one in so many tests links.
+PAYING = 4
+#: Lists of a class that are carried along to tell at which one a pair comes up.
+KEPT = 64
 
 
 def shingle_set(words: np.ndarray, width: int) -> np.ndarray:
@@ -71,7 +79,7 @@ def head_limit(percent: int) -> np.uint64:
 
 
 def described(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, n (set size), cid (class id), bits, head: the shingles in the head of the hash range, at least a prefix."""
+    """doc_id, th (hash of the text where doc_id is null), n (set size), cid (class id), bits, head: the shingles in the head of the hash range, at least a prefix."""
     memo: list[WordHashes] = []
 
     def run(batch):
@@ -84,9 +92,14 @@ def described(docs: DataFrame, width: int, percent: int) -> DataFrame:
             out["cid"].append(class_id(tokens))
             out["bits"].append(parity_bits(tokens))
             out["head"].append(tokens[:size].view(np.int64))
-        return {"doc_id": batch.column("doc_id").to_pylist()} | out
+        return {c: batch.column(c).to_pylist() for c in ("doc_id", "th")} | out
+
+    return map_batches(doc_input(docs).withColumn("th", null_key()), run, f"doc_id {dict(docs.dtypes)['doc_id']}, th long, n long, cid long, bits array<long>, head array<long>")
+
 
-    return map_batches(doc_input(docs), run, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, cid long, bits array<long>, head array<long>")
+def null_key() -> Column:
+    """What names a row without doc_id: a hash of its text."""
+    return F.when(F.col("doc_id").isNull(), F.xxhash64(F.col("text").cast("binary")))
 
 
 def with_prefixes(classes: DataFrame, common: DataFrame, percent: int) -> DataFrame:
@@ -144,10 +157,11 @@ def may_link(a: str, b: str, percent: int) -> Column:
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, width: int, few: bool) -> DataFrame:
-    """cid, partner, tokens: the whole set of each class in wanted (doc_id, cid, partners), once for each partner."""
+    """cid, partner, tokens: the whole set of each class in wanted (doc_id, th, cid, partners), once for each partner."""
     memo: list[WordHashes] = []
-    mine = wanted.select(F.col("doc_id").alias("_id"), "cid", "partners")
-    some = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(mine) if few else mine, F.col("doc_id") == F.col("_id")).select("text", "cid", "partners")
+    mine = wanted.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "cid", "partners")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("th").eqNullSafe(F.col("_th"))
+    some = doc_input(docs).withColumn("th", null_key()).join(F.broadcast(mine) if few else mine, same).select("text", "cid", "partners")
 
     def run(batch):
         memo or memo.append(WordHashes())
@@ -168,8 +182,8 @@ def verified(docs: DataFrame, pairs: DataFrame, first_docs: DataFrame, width: in
     few = pairs.count() <= BROADCAST_ROWS  # then what is broadcast has at most so many partners
     hubs = pairs.select(F.col("u").alias("cid")).distinct().withColumn("partners", F.array("cid"))
     rest = pairs.groupBy(F.col("v").alias("cid")).agg(F.collect_list("u").alias("partners"))
-    a = whole_sets(docs, cut(hubs.join(first_docs, "cid").select("cid", "doc_id", "partners")), width, few).select(F.col("cid").alias("u"), F.col("tokens").alias("a"))
-    b = whole_sets(docs, cut(rest.join(first_docs, "cid").select("cid", "doc_id", "partners")), width, few).select(F.col("partner").alias("u"), F.col("cid").alias("v"), F.col("tokens").alias("b"))
+    a = whole_sets(docs, cut(hubs.join(first_docs, "cid").select("cid", "doc_id", "th", "partners")), width, few).select(F.col("cid").alias("u"), F.col("tokens").alias("a"))
+    b = whole_sets(docs, cut(rest.join(first_docs, "cid").select("cid", "doc_id", "th", "partners")), width, few).select(F.col("partner").alias("u"), F.col("cid").alias("v"), F.col("tokens").alias("b"))
     common = F.size(F.array_intersect("a", "b"))
     return b.join(a, "u").where(100 * common >= percent * (F.size("a") + F.size("b") - common)).select("u", "v").distinct()
 
@@ -183,8 +197,10 @@ def connected_classes(docs: DataFrame, described_docs: DataFrame, first_docs: Da
     if percent >= 100:
         return docs.sparkSession.createDataFrame([], "u long, v long")  # only equal sets are linked, and those are one class
     least = -(-percent // (100 - percent)) or 1  # the smallest set that can be linked with another: one of n and one of n + 1 shingles
-    copies = cut(first_docs.where("copies > 1").select(F.col("cid").alias("_cid"), F.col("doc_id").alias("_first")))
-    classes = described_docs.where(F.col("n") >= least).join(small(copies), F.col("cid") == F.col("_cid"), "left").where("_cid is null or doc_id = _first").drop("_cid", "_first")
+    copies = cut(first_docs.where("copies > 1").select(F.col("cid").alias("_cid"), F.col("doc_id").alias("_first"), F.col("th").alias("_th")))
+    classes = described_docs.where(F.col("n") >= least).join(small(copies), F.col("cid") == F.col("_cid"), "left").where("_cid is null or (doc_id <=> _first and th <=> _th)").drop("_cid", "_first", "_th")
+    if not copies.where("_th is not null").isEmpty():  # of equal rows without doc_id one stands for the class
+        classes = classes.where("th is null").unionByName(classes.where("th is not null").dropDuplicates(["cid"]))
     common = cut(classes.select(F.explode("head").alias("token")).groupBy("token").count().where(F.col("count") > COMMON).select("token"))
     nodes = cut(with_prefixes(classes, common, percent))
     release(docs.sparkSession)
@@ -209,7 +225,24 @@ def connected_classes(docs: DataFrame, described_docs: DataFrame, first_docs: Da
     labels = components(links)
     release(docs.sparkSession)
 
-    found = cut(untested_pairs(shared, members, info, labels, percent).join(tested, ["u", "v"], "left_anti"))
+    lists = shared.select("token", "gid", "leads").join(small(members), "gid", "left").select("token", "leads", F.coalesce("cid", "gid").alias("cid"))
+    lists = open_lists(lists.unionByName(members.select(F.col("gid").alias("token"), F.lit(True).alias("leads"), "cid")), labels)  # a group is a list too
+    for round_ in itertools.count():
+        new_stars = star_pairs(lists, labels, round_).join(tested, ["u", "v"], "left_anti")
+        batch = cut(new_stars.join(info.alias("x"), F.col("u") == F.col("x.cid")).join(info.alias("y"), F.col("v") == F.col("y.cid")).where(may_link("x", "y", percent)).select("u", "v"))
+        n_tested = batch.count()
+        new = cut(verified(docs, batch, first_docs, width, percent)) if n_tested else batch
+        n_new = new.count() if n_tested else 0
+        if n_tested:
+            tested = cut(tested.unionByName(batch))
+        if n_new:
+            labels = components(labels.unionByName(new))
+            lists = open_lists(lists, labels)
+        release(docs.sparkSession)
+        if n_new * PAYING < n_tested or not n_new:
+            break
+
+    found = cut(untested_pairs(lists, info, labels, percent).join(tested, ["u", "v"], "left_anti"))
     most = 4
     while True:
         # Pairs of different components. Of those of two components some go first, as one link is enough.
@@ -217,8 +250,8 @@ def connected_classes(docs: DataFrame, described_docs: DataFrame, first_docs: Da
         named = found.join(of, F.col("u") == F.col("_n"), "left").withColumn("lu", F.coalesce("_l", "u")).drop("_n", "_l")
         named = named.join(of, F.col("v") == F.col("_n"), "left").withColumn("lv", F.coalesce("_l", "v")).drop("_n", "_l")
         fresh = named.where("lu <> lv").join(tested, ["u", "v"], "left_anti")
-        rank = F.row_number().over(W.partitionBy(F.least("lu", "lv"), F.greatest("lu", "lv")).orderBy(F.xxhash64("u", "v")))
-        batch = cut(fresh.withColumn("rank", rank).where(F.col("rank") <= most).select("u", "v"))
+        part = F.pmod(F.xxhash64("u", "v"), F.lit(most))
+        batch = cut(fresh.groupBy(F.least("lu", "lv"), F.greatest("lu", "lv"), part).agg(F.min(F.struct("u", "v")).alias("p")).select("p.u", "p.v"))
         if batch.isEmpty():
             return labels
         new = verified(docs, batch, first_docs, width, percent)
@@ -228,54 +261,91 @@ def connected_classes(docs: DataFrame, described_docs: DataFrame, first_docs: Da
         most *= 16
 
 
-def untested_pairs(shared: DataFrame, members: DataFrame, info: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """u, v: pairs of classes of different components that share a prefix shingle or a group and pass the filters.
+def with_labels(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """lists with the component label of each cid."""
+    of = small(cut(labels.select(F.col("u").alias("_n"), F.col("v").alias("_l"))))
+    return lists.join(of, F.col("cid") == F.col("_n"), "left").withColumn("label", F.coalesce("_l", "cid")).drop("_n", "_l")
+
+
+def open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """Those lists (token, leads, cid) whose members are of more than one component (materialised)."""
+    labelled = with_labels(lists, labels)
+    open_ = cut(labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token"))
+    return cut(lists.join(small(open_), "token", "left_semi"))
+
+
+def star_pairs(lists: DataFrame, labels: DataFrame, round_: int) -> DataFrame:
+    """u, v: each list's members and its hub of this round, if of different components. Lists with the same members have the same hub."""
+    labelled = with_labels(lists, labels)
+    hubs = labelled.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.lit(round_), "cid").alias("h"), F.col("cid").alias("hub"), F.col("label").alias("hub_label"))).alias("x")).select("token", "x.hub", "x.hub_label")
+    return labelled.join(hubs, "token").where("label <> hub_label").select(*ordered(F.col("hub"), F.col("cid"))).distinct()
+
 
-    In each posting list the largest component is left out on one side, so a list that one component fills makes no pairs.
+def untested_pairs(lists: DataFrame, info: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """u, v: pairs of classes of different components that share a list and pass the filters.
+
+    In each list the largest component is left out on one side. A pair comes up at the least list the two share, as far as
+    the KEPT least lists of each tell.
     """
-    of = small(cut(labels.select(F.col("u").alias("cid"), F.col("v").alias("label"))))
-    wide = small(cut(members.select(F.col("gid").alias("_g"), F.col("cid").alias("_c"))))
-    lists = shared.select("token", "gid", "leads").join(wide, F.col("gid") == F.col("_g"), "left").select("token", "leads", F.coalesce("_c", "gid").alias("cid"))
-    lists = lists.join(of, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    sizes = lists.groupBy("token", "label").count()
+    labelled = cut(with_labels(lists, labels))
+    sizes = labelled.groupBy("token", "label").count()
     majors = sizes.groupBy("token").agg(F.max_by("label", F.struct("count", "label")).alias("major"), F.count("*").alias("labels")).where("labels > 1").select("token", "major")
-    brief = info.select("cid", "n", folded(F.col("bits")).alias("bits"))
-    active = lists.join(small(cut(majors)), "token").join(brief, "cid").select("token", "leads", "cid", "label", "n", "bits", (F.col("label") != F.col("major")).alias("minor"))
+    least = lambda c: F.slice(F.array_sort(F.collect_set(c)), 1, KEPT)  # noqa: E731  a class has no more lists than its prefix has shingles, and its group
+    kept = labelled.groupBy("cid").agg(least(F.col("token")).alias("kept"), least(F.when(F.col("leads"), F.col("token"))).alias("kept_leads"))
+    brief = info.select("cid", "n", folded(F.col("bits")).alias("bits")).join(kept, "cid")
+    active = labelled.join(small(cut(majors)), "token").join(brief, "cid").select("token", "leads", "cid", "label", "n", "bits", "kept", "kept_leads", (F.col("label") != F.col("major")).alias("minor"))
     active = cut(active)
     x, y = active.where("minor").alias("x"), active.alias("y")
     # The shingle must stand in the index part of the smaller set, or of both if they are equally large.
     placed = (F.col("x.leads") | (F.col("x.n") > F.col("y.n"))) & (F.col("y.leads") | (F.col("y.n") > F.col("x.n")))
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.label") != F.col("y.label")) & placed & may_link("x", "y", percent)).select(*ordered(F.col("x.cid"), F.col("y.cid"))).distinct()
-    met = met.join(info.alias("x"), F.col("u") == F.col("x.cid")).join(info.alias("y"), F.col("v") == F.col("y.cid")).where(may_link("x", "y", percent)).select("u", "v")
-    within = members.join(of, "cid", "left").select("gid", "cid", F.coalesce("label", "cid").alias("label"))
-    split = within.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("gid", F.col("lo").alias("major"))
-    inside = within.join(split, "gid").join(info, "cid")
-    p, q = inside.where("label <> major").alias("x"), inside.alias("y")
-    met = met.unionByName(p.join(q, (F.col("x.gid") == F.col("y.gid")) & (F.col("x.label") != F.col("y.label")) & may_link("x", "y", percent)).select(*ordered(F.col("x.cid"), F.col("y.cid")))).distinct()
-    return met
+    once = ~F.col("y.minor") | (F.col("x.cid") < F.col("y.cid"))
+    mine, yours = (F.when(F.col(f"{a}.n") <= F.col(f"{b}.n"), F.col(f"{a}.kept_leads")).otherwise(F.col(f"{a}.kept")) for a, b in ("xy", "yx"))
+    first = F.coalesce(F.array_min(F.array_intersect(mine, yours)) >= F.col("x.token"), F.lit(True))
+    wanted = F.when(placed & once & (F.col("x.label") != F.col("y.label")), F.when(may_link("x", "y", percent), first).otherwise(False)).otherwise(False)
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & wanted).select(*ordered(F.col("x.cid"), F.col("y.cid"))).distinct()
+    return met.join(info.alias("x"), F.col("u") == F.col("x.cid")).join(info.alias("y"), F.col("v") == F.col("y.cid")).where(may_link("x", "y", percent)).select("u", "v")
 
 
-def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id: the smallest doc_id that links of at least `percent` % similarity reach."""
+def labelled_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, th, n, cid, root (the class that names the component; null for empty sets), component (its least doc_id)."""
     made = cut(described(docs, width, percent))
-    first_docs = cut(made.where("n > 0 and doc_id is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
+    first_docs = cut(made.where("n > 0").groupBy("cid").agg(F.min(row).alias("r"), F.count("*").alias("copies")).select("cid", "r.doc_id", "r.th", "copies"))
     labels = connected_classes(docs, made, first_docs, width, percent)
     joined = labels.select(F.col("u").alias("cid"), F.col("v").alias("root")).unionByName(labels.select(F.col("v").alias("cid"), F.col("v").alias("root")).distinct())
     known = first_docs.join(joined, "cid", "left")
     least = known.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    named = known.where("root is not null or copies > 1").join(least, "root", "left").select(F.col("cid").alias("_cid"), F.coalesce("least", "doc_id").alias("component"))
-    return made.select("doc_id", "n", "cid").join(named, (F.col("cid") == F.col("_cid")) & (F.col("n") > 0), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    named = known.where("root is not null or copies > 1").join(least, "root", "left").select(F.col("cid").alias("_cid"), "root", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component"))
+    joined_rows = made.select("doc_id", "th", "n", "cid").join(named, (F.col("cid") == F.col("_cid")) & (F.col("n") > 0), "left")
+    component = F.when(F.col("_cid").isNull(), F.col("doc_id")).otherwise(F.col("component"))
+    return joined_rows.select("doc_id", "th", "n", "cid", F.when(F.col("n") > 0, F.coalesce("root", "cid")).alias("root"), component.alias("component"))
+
+
+def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id: the smallest doc_id that links of at least `percent` % similarity reach."""
+    return labelled_rows(docs, width, percent).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """docs with the row of the smallest doc_id of each component; of rows that share a doc_id, one. Rows without doc_id stay."""
-    found = cut(jaccard_components(docs, width, percent))
-    losers = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(small(cut(losers)), "doc_id", "left_anti")
-    again = cut(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    if again.isEmpty():
-        return kept.select(*docs.columns)
-    return kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+    """docs with the row of the smallest doc_id of each component; of rows that share a doc_id, one.
+
+    Of a component of rows without doc_id alone, a row with the least text hash stays; rows without doc_id and words all stay.
+    """
+    found = cut(labelled_rows(docs, width, percent))
+    losers = found.where("doc_id <> component").select("doc_id").distinct()
+    kept = docs.where("doc_id is not null").join(small(cut(losers)), "doc_id", "left_anti")
+    again = cut(found.where("doc_id = component").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if not again.isEmpty():
+        kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    kept = kept.select(*docs.columns)
+    nameless = found.where("doc_id is null")
+    if nameless.isEmpty():
+        return kept
+    least = nameless.where("component is null and n > 0").groupBy("root").agg(F.min("th").alias("_th"))
+    marked = docs.where("doc_id is null").select(F.struct(*docs.columns).alias("_d"), null_key().alias("th"))
+    words = marked.join(nameless.where("n > 0").select("th").distinct(), "th", "left_anti")
+    one = marked.join(least.select(F.col("_th").alias("th")).distinct(), "th", "left_semi").dropDuplicates(["th"])
+    return kept.unionByName(words.unionByName(one).select("_d.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
