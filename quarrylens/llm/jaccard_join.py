@@ -9,7 +9,7 @@ the whole sets.
 
 As the result is connected components, members already known to be connected need no verification. First every group and
 every posting list is tested as a star around one member. Lists in which more than one component is left are tested as stars
-around another member, for as long as that links much. Then each pair of members of different components that a list still
+around HUBS other members. Then each pair of members of different components that a list still
 holds comes up once, at the least shingle the two share, with the list's largest component on one side only; of the pairs of
 two components a few are verified at a time, until no untested pair of different components remains. So large groups of copies
 make a number of pairs in proportion to their size, and no link between components is lost.
@@ -22,8 +22,6 @@ set like any other; columns other than doc_id and text are ignored (components)
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,8 +39,8 @@ COMMON = 16
 #: Parity bits of a class: at least BITS, and BITS_PER_TOKEN for each shingle, but not more than MOST_BITS. Posting lists carry
 #: them folded to a FOLD-th, but not below BITS.
 BITS, BITS_PER_TOKEN, MOST_BITS, FOLD = 1024, 4, 65536, 16
-#: Another round of stars follows as long as one in so many tests links.
-PAYING = 4
+#: Further hubs of a list in which more than one component is left.
+HUBS = 6
 #: Lists of a class that are carried along to tell at which one a pair comes up.
 KEPT = 64
 
@@ -227,26 +225,19 @@ def connected_classes(docs: DataFrame, described_docs: DataFrame, first_docs: Da
 
     lists = shared.select("token", "gid", "leads").join(small(members), "gid", "left").select("token", "leads", F.coalesce("cid", "gid").alias("cid"))
     lists = open_lists(lists.unionByName(members.select(F.col("gid").alias("token"), F.lit(True).alias("leads"), "cid")), labels)  # a group is a list too
-    for round_ in itertools.count():
-        new_stars = star_pairs(lists, labels, round_).join(tested, ["u", "v"], "left_anti")
-        batch = cut(new_stars.join(info.alias("x"), F.col("u") == F.col("x.cid")).join(info.alias("y"), F.col("v") == F.col("y.cid")).where(may_link("x", "y", percent)).select("u", "v"))
-        n_tested = batch.count()
-        new = cut(verified(docs, batch, first_docs, width, percent)) if n_tested else batch
-        n_new = new.count() if n_tested else 0
-        if n_tested:
-            tested = cut(tested.unionByName(batch))
-        if n_new:
-            labels = components(labels.unionByName(new))
-            lists = open_lists(lists, labels)
-        release(docs.sparkSession)
-        if n_new * PAYING < n_tested or not n_new:
-            break
+    batch = star_pairs(lists, labels).join(tested, ["u", "v"], "left_anti")
+    batch = cut(batch.join(info.alias("x"), F.col("u") == F.col("x.cid")).join(info.alias("y"), F.col("v") == F.col("y.cid")).where(may_link("x", "y", percent)).select("u", "v"))
+    if not batch.isEmpty():
+        tested = cut(tested.unionByName(batch))
+        labels = components(labels.unionByName(verified(docs, batch, first_docs, width, percent)))
+        lists = open_lists(lists, labels)
+    release(docs.sparkSession)
 
     found = cut(untested_pairs(lists, info, labels, percent).join(tested, ["u", "v"], "left_anti"))
     most = 4
     while True:
         # Pairs of different components. Of those of two components some go first, as one link is enough.
-        of = small(cut(labels.select(F.col("u").alias("_n"), F.col("v").alias("_l"))))
+        of = small(labels.select(F.col("u").alias("_n"), F.col("v").alias("_l")))
         named = found.join(of, F.col("u") == F.col("_n"), "left").withColumn("lu", F.coalesce("_l", "u")).drop("_n", "_l")
         named = named.join(of, F.col("v") == F.col("_n"), "left").withColumn("lv", F.coalesce("_l", "v")).drop("_n", "_l")
         fresh = named.where("lu <> lv").join(tested, ["u", "v"], "left_anti")
@@ -263,7 +254,7 @@ def connected_classes(docs: DataFrame, described_docs: DataFrame, first_docs: Da
 
 def with_labels(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """lists with the component label of each cid."""
-    of = small(cut(labels.select(F.col("u").alias("_n"), F.col("v").alias("_l"))))
+    of = small(labels.select(F.col("u").alias("_n"), F.col("v").alias("_l")))
     return lists.join(of, F.col("cid") == F.col("_n"), "left").withColumn("label", F.coalesce("_l", "cid")).drop("_n", "_l")
 
 
@@ -274,10 +265,11 @@ def open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
     return cut(lists.join(small(open_), "token", "left_semi"))
 
 
-def star_pairs(lists: DataFrame, labels: DataFrame, round_: int) -> DataFrame:
-    """u, v: each list's members and its hub of this round, if of different components. Lists with the same members have the same hub."""
+def star_pairs(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """u, v: each list's members and its HUBS further hubs, if of different components. Lists with the same members have the same hubs."""
     labelled = with_labels(lists, labels)
-    hubs = labelled.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.lit(round_), "cid").alias("h"), F.col("cid").alias("hub"), F.col("label").alias("hub_label"))).alias("x")).select("token", "x.hub", "x.hub_label")
+    hub = lambda k: F.min(F.struct(F.xxhash64(F.lit(k), "cid").alias("h"), F.col("cid").alias("hub"), F.col("label").alias("hub_label")))
+    hubs = labelled.groupBy("token").agg(F.array(*map(hub, range(HUBS))).alias("x")).select("token", F.explode(F.array_distinct(F.transform("x", lambda x: F.struct(x["hub"], x["hub_label"])))).alias("x")).select("token", "x.hub", "x.hub_label")
     return labelled.join(hubs, "token").where("label <> hub_label").select(*ordered(F.col("hub"), F.col("cid"))).distinct()
 
 
