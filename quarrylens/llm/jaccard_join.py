@@ -8,11 +8,11 @@ their members, filtered by a parity bitmap (its Hamming distance never exceeds t
 the whole sets.
 
 As the result is connected components, members already known to be connected need no verification. First every group and
-every posting list is tested as a star around one member. Lists in which more than one component is left are tested as stars
-around HUBS other members. Then each pair of members of different components that a list still
-holds comes up once, at the least shingle the two share, with the list's largest component on one side only; of the pairs of
-two components a few are verified at a time, until no untested pair of different components remains. So large groups of copies
-make a number of pairs in proportion to their size, and no link between components is lost.
+every posting list is tested as a star around one member. Long lists in which more than one component is left are tested as stars
+around HUBS other members. What then is left in a list are pairs of members of different components that pass the filters, with
+the list's largest component on one side only; of the pairs of two components a few are verified at a time, until no untested
+pair of different components remains. So large groups of copies make a number of pairs in proportion to their size, and no link
+between components is lost.
 
 Defined results: a null or empty text, or one without words, has an empty set, no links, and is its own component; a text of
 fewer words than a shingle is one shingle; equal rows form one component, each its own row; rows without doc_id take part like
@@ -39,10 +39,8 @@ COMMON = 16
 #: Parity bits of a class: at least BITS, and BITS_PER_TOKEN for each shingle, but not more than MOST_BITS. Posting lists carry
 #: them folded to a FOLD-th, but not below BITS.
 BITS, BITS_PER_TOKEN, MOST_BITS, FOLD = 1024, 4, 65536, 16
-#: Further hubs of a list in which more than one component is left.
+#: Further hubs of a list of more than COMMON classes in which more than one component is left.
 HUBS = 6
-#: Lists of a class that are carried along to tell at which one a pair comes up.
-KEPT = 64
 
 
 def shingle_set(words: np.ndarray, width: int) -> np.ndarray:
@@ -217,7 +215,7 @@ def connected_classes(docs: DataFrame, described_docs: DataFrame, first_docs: Da
     hubs = cut(shared.groupBy("token", "b").agg(F.min("gid").alias("hub"), F.count("*").alias("c")).where("c > 1").select("token", "b", "hub"))
     stars = shared.join(hubs, ["token", "b"]).where("gid <> hub").select(*ordered(F.col("hub"), F.col("gid")))
     stars = stars.unionByName(others.select(*ordered(F.col("gid"), F.col("cid")))).distinct()
-    tested = cut(stars.join(info.alias("x"), F.col("u") == F.col("x.cid")).join(info.alias("y"), F.col("v") == F.col("y.cid")).where(may_link("x", "y", percent)).select("u", "v"))
+    tested = cut(filtered(stars, info, percent))
     release(docs.sparkSession)
     links = cut(verified(docs, tested, first_docs, width, percent))
     labels = components(links)
@@ -225,12 +223,10 @@ def connected_classes(docs: DataFrame, described_docs: DataFrame, first_docs: Da
 
     lists = shared.select("token", "gid", "leads").join(small(members), "gid", "left").select("token", "leads", F.coalesce("cid", "gid").alias("cid"))
     lists = open_lists(lists.unionByName(members.select(F.col("gid").alias("token"), F.lit(True).alias("leads"), "cid")), labels)  # a group is a list too
-    batch = star_pairs(lists, labels).join(tested, ["u", "v"], "left_anti")
-    batch = cut(batch.join(info.alias("x"), F.col("u") == F.col("x.cid")).join(info.alias("y"), F.col("v") == F.col("y.cid")).where(may_link("x", "y", percent)).select("u", "v"))
+    batch = cut(star_pairs(lists, info, labels, percent).join(tested, ["u", "v"], "left_anti"))
     if not batch.isEmpty():
         tested = cut(tested.unionByName(batch))
         labels = components(labels.unionByName(verified(docs, batch, first_docs, width, percent)))
-        lists = open_lists(lists, labels)
     release(docs.sparkSession)
 
     found = cut(untested_pairs(lists, info, labels, percent).join(tested, ["u", "v"], "left_anti"))
@@ -265,37 +261,45 @@ def open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
     return cut(lists.join(small(open_), "token", "left_semi"))
 
 
-def star_pairs(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """u, v: each list's members and its HUBS further hubs, if of different components. Lists with the same members have the same hubs."""
+def brief(info: DataFrame) -> DataFrame:
+    return info.select("cid", "n", folded(F.col("bits")).alias("bits"))
+
+
+def filtered(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """Those of the distinct pairs u, v that pass the filters with their whole bitmaps."""
+    return pairs.join(info.alias("x"), F.col("u") == F.col("x.cid")).join(info.alias("y"), F.col("v") == F.col("y.cid")).where(may_link("x", "y", percent)).select("u", "v")
+
+
+def star_pairs(lists: DataFrame, info: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """u, v: members of long lists with the HUBS members of least hash, if of different components, that pass the filters."""
     labelled = with_labels(lists, labels)
     hub = lambda k: F.min(F.struct(F.xxhash64(F.lit(k), "cid").alias("h"), F.col("cid").alias("hub"), F.col("label").alias("hub_label")))
-    hubs = labelled.groupBy("token").agg(F.array(*map(hub, range(HUBS))).alias("x")).select("token", F.explode(F.array_distinct(F.transform("x", lambda x: F.struct(x["hub"], x["hub_label"])))).alias("x")).select("token", "x.hub", "x.hub_label")
-    return labelled.join(hubs, "token").where("label <> hub_label").select(*ordered(F.col("hub"), F.col("cid"))).distinct()
+    sums = labelled.groupBy("token").agg(F.count("*").alias("members"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.array(*map(hub, range(HUBS))).alias("hubs"))
+    long_ = sums.where((F.col("members") > COMMON) & (F.col("lo") != F.col("hi"))).select("token", F.explode(F.array_distinct(F.transform("hubs", lambda x: F.struct(x["hub"], x["hub_label"])))).alias("x"))
+    hubs = small(cut(long_.select("token", F.col("x.hub").alias("cid"), F.col("x.hub_label").alias("label")).join(brief(info), "cid")))
+    members = labelled.join(small(cut(hubs.select("token").distinct())), "token", "left_semi").join(brief(info), "cid")
+    x, y = members.alias("x"), hubs.alias("y")
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & F.when(F.col("x.label") != F.col("y.label"), may_link("x", "y", percent)).otherwise(False))
+    return filtered(met.select(*ordered(F.col("x.cid"), F.col("y.cid"))).distinct(), info, percent)
 
 
 def untested_pairs(lists: DataFrame, info: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """u, v: pairs of classes of different components that share a list and pass the filters.
 
-    In each list the largest component is left out on one side. A pair comes up at the least list the two share, as far as
-    the KEPT least lists of each tell.
+    In each list the largest component is left out on one side, so a list that one component fills makes no pairs.
     """
-    labelled = cut(with_labels(lists, labels))
+    labelled = with_labels(lists, labels)
     sizes = labelled.groupBy("token", "label").count()
     majors = sizes.groupBy("token").agg(F.max_by("label", F.struct("count", "label")).alias("major"), F.count("*").alias("labels")).where("labels > 1").select("token", "major")
-    least = lambda c: F.slice(F.array_sort(F.collect_set(c)), 1, KEPT)  # noqa: E731  a class has no more lists than its prefix has shingles, and its group
-    kept = labelled.groupBy("cid").agg(least(F.col("token")).alias("kept"), least(F.when(F.col("leads"), F.col("token"))).alias("kept_leads"))
-    brief = info.select("cid", "n", folded(F.col("bits")).alias("bits")).join(kept, "cid")
-    active = labelled.join(small(cut(majors)), "token").join(brief, "cid").select("token", "leads", "cid", "label", "n", "bits", "kept", "kept_leads", (F.col("label") != F.col("major")).alias("minor"))
+    active = labelled.join(small(cut(majors)), "token").join(brief(info), "cid").select("token", "leads", "cid", "label", "n", "bits", (F.col("label") != F.col("major")).alias("minor"))
     active = cut(active)
     x, y = active.where("minor").alias("x"), active.alias("y")
     # The shingle must stand in the index part of the smaller set, or of both if they are equally large.
     placed = (F.col("x.leads") | (F.col("x.n") > F.col("y.n"))) & (F.col("y.leads") | (F.col("y.n") > F.col("x.n")))
     once = ~F.col("y.minor") | (F.col("x.cid") < F.col("y.cid"))
-    mine, yours = (F.when(F.col(f"{a}.n") <= F.col(f"{b}.n"), F.col(f"{a}.kept_leads")).otherwise(F.col(f"{a}.kept")) for a, b in ("xy", "yx"))
-    first = F.coalesce(F.array_min(F.array_intersect(mine, yours)) >= F.col("x.token"), F.lit(True))
-    wanted = F.when(placed & once & (F.col("x.label") != F.col("y.label")), F.when(may_link("x", "y", percent), first).otherwise(False)).otherwise(False)
+    wanted = F.when(placed & once & (F.col("x.label") != F.col("y.label")), may_link("x", "y", percent)).otherwise(False)
     met = x.join(y, (F.col("x.token") == F.col("y.token")) & wanted).select(*ordered(F.col("x.cid"), F.col("y.cid"))).distinct()
-    return met.join(info.alias("x"), F.col("u") == F.col("x.cid")).join(info.alias("y"), F.col("v") == F.col("y.cid")).where(may_link("x", "y", percent)).select("u", "v")
+    return filtered(met, info, percent)
 
 
 def labelled_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
