@@ -5,12 +5,14 @@ words of a benchmark item; an item of fewer words, but not none, is one window.
 (the most telling one), so that a scan looks up single words and verifies the whole window only there; verification compares
 the words themselves, so no hash collision can make a hit.
 
-The hash set is broadcast in blocks of at most `block_bytes` of benchmark text (a bound that is checked, not assumed). A
-larger benchmark is scanned block by block against all documents and the spans are merged per document.
-
-Defined results: null or empty texts have no words and no hits; an item with null text has no windows; repeated documents
-keep a row each; repeated items count as the items they are (by item_id); empty tables give no hits or no rows; other columns
-are ignored (find) or kept as they are (remove).
+The hash set is broadcast in blocks of about `block_bytes` of benchmark text: items are dealt to blocks by hash, the sizes of
+the blocks are checked, and more blocks are made until each holds at most twice as much or a single item. A larger benchmark is
+scanned block by block against all documents, the spans are merged per document, and only then words are removed.
+
+Defined results: null or empty texts have no words and no hits; an item with null text has no windows; an item without item_id
+makes hits, but is not named among the items; repeated documents keep a row each; repeated items count as the items they are
+(by item_id); windows that overlap make one span, so ties cannot occur; a very long text is scanned whole; empty tables give no
+hits or no rows; other columns are ignored (find) or kept as they are (remove).
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import SLICE_ROWS, doc_input, map_batches, table, texts
+from quarrylens.llm.common import SLICE_ROWS, cut, doc_input, map_batches, small, table, texts
 
 WIDTH = 10
 BLOCK_BYTES = 4_000_000
@@ -36,13 +38,13 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(NORMALISE).split()
 
 
-def index_of(items: list[tuple[str, bytes]], width: int) -> Index:
+def index_of(items: list[tuple[str | None, bytes]], width: int) -> Index:
     """Longest word -> (its place in the window, the window, the items that hold it)."""
     owners: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
     for item, text in items:
         words = words_of(text)
         for i in range(max(1, len(words) - width + 1) if words else 0):
-            owners[tuple(words[i : i + width])].add(item)
+            owners[tuple(words[i : i + width])].update([item] if item is not None else ())
     index: Index = defaultdict(list)
     for window, who in owners.items():
         at = max(range(len(window)), key=lambda k: len(window[k]))
@@ -72,15 +74,25 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def blocks_of(benchmark: DataFrame, block_bytes: int) -> list[int]:
-    """Numbers of the blocks of benchmark items; a block holds about block_bytes."""
-    total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return list(range(-(-total // block_bytes) or 1))
+def _block(n: int):
+    return F.pmod(F.xxhash64(F.col("item_id").cast("string"), "text"), F.lit(n))
 
 
-def block_items(benchmark: DataFrame, block: int, n: int) -> list[tuple[str, bytes]]:
-    part = benchmark if n == 1 else benchmark.where(F.pmod(F.xxhash64(F.col("item_id").cast("string")), F.lit(n)) == block)
-    rows = part.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")), F.col("text").cast("binary")).collect()  # one bounded block
+def blocks_of(benchmark: DataFrame, block_bytes: int) -> list[int]:
+    """Numbers of the blocks of benchmark items; a block holds at most twice block_bytes, or one item."""
+    total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = -(-total // block_bytes) or 1
+    while n > 1:
+        sizes = benchmark.groupBy(_block(n).alias("b")).agg(F.sum(F.octet_length("text")).alias("bytes"), F.count_distinct("text").alias("kinds"))
+        if sizes.where((F.col("bytes") > 2 * block_bytes) & (F.col("kinds") > 1)).isEmpty():
+            break
+        n *= 2
+    return list(range(n))
+
+
+def block_items(benchmark: DataFrame, block: int, n: int) -> list[tuple[str | None, bytes]]:
+    part = benchmark if n == 1 else benchmark.where(_block(n) == block)
+    rows = part.select(F.col("item_id").cast("string"), F.col("text").cast("binary")).distinct().collect()  # one bounded block
     return [(r[0], r[1] or b"") for r in rows]
 
 
@@ -101,7 +113,12 @@ def removed(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, item_ids (sorted as strings), spans ([start, end) in words)."""
-    sc, blocks = docs.sparkSession.sparkContext, blocks_of(benchmark, block_bytes)
+    return contamination(docs, benchmark, width, block_bytes, blocks_of(benchmark, block_bytes)).drop("row_key")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int, block_bytes: int, blocks: list[int]) -> DataFrame:
+    """As find_contamination, with row_key: the MD5 of the text if there is more than one block."""
+    sc = docs.sparkSession.sparkContext
 
     def scanned(block: int) -> DataFrame:
         items = sc.broadcast(block_items(benchmark, block, len(blocks)))
@@ -121,7 +138,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH
         return map_batches(doc_input(docs), run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, n_hit long, item_ids array<string>, spans array<struct<start:long,end:long>>, row_key string")
 
     if len(blocks) == 1:
-        return scanned(0).drop("row_key")
+        return scanned(0)
     return merge_blocks([scanned(k) for k in blocks])
 
 
@@ -137,41 +154,49 @@ def merge_blocks(parts: list[DataFrame]) -> DataFrame:
     )
 
     def unite(batch):
-        out = {k: batch.column(k).to_pylist() for k in ("doc_id", "n_words", "item_ids", "_copies")}
+        out = {k: batch.column(k).to_pylist() for k in ("doc_id", "row_key", "n_words", "item_ids", "_copies")}
         spans = [merged([(s["start"], s["end"]) for s in x]) for x in batch.column("_spans").to_pylist()]
         return out | {"n_hit": [sum(b - a for a, b in x) for x in spans], "spans": [[{"start": a, "end": b} for a, b in x] for x in spans]}
 
     kind = dict(union.dtypes)["doc_id"]
-    done = map_batches(one, unite, f"doc_id {kind}, n_words long, n_hit long, item_ids array<string>, spans array<struct<start:long,end:long>>, _copies long")
-    return done.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select("doc_id", "n_words", "n_hit", "item_ids", "spans")
+    done = map_batches(one, unite, f"doc_id {kind}, row_key string, n_words long, n_hit long, item_ids array<string>, spans array<struct<start:long,end:long>>, _copies long")
+    return done.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select("doc_id", "n_words", "n_hit", "item_ids", "spans", "row_key")
 
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, whole_documents: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with the hit spans cut from the text, or without the documents that have any; all columns of docs stay.
 
-    A text that is nothing but hits becomes empty. Benchmark blocks are applied one after the other to whole texts.
+    A text that is nothing but hits becomes empty. A benchmark of one block is scanned and applied in one pass; of more, the
+    spans of all blocks are found first, block by block, and joined to the documents that have any.
     """
     sc, blocks, columns, kind = docs.sparkSession.sparkContext, blocks_of(benchmark, block_bytes), docs.columns, docs.schema
-    at = columns.index("text")
-    shared = [sc.broadcast(block_items(benchmark, k, len(blocks))) for k in blocks]
+    at, n_columns = columns.index("text"), len(columns)
+    shared, rows = None, docs
+    if len(blocks) == 1:
+        shared = sc.broadcast(block_items(benchmark, 0, 1))
+    else:
+        found = contamination(docs, benchmark, width, block_bytes, blocks).where("n_hit > 0").select(F.col("doc_id").alias("_id"), "row_key", F.col("spans").alias("_spans"))
+        found = small(cut(found.dropDuplicates(["_id", "row_key"])))
+        same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")) == F.col("row_key"))
+        rows = docs.join(found, same, "left").select(*docs.columns, "_spans")
 
     def run(batches):
         import pyarrow as pa
 
-        indexes = [index_of(b.value, width) for b in shared]
+        index = index_of(shared.value, width) if shared else None
         for batch in (b.slice(k, SLICE_ROWS) for b in batches for k in range(0, b.num_rows, SLICE_ROWS)):
             keep, new = [], []
-            for text in batch.column(at).to_pylist():
+            known = batch.column(n_columns).to_pylist() if index is None else [None] * batch.num_rows
+            for text, spans in zip(batch.column(at).to_pylist(), known, strict=True):
                 raw = (text or "").encode()
-                words = words_of(raw)
-                spans = merged([s for index in indexes for s in scan(words, index)[0]])
+                spans = [(s["start"], s["end"]) for s in spans or ()] if index is None else scan(words_of(raw), index)[0]
                 keep.append(not (spans and whole_documents))
                 new.append(removed(raw, spans).decode() if spans else text)
-            arrays = [batch.column(k) for k in range(batch.num_columns)]
+            arrays = [batch.column(k) for k in range(n_columns)]
             arrays[at] = pa.array(new, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(arrays, names=columns).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, kind)
+    return rows.mapInArrow(run, kind)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
