@@ -1,18 +1,20 @@
 """Line dedup with a log-template tree.
 
 Each line of `MIN_TOKENS` words or more is parsed to a fixed depth: a leaf of the tree is named by the token count and the
-`DEPTH` leading tokens, tokens with a digit being a variable field. In leaves that `MIN_DOCS` documents reach, the other
-variable fields are generalised: a token that fewer than `MIN_DOCS` lines have at its position gives way to the commonest
-token of the leaf there, if at least `SIMILARITY` of the line's tokens stay. The outcome is the line's template. A template
-that recurs (`MIN_DOCS` pairs of document and distinct line) is dropped from every document but the one with the least
-doc_id, which keeps its lines.
+`DEPTH` leading tokens, tokens with a digit being a variable field. In leaves that enough documents reach, the other variable
+fields are generalised: a token that fewer than `MIN_DOCS` lines have at its position gives way to the commonest token of the
+leaf there, if at least `SIMILARITY` of the line's tokens stay. The outcome is the line's template. A template that recurs is
+dropped from every document but the one with the least doc_id, which keeps its lines. It recurs if `MIN_DOCS` documents hold
+it; a template of `LONG_TOKENS` words or more, such as a passage, if two do. A masked line that recurs by itself is its own
+template and is not generalised. Lines of fewer than `MIN_TOKENS` words are too short to be templates and stay.
 
 All counts are aggregates that combine before they are shuffled, so a line that a third of all documents hold is no hot task,
-and the result does not depend on the order of rows, unlike with a tree that is grown line by line.
+and the result does not depend on the order of rows, unlike with a tree that is grown line by line. The recurring masks are
+broadcast, if a count shows that they are few; else lists of the lines to drop go to the documents by a join.
 
 Defined results: a null text has no lines and stays null; an empty text has one empty line; short lines always stay; rows
-with the same doc_id are one document (null doc_id included); ties between tokens go to the later one by code point; an empty
-table gives an empty result; further columns are ignored (plan) or kept (remove).
+with the same doc_id are one document (null doc_id included); ties between tokens go to the later one by code point; a very
+long text or line is parsed whole; an empty table gives an empty result; further columns are ignored (plan) or kept (remove).
 """
 
 from __future__ import annotations
@@ -22,12 +24,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylens.llm.common import ARRAY_ROWS, SLICE_ROWS, cut, doc_input, map_batches, small, table, texts
 
 MIN_TOKENS, DEPTH, MIN_DOCS, SIMILARITY = 4, 3, 5, 0.7
+#: Templates of so many words recur from two documents on.
+LONG_TOKENS, LONG_DOCS = 40, 2
 FIELD = b"<*>"
 BLANK, VARIABLE = r"[ \t\x0B\f\r]+", r"[^ ]*[0-9][^ ]*"
 DIGITS = b"0123456789"
@@ -53,19 +57,29 @@ def parsed_lines(text: bytes) -> Iterator[tuple[int, int, bytes]]:
     return (p for p in map(parsed, text.split(b"\n")) if p)
 
 
+def needed(is_long: Column) -> Column:
+    """The documents in which a template must stand to recur."""
+    return F.when(is_long, F.lit(LONG_DOCS)).otherwise(F.lit(MIN_DOCS))
+
+
+def is_long(mask: Column) -> Column:
+    return F.size(F.split(mask, " ")) >= LONG_TOKENS
+
+
 def reached_leaves(docs: DataFrame) -> DataFrame:
-    """leaf: the leaves that MIN_DOCS documents reach."""
+    """leaf: the leaves that enough documents reach."""
 
     def run(batch):
-        ids, leaves = [], []
+        ids, leaves, long_ = [], [], []
         for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
-            mine = {p[0] for p in parsed_lines(text)}
+            mine = {p[0]: p[2].count(b" ") + 1 >= LONG_TOKENS for p in parsed_lines(text)}
             ids.extend([doc] * len(mine))
             leaves.extend(mine)
-        return {"doc_id": ids, "leaf": leaves}
+            long_.extend(mine.values())
+        return {"doc_id": ids, "leaf": leaves, "long": long_}
 
-    pairs = map_batches(doc_input(docs), run, f"doc_id {dict(docs.dtypes)['doc_id']}, leaf long")
-    return pairs.distinct().groupBy("leaf").count().where(F.col("count") >= MIN_DOCS).select("leaf")
+    pairs = map_batches(doc_input(docs), run, f"doc_id {dict(docs.dtypes)['doc_id']}, leaf long, long boolean")
+    return pairs.distinct().groupBy("leaf", "long").count().where(F.col("count") >= needed(F.col("long"))).select("leaf")
 
 
 def lines_in(docs: DataFrame, leaves: DataFrame) -> DataFrame:
@@ -93,11 +107,11 @@ def lines_in(docs: DataFrame, leaves: DataFrame) -> DataFrame:
 def recurring(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(leaf, mh, doc_id) of the lines in leaves that many documents reach; (leaf, mh, first) of the lines whose template recurs."""
     held = cut(lines_in(docs, cut(reached_leaves(docs))).groupBy("leaf", "mh", "mask", "doc_id").agg(F.count("*").alias("times")).drop("times"))
-    distinct = cut(held.groupBy("leaf", "mh", "mask").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first")))
-    tokens = distinct.select("leaf", "mh", "docs", F.posexplode(F.split("mask", " ")).alias("pos", "token"))
+    distinct = cut(held.groupBy("leaf", "mh", "mask").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first")).withColumn("long", is_long(F.col("mask"))))
+    tokens = distinct.select("leaf", "mh", "docs", "long", F.posexplode(F.split("mask", " ")).alias("pos", "token"))
     support = tokens.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("support"))
     commonest = support.groupBy("leaf", "pos").agg(F.max(F.struct("support", "token")).alias("top"))
-    rare = tokens.where(F.col("docs") < MIN_DOCS)
+    rare = tokens.where(F.col("docs") < needed(F.col("long")))
     placed = rare.join(support, ["leaf", "pos", "token"]).join(commonest, ["leaf", "pos"])
     frequent = F.col("support") >= MIN_DOCS
     general = placed.groupBy("leaf", "mh").agg(
@@ -105,37 +119,64 @@ def recurring(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         (F.count_if(frequent) >= SIMILARITY * F.count("*")).alias("alike"),
     )
     general = general.where("alike").select("leaf", "mh", F.array_join(F.col("parts.token"), " ").alias("general"))
-    template = distinct.join(general, ["leaf", "mh"], "left").select("leaf", "mh", "docs", "first", F.xxhash64(F.coalesce("general", "mask")).alias("template"))
+    template = distinct.join(general, ["leaf", "mh"], "left").select("leaf", "mh", "docs", "first", "long", F.xxhash64(F.coalesce("general", "mask")).alias("template"))
     template = cut(template)
-    totals = cut(template.groupBy("leaf", "template").agg(F.sum("docs").alias("support"), F.min("first").alias("first")).where(F.col("support") >= MIN_DOCS).drop("support"))
+    sums = template.groupBy("leaf", "template", "long").agg(F.sum("docs").alias("support"), F.max("docs").alias("best"), F.min("first").alias("first")).withColumn("need", needed(F.col("long")))
+    sums = cut(sums.where(F.col("support") >= F.col("need")))
+    # One mask that enough documents hold decides; else a document with several masks of a template must count once.
+    open_ = small(cut(sums.where(F.col("best") < F.col("need")).select("leaf", "template", "need")))
+    masks = small(cut(template.select("leaf", "mh", "template").join(open_, ["leaf", "template"])))
+    holders = held.select("leaf", "mh", "doc_id").join(masks, ["leaf", "mh"]).select("leaf", "template", "need", "doc_id").distinct()
+    proven = holders.groupBy("leaf", "template", "need").count().where(F.col("count") >= F.col("need")).select("leaf", "template")
+    totals = cut(sums.where(F.col("best") >= F.col("need")).select("leaf", "template", "first").unionByName(sums.join(proven, ["leaf", "template"]).select("leaf", "template", "first")))
     return held.select("leaf", "mh", "doc_id"), template.select("leaf", "mh", "template").join(small(totals), ["leaf", "template"]).select("leaf", "mh", "first")
 
 
-def drop_lists(docs: DataFrame) -> DataFrame:
+def drop_lists(held: DataFrame, templates: DataFrame) -> DataFrame:
     """doc_id, drop: hashes of the masked lines that each document loses."""
-    held, templates = recurring(docs)
-    lost = held.join(small(cut(templates)), ["leaf", "mh"]).where(~F.col("doc_id").eqNullSafe(F.col("first")))
+    lost = held.join(templates, ["leaf", "mh"]).where(~F.col("doc_id").eqNullSafe(F.col("first")))
     return lost.groupBy("doc_id").agg(F.collect_set("mh").alias("drop"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """All columns of docs with the text that is left, and _n_lines and _n_dropped."""
-    lists = cut(drop_lists(docs).select(F.col("doc_id").alias("_id"), F.col("drop").alias("_drop")))
-    few = (lists.agg(F.sum(F.size("_drop"))).first()[0] or 0) <= ARRAY_ROWS
-    joined = docs.join(F.broadcast(lists) if few else lists, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select(*docs.columns, "_drop")
-    at, schema = docs.columns.index("text"), docs.select("*", F.lit(0).cast("long").alias("_n_lines"), F.lit(0).cast("long").alias("_n_dropped")).schema
+    held, templates = recurring(docs)
+    templates = cut(templates)
+    few, shared, joined = templates.count() <= ARRAY_ROWS, None, docs
+    if few:  # masks that recur, and the document that keeps each: their number has just been checked
+        found = templates.select("mh", "first").toArrow()
+        order = np.argsort(masks := found.column("mh").to_numpy())
+        first = found.column("first").to_pylist()
+        shared = docs.sparkSession.sparkContext.broadcast((masks[order], [first[k] for k in order.tolist()]))
+    else:
+        lists = cut(drop_lists(held, templates).select(F.col("doc_id").alias("_id"), F.col("drop").alias("_drop")))
+        joined = docs.join(lists, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select(*docs.columns, "_drop")
+    at, at_id, schema = docs.columns.index("text"), docs.columns.index("doc_id"), docs.select("*", F.lit(0).cast("long").alias("_n_lines"), F.lit(0).cast("long").alias("_n_dropped")).schema
+
+    def lost(lines: list[str], doc: object, drop: list[int] | None) -> list[int]:
+        """The places of the lines that a document loses."""
+        if shared is None:
+            gone = set(drop or ())
+            return [k for k, x in enumerate(lines) if gone and (p := parsed(x.encode())) and p[1] in gone]
+        masks, first = shared.value
+        met = [(k, p[1]) for k, x in enumerate(lines) if (p := parsed(x.encode()))] if len(masks) else []
+        if not met:
+            return []
+        at = np.minimum(np.searchsorted(masks, mine := np.array([m for _, m in met])), len(masks) - 1)
+        return [met[j][0] for j in np.flatnonzero(masks[at] == mine).tolist() if first[at[j]] != doc]
 
     def run(batches):
         for batch in (b.slice(k, SLICE_ROWS) for b in batches for k in range(0, b.num_rows, SLICE_ROWS)):
             new, n_lines, n_dropped = [], [], []
-            for text, drop in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+            drops = batch.column(batch.num_columns - 1).to_pylist() if shared is None else [None] * batch.num_rows
+            for text, doc, drop in zip(batch.column(at).to_pylist(), batch.column(at_id).to_pylist(), drops, strict=True):
                 lines = text.split("\n") if text is not None else []
-                gone = set(drop or ())
-                left = [x for x in lines if not ((p := parsed(x.encode())) and p[1] in gone)] if gone else lines
-                new.append(text if len(left) == len(lines) else "\n".join(left))
+                gone = lost(lines, doc, drop)
                 n_lines.append(len(lines))
-                n_dropped.append(len(lines) - len(left))
-            arrays = [batch.column(k) for k in range(batch.num_columns - 1)]
+                n_dropped.append(len(gone))
+                gone = set(gone)
+                new.append("\n".join(x for k, x in enumerate(lines) if k not in gone) if gone else text)
+            arrays = [batch.column(k) for k in range(batch.num_columns - (shared is None))]
             arrays[at] = pa.array(new, arrays[at].type)
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=schema.names)
 
@@ -164,19 +205,22 @@ def oracle_ctes(docs: str = "documents", prefix: str = "") -> str:
 {p}parsed AS (
   SELECT *, string_split(mask, ' ') AS tokens, len(string_split(mask, ' ')) AS n FROM {p}lines),
 {p}leafed AS (SELECT *, n || ' ' || array_to_string(tokens[1:{DEPTH}], ' ') AS leaf FROM {p}parsed WHERE n >= {MIN_TOKENS}),
-{p}reached AS (SELECT leaf FROM (SELECT DISTINCT leaf, doc_id FROM {p}leafed) GROUP BY leaf HAVING count(*) >= {MIN_DOCS}),
+{p}needs AS (SELECT *, CASE WHEN n >= {LONG_TOKENS} THEN {LONG_DOCS} ELSE {MIN_DOCS} END AS need FROM {p}leafed),
+{p}reached AS (SELECT leaf FROM (SELECT DISTINCT leaf, need, doc_id FROM {p}needs) GROUP BY leaf, need HAVING count(*) >= need),
 {p}masks AS (
-  SELECT leaf, mask, tokens, count(*) AS docs, min(doc_id) AS first
-  FROM (SELECT DISTINCT leaf, mask, tokens, doc_id FROM {p}leafed JOIN {p}reached USING (leaf)) GROUP BY ALL),
-{p}tokens AS (SELECT leaf, mask, docs, unnest(tokens) AS token, unnest(range(len(tokens))) AS pos FROM {p}masks),
+  SELECT leaf, mask, tokens, need, count(*) AS docs, min(doc_id) AS first
+  FROM (SELECT DISTINCT leaf, mask, tokens, need, doc_id FROM {p}needs JOIN {p}reached USING (leaf)) GROUP BY ALL),
+{p}tokens AS (SELECT leaf, mask, docs, need, unnest(tokens) AS token, unnest(range(len(tokens))) AS pos FROM {p}masks),
 {p}support AS (SELECT leaf, pos, token, sum(docs) AS support FROM {p}tokens GROUP BY ALL),
 {p}commonest AS (SELECT leaf, pos, (max({{'s': support, 't': token}})).t AS top FROM {p}support GROUP BY ALL),
 {p}general AS (
   SELECT leaf, mask, string_agg(CASE WHEN support >= {MIN_DOCS} THEN token ELSE top END, ' ' ORDER BY pos) AS general
-  FROM {p}tokens JOIN {p}support USING (leaf, pos, token) JOIN {p}commonest USING (leaf, pos) WHERE docs < {MIN_DOCS}
+  FROM {p}tokens JOIN {p}support USING (leaf, pos, token) JOIN {p}commonest USING (leaf, pos) WHERE docs < need
   GROUP BY leaf, mask HAVING count(*) FILTER (WHERE support >= {MIN_DOCS}) >= {SIMILARITY} * count(*)),
-{p}templates AS (SELECT m.leaf, m.mask, docs, first, coalesce(general, m.mask) AS template FROM {p}masks m LEFT JOIN {p}general g ON m.leaf = g.leaf AND m.mask = g.mask),
-{p}totals AS (SELECT leaf, template, min(first) AS first FROM {p}templates GROUP BY ALL HAVING sum(docs) >= {MIN_DOCS}),
+{p}templates AS (SELECT m.leaf, m.mask, need, first, coalesce(general, m.mask) AS template FROM {p}masks m LEFT JOIN {p}general g ON m.leaf = g.leaf AND m.mask = g.mask),
+{p}holders AS (SELECT DISTINCT t.leaf, template, t.need, doc_id FROM {p}templates t JOIN {p}needs l ON l.leaf = t.leaf AND l.mask = t.mask),
+{p}recurs AS (SELECT leaf, template FROM {p}holders GROUP BY leaf, template, need HAVING count(*) >= need),
+{p}totals AS (SELECT leaf, template, min(first) AS first FROM {p}templates JOIN {p}recurs USING (leaf, template) GROUP BY ALL),
 {p}gone AS (SELECT mask, t.first FROM {p}templates JOIN {p}totals t USING (leaf, template)),
 {p}judged AS (
   SELECT l.*, l.n >= {MIN_TOKENS} AND g.mask IS NOT NULL AND l.doc_id IS DISTINCT FROM g.first AS lost FROM {p}parsed l LEFT JOIN {p}gone g ON l.mask = g.mask),
