@@ -1,13 +1,14 @@
 """Mixing sources to target weights by hash-threshold histograms, in DataFrame functions only.
 
-Every document has a fixed hash. A source's target is met by whole rounds over the source (each document once in each) and,
+Every document has a fixed hash, of its doc_id and text. A source's target is met by whole rounds over the source (each document once in each) and,
 for the rest of its budget, by the documents whose hash lies below a threshold. The threshold comes from sums of sizes by
 hash bucket: the bucket in which the running sum passes the budget is refined into sub-buckets, and only that bucket, until
 single hash values remain. Nothing is sorted but bucket sums, and a rerun takes the same documents.
 
 Defined results: a null or empty text has size 0, and so is never taken; a null source is a source of its own and last in
-order; equal rows share a hash and are taken together; an empty table gives an empty result; other columns are ignored
-(plan) or kept as they are (mix).
+order; rows without doc_id are told apart by their texts; only rows equal in doc_id and text share a hash and are taken
+together; a very long text is counted whole; an empty table gives an empty result; other columns are ignored (plan) or kept as
+they are (mix).
 """
 
 from __future__ import annotations
@@ -30,9 +31,10 @@ def text_size(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
-def row_hash(doc_id: Column) -> Column:
-    """60 bits of MD5 of the id."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
+def row_hash(doc_id: Column, text: Column) -> Column:
+    """60 bits of MD5 of the id and the MD5 of the text."""
+    named = F.concat(F.lit("mix:"), F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    return F.conv(F.substring(F.md5(named.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def source_targets(sized: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
@@ -82,7 +84,7 @@ def _boundary(sums: DataFrame, at: Column) -> DataFrame:
 
 def mix_rules(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS) -> tuple[DataFrame, DataFrame, bool]:
     """The sizes and hashes of docs; source, source_size, target, rounds, threshold (a row a source); are the sources few?"""
-    sized = cut(docs.select("doc_id", "source", text_size(F.col("text")).alias("size"), row_hash(F.col("doc_id")).alias("h")))
+    sized = cut(docs.select("doc_id", "source", text_size(F.col("text")).alias("size"), row_hash(F.col("doc_id"), F.col("text")).alias("h")))
     targets = cut(source_targets(sized, weights, most))
     few = targets.count() <= BROADCAST_SOURCES
     rounds = F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0)).cast("long")
@@ -114,7 +116,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS) -> DataFrame
     """docs as the mix takes them: each row 0 to `most` times, with all its columns and copy_no (from 1). No text is shuffled."""
     _, rules, few = mix_rules(docs, weights, most)
     names = [F.col(f"_d.{c}").alias(c) for c in docs.columns]
-    rows = docs.where(text_size(F.col("text")) > 0).select(F.struct(*docs.columns).alias("_d"), "source", row_hash(F.col("doc_id")).alias("h"))
+    rows = docs.where(text_size(F.col("text")) > 0).select(F.struct(*docs.columns).alias("_d"), "source", row_hash(F.col("doc_id"), F.col("text")).alias("h"))
     taken = _with_source(rows, rules.select("source", "rounds", "threshold"), few).select("_d", _copies(most).alias("copies")).where("copies > 0")
     return taken.select("_d", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).select(*names, F.col("_copy").alias("copy_no"))
 
@@ -130,7 +132,7 @@ def oracle_ctes(docs: str = "documents", prefix: str = "") -> str:
     return f"""
 {prefix}sized AS (
   SELECT row_number() OVER () AS r, doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD_PATTERN}')), 0)::BIGINT AS size,
-    ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS h FROM {docs}),
+    ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS h FROM {docs}),
 {prefix}one AS (SELECT source, sum(size)::BIGINT AS source_size FROM {prefix}sized GROUP BY source),
 {prefix}weighed AS (
   SELECT *, {MOST_REPEATS} * source_size AS cap,
