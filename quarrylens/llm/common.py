@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 #: White space of the word pattern [^\x20\x09-\x0D]+; bytes.split() splits on the same six bytes.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-WORD_HASH_MEMO = 150_000
+#: Words that a worker's memo holds, and the bytes up to which a word (or a part of a text) is kept: so a memo's size is bounded.
+WORD_HASH_MEMO, MEMO_BYTES = 150_000, 64
 #: Rows that an operator takes from a batch at a time.
 SLICE_ROWS = 2_000
 #: Rows of a narrow table that may be broadcast for a join, and numbers that may be broadcast as an array or in lists.
@@ -26,10 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """A cluster names the shared folder in spark.checkpoint.dir; only a session without one gets its own."""
+    """A cluster names the shared folder in spark.checkpoint.dir; only a local session without one gets its own."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if not named:
             import tempfile
 
@@ -87,9 +90,11 @@ class WordHashes(dict):
     """Word to 64-bit hash, kept for words met before; emptied when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORD_HASH_MEMO:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= MEMO_BYTES:
+            if len(self) >= WORD_HASH_MEMO:
+                self.clear()
+            self[word] = value
         return value
 
     def array(self, words: list[bytes]) -> np.ndarray:

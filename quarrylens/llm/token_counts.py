@@ -21,7 +21,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import doc_input, map_batches, table, texts
+from quarrylens.llm.common import MEMO_BYTES, doc_input, map_batches, table, texts
 
 CHUNK, OVERLAP = 32_768, 512
 LIMIT = 512
@@ -63,9 +63,11 @@ class Parts(dict):
         self.tokenizer = tokenizer
 
     def __missing__(self, part: str) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        n = self[part] = len(self.tokenizer.encode(part, add_special_tokens=False))
+        n = len(self.tokenizer.encode(part, add_special_tokens=False))
+        if len(part) <= MEMO_BYTES:
+            if len(self) >= MEMO:
+                self.clear()
+            self[part] = n
         return n
 
     def count(self, text: str) -> int:
