@@ -6,7 +6,7 @@ documents and how often each labeller votes on good and on bad ones. The posteri
 logistic scorer on hashed features (word shapes, and the document's statistics in steps). Every document is then scored.
 
 The counts cover all documents. The scorer alone is fitted on a bounded sample: the `TRAIN_ROWS` documents with the least
-hash of their doc_id.
+hash of their doc_id (of their text, where there is none); rows that tie with the last of them differ in nothing that counts.
 
 Defined results: a null or empty text gets no votes but has a score, that of the prior and the intercept; equal rows have
 equal results, each its own row; an empty table gives an empty result; columns other than doc_id and text are ignored (score)
@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import SLICE_ROWS, WORD_HASH_MEMO, doc_input, map_batches, table, texts
+from quarrylens.llm.common import MEMO_BYTES, SLICE_ROWS, WORD_HASH_MEMO, doc_input, map_batches, table, texts
 from quarrylens.llm.quality_rules import repeated_words
 
 TRAIN_ROWS = 20_000
@@ -54,11 +54,13 @@ class Shapes(dict):
     """Word to (hash bucket of its shape, does it have a letter)."""
 
     def __missing__(self, word: bytes) -> tuple[int, bool]:
-        if len(self) >= WORD_HASH_MEMO:
-            self.clear()
         shape = word.translate(_SHAPE)
         runs = bytes(b for k, b in enumerate(shape) if k == 0 or b != shape[k - 1])[:12]
-        value = self[word] = (xxhash.xxh3_64_intdigest(runs) % DIM, not _LETTERS.isdisjoint(word))
+        value = (xxhash.xxh3_64_intdigest(runs) % DIM, not _LETTERS.isdisjoint(word))
+        if len(word) <= MEMO_BYTES:
+            if len(self) >= WORD_HASH_MEMO:
+                self.clear()
+            self[word] = value
         return value
 
 
@@ -156,8 +158,8 @@ def learn(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, di
     made = described(docs.select("doc_id", "text"))
     counts = {r.pattern: r.n for r in made.groupBy("pattern").agg(F.count("*").alias("n")).collect()}  # at most 3^10 patterns
     _, _, posterior = label_model(counts)
-    key = F.xxhash64(F.lit("train"), F.col("doc_id").cast("string"))
-    chosen = docs.select("doc_id", key.alias("k")).orderBy("k").limit(train_rows).agg(F.max("k")).first()[0]  # the sample bound is a parameter
+    key = F.xxhash64(F.lit("train"), F.col("doc_id").cast("string"), F.when(F.col("doc_id").isNull(), F.col("text")))
+    chosen = docs.select(key.alias("k")).orderBy("k").limit(train_rows).agg(F.max("k")).first()[0]  # the sample bound is a parameter
     some = described(docs.where(key <= F.lit(chosen)).select("doc_id", "text")).select("pattern", "at", "value") if chosen is not None else None
     if some is None:
         return fit(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)), posterior
