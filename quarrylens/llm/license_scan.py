@@ -1,16 +1,17 @@
 """Licence scan by canonical digest lookup, in DataFrame functions only.
 
-A text is brought to a canonical form (case, punctuation, copyright lines, equivalent spellings), and the SHA-256 of the
-whole form is looked up by a hash join among the digests of known licence texts. The same lookup is done for each whole
-line, because most documents carry their licence as a notice line.
-
-A text with a word of `IN_BODIES` is looked up a second time, in its body form, among the licence texts of license_texts.json,
-each with and without its usual titles: only lines that claim a copyright (a sign or a year follows) go, and lines are joined
-before spellings are made equal, so that neither wrapping nor comment marks matter. text_digest stays that of the first form.
-
-Defined results: a null or empty text, or one without a letter or digit, has no digest and no licence; repeated rows each
-keep their row; ties cannot occur, as every known digest names one licence; an empty table gives an empty result; columns
-other than doc_id and text are ignored.
+A text is brought to a canonical form (case, punctuation, lines that claim a copyright, equivalent spellings), and the SHA-256
+of the whole form is looked up by a hash join among the digests of known licence texts. Whole lines are looked up in the same
+way, by a second hash join, because most documents carry their licence as a notice line; only lines with a word of `IN_NOTICES`,
+which every known notice has, are hashed.
+
+A text with a word of `IN_BODIES` is looked up a third time, in its body form, among the licence texts of license_texts.json,
+each with and without its usual titles: lines are joined before spellings are made equal, so that neither wrapping nor comment
+marks matter. text_digest stays that of the first form.
+
+Defined results: a null or empty text, or one without a letter or digit of any script, has no digest and no licence; repeated
+rows each keep their row, and so do rows without doc_id; ties cannot occur, as every known digest names one licence; a very
+long text is one form like any other; an empty table gives an empty result; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -21,12 +22,16 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import table
+from quarrylens.llm.common import cut, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Lines that only claim a copyright are no part of a licence's identity.
-COPYRIGHT = r"(^|\n)[ \t]*(copyright|\(c\))[^\n]*"
-NOT_WORD = r"[^a-z0-9\n]+"
+#: Lines that claim a copyright (a sign or a year follows, marks of a comment may precede) are no part of a licence's identity.
+CLAIM = r"(^|\n)[^a-z0-9\n]*?(copyright[^a-z0-9\n]*(\(c\)|©|[0-9]{4})|\(c\)[^a-z0-9\n]*[0-9]{4}|©)[^\n]*"
+NOT_WORD = r"[^\p{L}\p{M}\p{N}\n]+"
+#: A text has one of these if a spelling changes it.
+SPELT = r" (licence|licenced|licensed|licences|sub license|(v|ver) ?[0-9]|version[0-9]|[0-9] 0|non commercial|favour|whilst)"
+#: Each known notice has one of these in its canonical form (a test sees to it).
+IN_NOTICES = ("licen", "reserved", "universal", "public domain", "warrant")
 #: Equivalent spellings: pattern on padded words, replacement.
 SPELLINGS = (
     (r" (licence|licenced|licensed) ", " license "),
@@ -90,18 +95,25 @@ SOFTWARE.""",
 )
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form, its lines kept apart by single newlines and each word padded by one space."""
-    t = F.translate(text, UPPER, LOWER)
-    t = F.regexp_replace(t, COPYRIGHT, "$1")
-    t = F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(t, NOT_WORD, " "), r" ?\n[\n ]*", " \n "), F.lit(" "))
+def plain(text: Column) -> Column:
+    """Lower case, without claims and punctuation; lines kept apart by single newlines, each word padded by one space."""
+    t = F.regexp_replace(F.translate(text, UPPER, LOWER), CLAIM, "$1")
+    return F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(t, NOT_WORD, " "), r" ?\n[\n ]*", " \n "), F.lit(" "))
+
+
+def spelt(form: Column) -> Column:
+    """A plain form in equal spellings; most texts have none to change."""
+    t = form
     for pattern, put in SPELLINGS:
         t = F.regexp_replace(t, pattern, put)
-    return t
+    return F.when(form.rlike(SPELT), t).otherwise(form)
+
+
+def canonical(text: Column) -> Column:
+    """The canonical form."""
+    return spelt(plain(text))
 
 
-#: Lines of the body form that claim a copyright: a sign or a year follows, and marks of a comment may precede.
-CLAIM = r"(^|\n)[^a-z0-9\n]*?(copyright[^a-z0-9\n]*(\(c\)|©|[0-9]{4})|\(c\)[^a-z0-9\n]*[0-9]{4}|©)[^\n]*"
 RESERVED = r"(^|\n)[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*(?=\n|$)"
 #: Each text of license_texts.json has one of these words (a test sees to it), and no spelling changes them.
 IN_BODIES = ("warrant", "conveying")
@@ -139,20 +151,19 @@ def known_digests(spark: SparkSession, known=KNOWN, form=lambda text: flat(canon
 
 def scan_licenses(docs: DataFrame, known=KNOWN) -> DataFrame:
     """doc_id, text_digest, license (of the whole text), line_licenses (of whole lines, sorted, each once, comma-joined), n_license_lines."""
-    digests = known_digests(docs.sparkSession, known)
-    names = F.create_map(*(F.lit(x) for row in digests.orderBy("digest").collect() for x in (row.digest, row.license)))  # one entry for each known text
+    spark = docs.sparkSession
     form = F.col("_form")
-    lines = F.filter(F.transform(F.split(form, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    found = F.filter(F.transform(lines, lambda x: F.try_element_at(names, F.sha2(x, 256))), lambda x: x.isNotNull())
-    whole = (
-        docs.select("doc_id", canonical(F.col("text")).alias("_form"), F.when(F.translate("text", UPPER, LOWER).rlike("|".join(IN_BODIES)), digest(body(F.col("text")))).alias("_body"))
-        .select("doc_id", "_body", digest(flat(form)).alias("text_digest"), F.coalesce(found, F.array().cast("array<string>")).alias("_found"))
-    )
-    lookup = F.broadcast(digests.select(F.col("digest").alias("_digest"), "license"))  # as small as the list of known licences
-    bodies = F.broadcast(known_digests(docs.sparkSession, known_bodies(), body).select(F.col("digest").alias("_body"), F.col("license").alias("_body_license")))  # as small as license_texts.json
-    return whole.join(lookup, F.col("text_digest") == F.col("_digest"), "left").join(bodies, "_body", "left").select(
-        "doc_id", "text_digest", F.coalesce("license", "_body_license").alias("license"), F.array_join(F.array_sort(F.array_distinct("_found")), ",").alias("line_licenses"), F.size("_found").cast("long").alias("n_license_lines")
-    )
+    lines = F.filter(F.transform(F.split(form, "\n"), lambda x: F.trim(x)), lambda x: x.rlike("|".join(IN_NOTICES)))
+    in_body = F.translate("text", UPPER, LOWER).rlike("|".join(IN_BODIES))
+    forms = docs.select("doc_id", plain(F.col("text")).alias("_plain"), F.when(in_body, digest(body(F.col("text")))).alias("_body")).select("doc_id", "_body", spelt(F.col("_plain")).alias("_form"))
+    # Digests only, numbered: rows need not differ in doc_id.
+    rows = cut(forms.select("doc_id", "_body", digest(flat(form)).alias("text_digest"), F.transform(lines, lambda x: F.sha2(x, 256)).alias("_lines")).withColumn("_row", F.monotonically_increasing_id()))
+    digests = F.broadcast(known_digests(spark, known).withColumnRenamed("license", "_license"))  # as small as the list of known licences
+    bodies = F.broadcast(known_digests(spark, known_bodies(), body).select(F.col("digest").alias("_body"), F.col("license").alias("_body_license")))  # as small as license_texts.json
+    met = rows.where(F.size("_lines") > 0).select("_row", F.explode("_lines").alias("digest")).join(digests, "digest")
+    by_row = met.groupBy(F.col("_row").alias("_of")).agg(F.array_join(F.array_sort(F.collect_set("_license")), ",").alias("_names"), F.count("*").alias("_n"))
+    done = rows.join(digests.withColumnRenamed("digest", "text_digest"), "text_digest", "left").join(bodies, "_body", "left").join(by_row, F.col("_row") == F.col("_of"), "left")
+    return done.select("doc_id", "text_digest", F.coalesce("_license", "_body_license").alias("license"), F.coalesce("_names", F.lit("")).alias("line_licenses"), F.coalesce("_n", F.lit(0)).cast("long").alias("n_license_lines"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,7 +172,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql_canonical(text: str) -> str:
     t = f"translate({text}, '{UPPER}', '{LOWER}')"
-    t = f"regexp_replace({t}, '{COPYRIGHT}', '\\1', 'g')"
+    t = f"regexp_replace({t}, '{CLAIM}', '\\1', 'g')"
     t = f"' ' || regexp_replace(regexp_replace({t}, '{NOT_WORD}', ' ', 'g'), ' ?\\n[\\n ]*', chr(32) || chr(10) || chr(32), 'g') || ' '"
     for pattern, put in SPELLINGS:
         t = f"regexp_replace({t}, '{pattern}', '{put.replace('$', chr(92))}', 'g')"
