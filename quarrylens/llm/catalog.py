@@ -22,6 +22,7 @@ ORACLES = {
     "op1_license_scan": license_scan.oracle(),
     "op3_decontamination": decontamination.oracle(),
     "op4_line_dedup": line_dedup.oracle(),
+    "op5_quality_rules": quality_rules.oracle(),
     "op6_mixing": mixing.oracle(),
     "op7_jaccard_join": jaccard_join.oracle(),
 }

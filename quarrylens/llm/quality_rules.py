@@ -7,7 +7,8 @@ floor) beyond its quartiles. A group of fewer than `MIN_GROUP` documents takes t
 language of fewer takes that of all. The fences are joined back and a document outside any of them is rejected.
 
 Defined results: a null or empty text has no words and fails the base rules; null language or source is a group of its own;
-equal rows get equal results, each its own row; an empty table gives an empty result; other columns are ignored.
+equal rows get equal results, each its own row, as do rows without doc_id; a ratio on a fence is inside; a very long text is
+counted whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -112,21 +113,21 @@ def fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return sided.groupBy(*keys).agg(F.max("total").alias("n_docs"), *(pick(n, c) for n in RATIOS for c in ("low", "high")))
 
 
-def group_fences(sketch: DataFrame) -> DataFrame:
+def group_fences(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     """The fences that hold for each (lang, source): its own, else its language's, else those of all."""
     bounds = [f"{c}_{n}" for n in RATIOS for c in ("low", "high")]
     own, lang, whole = fences(sketch, ["lang", "source"]), fences(sketch, ["lang"]), fences(sketch.withColumn("_all", F.lit(1)), ["_all"])
     lang = lang.select(F.col("lang").alias("_lang"), F.col("n_docs").alias("lang_docs"), *(F.col(b).alias(f"lang_{b}") for b in bounds))
     whole = whole.select("_all", *(F.col(b).alias(f"all_{b}") for b in bounds))
     joined = own.withColumn("_all", F.lit(1)).join(lang, F.col("lang").eqNullSafe(F.col("_lang")), "left").join(F.broadcast(whole), "_all", "left")  # whole has one row
-    chosen = lambda b: F.when(F.col("n_docs") >= MIN_GROUP, F.col(b)).when(F.col("lang_docs") >= MIN_GROUP, F.col(f"lang_{b}")).otherwise(F.col(f"all_{b}"))
+    chosen = lambda b: F.when(F.col("n_docs") >= min_group, F.col(b)).when(F.col("lang_docs") >= min_group, F.col(f"lang_{b}")).otherwise(F.col(f"all_{b}"))
     return joined.select("lang", "source", *(chosen(b).alias(b) for b in bounds))
 
 
-def judge(docs: DataFrame) -> DataFrame:
+def judge(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     """doc_id, lang, source, the counts, base_failed, and kept."""
     feats = cut(base_features(docs))
-    limits = cut(group_fences(sketches(feats))).withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    limits = cut(group_fences(sketches(feats), min_group)).withColumnsRenamed({"lang": "_lang", "source": "_source"})
     same = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
     if limits.count() <= BROADCAST_GROUPS:
         joined = feats.join(F.broadcast(limits), same, "left")  # its size has just been checked
@@ -144,3 +145,36 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def oracle(min_group: int = MIN_GROUP) -> str:
+    word = r"[^\x20\x09-\x0D]"
+    value = f"CASE WHEN {{0}} = {ZERO_BUCKET} THEN 0.0 ELSE 2 * pow({GAMMA}, {{0}}) / ({GAMMA} + 1) END"
+    each = " UNION ALL ".join(f"SELECT lang, source, '{n}' AS name, {over} / {under} AS x, {least}::DOUBLE AS least FROM counts WHERE NOT base_failed" for n, (over, under, least, _) in RATIOS.items())
+
+    def fences(name: str, keys: str) -> str:
+        over = f"PARTITION BY {keys}name" if keys else "PARTITION BY name"
+        return f"""
+{name}_q AS (SELECT {keys}name, least, total, min(k) FILTER (WHERE upto >= 0.25 * total) AS a, min(k) FILTER (WHERE upto >= 0.75 * total) AS b FROM (
+  SELECT {keys}name, least, k, sum(n) OVER ({over} ORDER BY k) AS upto, sum(n) OVER ({over}) AS total FROM (SELECT {keys}name, least, k, count(*) AS n FROM buckets GROUP BY ALL)) GROUP BY {keys}name, least, total),
+{name} AS (SELECT {keys}name, total, {value.format("a")} - {REACH} * greatest({value.format("b")} - {value.format("a")}, least) AS low, {value.format("b")} + {REACH} * greatest({value.format("b")} - {value.format("a")}, least) AS high FROM {name}_q)"""
+
+    outside = " OR ".join(f"coalesce(bool_or(c.name = '{n}' AND (x > high{' OR x < low' if lower else ''})), false)" for n, (_, _, _, lower) in RATIOS.items())
+    checks = " UNION ALL ".join(f"SELECT r, lang, source, '{n}' AS name, {over} / {under} AS x FROM counts WHERE NOT base_failed" for n, (over, under, _, _) in RATIOS.items())
+    return f"""
+WITH rows AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+parts AS (SELECT *, regexp_extract_all(t, '{word}+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{word}')) AS l FROM rows),
+windows AS (SELECT r, i, array_to_string(w[i:i + 2], ' ') AS win FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM parts WHERE len(w) >= 3)),
+repeats AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM windows JOIN (SELECT r, win FROM windows GROUP BY ALL HAVING count(*) > 1) USING (r, win)) GROUP BY r),
+counted AS (
+  SELECT r, doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines FROM parts LEFT JOIN repeats USING (r)),
+counts AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted),
+buckets AS (SELECT lang, source, name, least, CASE WHEN x < 1e-6 THEN {ZERO_BUCKET} ELSE ceil(ln(x) / ln({GAMMA}))::INTEGER END AS k FROM ({each})),
+{fences("own", "lang, source, ")},{fences("langs", "lang, ")},{fences("whole", "")},
+limits AS (
+  SELECT o.lang, o.source, o.name, CASE WHEN o.total >= {min_group} THEN o.low WHEN g.total >= {min_group} THEN g.low ELSE a.low END AS low, CASE WHEN o.total >= {min_group} THEN o.high WHEN g.total >= {min_group} THEN g.high ELSE a.high END AS high
+  FROM own o JOIN langs g ON o.lang IS NOT DISTINCT FROM g.lang AND o.name = g.name JOIN whole a ON o.name = a.name),
+judged AS (SELECT r, {outside} AS outside FROM ({checks}) c JOIN limits m ON c.lang IS NOT DISTINCT FROM m.lang AND c.source IS NOT DISTINCT FROM m.source AND c.name = m.name GROUP BY r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(outside, false) AS kept FROM counts LEFT JOIN judged j ON counts.r = j.r
+"""
