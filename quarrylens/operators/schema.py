@@ -2,86 +2,232 @@
 
 from __future__ import annotations
 
+import functools
 import json as _json
+import re
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrylens.operators.text import FORMATS
+from quarrylens.operators.text import FORMATS, json_kind
 
 
-def _kind(raw: Column) -> Column:
-    """The JSON type of a value as get_json_object gives it (strings without quotes), from the text around it."""
-    return F.when(raw.isNull(), "null").when(raw.rlike(r"^-?\d+$"), "integer").when(raw.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"), "number").when(raw.isin("true", "false"), "boolean").when(raw.startswith("{"), "object").when(raw.startswith("["), "array").otherwise("string")
+class _Recursive(Exception):
+    """A schema that refers to itself has no finite expression."""
 
 
-def _violations(schema: dict, json: Column, path: str, root: dict, depth: int = 0) -> list[tuple[Column, str]]:
-    """(is violated, name) for each keyword of a schema on the value at a path."""
-    if depth > 20:
-        return []
+def _resolved(ref: str, root: dict) -> dict:
+    for part in ref.lstrip("#/").split("/"):
+        root = root[part.replace("~1", "/").replace("~0", "~")]
+    return root
+
+
+def _canonical(value: object) -> Column:
+    return F.to_json(F.parse_json(F.lit(_json.dumps(value))))
+
+
+#: Keyword of a string, number, array or object -> is a value (as string, double, array or map) in breach of it.
+_BOUNDS = {
+    "string": {"minLength": lambda x, v: F.length(x) < v, "maxLength": lambda x, v: F.length(x) > v, "pattern": lambda x, v: ~x.rlike(v)},
+    "number": {
+        "minimum": lambda x, v: x < v, "maximum": lambda x, v: x > v, "exclusiveMinimum": lambda x, v: x <= v,
+        "exclusiveMaximum": lambda x, v: x >= v, "multipleOf": lambda x, v: x % v != 0,
+    },
+    "array": {"minItems": lambda x, v: F.size(x) < v, "maxItems": lambda x, v: F.size(x) > v},
+    "object": {"minProperties": lambda x, v: F.size(x) < v, "maxProperties": lambda x, v: F.size(x) > v},
+}
+_AS = {"string": "string", "number": "double", "array": "array<variant>", "object": "map<string,variant>"}
+
+Check = tuple[Callable[[Column], Column], str]
+
+
+def _of(v: Column, kind: str) -> Column:
+    """A variant as a value of a JSON type; null if it is of another."""
+    is_kind = json_kind(v).isin("integer", "number") if kind == "number" else json_kind(v) == kind
+    return F.when(is_kind, F.try_variant_get(v, "$", _AS[kind]))
+
+
+def _passes(checks: list[Check], v: Column) -> Column:
+    bad = F.lit(False)
+    for check, _ in checks:
+        bad = bad | check(v)
+    return ~bad
+
+
+def _checks(schema: dict | bool, path: str, root: dict, within: tuple[str, ...] = ()) -> list[Check]:
+    """(does a variant violate it, name) for each keyword of a schema. The functions give true or false, also for missing values."""
+    if isinstance(schema, bool):
+        return [] if schema else [(lambda v: v.isNotNull(), f"{path}:false")]
     if "$ref" in schema:
-        target = root
-        for part in schema["$ref"].lstrip("#/").split("/"):
-            target = target[part]
-        return _violations(target, json, path, root, depth + 1)
-    raw = F.get_json_object(json, path)
-    there = raw.isNotNull()
-    out: list[tuple[Column, str]] = []
-    add = lambda bad, name: out.append((F.coalesce(there & bad, F.lit(False)), f"{path}:{name}"))
+        if schema["$ref"] in within:
+            raise _Recursive(schema["$ref"])
+        return _checks(_resolved(schema["$ref"], root), path, root, (*within, schema["$ref"]))
+    out: list[Check] = []
+
+    def add(bad: Callable[[Column], Column], name: str) -> None:
+        out.append((lambda v: F.coalesce(bad(v), F.lit(False)), f"{path}:{name}"))
+
+    def below(sub: dict | bool, at: str) -> list[Check]:
+        return _checks(sub, at, root, within)
+
+    def each(get: Callable[[Column], Column], subs: list[Check]) -> None:
+        """The checks of the elements of an array that get makes of a value."""
+        for check, name in subs:
+            out.append((lambda v, check=check: F.coalesce(F.exists(get(v), check), F.lit(False)), name))
+
     kinds = schema.get("type")
     if kinds:
         wanted = {kinds} if isinstance(kinds, str) else set(kinds)
         wanted |= {"integer"} if "number" in wanted else set()
-        add(~_kind(raw).isin(*wanted), "type")
+        add(lambda v: ~json_kind(v).isin(*wanted), "type")
     if "enum" in schema:
-        add(~raw.isin(*(x if isinstance(x, str) else _json.dumps(x) for x in schema["enum"])), "enum")
+        add(lambda v: ~F.to_json(v).isin(*map(_canonical, schema["enum"])), "enum")
     if "const" in schema:
-        add(raw != (schema["const"] if isinstance(schema["const"], str) else _json.dumps(schema["const"])), "const")
-    number, size = raw.try_cast("double"), F.length(raw)
-    for word, bad in (("minimum", lambda v: number < v), ("maximum", lambda v: number > v), ("exclusiveMinimum", lambda v: number <= v), ("exclusiveMaximum", lambda v: number >= v), ("multipleOf", lambda v: number % v != 0),
-                      ("minLength", lambda v: size < v), ("maxLength", lambda v: size > v), ("pattern", lambda v: ~raw.rlike(v)), ("minItems", lambda v: F.json_array_length(raw) < v), ("maxItems", lambda v: F.json_array_length(raw) > v),
-                      ("minProperties", lambda v: F.size(F.json_object_keys(raw)) < v), ("maxProperties", lambda v: F.size(F.json_object_keys(raw)) > v)):
-        if word in schema:
-            add(bad(schema[word]), word)
-    if schema.get("uniqueItems"):
-        items = F.from_json(raw, "array<string>")
-        add(F.size(items) != F.size(F.array_distinct(items)), "uniqueItems")
+        add(lambda v: F.to_json(v) != _canonical(schema["const"]), "const")
+    for kind, words in _BOUNDS.items():
+        for word, breaks in words.items():
+            if word in schema:
+                add(lambda v, kind=kind, word=word, breaks=breaks: breaks(_of(v, kind), schema[word]), word)
     if schema.get("format") in dict(FORMATS):
-        add(~raw.rlike("(?i)" + dict(FORMATS)[schema["format"]]), "format")
-    properties = schema.get("properties", {})
+        add(lambda v: ~_of(v, "string").rlike("(?i)" + dict(FORMATS)[schema["format"]]), "format")
+    items, entries = (lambda v: _of(v, "array")), (lambda v: F.map_entries(_of(v, "object")))
+    names = lambda v: F.map_keys(_of(v, "object"))
+    if schema.get("uniqueItems"):
+        add(lambda v: F.size(items(v)) != F.size(F.array_distinct(F.transform(items(v), lambda x: F.to_json(x)))), "uniqueItems")
+    if isinstance(schema.get("items"), list):
+        listed, rest = schema["items"], schema.get("additionalItems", True)
+        for k, sub in enumerate(listed):
+            out.extend((lambda v, c=c, k=k: c(F.get(items(v), k)), name) for c, name in below(sub, f"{path}[{k}]"))
+        if rest is False:
+            add(lambda v: F.size(items(v)) > len(listed), "additionalItems")
+        elif isinstance(rest, dict):
+            each(lambda v: F.slice(items(v), F.lit(len(listed) + 1), F.greatest(F.size(items(v)) - len(listed), F.lit(0))), below(rest, f"{path}[]"))
+    elif "items" in schema:
+        each(items, below(schema["items"], f"{path}[]"))
+    if "contains" in schema:
+        held = below(schema["contains"], path)
+        add(lambda v: ~F.exists(items(v), lambda x: _passes(held, x)), "contains")
+    properties, patterns = schema.get("properties", {}), schema.get("patternProperties", {})
     for name in schema.get("required", []):
-        add(~F.array_contains(F.json_object_keys(raw), name), f"required.{name}")
-    if schema.get("additionalProperties") is False:
-        add(F.size(F.array_except(F.json_object_keys(raw), F.array(*map(F.lit, properties)).cast("array<string>"))) > 0, "additionalProperties")
+        add(lambda v, name=name: ~F.array_contains(names(v), name), f"required.{name}")
     for name, sub in properties.items():
-        out.extend(_violations(sub, json, f"{path}.{name}", root, depth + 1))
-    any_of = lambda subs: [F.array_size(F.filter(F.array(*(c for c, _ in _violations(s, json, path, root, depth + 1)), F.lit(False)), lambda x: x)) == 0 for s in subs]
-    for s in schema.get("allOf", []):
-        out.extend(_violations(s, json, path, root, depth + 1))
+        out.extend((lambda v, c=c, name=name: c(F.try_element_at(_of(v, "object"), F.lit(name))), n) for c, n in below(sub, f"{path}.{name}"))
+    for pattern, sub in patterns.items():
+        each(lambda v, p=pattern: F.transform(F.filter(entries(v), lambda e: e["key"].rlike(p)), lambda e: e["value"]), below(sub, f"{path}./{pattern}/"))
+    known = lambda key: key.isin(*properties) if properties else F.lit(False)
+    other = lambda key: ~functools.reduce(lambda a, p: a | key.rlike(p), patterns, known(key))
+    if schema.get("additionalProperties") is False:
+        add(lambda v: F.exists(names(v), other), "additionalProperties")
+    elif isinstance(schema.get("additionalProperties"), dict):
+        each(lambda v: F.transform(F.filter(entries(v), lambda e: other(e["key"])), lambda e: e["value"]), below(schema["additionalProperties"], f"{path}.*"))
+    if "propertyNames" in schema:
+        each(lambda v: F.transform(names(v), lambda k: k.cast("variant")), below(schema["propertyNames"], f"{path}:propertyNames"))
+    for sub in schema.get("allOf", []):
+        out.extend(below(sub, path))
     if "anyOf" in schema:
-        ok = any_of(schema["anyOf"])
-        bad = F.lit(True)
-        for x in ok:
-            bad = bad & ~x
-        add(bad, "anyOf")
+        subs = [below(sub, path) for sub in schema["anyOf"]]
+        add(lambda v: v.isNotNull() & ~functools.reduce(lambda a, c: a | _passes(c, v), subs, F.lit(False)), "anyOf")
     if "oneOf" in schema:
-        add(sum((x.cast("int") for x in any_of(schema["oneOf"])), F.lit(0)) != 1, "oneOf")
+        ones = [below(sub, path) for sub in schema["oneOf"]]
+        add(lambda v: v.isNotNull() & (functools.reduce(lambda a, c: a + _passes(c, v).cast("int"), ones, F.lit(0)) != 1), "oneOf")
     if "not" in schema:
-        add(any_of([schema["not"]])[0], "not")
+        no = below(schema["not"], path)
+        add(lambda v: v.isNotNull() & _passes(no, v), "not")
     return out
 
 
+def _violations(schema: dict | bool, value: object, path: str, root: dict) -> Iterator[str]:
+    """What _checks finds, on a parsed value: the way of schemas that refer to themselves."""
+    if isinstance(schema, bool):
+        yield from () if schema else (f"{path}:false",)
+        return
+    if "$ref" in schema:
+        yield from _violations(_resolved(schema["$ref"], root), value, path, root)
+        return
+    ok = lambda sub, x: next(_violations(sub, x, path, root), None) is None
+    kind = "null" if value is None else "boolean" if isinstance(value, bool) else "integer" if isinstance(value, int) else "number" if isinstance(value, float) else {str: "string", list: "array", dict: "object"}[type(value)]
+    kinds = schema.get("type")
+    if kinds and kind not in (wanted := [kinds] if isinstance(kinds, str) else kinds) and not (kind == "integer" and "number" in wanted):
+        yield f"{path}:type"
+    same = lambda x: _json.dumps(x, sort_keys=True) == _json.dumps(value, sort_keys=True)
+    if "enum" in schema and not any(map(same, schema["enum"])):
+        yield f"{path}:enum"
+    if "const" in schema and not same(schema["const"]):
+        yield f"{path}:const"
+    size = len(value) if isinstance(value, (str, list, dict)) else 0
+    bounds = {
+        "string": {"minLength": lambda v: size < v, "maxLength": lambda v: size > v, "pattern": lambda v: not re.search(v, value)},
+        "number": {"minimum": lambda v: value < v, "maximum": lambda v: value > v, "exclusiveMinimum": lambda v: value <= v, "exclusiveMaximum": lambda v: value >= v, "multipleOf": lambda v: value % v != 0},
+        "array": {"minItems": lambda v: size < v, "maxItems": lambda v: size > v}, "object": {"minProperties": lambda v: size < v, "maxProperties": lambda v: size > v},
+    }
+    yield from (f"{path}:{word}" for word, breaks in bounds.get("number" if kind == "integer" else kind, {}).items() if word in schema and breaks(schema[word]))
+    if kind == "string" and (form := dict(FORMATS).get(schema.get("format"))) and not re.search(form, value, re.IGNORECASE):
+        yield f"{path}:format"
+    if kind == "array":
+        if schema.get("uniqueItems") and len({_json.dumps(x, sort_keys=True) for x in value}) < size:
+            yield f"{path}:uniqueItems"
+        listed, rest = (schema["items"], schema.get("additionalItems", True)) if isinstance(schema.get("items"), list) else ([], schema.get("items", True))
+        for k, x in enumerate(value):
+            if k >= len(listed) and rest is False and listed:
+                yield f"{path}:additionalItems"
+                break
+            yield from _violations(listed[k] if k < len(listed) else rest, x, f"{path}[{k}]" if k < len(listed) else f"{path}[]", root)
+        if "contains" in schema and not any(ok(schema["contains"], x) for x in value):
+            yield f"{path}:contains"
+    if kind == "object":
+        properties, patterns = schema.get("properties", {}), schema.get("patternProperties", {})
+        yield from (f"{path}:required.{n}" for n in schema.get("required", []) if n not in value)
+        for name, sub in properties.items():
+            yield from _violations(sub, value[name], f"{path}.{name}", root) if name in value else ()
+        for pattern, sub in patterns.items():
+            for name in (n for n in value if re.search(pattern, n)):
+                yield from _violations(sub, value[name], f"{path}./{pattern}/", root)
+        others = [n for n in value if n not in properties and not any(re.search(p, n) for p in patterns)]
+        if schema.get("additionalProperties") is False and others:
+            yield f"{path}:additionalProperties"
+        elif isinstance(schema.get("additionalProperties"), dict):
+            for name in others:
+                yield from _violations(schema["additionalProperties"], value[name], f"{path}.*", root)
+        for name in value if "propertyNames" in schema else ():
+            yield from _violations(schema["propertyNames"], name, f"{path}:propertyNames", root)
+    for sub in schema.get("allOf", []):
+        yield from _violations(sub, value, path, root)
+    if "anyOf" in schema and not any(ok(sub, value) for sub in schema["anyOf"]):
+        yield f"{path}:anyOf"
+    if "oneOf" in schema and sum(ok(sub, value) for sub in schema["oneOf"]) != 1:
+        yield f"{path}:oneOf"
+    if "not" in schema and ok(schema["not"], value):
+        yield f"{path}:not"
+
+
 def validate(df: DataFrame, schema: dict, json: str = "json") -> DataFrame:
-    """the columns of df, is_valid, and errors: path and keyword of each violation, comma-joined in schema order.
+    """the columns of df, is_valid, and errors: path and keyword of each violation, each once, comma-joined in schema order.
 
-    The schema becomes one expression; recursive references are followed 20 levels deep. Text that is no JSON is one error.
+    The schema becomes one expression over the text as VARIANT, so JSON types are told apart as they are written ("42" is a
+    string). A schema that refers to itself, to any depth, is followed in Arrow batches instead. Text that is no JSON, or null, is one error.
     """
-    doc = F.col(json)
-    parsed = F.coalesce(F.get_json_object(doc, "$"), F.when(F.trim(doc) == "null", "null"))
-    found = F.array_compact(F.array(*(F.when(bad, name) for bad, name in _violations(schema, doc, "$", schema)), F.lit(None).cast("string")))
-    errors = F.when(parsed.isNull(), F.array(F.lit("$:json"))).otherwise(found)
-    return df.withColumn("errors", F.array_join(errors, ",")).withColumn("is_valid", F.col("errors") == "")
+    try:
+        checks = _checks(schema, "$", schema)
+    except _Recursive:
+
+        @F.pandas_udf("array<string>")
+        def walked(texts):
+            def errors(text):
+                try:
+                    return list(dict.fromkeys(_violations(schema, _json.loads(text), "$", schema)))
+                except (ValueError, TypeError):
+                    return ["$:json"]
+
+            return texts.map(errors, na_action=None)
+
+        found = walked(json)
+    else:
+        v = F.col("_v")
+        names = F.array_distinct(F.array_compact(F.array(*(F.when(check(v), name) for check, name in checks), F.lit(None).cast("string"))))
+        df, found = df.withColumn("_v", F.try_parse_json(json)), F.when(v.isNull(), F.array(F.lit("$:json"))).otherwise(names)
+    return df.withColumn("errors", F.array_join(found, ",")).withColumn("is_valid", F.col("errors") == "").drop("_v")
 
 
 _TYPES = {T.StringType: "string", T.BooleanType: "boolean", T.ByteType: "integer", T.ShortType: "integer", T.IntegerType: "integer", T.LongType: "integer", T.FloatType: "number", T.DoubleType: "number", T.DecimalType: "number"}
@@ -218,6 +364,22 @@ def avro_problems(schema: object, path: str = "$") -> list[str]:
     return out
 
 
+def avro_validation(df: DataFrame, avro: str = "avro") -> DataFrame:
+    """F13 over rows of schemas: problems, comma-joined, and is_valid."""
+
+    @F.pandas_udf("string")
+    def found(texts):
+        def one(text):
+            try:
+                return ",".join(avro_problems(_json.loads(text)))
+            except (ValueError, TypeError):
+                return "$: no JSON"
+
+        return texts.map(one, na_action=None)
+
+    return df.withColumn("problems", found(avro)).withColumn("is_valid", F.col("problems") == "")
+
+
 def proto_fields(df: DataFrame, proto: str = "proto") -> DataFrame:
     """message_name, field_number, field_name, field_type, label, of the top-level messages in a column of protobuf text."""
     clean = F.regexp_replace(F.regexp_replace(proto, r"//[^\n]*", ""), r"(?s)/\*.*?\*/", "")

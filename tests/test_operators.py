@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylens.operators import anomaly, calculators, graph, history, schema, slo, stats, text, tracing, trend, web
+from quarrylens.operators import anomaly, calculators, graph, history, quality, schema, slo, stats, text, tracing, trend, web
 from quarrylens.sources import readers
 
 SPAN = "trace_id string, span_id string, parent_span_id string, seq long, service_name string, operation_name string, is_error boolean, start_ns long, end_ns long, duration_ms double"
@@ -159,6 +159,70 @@ def test_json_schema(spark):
     assert got == ["", "$.a:minimum", "$:required.a,$.b:enum", "$:additionalProperties", "$.a:type", "$.c:maxItems,$.c:uniqueItems", "$:json"]
 
 
+def test_json_types_and_nesting(spark):
+    s = {
+        "properties": {"a": {"type": "string"}, "n": {"type": "integer"}, "l": {"items": {"type": "integer"}, "contains": {"minimum": 5}}, "t": {"items": [{"type": "integer"}, {"type": "string"}], "additionalItems": False}},
+        "patternProperties": {"^x_": {"type": "boolean"}}, "propertyNames": {"maxLength": 3}, "additionalProperties": {"type": "null"}, "not": {"required": ["bad"]}, "oneOf": [{"required": ["a"]}, {"required": ["n"]}],
+    }
+    rows = {
+        '{"a": "42"}': "", '{"a": 42}': "$.a:type", '{"n": "42"}': "$.n:type", '{"n": 4.5}': "$.n:type", '{"a": "", "l": [1, 7]}': "", '{"a": "", "l": [1, "x"]}': "$.l[]:type", '{"a": "", "t": [1, 2, 3]}': "$.t:additionalItems,$.t[1]:type",
+        '{"a": "", "x_1": true}': "", '{"a": "", "x_1": 1}': "$./^x_/:type", '{"a": "", "long": null}': "$:propertyNames:maxLength", '{"a": "", "q": 1}': "$.*:type", '{"a": "", "n": 1}': "$:oneOf", '{"n": 1, "bad": null}': "$:not", '[1]': "$:oneOf,$:not", "": "$:json",
+    }
+    frame = spark.createDataFrame([(r,) for r in (*rows, None)], "json string")
+    got = {r.json: set(r.errors.split(",")) for r in schema.validate(frame, s).collect()}
+    assert got == {k: set(v.split(",")) for k, v in rows.items()} | {None: {"$:json"}}
+    # The same rules on parsed values, which schemas that refer to themselves take.
+    again = schema.validate(frame, {"allOf": [s], "definitions": {"node": {"properties": {"next": {"$ref": "#/definitions/node"}}}}, "$defs": {}} | {"properties": {"next": {"$ref": "#/definitions/node"}}})
+    assert {r.json: set(r.errors.split(",")) for r in again.collect()} == got
+
+
+def test_json_schema_that_refers_to_itself(spark):
+    s = {"$ref": "#/definitions/node", "definitions": {"node": {"type": "object", "required": ["v"], "properties": {"v": {"type": "integer"}, "next": {"$ref": "#/definitions/node"}}}}}
+    deep = '{"v": 1, "next": ' * 60 + '{"v": "x"}' + "}" * 60
+    got = [r.errors for r in schema.validate(spark.createDataFrame([(deep,), ('{"v": 1, "next": {"v": 2}}',), ('{"next": {}}',), ("no json",), (None,)], "json string"), s).collect()]
+    assert got == ["$" + ".next" * 60 + ".v:type", "", "$:required.v,$.next:required.v", "$:json", "$:json"]
+
+
+def test_json_profile_by_type(spark):
+    rows = [('{"k": "42", "l": [1, [true]], "o": {"d": 2}}',), ('{"k": 42, "o": {}}',), ('{"k": null}',), ("no json",), (None,)]
+    got = {r.path: (r.presence_count, r.types, r.required) for r in text.json_profile(spark.createDataFrame(rows, "j string"), "j").collect()}
+    assert got == {
+        "$": (3, "object", True), "$.k": (3, "integer,null,string", True), "$.l": (1, "array", False), "$.l[]": (2, "array,integer", False), "$.l[][]": (1, "boolean", False), "$.o": (2, "object", False), "$.o.d": (1, "integer", False),
+    }
+
+
+def test_rules_anchored_at_lines(spark):
+    rules = [{"rule_id": "todo", "pattern": "^TODO", "severity": "low", "cwe": "x"}, {"rule_id": "end", "pattern": ";$", "severity": "low", "cwe": "x"}]
+    docs = spark.createDataFrame([(1, "first\nTODO second\nthird;\nlast"), (2, "a TODO"), (3, None)], "id long, text string")
+    assert sorted((r.id, r.line_number, r.rule_id) for r in text.scan_rules(docs, "id", rules).collect()) == [(1, 2, "todo"), (1, 3, "end")]
+
+
+def test_code_metrics(spark):
+    source = """
+class Base:
+    def one(self):
+        return self.x
+
+class Child(Base):
+    def two(self, n):
+        \"\"\"A word.\"\"\"
+        for i in range(n):
+            if i and self.y or n:
+                while i:
+                    break
+        return [k for k in n if k]
+
+    def three(self):
+        return self.z
+"""
+    frame = spark.createDataFrame([("a.py", source), ("bad.py", "def"), ("none.py", None)], "path string, text string")
+    got = {r.name: (r.cyclomatic, r.cognitive, r.loc) for r in quality.function_metrics(frame).collect()}
+    # for 1, if 2, while 3, break 4, comprehension 1
+    assert got == {"one": (1, 0, 2), "two": (8, 11, 7), "three": (1, 0, 2)}
+    classes = {r.class_name: r for r in quality.class_metrics(quality.class_rows(frame)).collect()}
+    assert (classes["Child"].dit, classes["Base"].noc, classes["Child"].lcom_ck, classes["Child"].wmc) == (1, 1, 1.0, 9)
+
+
 def test_avro_and_proto(spark):
     old = {"type": "record", "name": "R", "fields": [{"name": "a", "type": "int"}]}
     new = {"type": "record", "name": "R", "fields": [{"name": "a", "type": "long"}, {"name": "b", "type": ["null", "string"], "default": None}]}
