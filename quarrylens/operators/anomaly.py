@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from quarrylens.functions.numeric import change_percent_abs, nonzero_ratio, steps
+from quarrylens.operators.quantiles import grouped
 
 Z, IQR, MIN_SAMPLES = 3.0, 1.5, 10
 SIGNIFICANT, HIGH, CRITICAL, COMPARE_Z = 10.0, 25.0, 50.0, 2.0
@@ -32,8 +33,10 @@ def severity_from_change(change: Column) -> Column:
     return steps(F.abs(change), [(CRITICAL, "critical"), (HIGH, "high"), (SIGNIFICANT, "medium"), (SIGNIFICANT / 2, "low")], "info")
 
 
-def _stats(df: DataFrame, keys: list[str], value: str, *aggregates: Column) -> DataFrame:
-    return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(*aggregates)
+def _stats(df: DataFrame, keys: list[str], value: str, *aggregates: Column, percentiles: tuple[float, ...] = ()) -> DataFrame:
+    """The aggregates, and _p if percentiles are asked for."""
+    rows = df.where(F.col(value).isNotNull())
+    return grouped(rows, keys, F.col(value).cast("double"), list(percentiles), list(aggregates)) if percentiles else rows.groupBy(*keys).agg(*aggregates)
 
 
 def _found(df: DataFrame, keys: list[str], ts: str, seq: str, value: str, expected: str, method: str, kind: Column, severity: Column, confidence: Column, z: Column) -> DataFrame:
@@ -54,9 +57,8 @@ def detect_zscore(df: DataFrame, keys: list[str], ts: str, seq: str, value: str
 
 def detect_iqr(df: DataFrame, keys: list[str], ts: str, seq: str, value: str = "value", multiplier: float = IQR, least: int = MIN_SAMPLES) -> DataFrame:
     """N3."""
-    q = F.percentile(F.col(value).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    stats = _stats(df, keys, value, q.alias("_q"), F.count("*").alias("_n")).where(F.col("_n") >= least)
-    stats = stats.select(*keys, F.col("_q")[1].alias("_median"), (F.col("_q")[2] - F.col("_q")[0]).alias("_iqr"), F.col("_q")[0].alias("_q1"), F.col("_q")[2].alias("_q3"))
+    stats = _stats(df, keys, value, F.count("*").alias("_n"), percentiles=(0.25, 0.5, 0.75)).where(F.col("_n") >= least)
+    stats = stats.select(*keys, F.col("_p")[1].alias("_median"), (F.col("_p")[2] - F.col("_p")[0]).alias("_iqr"), F.col("_p")[0].alias("_q1"), F.col("_p")[2].alias("_q3"))
     stats = stats.withColumn("_lo", F.col("_q1") - multiplier * F.col("_iqr")).withColumn("_hi", F.col("_q3") + multiplier * F.col("_iqr"))
     v = F.col(value)
     out = df.join(stats, keys).where((v < F.col("_lo")) | (v > F.col("_hi")))
@@ -77,7 +79,7 @@ BASELINE = {"p5": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95, "p
 def baseline(df: DataFrame, keys: list[str], value: str = "value", multiplier: float = IQR) -> DataFrame:
     """N5, N6."""
     v = F.col(value).cast("double")
-    made = _stats(df, keys, value, F.count("*").alias("sample_count"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std_dev"), F.min(v).alias("min_value"), F.max(v).alias("max_value"), F.percentile(v, F.array(*map(F.lit, BASELINE.values()))).alias("_p"))
+    made = _stats(df, keys, value, F.count("*").alias("sample_count"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std_dev"), F.min(v).alias("min_value"), F.max(v).alias("max_value"), percentiles=tuple(BASELINE.values()))
     for k, name in enumerate(BASELINE):
         made = made.withColumn(name, F.col("_p")[k])
     made = made.withColumn("iqr", F.col("p75") - F.col("p25")).drop("_p")
@@ -144,7 +146,7 @@ def compare_to_baseline(df: DataFrame, base: DataFrame, keys: list[str], value:
     """A row for each baseline; one without current values has the status no_data."""
     rows = _with_baseline(df.where(F.col(value).isNotNull()), base, keys)
     odd = F.col("b_is_valid") & ((F.abs(_z_against(value)) >= z) | _outside(value))
-    now = rows.groupBy(*keys).agg(F.avg(value).alias("current_mean"), F.percentile(F.col(value).cast("double"), F.array(F.lit(0.5), F.lit(0.99))).alias("_p"), F.count("*").alias("_n"), F.count_if(odd).alias("_odd"))
+    now = grouped(rows, keys, F.col(value).cast("double"), [0.5, 0.99], [F.avg(value).alias("current_mean"), F.count("*").alias("_n"), F.count_if(odd).alias("_odd")])
     made = base.select(*keys, "mean", "median", "p99").join(now, keys, "left")
     made = made.withColumn("current_median", F.col("_p")[0]).withColumn("current_p99", F.col("_p")[1])
     made = made.select(

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrylens.functions.numeric import messages, none_if_zero, ratio, steps
-from quarrylens.operators.stats import summary_columns, with_percentiles
+from quarrylens.operators.stats import summary, with_percentiles
 
 MIB = 1024.0 * 1024.0
 
@@ -102,7 +102,7 @@ def capacity(current: Column, most: Column) -> tuple[Column, Column]:
 def latency_metrics(df: DataFrame, keys: list[str], order: str, value: str = "value", packet_loss: Column | None = None) -> DataFrame:
     """K1, K2: summary, jitter in order, status."""
     step = F.abs(F.col(value) - F.lag(value).over(W.partitionBy(*keys).orderBy(order)))
-    made = with_percentiles(df.where(F.col(value).isNotNull()).withColumn("_step", step).groupBy(*keys).agg(*summary_columns(value), F.coalesce(F.avg("_step"), F.lit(0.0)).alias("jitter"), F.max(packet_loss if packet_loss is not None else F.lit(None).cast("double")).alias("packet_loss_percent")))
+    made = with_percentiles(summary(df.where(F.col(value).isNotNull()).withColumn("_step", step), keys, value, F.coalesce(F.avg("_step"), F.lit(0.0)).alias("jitter"), F.max(packet_loss if packet_loss is not None else F.lit(None).cast("double")).alias("packet_loss_percent")))
     loss = F.coalesce("packet_loss_percent", F.lit(0.0))
     made = made.withColumn("status", F.when(loss > 5, "poor").when(F.col("p95") <= 50, "good").when(F.col("p95") <= 100, "acceptable").otherwise("poor"))
     return made.withColumn("recommendations", codes((F.col("p95") > 100, "high latency"), (F.col("jitter") > 20, "high jitter"), (loss > 1, "packet loss")))

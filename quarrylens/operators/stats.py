@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrylens.functions.numeric import change_percent_signed, messages, none_if_zero, ratio
+from quarrylens.operators.quantiles import grouped
 
 PERCENTILES = {"p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99, "p999": 0.999}
 BUCKETS = (10, 25, 50, 100, 250, 500, 1000, 2500, 5000, 10000)
@@ -14,13 +15,11 @@ APDEX_T = 500.0
 RATINGS = ((0.94, "Excellent"), (0.85, "Good"), (0.70, "Fair"), (0.50, "Poor"))
 
 
-def summary_columns(value: str = "value") -> list[Column]:
-    """Aggregates: sample_count, min, max, mean, median, std_dev, and one array of all percentiles (a single pass over the values)."""
+def summary(df: DataFrame, keys: list[str], value: str = "value", *more: Column) -> DataFrame:
+    """sample_count, min, max, mean, std_dev, more, and _p: one array of all percentiles (a single pass over groups that fit)."""
     v = F.col(value).cast("double")
-    return [
-        F.count(v).alias("sample_count"), F.min(v).alias("min_value"), F.max(v).alias("max_value"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std_dev"),
-        F.percentile(v, F.array(*map(F.lit, PERCENTILES.values()))).alias("_p"),
-    ]
+    each = [F.count(v).alias("sample_count"), F.min(v).alias("min_value"), F.max(v).alias("max_value"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std_dev"), *more]
+    return grouped(df.where(F.col(value).isNotNull()), keys, v, list(PERCENTILES.values()), each)
 
 
 def with_percentiles(df: DataFrame) -> DataFrame:
@@ -31,21 +30,21 @@ def with_percentiles(df: DataFrame) -> DataFrame:
 
 def percentile_summary(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """A1: count, min, max, mean, median, sigma and percentiles of each group. Null values do not count; empty groups have no row."""
-    return with_percentiles(df.where(F.col(value).isNotNull()).groupBy(*keys).agg(*summary_columns(value)))
+    return with_percentiles(summary(df, keys, value))
 
 
 def single_percentile(df: DataFrame, keys: list[str], percentile: float, value: str = "value") -> DataFrame:
     """A2."""
     if not 0 <= percentile <= 100:
         raise ValueError(f"a percentile lies between 0 and 100: {percentile}")
-    return df.groupBy(*keys).agg(F.percentile(F.col(value).cast("double"), F.lit(percentile / 100)).alias("percentile_value"))
+    return grouped(df, keys, F.col(value).cast("double"), [percentile / 100], []).select(*keys, F.col("_p")[0].alias("percentile_value"))
 
 
 def custom_percentiles(df: DataFrame, keys: list[str], percentiles: list[float], value: str = "value") -> DataFrame:
     """A3, in long form: percentile, percentile_value."""
     names = F.array(*(F.lit(float(p)) for p in percentiles))
-    got = df.groupBy(*keys).agg(F.percentile(F.col(value).cast("double"), F.array(*(F.lit(p / 100) for p in percentiles))).alias("_v"))
-    return got.select(*keys, F.explode(F.arrays_zip(names.alias("percentile"), F.col("_v").alias("percentile_value"))).alias("_x")).select(*keys, "_x.*")
+    got = grouped(df, keys, F.col(value).cast("double"), [p / 100 for p in percentiles], [])
+    return got.select(*keys, F.explode(F.arrays_zip(names.alias("percentile"), F.col("_p").alias("percentile_value"))).alias("_x")).select(*keys, "_x.*")
 
 
 def bucket_labels(buckets=BUCKETS) -> list[str]:
@@ -115,12 +114,8 @@ def sla_check(
 ) -> DataFrame:
     """Percentile against threshold, availability and error rate of each group; status and the kinds of violation."""
     v = F.col(value).cast("double")
-    made = df.where(v.isNotNull()).groupBy(*keys).agg(
-        F.percentile(v, F.lit(percentile / 100)).alias("percentile_value"),
-        F.count("*").alias("total_requests"),
-        (F.count_if(is_error) if is_error is not None else F.lit(0).cast("long")).alias("error_count"),
-        (F.sum(downtime) if downtime is not None else F.lit(0)).alias("_down"),
-    )
+    counts = [F.count("*").alias("total_requests"), (F.count_if(is_error) if is_error is not None else F.lit(0).cast("long")).alias("error_count"), (F.sum(downtime) if downtime is not None else F.lit(0)).alias("_down")]
+    made = grouped(df.where(v.isNotNull()), keys, v, [percentile / 100], counts).withColumn("percentile_value", F.col("_p")[0]).drop("_p")
     available = F.lit(100.0) * (total_seconds - F.col("_down")) / total_seconds if total_seconds else F.lit(None).cast("double")
     made = made.withColumn("margin_percent", (F.lit(threshold) - F.col("percentile_value")) / threshold * 100).withColumn("availability", available).withColumn("error_rate", ratio(100 * F.col("error_count"), "total_requests", None))
     slow, down, wrong = F.col("percentile_value") > threshold, F.coalesce(F.col("availability") < availability_target, F.lit(False)), F.coalesce(F.col("error_rate") > error_rate_limit, F.lit(False))
@@ -137,15 +132,15 @@ def compliance_rate(results: DataFrame, keys: list[str] | None = None) -> DataFr
 
 def window_aggregate(df: DataFrame, keys: list[str], ts: str = "ts", value: str = "value", seconds: int = 60) -> DataFrame:
     """A12 over windows that start at multiples of their length: count, sum, mean, min, max, percentiles, throughput."""
-    made = df.where(F.col(value).isNotNull()).groupBy(*keys, F.window(F.col(ts).cast("timestamp"), f"{seconds} seconds").alias("_w")).agg(*summary_columns(value), F.sum(value).alias("sum_value"))
-    return with_percentiles(made).withColumn("window_start", F.col("_w.start").cast("timestamp_ntz")).withColumn("throughput", F.col("sample_count") / F.lit(float(seconds))).drop("_w")
+    placed = df.withColumn("window_start", F.window(F.col(ts).cast("timestamp"), f"{seconds} seconds")["start"].cast("timestamp_ntz"))
+    return with_percentiles(summary(placed, [*keys, "window_start"], value, F.sum(value).alias("sum_value"))).withColumn("throughput", F.col("sample_count") / F.lit(float(seconds)))
 
 
 def anchored_windows(df: DataFrame, keys: list[str], ts: str = "ts", value: str = "value", seconds: int = 60) -> DataFrame:
     """Windows that start at a group's first sample, and after that at the first sample past the window's end.
 
     The start of each window depends on all before it, so a group is folded in order. Rows are first cut into runs at gaps of
-    a window or more, where a window starts in any case; only a run is gathered in one place.
+    a window or more, where a window starts in any case; only the times of a run are gathered in one place, to find the starts.
     """
     t = F.unix_micros(F.col(ts).cast("timestamp"))
     size = seconds * 1_000_000
@@ -153,20 +148,19 @@ def anchored_windows(df: DataFrame, keys: list[str], ts: str = "ts", value: str
     rows = df.where(F.col(value).isNotNull() & F.col(ts).isNotNull()).select(*keys, t.alias("_t"), F.col(value).cast("double").alias("_v"))
     gap = F.coalesce((F.col("_t") - F.lag("_t").over(order) >= size).cast("int"), F.lit(1))
     runs = rows.withColumn("_run", F.sum(gap).over(order))
-    folded = runs.groupBy(*keys, "_run").agg(F.array_sort(F.collect_list(F.struct("_t", "_v"))).alias("_rows"))
+    folded = runs.groupBy(*keys, "_run").agg(F.array_sort(F.collect_list("_t")).alias("_rows"))
     start = F.aggregate(
         "_rows",
         F.struct(F.lit(None).cast("long").alias("at"), F.array().cast("array<long>").alias("starts")),
-        lambda acc, x: F.when(acc["at"].isNull() | (x["_t"] >= acc["at"] + size), F.struct(x["_t"].alias("at"), F.array_append(acc["starts"], x["_t"]).alias("starts"))).otherwise(acc),
+        lambda acc, x: F.when(acc["at"].isNull() | (x >= acc["at"] + size), F.struct(x.alias("at"), F.array_append(acc["starts"], x).alias("starts"))).otherwise(acc),
     )["starts"]
-    each = folded.select(*keys, "_rows", F.explode(start).alias("_start")).select(
-        *keys, "_start", F.transform(F.filter("_rows", lambda x: (x["_t"] >= F.col("_start")) & (x["_t"] < F.col("_start") + size)), lambda x: x["_v"]).alias("_vs")
-    )
-    total = F.aggregate("_vs", F.lit(0.0), lambda a, x: a + x)
-    return each.select(
-        *keys, F.timestamp_micros("_start").cast("timestamp_ntz").alias("window_start"), F.size("_vs").cast("long").alias("sample_count"), total.alias("sum_value"),
-        (total / F.size("_vs")).alias("mean"), F.array_min("_vs").alias("min_value"), F.array_max("_vs").alias("max_value"), (F.size("_vs") / F.lit(float(seconds))).alias("throughput"),
-    )
+    # Starts and rows in one order: each row takes the last start before it.
+    starts = folded.select(*keys, "_run", F.explode(start).alias("_t")).withColumn("_v", F.lit(None).cast("double")).withColumn("_start", F.col("_t"))
+    both = starts.unionByName(runs.select(*keys, "_run", "_t", "_v", F.lit(None).cast("long").alias("_start")))
+    before = W.partitionBy(*keys, "_run").orderBy("_t", F.col("_start").isNull()).rowsBetween(W.unboundedPreceding, 0)
+    placed = both.withColumn("_at", F.last("_start", ignorenulls=True).over(before)).where("_start is null")
+    made = placed.groupBy(*keys, "_at").agg(F.count("*").alias("sample_count"), F.sum("_v").alias("sum_value"), F.avg("_v").alias("mean"), F.min("_v").alias("min_value"), F.max("_v").alias("max_value"))
+    return made.withColumn("window_start", F.timestamp_micros("_at").cast("timestamp_ntz")).withColumn("throughput", F.col("sample_count") / F.lit(float(seconds))).drop("_at")
 
 
 def throughput(count: Column, seconds: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from quarrylens.functions.numeric import ratio
+from quarrylens.operators.quantiles import grouped
 
 SLOW_SPAN_MS, SLOW_TRACE_MS = 100.0, 1000.0
 
@@ -37,9 +38,8 @@ def span_statistics(spans: DataFrame, keys: list[str] | None = None) -> DataFram
     """Count, total, mean, range, sigma and percentiles; over no spans zeros."""
     d, p = F.col("duration_ms"), {"p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    made = spans.groupBy(*(keys or [])).agg(
-        F.count("*").alias("span_count"), zero(F.sum(d)).alias("total_ms"), zero(F.avg(d)).alias("mean_ms"), zero(F.min(d)).alias("min_ms"), zero(F.max(d)).alias("max_ms"), zero(F.stddev_pop(d)).alias("std_dev_ms"), F.percentile(d, F.array(*map(F.lit, p.values()))).alias("_p")
-    )
+    each = [F.count("*").alias("span_count"), zero(F.sum(d)).alias("total_ms"), zero(F.avg(d)).alias("mean_ms"), zero(F.min(d)).alias("min_ms"), zero(F.max(d)).alias("max_ms"), zero(F.stddev_pop(d)).alias("std_dev_ms")]
+    made = grouped(spans, keys or [], d, list(p.values()), each)
     for k, n in enumerate(p):
         made = made.withColumn(n, zero(F.col("_p")[k]))
     return made.drop("_p")

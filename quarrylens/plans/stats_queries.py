@@ -45,7 +45,7 @@ def a05(s, d):
 def a05_hourly(s, d):
     """Apdex and percentiles of each event type in each hour, in one aggregation."""
     events = t(s, d, "events").where(F.col("value").isNotNull())
-    made = events.groupBy("event_type", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(*stats.summary_columns(), *stats.apdex_columns(threshold=100.0))
+    made = stats.summary(events.withColumn("hour", F.date_trunc("hour", "ts").cast("timestamp_ntz")), ["event_type", "hour"], "value", *stats.apdex_columns(threshold=100.0))
     return rounded(stats.with_apdex(stats.with_percentiles(made)))
 
 

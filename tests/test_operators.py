@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylens.operators import anomaly, calculators, graph, history, quality, schema, slo, stats, text, tracing, trend, web
+from quarrylens.operators import anomaly, calculators, graph, history, quality, quantiles, schema, slo, stats, text, tracing, trend, web
 from quarrylens.sources import readers
 
 SPAN = "trace_id string, span_id string, parent_span_id string, seq long, service_name string, operation_name string, is_error boolean, start_ns long, end_ns long, duration_ms double"
@@ -223,6 +223,18 @@ class Child(Base):
     assert (classes["Child"].dit, classes["Base"].noc, classes["Child"].lcom_ck, classes["Child"].wmc) == (1, 1, 1.0, 9)
 
 
+def test_percentiles_by_brackets(spark):
+    """The way of groups that are too large for a buffer gives the numbers of the other: ties, constants, few values, nulls, no keys."""
+    x = F.pmod(F.xxhash64("id"), F.lit(1_000_003)).cast("double") / 7
+    rows = spark.range(150_000).select(F.when(F.col("id") % 10 > 0, "a").when(F.col("id") % 20 == 0, "b").otherwise(F.lit(None)).alias("g"), F.when(F.col("id") % 3 == 0, F.lit(4.0)).when(F.col("id") % 50 == 0, None).otherwise(x).alias("v"))
+    rows = rows.unionByName(spark.createDataFrame([("few", 1.0), ("few", 3.0), ("null", None), ("one", -2.5)], "g string, v double"))
+    qs = [0.0, 0.001, 0.25, 0.5, 0.95, 0.999, 1.0]
+    for keys in (["g"], []):
+        plain = {tuple(r[:-1]): r[-1] for r in quantiles.grouped(rows, keys, F.col("v"), qs, [F.count("*").alias("n")]).collect()}
+        other = {tuple(r[:-1]): r[-1] for r in quantiles.grouped(rows, keys, F.col("v"), qs, [F.count("*").alias("n")], buffer_rows=10).collect()}
+        assert plain.keys() == other.keys() and all(other[k] == (None if plain[k] is None else pytest.approx(plain[k], rel=1e-12)) for k in plain)
+
+
 def test_avro_and_proto(spark):
     old = {"type": "record", "name": "R", "fields": [{"name": "a", "type": "int"}]}
     new = {"type": "record", "name": "R", "fields": [{"name": "a", "type": "long"}, {"name": "b", "type": ["null", "string"], "default": None}]}
