@@ -11,6 +11,7 @@ from pyspark.sql.types import DoubleType
 
 from quarrylens.functions.numeric import change_percent_abs, nonzero_ratio, steps
 from quarrylens.operators.quantiles import grouped
+from quarrylens.operators.series import numbered, with_totals
 
 Z, IQR, MIN_SAMPLES = 3.0, 1.5, 10
 SIGNIFICANT, HIGH, CRITICAL, COMPARE_Z = 10.0, 25.0, 50.0, 2.0
@@ -73,6 +74,8 @@ def detect(df: DataFrame, keys: list[str], ts: str, seq: str, value: str = "valu
     return both.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
 
 
+#: Rows of a series whose windows are made in one task.
+STRETCH = 200_000
 BASELINE = {"p5": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
 
 
@@ -114,13 +117,17 @@ def detect_with_baseline(df: DataFrame, base: DataFrame, keys: list[str], ts: st
 
 def change_points(df: DataFrame, keys: list[str], order: str, value: str = "value", window: int = 10, threshold: float = Z) -> DataFrame:
     """Places where the means of the windows before and after differ by the threshold in pooled sigmas."""
-    series = W.partitionBy(*keys).orderBy(order)
-    before, after = series.rowsBetween(-window, -1), series.rowsBetween(0, window - 1)
     v = F.col(value).cast("double")
-    rows = df.where(v.isNotNull()).select(
-        *keys, order, (F.row_number().over(series) - 1).cast("long").alias("index"), F.count("*").over(W.partitionBy(*keys)).alias("_n"),
-        F.avg(v).over(before).alias("_mb"), F.avg(v).over(after).alias("_ma"), F.var_pop(v).over(before).alias("_vb"), F.var_pop(v).over(after).alias("_va"),
-    )
+    rows = with_totals(df.where(v.isNotNull()).select(*keys, order, v.alias("_v")), keys, F.count("*").alias("_n"))
+    rows = numbered(rows, keys, order, "index")
+    # Windows reach over the ends of a stretch of rows, so each stretch also gets the rows next to it.
+    of = lambda c: F.floor(c / STRETCH)
+    index = F.col("index")
+    rows = rows.withColumn("_stretch", F.explode(F.sequence(of(F.greatest(index - window + 1, F.lit(0))), of(index + window))))
+    series = W.partitionBy(*keys, "_stretch").orderBy("index")
+    before, after = series.rowsBetween(-window, -1), series.rowsBetween(0, window - 1)
+    rows = rows.select(*keys, order, "index", "_n", "_stretch", F.avg("_v").over(before).alias("_mb"), F.avg("_v").over(after).alias("_ma"), F.var_pop("_v").over(before).alias("_vb"), F.var_pop("_v").over(after).alias("_va"))
+    rows = rows.where(F.col("_stretch") == of(index)).drop("_stretch")
     pooled = F.sqrt((F.col("_vb") + F.col("_va")) / 2)
     inside = rows.where((F.col("index") >= window) & (F.col("index") < F.col("_n") - window) & (F.col("_n") >= 2 * window)).withColumn("magnitude", F.when(pooled > 0, F.abs(F.col("_ma") - F.col("_mb")) / pooled))
     return inside.where(F.col("magnitude") >= threshold).select(*keys, order, "index", "magnitude")

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quarrylens.operators.series import estimated_bytes
+
 #: Rows of the largest group up to which its distinct values are kept in one buffer, groups that may be broadcast for a join.
 BUFFER_ROWS, BROADCAST_GROUPS = 20_000_000, 100_000
 ACCURACY, MARGIN = 10_000, 3
@@ -23,8 +25,7 @@ def grouped(df: DataFrame, keys: list[str], value: Column, percentiles: list[flo
 
     Rows are counted only if the plan's own estimate of its size leaves it open that a group is large.
     """
-    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    large = estimate > buffer_rows and df.count() > buffer_rows and (df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) > buffer_rows
+    large = estimated_bytes(df) > buffer_rows and df.count() > buffer_rows and (df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) > buffer_rows
     if not large:
         return df.groupBy(*keys).agg(*aggregates, F.percentile(value, F.array(*map(F.lit, percentiles))).alias("_p"))
     found = refined(df, keys, value, percentiles)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quarrylens.functions.numeric import change_percent_start, messages, nonzero_ratio
 from quarrylens.operators.anomaly import change_points
+from quarrylens.operators.series import numbered
 from quarrylens.operators.stats import guarded_r2
 
 LATENCY_WORDS = "latency|duration|time|delay|response"
@@ -47,8 +48,8 @@ def time_trend(df: DataFrame, keys: list[str], ts: str = "ts", value: str = "val
 
 def with_synthetic_time(df: DataFrame, keys: list[str], order: str, start: str, interval_seconds: float = 60.0) -> DataFrame:
     """T5: ts for values that only have an order."""
-    n = F.row_number().over(W.partitionBy(*keys).orderBy(order)) - 1
-    return df.withColumn("ts", F.timestamp_micros((F.unix_micros(F.lit(start).cast("timestamp")) + n * int(interval_seconds * 1e6)).cast("long")).cast("timestamp_ntz"))
+    n = F.col("_place")
+    return numbered(df, keys, order, "_place").withColumn("ts", F.timestamp_micros((F.unix_micros(F.lit(start).cast("timestamp")) + n * int(interval_seconds * 1e6)).cast("long")).cast("timestamp_ntz")).drop("_place")
 
 
 def time_change_points(df: DataFrame, keys: list[str], ts: str, value: str = "value", window: int = 10, threshold: float = 2.0) -> DataFrame:
@@ -127,10 +128,10 @@ def holt_forecast(df: DataFrame, keys: list[str], ts: str = "ts", value: str = "
 
 def moving_average_forecast(df: DataFrame, keys: list[str], ts: str = "ts", value: str = "value", periods: int = 7, confidence: float = 0.95, least: int = 10, window: int = 7) -> DataFrame:
     """The mean of the last points, flat."""
-    recent = F.row_number().over(W.partitionBy(*keys).orderBy(F.col("_us").desc())) <= window
-    rows = _training(df, keys, ts, value).withColumn("_recent", recent)
-    last = F.when(F.col("_recent"), F.col("_y"))
-    made = rows.groupBy(*keys).agg(*_common(), F.avg(last).alias("_avg"), F.stddev_pop(last).alias("_sd"), F.avg("_y").alias("_my"), F.var_pop("_y").alias("_vy")).where(F.col("training_points") >= least).join(intervals(df, keys, ts), keys)
+    rows = _training(df, keys, ts, value)
+    recent = rows.withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy(F.col("_us").desc()))).where(F.col("_rank") <= window)  # partitions keep their last rows only, before they are shuffled
+    last = recent.groupBy(*keys).agg(F.avg("_y").alias("_avg"), F.stddev_pop("_y").alias("_sd"))
+    made = rows.groupBy(*keys).agg(*_common(), F.avg("_y").alias("_my"), F.var_pop("_y").alias("_vy")).where(F.col("training_points") >= least).join(last, keys).join(intervals(df, keys, ts), keys)
     around = F.col("_vy") + F.pow(F.col("_my") - F.col("_avg"), 2)
     made = made.withColumn("model_fit", F.when(around > 0, F.greatest(F.lit(0.0), 1 - F.col("_sd") * F.col("_sd") / around)).otherwise(0.0))
     return _points(made, keys, periods, F.col("_avg"), _t_value(confidence) * F.col("_sd") * F.sqrt(1 + F.col("step") * 0.05))

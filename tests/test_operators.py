@@ -235,6 +235,28 @@ def test_percentiles_by_brackets(spark):
         assert plain.keys() == other.keys() and all(other[k] == (None if plain[k] is None else pytest.approx(plain[k], rel=1e-12)) for k in plain)
 
 
+def test_long_series_in_parts(spark, monkeypatch):
+    """Series that are cut into parts of their range get the same places and change points."""
+    from quarrylens.operators import series as long_series
+
+    x = F.pmod(F.xxhash64("id"), F.lit(977))
+    rows = spark.range(3_000).select((F.col("id") % 3).alias("g"), F.timestamp_seconds(F.col("id") * x).cast("timestamp_ntz").alias("ts"), (x + F.when(F.col("id") > 1500, 900).otherwise(0)).cast("double").alias("value"), "id")
+    rows = rows.dropDuplicates(["g", "ts"]).unionByName(spark.createDataFrame([(9, None, 1.0, -1), (None, None, 1.0, -2)], "g long, ts timestamp_ntz, value double, id long"))
+    rows = rows.cache()
+
+    def found():
+        return (
+            sorted((r.id, r.place) for r in long_series.numbered(rows, ["g"], "ts", "place").collect()),
+            sorted((r.g, r["index"], round(r.magnitude, 6)) for r in anomaly.change_points(rows.where("g is not null"), ["g"], "ts", threshold=0.8).collect()),
+            sorted((repr(r.g), round(r.slope, 9), r.data_points) for r in stats.index_trend(rows, ["g"], "ts").collect()),
+        )
+
+    whole = found()
+    monkeypatch.setattr(long_series, "ORDERED_BYTES", -1)
+    monkeypatch.setattr(anomaly, "STRETCH", 25)
+    assert found() == whole and len(whole[1]) > 3
+
+
 def test_avro_and_proto(spark):
     old = {"type": "record", "name": "R", "fields": [{"name": "a", "type": "int"}]}
     new = {"type": "record", "name": "R", "fields": [{"name": "a", "type": "long"}, {"name": "b", "type": ["null", "string"], "default": None}]}
