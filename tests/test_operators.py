@@ -1,5 +1,7 @@
 """Hand-worked cases of the operators: empty groups, constants, ties, cycles, open ends."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -257,6 +259,24 @@ def test_long_series_in_parts(spark, monkeypatch):
     assert found() == whole and len(whole[1]) > 3
 
 
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test tables")
+def test_clone_families_against_plain_patterns(spark):
+    import hashlib
+    import re
+    from collections import defaultdict
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found = text.blocks(docs, "doc_id")
+    want = defaultdict(list)
+    for r in found.collect():
+        t = re.sub(r"\s+", " ", re.sub(r"([^\w\s])", r" \1 ", r.block)).strip(" ")
+        for pattern, put in ((r"\b[a-zA-Z_][a-zA-Z0-9_]*\b", "IDENT"), (r"\b\d+\.?\d*\b", "NUM"), ('"[^"]*"', "STR"), ("'[^']*'", "STR"), ("#.*$", ""), ("//.*$", ""), (r"\s+", "")):
+            t = re.sub(pattern, put, t)
+        want[hashlib.md5(t.encode()).hexdigest()].append(r.doc_id)
+    got = {r.hash: (r.blocks, r.texts) for r in text.clone_families(found, "doc_id").collect()}
+    assert len(got) > 0 and got == {k: (len(v), len(set(v))) for k, v in want.items() if len(v) >= 2}
+
+
 def test_avro_and_proto(spark):
     old = {"type": "record", "name": "R", "fields": [{"name": "a", "type": "int"}]}
     new = {"type": "record", "name": "R", "fields": [{"name": "a", "type": "long"}, {"name": "b", "type": ["null", "string"], "default": None}]}
