@@ -1,7 +1,7 @@
 """Line dedup with a log-template tree.
 
 Each line of `MIN_TOKENS` words or more is parsed to a fixed depth: a leaf of the tree is named by the token count and the
-`DEPTH` leading tokens, tokens with a digit being a variable field. In leaves that enough documents reach, the other variable
+`DEPTH` leading tokens, tokens with a digit being a variable field. In leaves that `MIN_DOCS` documents reach, the other variable
 fields are generalised: a token that fewer than `MIN_DOCS` lines have at its position gives way to the commonest token of the
 leaf there, if at least `SIMILARITY` of the line's tokens stay. The outcome is the line's template. A template that recurs is
 dropped from every document but the one with the least doc_id, which keeps its lines. It recurs if `MIN_DOCS` documents hold
@@ -62,12 +62,8 @@ def needed(is_long: Column) -> Column:
     return F.when(is_long, F.lit(LONG_DOCS)).otherwise(F.lit(MIN_DOCS))
 
 
-def is_long(mask: Column) -> Column:
-    return F.size(F.split(mask, " ")) >= LONG_TOKENS
-
-
 def reached_leaves(docs: DataFrame) -> DataFrame:
-    """leaf: the leaves that enough documents reach."""
+    """leaf, wide: the leaves that enough documents reach; do MIN_DOCS?"""
 
     def run(batch):
         ids, leaves, long_ = [], [], []
@@ -79,36 +75,50 @@ def reached_leaves(docs: DataFrame) -> DataFrame:
         return {"doc_id": ids, "leaf": leaves, "long": long_}
 
     pairs = map_batches(doc_input(docs), run, f"doc_id {dict(docs.dtypes)['doc_id']}, leaf long, long boolean")
-    return pairs.distinct().groupBy("leaf", "long").count().where(F.col("count") >= needed(F.col("long"))).select("leaf")
+    return pairs.distinct().groupBy("leaf", "long").count().where(F.col("count") >= needed(F.col("long"))).select("leaf", (F.col("count") >= MIN_DOCS).alias("wide"))
 
 
 def lines_in(docs: DataFrame, leaves: DataFrame) -> DataFrame:
-    """leaf, mh, mask, doc_id of the distinct lines of each document in leaves (materialised)."""
+    """leaf, mh, wide, long, mask (empty outside wide leaves, where nothing is generalised), doc_id of the distinct lines of each
+    document in leaves (materialised)."""
     few = leaves.count() <= ARRAY_ROWS
-    known = docs.sparkSession.sparkContext.broadcast(np.sort(leaves.toArrow().column("leaf").to_numpy())) if few else None  # its size has just been checked
+    known = None
+    if few:
+        found = leaves.toArrow()  # its size has just been checked
+        order = np.argsort(codes := found.column("leaf").to_numpy())
+        known = docs.sparkSession.sparkContext.broadcast((codes[order], np.array(found.column("wide").to_pylist(), bool)[order]))
 
     def run(batch):
-        out = {k: [] for k in ("leaf", "mh", "mask", "doc_id")}
+        out = {k: [] for k in ("leaf", "mh", "wide", "long", "mask", "doc_id")}
         for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
             rows = list({p[:2]: p for p in parsed_lines(text)}.values())
+            wide = [True] * len(rows)
             if known is not None and rows:
-                at = np.searchsorted(known.value, mine := np.array([r[0] for r in rows]))
-                inside = known.value[np.minimum(at, len(known.value) - 1)] == mine if len(known.value) else np.zeros(len(rows), bool)
-                rows = [r for r, x in zip(rows, inside.tolist(), strict=True) if x]
-            for k, i in (("leaf", 0), ("mh", 1), ("mask", 2)):
-                out[k].extend(r[i] for r in rows)
+                codes, flags = known.value
+                at = np.minimum(np.searchsorted(codes, mine := np.array([r[0] for r in rows])), max(len(codes) - 1, 0))
+                inside = np.flatnonzero(codes[at] == mine).tolist() if len(codes) else []
+                rows, wide = [rows[k] for k in inside], flags[at[inside]].tolist() if inside else []
+            out["leaf"].extend(r[0] for r in rows)
+            out["mh"].extend(r[1] for r in rows)
+            out["wide"].extend(wide)
+            out["long"].extend(r[2].count(b" ") + 1 >= LONG_TOKENS for r in rows)
+            out["mask"].extend(r[2].decode("utf-8", "replace") if w else "" for r, w in zip(rows, wide, strict=True))
             out["doc_id"].extend([doc] * len(rows))
-        return out | {"mask": [m.decode("utf-8", "replace") for m in out["mask"]]}
+        return out
 
-    made = map_batches(doc_input(docs), run, f"leaf long, mh long, mask string, doc_id {dict(docs.dtypes)['doc_id']}")
-    return made if few else made.join(leaves, "leaf", "left_semi")
+    made = map_batches(doc_input(docs), run, f"leaf long, mh long, wide boolean, long boolean, mask string, doc_id {dict(docs.dtypes)['doc_id']}")
+    if few:
+        return made
+    joined = made.drop("wide").join(leaves, "leaf")
+    return joined.withColumn("mask", F.when(F.col("wide"), F.col("mask")).otherwise("")).select(*made.columns)
 
 
 def recurring(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(leaf, mh, doc_id) of the lines in leaves that many documents reach; (leaf, mh, first) of the lines whose template recurs."""
-    held = cut(lines_in(docs, cut(reached_leaves(docs))).groupBy("leaf", "mh", "mask", "doc_id").agg(F.count("*").alias("times")).drop("times"))
-    distinct = cut(held.groupBy("leaf", "mh", "mask").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first")).withColumn("long", is_long(F.col("mask"))))
-    tokens = distinct.select("leaf", "mh", "docs", "long", F.posexplode(F.split("mask", " ")).alias("pos", "token"))
+    line = ("leaf", "mh", "wide", "long", "mask")
+    held = cut(lines_in(docs, cut(reached_leaves(docs))).groupBy(*line, "doc_id").agg(F.count("*").alias("times")).drop("times"))
+    distinct = cut(held.groupBy(*line).agg(F.count("*").alias("docs"), F.min("doc_id").alias("first")))
+    tokens = distinct.where("wide").select("leaf", "mh", "docs", "long", F.posexplode(F.split("mask", " ")).alias("pos", "token"))
     support = tokens.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("support"))
     commonest = support.groupBy("leaf", "pos").agg(F.max(F.struct("support", "token")).alias("top"))
     rare = tokens.where(F.col("docs") < needed(F.col("long")))
@@ -119,7 +129,7 @@ def recurring(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         (F.count_if(frequent) >= SIMILARITY * F.count("*")).alias("alike"),
     )
     general = general.where("alike").select("leaf", "mh", F.array_join(F.col("parts.token"), " ").alias("general"))
-    template = distinct.join(general, ["leaf", "mh"], "left").select("leaf", "mh", "docs", "first", "long", F.xxhash64(F.coalesce("general", "mask")).alias("template"))
+    template = distinct.join(general, ["leaf", "mh"], "left").select("leaf", "mh", "docs", "first", "long", F.when(F.col("wide"), F.xxhash64(F.coalesce("general", "mask"))).otherwise(F.col("mh")).alias("template"))
     template = cut(template)
     sums = template.groupBy("leaf", "template", "long").agg(F.sum("docs").alias("support"), F.max("docs").alias("best"), F.min("first").alias("first")).withColumn("need", needed(F.col("long")))
     sums = cut(sums.where(F.col("support") >= F.col("need")))
@@ -210,7 +220,8 @@ def oracle_ctes(docs: str = "documents", prefix: str = "") -> str:
 {p}masks AS (
   SELECT leaf, mask, tokens, need, count(*) AS docs, min(doc_id) AS first
   FROM (SELECT DISTINCT leaf, mask, tokens, need, doc_id FROM {p}needs JOIN {p}reached USING (leaf)) GROUP BY ALL),
-{p}tokens AS (SELECT leaf, mask, docs, need, unnest(tokens) AS token, unnest(range(len(tokens))) AS pos FROM {p}masks),
+{p}wide AS (SELECT leaf FROM (SELECT DISTINCT leaf, doc_id FROM {p}leafed) GROUP BY leaf HAVING count(*) >= {MIN_DOCS}),
+{p}tokens AS (SELECT leaf, mask, docs, need, unnest(tokens) AS token, unnest(range(len(tokens))) AS pos FROM {p}masks WHERE leaf IN (SELECT leaf FROM {p}wide)),
 {p}support AS (SELECT leaf, pos, token, sum(docs) AS support FROM {p}tokens GROUP BY ALL),
 {p}commonest AS (SELECT leaf, pos, (max({{'s': support, 't': token}})).t AS top FROM {p}support GROUP BY ALL),
 {p}general AS (
