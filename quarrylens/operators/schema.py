@@ -263,6 +263,37 @@ def parse_ddl(df: DataFrame, ddl: str = "ddl") -> DataFrame:
     return cols.select("table_name", "position", F.regexp_extract("c", r'^["`\[]?(\w+)', 1).alias("column_name"), F.upper(F.regexp_extract("c", r'^\S+ (\w+(?: ?\([^)]*\))?)', 1)).alias("column_type"), F.col("c").rlike(r"(?i)not null|primary key").alias("not_null"))
 
 
+def ddl_keys(df: DataFrame, ddl: str = "ddl") -> DataFrame:
+    """F8: kind (foreign key, index, unique index), table_name, key_columns, and what a foreign key points at (target_table,
+    target_columns) or an index is called (index_name), of the statements in a column of SQL text."""
+    one = df.select(F.explode(F.split(F.regexp_replace(ddl, r"--[^\n]*", ""), ";")).alias("s"))
+    tidy = lambda c: F.regexp_replace(F.trim(c), r"\s*,\s*", ",")
+    name = r'["`\[]?([\w.]+)["`\]]?'
+    table = F.regexp_extract("s", rf"(?is)create\s+table\s+(?:if\s+not\s+exists\s+)?{name}", 1)
+    apart, inline = rf"(?is)foreign\s+key\s*\(([^)]*)\)\s*references\s+{name}\s*\(([^)]*)\)", rf'(?is)(?<=[(,])\s*["`\[]?(\w+)["`\]]?[^,()]*(?:\([^)]*\))?[^,()]*\sreferences\s+{name}\s*\(([^)]*)\)'
+    tables = one.where(F.col("s").rlike(r"(?is)create\s+table")).select(table.alias("table_name"), "s")
+
+    def foreign(pattern: str, texts: DataFrame) -> DataFrame:
+        each = texts.select("table_name", F.explode(F.regexp_extract_all("s", F.lit(pattern), 0)).alias("k"))
+        lone = pattern.replace("(?<=[(,])", "")
+        return each.select(F.lit("foreign key").alias("kind"), "table_name", tidy(F.regexp_extract("k", lone, 1)).alias("key_columns"), F.regexp_extract("k", lone, 2).alias("target_table"), tidy(F.regexp_extract("k", lone, 3)).alias("target_columns"), F.lit(None).cast("string").alias("index_name"))
+
+    index = rf"(?is)create\s+(unique\s+)?index\s+(?:if\s+not\s+exists\s+)?{name}\s+on\s+{name}\s*\(([^)]*)\)"
+    indexes = one.where(F.col("s").rlike(index)).select(
+        F.when(F.regexp_extract("s", index, 1) != "", "unique index").otherwise("index").alias("kind"), F.regexp_extract("s", index, 3).alias("table_name"), tidy(F.regexp_extract("s", index, 4)).alias("key_columns"),
+        F.lit(None).cast("string").alias("target_table"), F.lit(None).cast("string").alias("target_columns"), F.regexp_extract("s", index, 2).alias("index_name"),
+    )
+    without = tables.withColumn("s", F.regexp_replace("s", apart, "x"))
+    return foreign(apart, tables).unionByName(foreign(inline, without)).unionByName(indexes)
+
+
+def keys_diff(old: DataFrame, new: DataFrame) -> DataFrame:
+    """keys and indexes (as ddl_keys gives them) added or dropped between two catalogues."""
+    by = ["kind", "table_name", "key_columns", "target_table", "target_columns", "index_name"]
+    counted = old.select(*by, F.lit(1).alias("_old"), F.lit(0).alias("_new")).unionByName(new.select(*by, F.lit(0).alias("_old"), F.lit(1).alias("_new"))).groupBy(*by).agg(F.max("_old").alias("_old"), F.max("_new").alias("_new"))
+    return counted.where("_old <> _new").withColumn("change", F.when(F.col("_new") == 1, "added").otherwise("dropped")).drop("_old", "_new")
+
+
 def schema_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """columns (table_name, column_name, column_type) added, dropped or modified between two catalogues."""
     a = old.select("table_name", "column_name", F.col("column_type").alias("old_type"))

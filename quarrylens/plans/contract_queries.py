@@ -108,6 +108,28 @@ SELECT DISTINCT path, 'get' AS method, NULL::VARCHAR AS parameter, 'endpoint rem
 UNION ALL SELECT path, 'get', 'p' || s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'parameter removed' ELSE 'parameter made required' END FROM o WHERE path IN (SELECT path FROM left_) AND s_suppkey IS NOT NULL AND (s_suppkey % 5 = 0 OR (s_suppkey % 5 = 1 AND s_suppkey % 2 = 1))"""
 
 
+def _ddl(s, d, new: bool):
+    """Tables of the nations, which point at their regions' tables, inline or apart, and at others; some with an index."""
+    k, r = F.col("n_nationkey"), F.col("n_regionkey")
+    inline = F.format_string("CREATE TABLE n%d (id BIGINT PRIMARY KEY, price DECIMAL(10, 2), region_id INT NOT NULL REFERENCES r%d(id)", k, r)
+    apart = F.when(k % 2 == 0, F.lit(", a INT, b INT, FOREIGN KEY (a , b) REFERENCES pairs (x, y)")).otherwise(F.lit(""))
+    index = F.when(k % 5 == 0, F.format_string("; CREATE UNIQUE INDEX IF NOT EXISTS i%d ON n%d (price,  id)", k, k)).when(k % 5 == 1, F.format_string("; create index i%d on n%d(price)", k, k)).otherwise(F.lit(""))
+    return t(s, d, "nation").select(F.concat(inline, apart, F.lit(")"), F.when(k % 5 == 0, F.lit("")).otherwise(index) if new else index, F.lit("; -- end")).alias("ddl"))
+
+
+def f08_keys(s, d):
+    return sc.ddl_keys(_ddl(s, d, False))
+
+
+def f10_keys(s, d):
+    return sc.keys_diff(f08_keys(s, d), sc.ddl_keys(_ddl(s, d, True)))
+
+
+F08_KEYS = """SELECT 'foreign key' AS kind, 'n' || n_nationkey AS table_name, 'region_id' AS key_columns, 'r' || n_regionkey AS target_table, 'id' AS target_columns, NULL::VARCHAR AS index_name FROM nation
+UNION ALL SELECT 'foreign key', 'n' || n_nationkey, 'a,b', 'pairs', 'x,y', NULL FROM nation WHERE n_nationkey % 2 = 0
+UNION ALL SELECT CASE n_nationkey % 5 WHEN 0 THEN 'unique index' ELSE 'index' END, 'n' || n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN 'price,id' ELSE 'price' END, NULL, NULL, 'i' || n_nationkey FROM nation WHERE n_nationkey % 5 < 2"""
+
+
 def w07_health(s, d):
     """Checked links from line items: the quantity makes the status, the days to shipping the redirects."""
     code = F.when(F.col("l_quantity") < 5, F.lit(None)).when(F.col("l_quantity") < 10, 404).when(F.col("l_quantity") < 20, 301).otherwise(200)
@@ -196,11 +218,11 @@ R17 = f"""SELECT * FROM (SELECT project_path, issue_id, first_detected FROM {TRA
 (SELECT count(*) FILTER (WHERE status = 'open') AS total_open, count(*) FILTER (WHERE status = 'confirmed') AS total_confirmed FROM {TRACKED} WHERE project_path = 'p1')"""
 
 QUERIES = {
-    "f07_schema_of": f07, "f12_avro_compatibility": f12, "f13_avro_validation": f13, "f14_proto_changes": f14, "f14_proto_problems": f14_problems, "f15_contract_changes": f15, "h01_source_tree": h01, "r17_dashboard": r17, "s12_record": s12,
+    "f07_schema_of": f07, "f12_avro_compatibility": f12, "f13_avro_validation": f13, "f14_proto_changes": f14, "f14_proto_problems": f14_problems, "f15_contract_changes": f15, "f08_ddl_keys": f08_keys, "f10_keys_diff": f10_keys, "h01_source_tree": h01, "r17_dashboard": r17, "s12_record": s12,
     "w07_link_health": w07_health, "w08_structured_data": w08, "w09_resource_types": w09, "w10_csp": w10, "w12_regions": w12,
 }
 
 ORACLES = {
-    "f07_schema_of": F07, "f12_avro_compatibility": F12, "f13_avro_validation": F13, "f14_proto_changes": F14, "f14_proto_problems": F14_PROBLEMS, "f15_contract_changes": F15, "h01_source_tree": H01, "r17_dashboard": R17, "s12_record": S12,
+    "f07_schema_of": F07, "f12_avro_compatibility": F12, "f13_avro_validation": F13, "f14_proto_changes": F14, "f14_proto_problems": F14_PROBLEMS, "f15_contract_changes": F15, "f08_ddl_keys": F08_KEYS, "f10_keys_diff": f"SELECT *, 'dropped' AS change FROM ({F08_KEYS}) WHERE kind = 'unique index'", "h01_source_tree": H01, "r17_dashboard": R17, "s12_record": S12,
     "w07_link_health": W07_HEALTH, "w08_structured_data": W08, "w09_resource_types": W09, "w10_csp": W10, "w12_regions": W12,
 }
