@@ -207,7 +207,7 @@ def x01(s, d):
 
 QUERIES = {
     "r01_upsert_snapshots": lambda s, d: h.upsert(snapshots(s, d), snapshots(s, d).where("project_path = 'p1'").withColumn("n_metrics", F.lit(0).cast("long")), "id"),
-    "r02_list_snapshots": lambda s, d: h.listsnapshots(snapshots(s, d), "p2", 20),
+    "r02_list_snapshots": lambda s, d: h.list_snapshots(snapshots(s, d), "p2", 20),
     "r03_latest_snapshot": lambda s, d: h.latest_snapshot(snapshots(s, d)),
     "r04_metric_trend": lambda s, d: rounded(h.metric_trends(_metrics(s, d))),
     "r06_match_findings": lambda s, d: h.match_findings(_issues(s, d), _findings(s, d)),
@@ -238,6 +238,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "x01_pearson_vectors": """SELECT vec_id, round(CASE WHEN var_pop(a) > 0 AND var_pop(b) > 0 THEN corr(a, b) ELSE 0.0 END, 5) + 0.0 AS similarity, (count(*) FILTER (WHERE i <= 64 AND (a > ma) <> (b > mb)))::INTEGER AS distance FROM (
+      SELECT *, avg(a) OVER (PARTITION BY vec_id) AS ma, avg(b) OVER (PARTITION BY vec_id) AS mb FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS a, unnest(model)::DOUBLE AS b, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings JOIN (SELECT label, min_by(embedding, vec_id) AS model FROM embeddings GROUP BY 1) USING (label))) GROUP BY 1""",
     "r01_upsert_snapshots": f"SELECT project_path, scan_timestamp, CASE WHEN project_path = 'p1' THEN 0 ELSE n_metrics END AS n_metrics, id FROM {SNAPS}",
     "r02_list_snapshots": f"SELECT * FROM {SNAPS} WHERE project_path = 'p2' ORDER BY scan_timestamp DESC, id LIMIT 20",
     "r03_latest_snapshot": f"SELECT * FROM {SNAPS} QUALIFY row_number() OVER (PARTITION BY project_path ORDER BY scan_timestamp DESC) = 1",
