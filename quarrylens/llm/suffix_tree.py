@@ -1,17 +1,18 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-Symbols are the words that are frequent in the training tokens; all others are one rare symbol, whose words share its mass by
-their base probability. Contexts grow from one symbol to `DEPTH` symbols, as long as they are frequent; each keeps the next
-symbols it was seen with often enough. A context is a state of the tree only if its distribution diverges from that of its
-longest shorter state: the log-likelihood it gains on the training tokens must exceed half the logarithm of its count for each
-of its parameters. Distributions are smoothed by absolute discounting, and the mass set free goes to the distribution of the
-shorter state, at last to the base (add one half over the vocabulary). A text is scored token by token from the longest suffix
-that is a state. Contexts are named by 63-bit hashes of their symbols, so neither the number of symbols nor the depth is bound.
-
-The tree grows with the corpus: the count that admits a symbol or a next-symbol entry rises with the square root of the number
-of training tokens n, so a depth has up to sqrt(n) / `ENTRY_GROWTH` entries. What is broadcast is bounded by proof, since counts
-sum to n: that many entries, and never more than `MOST_ENTRIES` a depth (10^10 tokens are needed to reach that), and at most
-1 / KNOWN_SHARE word counts. All rarer words, however many, are counted and looked up by joins.
+Symbols are the words that the training tokens have at least twice; all others are one rare symbol, whose words share its mass
+by their base probability. Contexts grow from one symbol to `DEPTH` symbols, as long as they occur four times; each keeps the next
+symbols it was seen with twice. These counts are the model's and do not grow with the corpus. A context is a state of the tree
+only if its distribution diverges from that of its longest shorter state: the log-likelihood it gains on the training tokens must
+exceed half the logarithm of its count for each of its parameters. Distributions are smoothed by absolute discounting, and the
+mass set free goes to the distribution of the shorter state, at last to the base (add one half over the vocabulary). A text is
+scored token by token from the longest suffix that is a state. Symbols and contexts are named by 64-bit and 63-bit hashes, so
+neither the number of symbols nor the depth is bound.
+
+The tree is a table and grows with the corpus; no part of it is left out. The `HEAD_ROWS` states and entries of the largest
+counts are broadcast, all others are looked up by joins, as are the counts of words under KNOWN_SHARE of the tokens. Bitmaps of
+hashed codes (`MOST_BITS` bits at most) spare lookups of what the tree surely lacks; what they let pass is settled by joins, so
+they change the work and not the result.
 
 Defined results: a null or empty text is the end token alone; equal rows have equal scores, each its own row; rows without
 doc_id are training rows; an empty training set gives every token the probability 1 / (V + 1) with V = 0; an empty table
@@ -23,24 +24,31 @@ from __future__ import annotations
 
 import itertools
 import math
+import uuid
 from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import MEMO_BYTES, WORD_HASH_MEMO, cut, doc_input, map_batches, mix64, table, texts
+from quarrylens.llm.common import WordHashes, cut, doc_input, ensure_checkpoint_dir, map_batches, mix64, release, table, texts
 from quarrylens.llm.language_id import held_out
 
 KNOWN_SHARE = 5e-7
-#: Times the root of the number of training tokens, the count that a symbol or an entry needs; a context needs CONTEXT entries' worth.
-SYMBOL_GROWTH, ENTRY_GROWTH, CONTEXT, MOST_ENTRIES = 0.1, 0.005, 2, 20_000_000
+#: Growth of the counts that a symbol or an entry needs: none, so two occurrences are enough in any corpus; a context needs CONTEXT entries' worth.
+SYMBOL_GROWTH, ENTRY_GROWTH, CONTEXT, MOST_ENTRIES = 0.0, 0.0, 2, math.inf
+LEAST = 2
 DEPTH, DISCOUNT = 3, 0.5
-CHUNK_TOKENS = 200_000
-#: The end of a text is the empty word.
-END = np.uint64(xxhash.xxh3_64_intdigest(b""))
+#: Rows of the tree that are broadcast, and the size of a bitmap: bits for each code, and at most.
+HEAD_ROWS, BITS_EACH, MOST_BITS = 4_000_000, 16, 1 << 29
+#: Tokens of a chunk of texts and of a task that adds counts, and the slices of codes that such a task has on average.
+CHUNK_TOKENS, TASK_TOKENS, SLICES = 500_000, 2_000_000, 8
+#: The end of a text is the empty word; what stands before a text and what marks the key of a word are no words.
+END, START, WORD = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b"", b" ", b"  "))
 RARE = 0
 
 
@@ -66,8 +74,11 @@ class Tree:
     words: np.ndarray  # known word hashes, sorted
     counts: np.ndarray
     symbols: np.ndarray  # the symbol of each known word
-    start: int
-    levels: list[Level] = field(default_factory=list)
+    levels: list[Level] = field(default_factory=list)  # what is broadcast
+    rest: DataFrame | None = None  # key, value, in_tree: all other states and entries, and the base of words that are not known
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"rest": None}
 
     def log_base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 0.5) / (self.n + 0.5 * (self.v + 1)))
@@ -89,63 +100,100 @@ class Tree:
         return out
 
 
-class Places(dict):
-    """Word to its place among the known words of a tree, -1 for others; emptied when it has grown large."""
+@dataclass
+class Bitmap:
+    """Two bits for each of a set of codes: a code without them is not in the set."""
+
+    bits: int
+    words: np.ndarray
+
+    def has(self, codes: np.ndarray) -> np.ndarray:
+        out = np.ones(len(codes), bool)
+        for at in places(codes, self.bits):
+            out &= (self.words[at >> np.int64(6)] >> (at & np.int64(63)).astype(np.uint64)) & np.uint64(1) != 0
+        return out
+
+
+def places(codes: np.ndarray, bits: int) -> list[np.ndarray]:
+    mixed = mix64(codes.view(np.uint64))
+    return [(x & np.uint64(bits - 1)).astype(np.int64) for x in (mixed, mixed >> np.uint64(32))]
 
-    def __init__(self, tree: Tree):
-        self.of_hash = {h: k for k, h in enumerate(tree.words.tolist())}
 
-    def __missing__(self, word: bytes) -> int:
-        place = self.of_hash.get(xxhash.xxh3_64_intdigest(word), -1)
-        if len(word) <= MEMO_BYTES:
-            if len(self) >= WORD_HASH_MEMO:
-                self.clear()
-            self[word] = place
-        return place
+def bitmap(codes: DataFrame, n: int) -> Bitmap:
+    """Of the n codes in the column code."""
+    bits = min(MOST_BITS, 1 << max(10, (n * BITS_EACH).bit_length()))
+
+    def run(batch):
+        at = np.concatenate(places(batch.column("code").to_numpy(), bits))
+        word, where = np.unique(at >> np.int64(6), return_inverse=True)
+        mask = np.zeros(len(word), np.uint64)
+        np.bitwise_or.at(mask, where, np.uint64(1) << (at & np.int64(63)).astype(np.uint64))
+        return {"word": word, "mask": mask.view(np.int64)}
+
+    word, mask = numbers(map_batches(codes.select("code"), run, "word long, mask long", rows=0).groupBy("word").agg(F.bit_or("mask").alias("mask")))
+    words = np.zeros(bits // 64, np.uint64)
+    words[word] = mask.view(np.uint64)
+    return Bitmap(bits, words)
 
 
 @dataclass
 class Chunk:
-    """Some texts of a batch: the place of each token, one text after the other, each with its end."""
+    """Some texts of a batch: the hash of each token, one text after the other, each with its end."""
 
     words: list[list[bytes]]
-    places: np.ndarray
+    hashes: np.ndarray
     starts: np.ndarray
-    symbols: np.ndarray
-    at: np.ndarray  # of each token in its text
-    start_symbol: int
-
-    def contexts(self, depth: int) -> np.ndarray:
-        """The code of the depth symbols before each token; -1 if one is rare or there are fewer."""
-        code, whole = np.zeros(len(self.symbols), np.int64), np.ones(len(self.symbols), bool)
-        for back in range(depth, 0, -1):
-            before = np.zeros(len(self.symbols), np.int64)
-            before[back:] = self.symbols[:-back]
-            before = np.where(self.at >= back, before, np.where(self.at == back - 1, self.start_symbol, RARE))
-            whole &= before != RARE
-            code = fold(code, before)
-        return np.where(whole, code, -1)
+
+    def steps(self):
+        """For each depth the code of the symbols before each token, and of these with the token; -1 if there are fewer."""
+        before = np.empty_like(self.hashes)
+        before[1:] = self.hashes[:-1]
+        before[self.starts] = START
+        codes = fold(np.zeros(len(before), np.int64), before)
+        for _ in range(DEPTH):
+            grams = np.where(codes >= 0, fold(codes, self.hashes), -1)
+            yield codes, grams
+            codes = np.empty_like(grams)
+            codes[1:] = grams[:-1]
+            codes[self.starts] = -1
+
+    def row(self, tokens: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, tokens, "right") - 1
 
     def sums(self, values: np.ndarray) -> list:
         return np.add.reduceat(values, self.starts).tolist()
 
 
-def chunks(batch, tree: Tree, places: Places):
+def chunks(batch, hashes: WordHashes):
     """The texts of a batch in chunks of bounded size (a single longer text is a chunk)."""
     words, n = [], 0
     for text in [*texts(batch), None]:
         if words and (text is None or n >= CHUNK_TOKENS):
             lengths = np.array([len(w) for w in words])
-            found = np.fromiter(map(places.__getitem__, itertools.chain.from_iterable(words)), np.int64, n)
-            starts = np.cumsum(lengths) - lengths
-            symbols = np.where(found >= 0, tree.symbols[found], RARE)
-            yield Chunk(words, found, starts, symbols, np.arange(n) - np.repeat(starts, lengths), tree.start)
+            yield Chunk(words, np.fromiter(map(hashes.__getitem__, itertools.chain.from_iterable(words)), np.uint64, n), np.cumsum(lengths) - lengths)
             words, n = [], 0
         if text is not None:
             words.append(text.lower().split() + [b""])
             n += len(words[-1])
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Like cut, in a fifth to half of the space: hashes as Parquet in the shared checkpoint folder."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/tree-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete what stored wrote."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0]).getParent()
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def find(table_: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(table_):
         return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
@@ -166,33 +214,52 @@ def word_counts(training: DataFrame) -> DataFrame:
     return map_batches(doc_input(training), run, "word long, n long", rows=0).groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def context_counts(training: DataFrame, tree: Tree, depth: int, frequent: np.ndarray | None) -> DataFrame:
-    """context (code), symbol (that follows), n: counts after the frequent contexts of one depth (None: all)."""
-    shared = training.sparkSession.sparkContext.broadcast((tree, frequent))  # bounded as stated above
-    memo: list[Places] = []
+def context_counts(training: DataFrame, depth: int, frequent: Bitmap | None, n_tokens: int) -> DataFrame:
+    """context (code), symbol (that follows), n: counts from LEAST on after the contexts of one depth that the bitmap lets pass
+    (None: all). They are dealt in packed slices of the range of codes, since most occur once and go after the shuffle."""
+    spark = training.sparkSession
+    shared = spark.sparkContext.broadcast(frequent)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_tokens // TASK_TOKENS + 1)
+    edges = np.linspace(0, 2.0**63, SLICES * tasks + 1)[1:-1].astype(np.int64)
+    hashes = WordHashes()
 
     def run(batch):
-        tree, frequent = shared.value
-        memo or memo.append(Places(tree))
-        parts = []
-        for chunk in chunks(batch, tree, memo[0]):
-            code = chunk.contexts(depth)
-            some = np.flatnonzero(code >= 0)
-            if frequent is not None:
-                some = some[find(frequent, code[some])[1]]
-            parts.append(summed(code[some], chunk.symbols[some], np.ones(len(some), np.int64)))
+        for chunk in chunks(batch, hashes):
+            context, gram = next(itertools.islice(chunk.steps(), depth - 1, None))
+            some = np.flatnonzero(context >= 0)
+            if shared.value is not None:
+                some = some[shared.value.has(context[some])]
+            some = some[np.argsort(gram[some])]
+            gram = gram[some]
+            first = firsts(gram)
+            bounds = np.concatenate([[0], np.searchsorted(gram[first], edges), [len(first)]])
+            packed = (context[some[first]], chunk.hashes[some[first]], np.diff(np.append(first, len(some))).astype(np.int32))
+            full = np.flatnonzero(np.diff(bounds))
+            sides = list(zip(bounds[full].tolist(), bounds[full + 1].tolist(), strict=True))
+            yield {"slice": full} | {k: [x[i:j].tobytes() for i, j in sides] for k, x in zip(("context", "symbol", "n"), packed, strict=True)}
+
+    def add(batches):
+        parts = [[np.frombuffer(b"".join(batch.column(k).to_pylist()), kind) for k, kind in (("context", np.int64), ("symbol", np.int64), ("n", np.int32))] for batch in batches]
         if not parts:
-            return {"context": [], "symbol": [], "n": []}
-        context, symbol, n = parts[0] if len(parts) == 1 else summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-        return {"context": context, "symbol": symbol, "n": n}
+            return
+        context, symbol, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
+        gram = fold(context, symbol)
+        order = np.argsort(gram)
+        first = firsts(gram[order])
+        n = np.add.reduceat(n[order].astype(np.int64), first) if len(first) else n
+        often = np.flatnonzero(n >= LEAST)
+        at = order[first[often]]
+        for k in range(0, len(at), CHUNK_TOKENS):
+            some = at[k : k + CHUNK_TOKENS]
+            yield pa.RecordBatch.from_arrays([pa.array(context[some]), pa.array(symbol[some]), pa.array(n[often[k : k + CHUNK_TOKENS]].astype(np.int64))], ["context", "symbol", "n"])
 
-    return map_batches(doc_input(training), run, "context long, symbol long, n long", rows=0).groupBy("context", "symbol").agg(F.sum("n").alias("n"))
+    return map_batches(doc_input(training), run, "slice int, context binary, symbol binary, n binary", rows=0).repartition(tasks, "slice").mapInArrow(add, "context long, symbol long, n long")
 
 
-def summed(context: np.ndarray, symbol: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The sums of n by context and symbol."""
-    _, first, where = np.unique(fold(context, symbol), return_index=True, return_inverse=True)
-    return context[first], symbol[first], np.bincount(where, n, len(first)).astype(np.int64)
+def firsts(values: np.ndarray) -> np.ndarray:
+    """Where sorted values differ from those before."""
+    return np.flatnonzero(np.append(np.ones(min(len(values), 1), bool), values[1:] != values[:-1]))
 
 
 def numbers(df: DataFrame) -> list[np.ndarray]:
@@ -200,110 +267,239 @@ def numbers(df: DataFrame) -> list[np.ndarray]:
     return [got.column(c).to_numpy() for c in df.columns]
 
 
-def grown(tree: Tree, contexts: np.ndarray, totals: np.ndarray, shorter: list[np.ndarray], entries: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Level:
-    """The states of one depth that pass the divergence test. contexts are sorted; shorter: for each, the codes of its suffixes
-    of 1, 2, ... symbols; entries: place of the context, next symbol, count."""
-    of, symbol, n = entries
-    total = totals.astype(float)
-    explicit = np.bincount(of, n, len(contexts)) if len(of) else np.zeros(len(contexts))
-    kinds = np.bincount(of, minlength=len(contexts)) if len(of) else np.zeros(len(contexts))
-    left = np.maximum((total - explicit + DISCOUNT * kinds) / total, 1e-12) if len(contexts) else total
-    by_symbol = np.zeros(int(tree.symbols.max(initial=0)) + 2)
-    by_symbol[tree.symbols[tree.symbols > 0]] = tree.counts[tree.symbols > 0]
-    parent = tree.log_p(symbol, [x[of] for x in shorter], tree.log_base(by_symbol[symbol]))
-    p = (n - DISCOUNT) / total[of] + left[of] * 10.0**parent if len(of) else np.zeros(0)
-    gain = (total - explicit) * np.log(left) if len(contexts) else total
-    if len(of):
-        gain = gain + np.bincount(of, n * (np.log(p) - parent * math.log(10)), len(contexts))
-    keep = gain > 0.5 * np.log(total + 1) * (kinds + 1)
-    kept = keep[of] if len(of) else np.zeros(0, bool)
-    codes = fold(contexts[of], symbol)[kept] if len(of) else np.zeros(0, np.int64)
-    order = np.argsort(codes)
-    return Level(contexts[keep], np.log10(left[keep]), codes[order], np.log10(p[kept])[order])
+def grown(entries: DataFrame, contexts: DataFrame, shorter: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The states of one depth that pass the divergence test, and all entries. entries: context, symbol, n; contexts: context,
+    total, suffix (the code without the first symbol, null if that was the only one); shorter: code, log_p of the entries one
+    symbol shorter. States: code, log_left, n; entries: code, parent, n, log_p, explicit (its context is a state). Deletes what it
+    was given as entries."""
+
+    def coded(batch):
+        context, symbol, suffix = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("context", "symbol", "suffix"))
+        parent = symbol if batch.column("suffix").null_count else fold(suffix, symbol)
+        return {c: batch.column(c) for c in ("context", "n", "total", "left")} | {"code": fold(context, symbol), "parent": parent}
+
+    sizes = entries.groupBy("context").agg(F.sum("n").alias("explicit"), F.count("*").alias("kinds"))
+    sizes = sizes.join(contexts, "context").withColumn("left", F.greatest((F.col("total") - F.col("explicit") + DISCOUNT * F.col("kinds")) / F.col("total"), F.lit(1e-12)))
+    sizes = stored(sizes)
+    made = map_batches(entries.join(sizes, "context"), coded, "context long, n long, total long, left double, code long, parent long", rows=0)
+    made = made.join(shorter.select(F.col("code").alias("parent"), F.col("log_p").alias("below")), "parent")
+    made = stored(made.select("context", "code", "parent", "n", "below", ((F.col("n") - DISCOUNT) / F.col("total") + F.col("left") * F.pow(F.lit(10.0), "below")).alias("p")))
+    dropped(entries)
+    release(entries.sparkSession)
+    gains = made.groupBy("context").agg(F.sum(F.col("n") * (F.log("p") - F.col("below") * math.log(10))).alias("gain"))
+    gain = F.col("gain") + (F.col("total") - F.col("explicit")) * F.log("left")
+    states = stored(sizes.join(gains, "context").where(gain > 0.5 * F.log(F.col("total") + 1) * (F.col("kinds") + 1)).select(F.col("context").alias("code"), F.log10("left").alias("log_left"), F.col("total").alias("n")))
+    explicit = F.col("state").isNotNull()
+    done = made.join(states.select(F.col("code").alias("state")), F.col("context") == F.col("state"), "left")
+    done = stored(done.select("code", "parent", "n", F.when(explicit, F.log10("p")).otherwise(F.col("below")).alias("log_p"), explicit.alias("explicit")))
+    dropped(made, sizes)
+    return states, done
+
+
+def keyed(words: DataFrame, tree: Tree) -> DataFrame:
+    """key, value: the base of words."""
+
+    def run(batch):
+        return {"key": word_keys(batch.column("word").to_numpy()), "value": tree.log_base(batch.column("n").to_numpy())}
+
+    return map_batches(words, run, "key long, value double", rows=0)
+
+
+def word_keys(words: np.ndarray) -> np.ndarray:
+    return fold(np.full(len(words), WORD), words)
 
 
 def learn(training: DataFrame, counts: DataFrame) -> Tree:
     """counts: word_counts(training), materialised."""
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    words, known = numbers(counts.where((F.col("n") >= max(2, math.ceil(n * KNOWN_SHARE))) | (F.col("word") == F.lit(int(END.astype(np.int64))))))  # at most 1 / KNOWN_SHARE
+    end = int(END.astype(np.int64))
+    is_known = (F.col("n") >= max(LEAST, math.ceil(n * KNOWN_SHARE))) | (F.col("word") == F.lit(end))  # at most 1 / KNOWN_SHARE
+    words, known = numbers(counts.where(is_known))
     order = np.argsort(words.view(np.uint64))
     words, known = words.view(np.uint64)[order], known[order]
-    is_symbol = (known >= max(2, math.sqrt(n) * SYMBOL_GROWTH)) | (words == END)
-    symbols = np.where(is_symbol, np.cumsum(is_symbol), RARE).astype(np.int64)
-    tree = Tree(n, v, words, known, symbols, int(is_symbol.sum()) + 1)
-    least = max(2, math.ceil(max(math.sqrt(n) * ENTRY_GROWTH, n / MOST_ENTRIES)))
-    frequent, suffixes = None, []
+    tree = Tree(n, v, words, known, np.where((known >= LEAST) | (words == END), words.view(np.int64), RARE))
+    spark = training.sparkSession
+    rows = int(known[words == END].sum())
+
+    def contexts(batch):
+        word = batch.column("word").to_numpy()
+        return {"context": fold(np.zeros(len(word), np.int64), word), "total": batch.column("n")}
+
+    begin = spark.createDataFrame([(int(START.astype(np.int64)), rows)] if rows else [], "word long, n long")
+    of = map_batches(counts.where((F.col("n") >= LEAST) & (F.col("word") != F.lit(end))).unionByName(begin), contexts, "context long, total long", rows=0).withColumn("suffix", F.lit(None).cast("long"))
+    size = F.lit(float(n + 0.5 * (v + 1)))
+    shorter = counts.where((F.col("n") >= LEAST) | (F.col("word") == F.lit(end))).select(F.col("word").alias("code"), F.log10((F.col("n") + 0.5) / size).alias("log_p"))
+    frequent, parts, files = None, [], []
     for depth in range(1, DEPTH + 1):
-        if frequent is not None and not len(frequent):
+        found = stored(context_counts(training, depth, frequent, n))
+        release(spark)
+        states, entries = grown(found, of, shorter)
+        files += [states, entries]
+        parts += [states.select((-1 - F.col("code")).alias("key"), F.col("log_left").alias("value"), "n", F.lit(depth).alias("depth"))]
+        parts += [entries.where("explicit").select(F.col("code").alias("key"), F.col("log_p").alias("value"), "n", F.lit(depth).alias("depth"))]
+        release(spark)
+        often = entries.where(F.col("n") >= max(4, CONTEXT * LEAST))
+        n_often = often.count()
+        if depth == DEPTH or not n_often:
+            break
+        of, shorter = often.select(F.col("code").alias("context"), F.col("n").alias("total"), F.col("parent").alias("suffix")), entries
+        if depth == 1:  # the suffix of two symbols is the code of the last alone
+            of = rewritten(of)
+        frequent = bitmap(often, n_often)
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    size_class = F.floor(F.log2("n") * 8)
+    least, room = None, HEAD_ROWS
+    for k, rows in sorted(whole.groupBy(size_class.alias("k")).count().collect(), reverse=True):
+        room -= rows
+        if room < 0:
             break
-        found = cut(context_counts(training, tree, depth, frequent))
-        contexts, totals = numbers(found.groupBy("context").agg(F.sum("n").alias("n")))  # as many as the frequent contexts
-        ends, symbol, seen = numbers(found.where((F.col("n") >= least) & (F.col("symbol") != RARE)))
-        order = np.argsort(contexts)
-        contexts, totals = contexts[order], totals[order]
-        shorter = [x[find(frequent, contexts)[0]] for x in suffixes]
-        of, _ = find(contexts, ends)
-        tree.levels.append(grown(tree, contexts, totals, shorter, (of, symbol, seen)))
-        often = seen >= max(4, CONTEXT * least)
-        of, symbol = of[often], symbol[often]
-        longer = fold(contexts[of], symbol) if len(of) else np.zeros(0, np.int64)
-        order = np.argsort(longer)
-        frequent = longer[order]
-        suffixes = [fold(x, symbol)[order] for x in (np.zeros(len(of), np.int64), *(x[of] for x in shorter))]
+        least = k
+    in_head = F.lit(False) if least is None else size_class >= least
+    key, value, level = numbers(whole.where(in_head).select("key", "value", "depth"))  # at most HEAD_ROWS
+    order = np.argsort(key)
+    key, value, level = key[order], value[order], level[order]
+    for depth in range(1, DEPTH + 1):
+        state, entry = (level == depth) & (key < 0), (level == depth) & (key >= 0)
+        tree.levels.append(Level(-1 - key[state][::-1], value[state][::-1], key[entry], value[entry]))
+    tree.rest = stored(whole.where(~in_head).select("key", "value", F.lit(True).alias("in_tree")).unionByName(keyed(counts.where(~is_known), tree).withColumn("in_tree", F.lit(False))))
+    dropped(*files)
+    release(spark)
     return tree
 
 
-SCORED = "n_tokens long, n_known long, n_rare long, base double, score double, key long, words array<long>, tf array<int>"
+def rewritten(contexts: DataFrame) -> DataFrame:
+    """With suffix as the code of a context of one symbol instead of the symbol."""
+
+    def run(batch):
+        suffix = batch.column("suffix").to_numpy()
+        return {"context": batch.column("context"), "total": batch.column("total"), "suffix": fold(np.zeros(len(suffix), np.int64), suffix)}
+
+    return map_batches(contexts, run, "context long, total long, suffix long", rows=0)
 
 
-def row_key(doc: object, text: bytes) -> int:
-    return int(np.uint64(xxhash.xxh3_64_intdigest(repr(doc).encode() + b"\0" + text)).astype(np.int64))
+SCORED = "id long, n_tokens long, n_known long, n_rare long, n_based long, base double, score double, words array<long>, tf array<int>, based array<int>, at array<int>, step array<byte>, key array<long>, value array<double>"
+LISTS = {"words": pa.int64(), "tf": pa.int32(), "based": pa.int32(), "at": pa.int32(), "step": pa.int8(), "key": pa.int64(), "value": pa.float64()}
 
 
 def scored(docs: DataFrame, shared) -> DataFrame:
-    """doc_id, what the tree and the known words say of each text, its other words, and key, which names equal rows."""
-    memo: list[Places] = []
+    """doc_id, id (of the row), what the broadcast part of the tree and the known words say of each text, and what is left to
+    look up: its other words with their counts (tf), and with those of them whose score only lacks their base (based); and for
+    each token (at) of which the rest of the tree may know something, steps: 2 * depth adds a value, 2 * depth + 1 sets it anew
+    and makes void what is before, 0 and 1 set the base. The value is given (no key) or that of a key."""
+    hashes, done = WordHashes(), [0]
 
     def run(batch):
-        tree: Tree = shared.value
-        memo or memo.append(Places(tree))
-        log_known = tree.log_base(tree.counts)
-        out = {k: [] for k in ("n_tokens", "n_known", "n_rare", "base", "score", "words", "tf")}
-        for chunk in chunks(batch, tree, memo[0]):
-            known = chunk.places >= 0
-            base = np.where(known, log_known[chunk.places], 0.0)
-            p = tree.log_p(chunk.symbols, [chunk.contexts(d + 1) for d in range(len(tree.levels))], base)
-            for k, x in (("n_tokens", np.ones(len(p), np.int64)), ("n_known", known.astype(np.int64)), ("n_rare", (~known).astype(np.int64)), ("base", base), ("score", p)):
+        tree, rest = shared.value
+        log_known, log_none = tree.log_base(tree.counts), float(tree.log_base(np.zeros(1))[0])
+        first = TaskContext.get().partitionId() << 40
+        out = {k: [] for k in ("n_tokens", "n_known", "n_rare", "n_based", "base", "score")}
+        lists = {k: [] for k in LISTS}
+        for chunk in chunks(batch, hashes):
+            place, known = find(tree.words, chunk.hashes)
+            base = np.where(known, log_known[place], 0.0) if len(log_known) else np.zeros(len(known))
+            p, lacks, is_open, (token, step, key, value, given) = unfinished(chunk, tree, rest, known, base, log_none)
+            based = lacks & ~is_open
+            sums = (np.ones(len(p), np.int64), known.astype(np.int64), (~known).astype(np.int64), based.astype(np.int64), base, np.where(is_open, 0.0, p))
+            for k, x in zip(out, sums, strict=True):
                 out[k].extend(chunk.sums(x))
-            for words, start in zip(chunk.words, chunk.starts.tolist(), strict=True):
-                others = np.flatnonzero(~known[start : start + len(words)]).tolist()
-                seen = Counter([words[k] for k in others])
-                out["words"].append(np.fromiter(map(xxhash.xxh3_64_intdigest, seen), np.uint64, len(seen)).view(np.int64))
-                out["tf"].append(np.fromiter(seen.values(), np.int32, len(seen)))
-        ids = batch.column("doc_id").to_pylist()
-        return {"doc_id": ids, "key": [row_key(d, t) for d, t in zip(ids, texts(batch), strict=True)]} | out
+            others = np.flatnonzero(~known)
+            row, word = chunk.row(others), chunk.hashes[others]
+            order = np.lexsort((word, row))
+            row, word, others = row[order], word[order], others[order]
+            head = np.union1d(firsts(row), firsts(word))
+            tf, tf_based = np.diff(np.append(head, len(row))), np.add.reduceat(based[others].astype(np.int64), head) if len(head) else head
+            for k, at, x in (("words", row[head], word[head].view(np.int64)), ("tf", row[head], tf), ("based", row[head], tf_based)):
+                lists[k].append((np.bincount(at, minlength=len(chunk.starts)), pa.array(x, LISTS[k])))
+            per_row = np.bincount(chunk.row(token), minlength=len(chunk.starts))
+            for k, x in (("at", pa.array(token, LISTS["at"])), ("step", pa.array(step, LISTS["step"])), ("key", pa.array(key, LISTS["key"], mask=given)), ("value", pa.array(value, LISTS["value"], mask=~given))):
+                lists[k].append((per_row, x))
+        for k, parts in lists.items():
+            lengths = np.concatenate([np.zeros(1, np.int64), *(n for n, _ in parts)])
+            out[k] = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths), pa.int32()), pa.concat_arrays([pa.array([], LISTS[k]), *(x for _, x in parts)]))
+        out["id"] = range(first + done[0], first + done[0] + batch.num_rows)
+        done[0] += batch.num_rows
+        return {"doc_id": batch.column("doc_id").to_pylist()} | out
 
     return map_batches(doc_input(docs), run, f"doc_id {dict(docs.dtypes)['doc_id']}, {SCORED}")
 
 
+def unfinished(chunk: Chunk, tree: Tree, rest: Bitmap, known: np.ndarray, base: np.ndarray, log_none: float):
+    """For each token its value from the broadcast tree, whether that lacks the base of its word, and whether the rest of the
+    tree may change it; and the steps of the latter: token, step, key, value, is without key; sorted by token."""
+    p, lacks, is_open, told_at = base, ~known, np.zeros(len(known), bool), np.zeros(len(known), np.int8)
+    steps = []
+
+    def step(tokens: np.ndarray, number: int, key: np.ndarray | None = None, value: np.ndarray | float = 0.0) -> None:
+        steps.append((tokens, np.full(len(tokens), number, np.int8), np.zeros(len(tokens), np.int64) if key is None else key, np.broadcast_to(value, len(tokens)), np.full(len(tokens), key is None)))
+
+    for depth, (level, (codes, grams)) in enumerate(zip(tree.levels, chunk.steps(), strict=False), 1):
+        left = np.zeros(len(p))
+        some = np.flatnonzero(codes >= 0)
+        at, there = find(level.contexts, codes[some])
+        states = some[there]
+        left[states] = level.log_left[at[there]]
+        asked = some[~there]
+        asked = asked[rest.has(-1 - codes[asked])]
+        states = np.concatenate([states, asked])
+        at, there = find(level.entries, grams[states])
+        told, told_p = states[there], level.log_p[at[there]]
+        sought = states[~there]
+        sought = sought[rest.has(grams[sought])]
+        fresh = np.zeros(len(p), bool)
+        fresh[asked] = fresh[sought] = True
+        fresh &= ~is_open
+        new = np.flatnonzero(fresh & ~lacks)
+        step(new, 2 * depth - 1, value=p[new])
+        new = np.flatnonzero(fresh & lacks)
+        step(new, 0, value=log_none)
+        step(new, 1, key=word_keys(chunk.hashes[new]))
+        step(new, 2, value=p[new])
+        is_open |= fresh
+        lasting = np.flatnonzero(is_open & (left != 0))
+        step(lasting, 2 * depth, value=left[lasting])
+        step(asked, 2 * depth, key=-1 - codes[asked])
+        step(sought, 2 * depth + 1, key=grams[sought])
+        p = p + left
+        p[told], lacks[told], is_open[told], told_at[told] = told_p, False, False, depth
+    if not steps:
+        step(np.zeros(0, np.int64), 0)
+    token, number, key, value, given = (np.concatenate(x) for x in zip(*steps, strict=True))
+    lasting = np.flatnonzero(is_open[token] & ((told_at[token] == 0) | (number > 2 * told_at[token])))
+    lasting = lasting[np.argsort(token[lasting], kind="stable")]
+    return p, lacks, is_open, tuple(x[lasting] for x in (token, number, key, value, given))
+
+
 def score_documents(docs: DataFrame, training: Column) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score; the tree learns from the rows where training holds."""
     learnt = docs.where(training)
     counts = cut(word_counts(learnt))
     tree = learn(learnt, counts)
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
+    in_tree = tree.rest.where("in_tree").select(F.col("key").alias("code"))
+    shared = docs.sparkSession.sparkContext.broadcast((tree, bitmap(in_tree, in_tree.count())))
     size = F.lit(float(tree.n + 0.5 * (tree.v + 1)))
-    known = max(2, math.ceil(tree.n * KNOWN_SHARE))
-    made = cut(scored(docs, shared))
-    rare = made.select("key", F.explode(F.arrays_zip("words", "tf")).alias("r")).select("key", F.col("r.words").alias("word"), F.col("r.tf").alias("tf"))
-    rare = rare.join(counts.where(F.col("n") < known), "word")
-    sums = rare.groupBy("key").agg(F.sum("tf").alias("found"), F.sum(F.col("tf") * F.log10((F.col("n") + 0.5) / size)).alias("log_found"))
-    rows = made.groupBy("key").agg(*(F.first(c).alias(c) for c in ("doc_id", "n_tokens", "n_known", "n_rare", "base", "score")), F.count("*").alias("copies"))
-    one = rows.join(sums, "key", "left")
-    found, log_found = F.coalesce(F.col("found") / F.col("copies"), F.lit(0)).cast("long"), F.coalesce(F.col("log_found") / F.col("copies"), F.lit(0.0))
-    extra = log_found + (F.col("n_rare") - found) * F.log10(F.lit(0.5) / size)
-    done = one.select("doc_id", "n_tokens", (F.col("n_known") + found).alias("n_known"), F.lit(tree.n).cast("long").alias("train_tokens"), (F.col("base") + extra).alias("base_score"), (F.col("score") + extra).alias("score"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy"))
-    return done.drop("_copy")
+    made = stored(scored(docs, shared))
+    rare = made.select("id", F.explode(F.arrays_zip("words", "tf", "based")).alias("r")).select("id", F.col("r.words").alias("word"), F.col("r.tf").alias("tf"), F.col("r.based").alias("based"))
+    log_base = F.log10((F.col("n") + 0.5) / size)
+    rare = rare.join(counts.where(F.col("n") < max(LEAST, math.ceil(tree.n * KNOWN_SHARE))), "word")
+    sums = rare.groupBy("id").agg(F.sum("tf").alias("found"), F.sum(F.col("tf") * log_base).alias("log_found"), F.sum("based").alias("based"), F.sum(F.col("based") * log_base).alias("log_based"))
+    steps = made.select("id", F.explode(F.arrays_zip("at", "step", "key", "value")).alias("r")).select("id", F.col("r.at").alias("at"), F.col("r.step").alias("step"), F.col("r.key").alias("key"), F.col("r.value").alias("value"))
+    asked = steps.where(F.col("key").isNotNull()).drop("value").join(tree.rest.select("key", "value"), "key")
+    steps = steps.where(F.col("key").isNull()).drop("key").unionByName(asked.drop("key"))
+    sets = F.when((F.col("step") == 0) | (F.col("step") % 2 == 1), F.col("step"))
+    adds = [F.coalesce(F.sum(F.when(F.col("step") == 2 * d, F.col("value"))), F.lit(0.0)).alias(f"add{d}") for d in range(1, DEPTH + 1)]
+    tokens = steps.groupBy("id", "at").agg(F.max(sets).alias("set"), F.max_by("value", sets).alias("p"), *adds)
+    p = F.col("p")
+    for d in range(1, DEPTH + 1):
+        p = p + F.when(F.col("set") < 2 * d, F.col(f"add{d}")).otherwise(0.0)
+    tokens = tokens.groupBy("id").agg(F.sum(p).alias("log_tree"))
+    one = made.drop("words", "tf", "at", "step", "key", "value").withColumnRenamed("based", "_").join(sums, "id", "left").join(tokens, "id", "left")
+    none = F.log10(F.lit(0.5) / size)
+    or_0 = lambda c: F.coalesce(F.col(c), F.lit(0))
+    base = F.col("base") + or_0("log_found") + (F.col("n_rare") - or_0("found")) * none
+    score = F.col("score") + or_0("log_based") + (F.col("n_based") - or_0("based")) * none + or_0("log_tree")
+    return one.select("doc_id", "n_tokens", (F.col("n_known") + or_0("found")).cast("long").alias("n_known"), F.lit(tree.n).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -506,6 +506,28 @@ def test_suffix_tree_scores_against_brute_force(spark):
     assert n_states > 20 and all(math.isclose(got[k], w, rel_tol=1e-9) for k, w in enumerate(want))
 
 
+@pytest.mark.parametrize(("head", "bits"), [(0, 1 << 10), (300, 1 << 29)])
+def test_suffix_tree_looks_up_what_is_not_broadcast(spark, monkeypatch, head, bits):
+    for name, value in (("HEAD_ROWS", head), ("MOST_BITS", bits), ("KNOWN_SHARE", 0.003)):
+        monkeypatch.setattr(suffix_tree, name, value)
+    rng, words = random.Random(15), [f"w{k}" for k in range(250)]
+    texts = [" ".join(words[min(int(rng.expovariate(0.02)), 249)] for _ in range(rng.randrange(40))) for _ in range(150)]
+    texts += [f"{a} {b}" for a, b in zip(texts[:60], reversed(texts[:120]))] + ["", "w0 w1", "unknown w0 words", texts[3], texts[3]]
+    docs = spark.createDataFrame([(k, t, "a", "s", 0) for k, t in enumerate(texts)], SCHEMA)
+    want, n_states = brute_scores(texts, [k % 4 != 1 for k in range(len(texts))])
+    got = {r.doc_id: r.score for r in suffix_tree.score_documents(docs, F.col("doc_id") % 4 != 1).collect()}
+    assert n_states > 100 and len(got) == len(texts) and all(math.isclose(got[k], w, rel_tol=1e-9) for k, w in enumerate(want))
+
+
+def test_suffix_tree_keeps_what_occurs_twice(spark):
+    rng, passage = random.Random(16), " ".join(f"seldom{k}" for k in range(12))
+    texts = [" ".join(f"w{rng.randrange(40)}" for _ in range(100)) for _ in range(80)]
+    texts += [f"{texts[0]} {passage}", f"{passage} {texts[1]}", passage]
+    docs = spark.createDataFrame([(k, t, "a", "s", 0) for k, t in enumerate(texts)], SCHEMA)
+    (got,) = suffix_tree.score_documents(docs, F.col("doc_id") != 82).where("doc_id = 82").collect()
+    assert got.n_known == 13 and got.score - got.base_score > 11 * 3
+
+
 def test_suffix_tree_learns_and_sums_to_one(spark):
     rng, text = random.Random(11), []
     for k in range(60):
