@@ -9,10 +9,12 @@ mass set free goes to the distribution of the shorter state, at last to the base
 scored token by token from the longest suffix that is a state. Symbols and contexts are named by 64-bit and 63-bit hashes, so
 neither the number of symbols nor the depth is bound.
 
-The tree is a table and grows with the corpus; no part of it is left out. The `HEAD_ROWS` states and entries of the largest
-counts are broadcast, all others are looked up by joins, as are the counts of words under KNOWN_SHARE of the tokens. Bitmaps of
-hashed codes (`MOST_BITS` bits at most) spare lookups of what the tree surely lacks; what they let pass is settled by joins, so
-they change the work and not the result.
+The tree is a table and grows with the corpus; no part of it is left out. What a state or an entry changes in the logarithm of a
+token's probability does not depend on the other states, so a text's score is its base and a sum of values looked up by key. The
+`HEAD_ROWS` states and entries of the largest counts are broadcast, all others are looked up after a shuffle, as are the counts of
+words under KNOWN_SHARE of the tokens. Bitmaps of keys (`MOST_BITS` bits at most) spare lookups of what the tree surely lacks;
+what they let pass is settled by the lookup, so they change the work and not the result. Tables go through shuffles and files as
+arrays packed by slices of the range of codes.
 
 Defined results: a null or empty text is the end token alone; equal rows have equal scores, each its own row; rows without
 doc_id are training rows; an empty training set gives every token the probability 1 / (V + 1) with V = 0; an empty table
@@ -22,20 +24,22 @@ text are ignored.
 
 from __future__ import annotations
 
+import gc
 import itertools
 import math
+import time
 import uuid
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import WordHashes, cut, doc_input, ensure_checkpoint_dir, map_batches, mix64, release, table, texts
+from quarrylens.llm.common import MEMO_BYTES, cut, doc_input, ensure_checkpoint_dir, map_batches, mix64, release, table
 from quarrylens.llm.language_id import held_out
 
 KNOWN_SHARE = 5e-7
@@ -43,28 +47,47 @@ KNOWN_SHARE = 5e-7
 SYMBOL_GROWTH, ENTRY_GROWTH, CONTEXT, MOST_ENTRIES = 0.0, 0.0, 2, math.inf
 LEAST = 2
 DEPTH, DISCOUNT = 3, 0.5
-#: Rows of the tree that are broadcast, and the size of a bitmap: bits for each code, and at most.
-HEAD_ROWS, BITS_EACH, MOST_BITS = 4_000_000, 16, 1 << 29
-#: Tokens of a chunk of texts and of a task that adds counts, and the slices of codes that such a task has on average.
-CHUNK_TOKENS, TASK_TOKENS, SLICES = 500_000, 2_000_000, 8
+#: Rows of the tree that are broadcast, and the size of a bitmap: bits for each key, and at most.
+HEAD_ROWS, BITS_EACH, MOST_BITS = 2_000_000, 16, 1 << 29
+#: Bytes of a chunk of texts and of what is hashed at once, tokens of a task that adds counts, and the slices of codes that such a task has at least.
+CHUNK_BYTES, HASH_BYTES, TASK_TOKENS, SLICES = 1 << 21, 1 << 18, 2_000_000, 4
+#: Parts in which the texts are scored if there are more than PART_TOKENS training tokens, so that not all lookups are on disk at once.
+PARTS, PART_TOKENS = 4, 5_000_000
+#: Rows that a task that adds counts gathers before it adds them up.
+GATHERED = 4_000_000
 #: The end of a text is the empty word; what stands before a text and what marks the key of a word are no words.
 END, START, WORD = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b"", b" ", b"  "))
 RARE = 0
+#: Packed rows: entries or grams, contexts, words; tree rows of depth d have TREE + d.
+GRAMS, TABLE, TREE, WORDS, DOCS, ASK, ASK_WORDS = 0, 1, 2, 20, 21, 22, 23
+PACKED = "slice int, kind byte, a binary, b binary, c binary, d binary"
+#: Of a value that is looked up: sums of whole numbers do not depend on their order.
+UNIT = 2.0**-36
 
 
 def fold(codes: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-    """The code of a context that is one symbol longer."""
+    """The code of a context and what follows: a symbol, or the code of a shorter context and that symbol."""
     return (mix64(codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + symbols.astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
 
 
+def spread(keys: np.ndarray) -> np.ndarray:
+    """What deals keys in slices: the same for a code and for the key of the state of that code."""
+    keys = keys.view(np.int64)
+    return (keys ^ (keys >> np.int64(63))).view(np.uint64) << np.uint64(1)
+
+
+def log_base(n: int, v: int, counts: np.ndarray) -> np.ndarray:
+    return np.log10((counts + 0.5) / (n + 0.5 * (v + 1)))
+
+
 @dataclass
 class Level:
-    """States of one depth and their entries, each sorted by code."""
+    """States of one depth and their entries, each sorted by code; what they add to the logarithm of a probability."""
 
     contexts: np.ndarray
     log_left: np.ndarray
     entries: np.ndarray
-    log_p: np.ndarray
+    adds: np.ndarray
 
 
 @dataclass
@@ -74,65 +97,93 @@ class Tree:
     words: np.ndarray  # known word hashes, sorted
     counts: np.ndarray
     symbols: np.ndarray  # the symbol of each known word
+    slice_bits: int
+    tasks: int
     levels: list[Level] = field(default_factory=list)  # what is broadcast
-    rest: DataFrame | None = None  # key, value, in_tree: all other states and entries, and the base of words that are not known
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"rest": None}
+    rest: DataFrame | None = None  # packed: keys, values of all other states and entries, and of words that are not known
+    bitmap: Bitmap | None = None  # of the rest, without words
+    paths: list[str] = field(default_factory=list)  # the files of the rest
 
     def log_base(self, counts: np.ndarray) -> np.ndarray:
-        return np.log10((counts + 0.5) / (self.n + 0.5 * (self.v + 1)))
+        return log_base(self.n, self.v, counts)
 
     def log_p(self, symbols: np.ndarray, contexts: list[np.ndarray], base: np.ndarray) -> np.ndarray:
         """log10 probability of each symbol after its contexts of depth 1, 2, ... (-1: none); base: that without context."""
-        out = base.copy()
+        out, grams = base.copy(), symbols
         for level, codes in zip(self.levels, contexts, strict=False):
-            if not len(level.contexts):
-                continue
-            some = np.flatnonzero(codes >= 0)
-            at, there = find(level.contexts, codes[some])
-            some = some[there]
-            out[some] += level.log_left[at[there]]
-            if len(level.entries):
-                some = some[symbols[some] != RARE]
-                entry, there = find(level.entries, fold(codes[some], symbols[some]))
-                out[some[there]] = level.log_p[entry[there]]
+            grams = fold(codes, grams)
+            for keys, values, asked, some in ((level.contexts, level.log_left, codes, codes >= 0), (level.entries, level.adds, grams, (codes >= 0) & (symbols != RARE))):
+                at, there = find(keys, asked)
+                some = np.flatnonzero(some & there)
+                out[some] += values[at[some]]
         return out
 
 
+class Index:
+    """Sorted, evenly spread 64-bit keys that are found by their first bits."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = np.append(keys[order], ~np.uint64(0)), np.append(values[order], 0.0)
+        bits = max(1, len(keys).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.edge = np.searchsorted(self.keys[:-1], np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The value of each key (0: none) and whether it is there."""
+        at = self.edge[keys >> self.shift]
+        low = np.flatnonzero(self.keys[at] < keys)
+        while len(low):
+            at[low] += 1
+            low = low[self.keys[at[low]] < keys[low]]
+        there = self.keys[at] == keys
+        return np.where(there, self.values[at], 0.0), there
+
+
 @dataclass
 class Bitmap:
-    """Two bits for each of a set of codes: a code without them is not in the set."""
+    """Two bits for each of a set of keys, in the block of their code: a key without them is not in the set."""
 
     bits: int
     words: np.ndarray
 
-    def has(self, codes: np.ndarray) -> np.ndarray:
-        out = np.ones(len(codes), bool)
-        for at in places(codes, self.bits):
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        out = np.ones(len(keys), bool)
+        for at in places(keys, self.bits):
             out &= (self.words[at >> np.int64(6)] >> (at & np.int64(63)).astype(np.uint64)) & np.uint64(1) != 0
         return out
 
 
-def places(codes: np.ndarray, bits: int) -> list[np.ndarray]:
-    mixed = mix64(codes.view(np.uint64))
-    return [(x & np.uint64(bits - 1)).astype(np.int64) for x in (mixed, mixed >> np.uint64(32))]
+def blocks(spreads: np.ndarray, bits: int) -> np.ndarray:
+    return (spreads >> np.uint64(64 - (bits.bit_length() - 10))).astype(np.int64)
 
 
-def bitmap(codes: DataFrame, n: int) -> Bitmap:
-    """Of the n codes in the column code."""
+def places(keys: np.ndarray, bits: int) -> list[np.ndarray]:
+    block, inner = blocks(spread(keys), bits) << np.int64(9), keys.view(np.uint64)
+    return [block | (x & np.uint64(511)).astype(np.int64) for x in (inner, inner >> np.uint64(9))]
+
+
+def bitmap(rows: DataFrame, n: int, slice_bits: int, tasks: int) -> Bitmap:
+    """Of the n keys in column a of packed rows."""
     bits = min(MOST_BITS, 1 << max(10, (n * BITS_EACH).bit_length()))
 
-    def run(batch):
-        at = np.concatenate(places(batch.column("code").to_numpy(), bits))
-        word, where = np.unique(at >> np.int64(6), return_inverse=True)
-        mask = np.zeros(len(word), np.uint64)
-        np.bitwise_or.at(mask, where, np.uint64(1) << (at & np.int64(63)).astype(np.uint64))
-        return {"word": word, "mask": mask.view(np.int64)}
+    def run(batches):
+        own: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for k, a in zip(batch.column("slice").to_pylist(), batch.column("a").to_pylist(), strict=True):
+                own.setdefault(k, []).append(a)
+        for k, parts in own.items():
+            low, high = blocks(np.array([k << (64 - slice_bits), ((k + 1) << (64 - slice_bits)) - 1], np.uint64), bits).tolist()
+            made = np.zeros((high - low + 1) * 512, bool)
+            for at in places(np.frombuffer(b"".join(parts), np.int64), bits):
+                made[at - (low << 9)] = True
+            yield pa.RecordBatch.from_arrays([pa.array([low]), pa.array([np.packbits(made, bitorder="little").tobytes()], pa.binary())], ["low", "made"])
 
-    word, mask = numbers(map_batches(codes.select("code"), run, "word long, mask long", rows=0).groupBy("word").agg(F.bit_or("mask").alias("mask")))
     words = np.zeros(bits // 64, np.uint64)
-    words[word] = mask.view(np.uint64)
+    got = rows.select("slice", "a").repartition(tasks, "slice").mapInArrow(run, "low long, made binary").toArrow()
+    for low, made in zip(got.column("low").to_pylist(), got.column("made"), strict=True):
+        part = np.frombuffer(made.as_buffer(), np.uint64)
+        words[low * 8 : low * 8 + len(part)] |= part
     return Bitmap(bits, words)
 
 
@@ -140,58 +191,134 @@ def bitmap(codes: DataFrame, n: int) -> Bitmap:
 class Chunk:
     """Some texts of a batch: the hash of each token, one text after the other, each with its end."""
 
-    words: list[list[bytes]]
     hashes: np.ndarray
     starts: np.ndarray
 
     def steps(self):
-        """For each depth the code of the symbols before each token, and of these with the token; -1 if there are fewer."""
+        """For each depth the code of the symbols before each token, that of one symbol less with the token (at first the token),
+        and that of all these with the token; -1 if there are fewer."""
         before = np.empty_like(self.hashes)
         before[1:] = self.hashes[:-1]
         before[self.starts] = START
-        codes = fold(np.zeros(len(before), np.int64), before)
+        codes, parents = fold(np.zeros(len(before), np.int64), before), self.hashes.view(np.int64)
         for _ in range(DEPTH):
-            grams = np.where(codes >= 0, fold(codes, self.hashes), -1)
-            yield codes, grams
-            codes = np.empty_like(grams)
+            grams = np.where(codes >= 0, fold(codes, parents), -1)
+            yield codes, parents, grams
+            codes, parents = np.empty_like(grams), grams
             codes[1:] = grams[:-1]
             codes[self.starts] = -1
 
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(values, self.starts)
+
     def row(self, tokens: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, tokens, "right") - 1
 
-    def sums(self, values: np.ndarray) -> list:
-        return np.add.reduceat(values, self.starts).tolist()
-
 
-def chunks(batch, hashes: WordHashes):
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: A number for each byte, the same for upper and lower case, 0 for white space.
+BYTE = np.where(SPACE, np.uint64(0), mix64(np.frombuffer(bytes(range(256)).lower(), np.uint8).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)))
+_R = 0xD1342543DE82EF95
+POWERS, INVERSE = (np.multiply.accumulate(np.append(np.uint64(1), np.full(HASH_BYTES + MEMO_BYTES, x, np.uint64))) for x in (_R, pow(_R, -1, 1 << 64)))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of words in bytes; those of up to MEMO_BYTES are a sum over powers of an odd number, mixed."""
+    out = np.empty(len(starts), np.uint64)
+    long = ends - starts > MEMO_BYTES
+    done = 0
+    while done < len(starts):
+        low = starts[done]
+        end = max(done + 1, int(np.searchsorted(starts, low + HASH_BYTES)))
+        some = slice(done, end)
+        part = data[low : min(ends[end - 1], starts[end - 1] + MEMO_BYTES)]
+        sums = np.add.reduceat(BYTE[part] * POWERS[: len(part)], starts[some] - low)
+        out[some] = mix64(sums * INVERSE[starts[some] - low] + (ends[some] - starts[some]).astype(np.uint64))
+        done = end
+    for k in np.flatnonzero(long):
+        out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]].tobytes().lower())
+    return out
+
+
+def chunks(batch):
     """The texts of a batch in chunks of bounded size (a single longer text is a chunk)."""
-    words, n = [], 0
-    for text in [*texts(batch), None]:
-        if words and (text is None or n >= CHUNK_TOKENS):
-            lengths = np.array([len(w) for w in words])
-            yield Chunk(words, np.fromiter(map(hashes.__getitem__, itertools.chain.from_iterable(words)), np.uint64, n), np.cumsum(lengths) - lengths)
-            words, n = [], 0
-        if text is not None:
-            words.append(text.lower().split() + [b""])
-            n += len(words[-1])
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Like cut, in a fifth to half of the space: hashes as Parquet in the shared checkpoint folder."""
+    column = batch.column("text")
+    if column.null_count:
+        column = column.fill_null(b"")
+    edges = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    low = 0
+    while low < len(column):
+        high = max(low + 1, int(np.searchsorted(edges, edges[low] + CHUNK_BYTES, "right")) - 1)
+        yield hashed(data[edges[low] : edges[high]], edges[low : high + 1] - edges[low])
+        low = high
+
+
+def hashed(data: np.ndarray, edges: np.ndarray) -> Chunk:
+    space = SPACE[data]
+    is_start, is_end = ~space, ~space
+    is_start[1:] &= space[:-1]
+    is_end[:-1] &= space[1:]
+    inner = edges[:-1][edges[:-1] < len(data)]
+    is_start[inner] = ~space[inner]
+    inner = edges[1:][edges[1:] > 0] - 1
+    is_end[inner] = ~space[inner]
+    starts, ends = np.flatnonzero(is_start), np.flatnonzero(is_end) + 1
+    del is_start, is_end, space
+    before = np.searchsorted(starts, edges)
+    out = np.full(len(starts) + len(edges) - 1, END, np.uint64)
+    out[np.arange(len(starts)) + np.repeat(np.arange(len(edges) - 1), np.diff(before))] = word_hashes(data, starts, ends)
+    return Chunk(out, before[:-1] + np.arange(len(edges) - 1))
+
+
+def packed(kind: int, slices: np.ndarray, **columns: np.ndarray) -> dict:
+    """Packed rows of columns that are sorted by slice."""
+    first = firsts(slices)
+    sides = list(zip(first.tolist(), np.append(first, len(slices))[1:].tolist(), strict=True))
+    none = [None] * len(first)
+    return {"slice": slices[first].astype(np.int32), "kind": np.full(len(first), kind, np.int8)} | {k: [columns[k][i:j].tobytes() for i, j in sides] if k in columns else none for k in "abcd"}
+
+
+def dealt(kind: int, slice_bits: int, keys: np.ndarray, **columns: np.ndarray) -> dict:
+    slices = spread(keys) >> np.uint64(64 - slice_bits)
+    order = np.argsort(slices, kind="stable")
+    return packed(kind, slices[order], **{k: x[order] for k, x in columns.items()})
+
+
+def record_batch(columns: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns["slice"], pa.int32()), pa.array(columns["kind"], pa.int8()), *(pa.array(columns[k], pa.binary()) for k in "abcd")], ["slice", "kind", *"abcd"])
+
+
+def unpacked(batch, kind: int, *types) -> list[np.ndarray]:
+    """The columns of the packed rows of a kind, end to end."""
+    some = pa.array(np.flatnonzero(batch.column("kind").to_numpy() == kind))
+    return [np.frombuffer(b"".join(batch.column(k).take(some).to_pylist()), t) for k, t in zip("abcd", types, strict=False)]
+
+
+def joined(parts: list[list[np.ndarray]], *types) -> list[np.ndarray]:
+    return [np.concatenate([np.zeros(0, t), *(p[k] for p in parts)]) for k, t in enumerate(types)]
+
+
+def stored(df: DataFrame, *by: str) -> str:
+    """The path of a table as Parquet in the shared checkpoint folder, parted by columns."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/tree-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    return path
+
 
+def dropped(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
-def dropped(*tables: DataFrame) -> None:
-    """Delete what stored wrote."""
-    for df in tables:
-        jvm = df.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0]).getParent()
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+def freed(spark: SparkSession) -> None:
+    """release, once the JVM has heard which tables Python let go of: a thread of its own tells it. Spark holds the last query
+    until another has run."""
+    gc.collect()
+    time.sleep(0.5)
+    release(spark)
 
 
 def find(table_: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -201,108 +328,130 @@ def find(table_: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table_[at] == keys
 
 
+def firsts(values: np.ndarray) -> np.ndarray:
+    """Where sorted values differ from those before."""
+    return np.flatnonzero(np.append(np.ones(min(len(values), 1), bool), values[1:] != values[:-1]))
+
+
+def numbers(df: DataFrame) -> list[np.ndarray]:
+    got = df.toArrow()
+    return [got.column(c).to_numpy() for c in df.columns]
+
+
 def word_counts(training: DataFrame) -> DataFrame:
     """word (hash), n: counts of all training tokens."""
 
     def run(batch):
-        seen: Counter = Counter()
-        for text in texts(batch):
-            seen.update(text.lower().split())
-        seen[b""] += batch.num_rows
-        return {"word": np.fromiter(map(xxhash.xxh3_64_intdigest, seen), np.uint64, len(seen)).view(np.int64), "n": np.fromiter(seen.values(), np.int64, len(seen))}
+        word, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *(c.hashes for c in chunks(batch))]), return_counts=True)
+        return {"word": word.view(np.int64), "n": n}
 
     return map_batches(doc_input(training), run, "word long, n long", rows=0).groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def context_counts(training: DataFrame, depth: int, frequent: Bitmap | None, n_tokens: int) -> DataFrame:
-    """context (code), symbol (that follows), n: counts from LEAST on after the contexts of one depth that the bitmap lets pass
-    (None: all). They are dealt in packed slices of the range of codes, since most occur once and go after the shuffle."""
-    spark = training.sparkSession
-    shared = spark.sparkContext.broadcast(frequent)
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_tokens // TASK_TOKENS + 1)
-    edges = np.linspace(0, 2.0**63, SLICES * tasks + 1)[1:-1].astype(np.int64)
-    hashes = WordHashes()
+def gram_counts(training: DataFrame, depth: int, frequent: Bitmap | None, slice_bits: int) -> DataFrame:
+    """Packed context, parent, n of the texts' chunks, dealt by the parent; only contexts that the bitmap lets pass (None: all)."""
+    shared = training.sparkSession.sparkContext.broadcast(frequent)
+    top = np.uint64(64 - slice_bits)
 
     def run(batch):
-        for chunk in chunks(batch, hashes):
-            context, gram = next(itertools.islice(chunk.steps(), depth - 1, None))
+        for chunk in chunks(batch):
+            context, parent, gram = next(itertools.islice(chunk.steps(), depth - 1, None))
             some = np.flatnonzero(context >= 0)
             if shared.value is not None:
                 some = some[shared.value.has(context[some])]
-            some = some[np.argsort(gram[some])]
-            gram = gram[some]
-            first = firsts(gram)
-            bounds = np.concatenate([[0], np.searchsorted(gram[first], edges), [len(first)]])
-            packed = (context[some[first]], chunk.hashes[some[first]], np.diff(np.append(first, len(some))).astype(np.int32))
-            full = np.flatnonzero(np.diff(bounds))
-            sides = list(zip(bounds[full].tolist(), bounds[full + 1].tolist(), strict=True))
-            yield {"slice": full} | {k: [x[i:j].tobytes() for i, j in sides] for k, x in zip(("context", "symbol", "n"), packed, strict=True)}
-
-    def add(batches):
-        parts = [[np.frombuffer(b"".join(batch.column(k).to_pylist()), kind) for k, kind in (("context", np.int64), ("symbol", np.int64), ("n", np.int32))] for batch in batches]
-        if not parts:
-            return
-        context, symbol, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-        del parts
-        gram = fold(context, symbol)
-        order = np.argsort(gram)
-        first = firsts(gram[order])
-        n = np.add.reduceat(n[order].astype(np.int64), first) if len(first) else n
+            gram, parent = gram[some], parent[some]
+            key = ((spread(parent) >> top) << top) | (gram.view(np.uint64) >> np.uint64(slice_bits - 1))
+            order = np.argsort(key)
+            first = firsts(gram[order])
+            at = order[first]
+            yield packed(GRAMS, key[at] >> top, a=context[some[at]], b=parent[at], c=np.diff(np.append(first, len(order))).astype(np.int32))
+
+    return map_batches(doc_input(training), run, PACKED, rows=0)
+
+
+def added(context: np.ndarray, parent: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Counts of the same gram added up: context, parent, n."""
+    gram = fold(context, parent)
+    order = np.argsort(gram)
+    first = firsts(gram[order])
+    at = order[first]
+    return [context[at], parent[at], np.add.reduceat(n[order].astype(np.int64), first) if len(first) else n.astype(np.int64)]
+
+
+def counted(slice_bits: int):
+    """From gram_counts and code, log_p of the entries one symbol shorter: packed context, code, n, log_p of the shorter entry, of
+    what was counted LEAST times, dealt by context."""
+
+    def run(batches):
+        grams, shorter, size = [], [], 0
+        for batch in batches:
+            got = unpacked(batch, GRAMS, np.int64, np.int64, np.int32)
+            shorter.append(unpacked(batch, TABLE, np.int64, np.float64))
+            grams.append(got)
+            size += len(got[0])
+            if size > GATHERED and len(grams) > 1:
+                grams = [added(*joined(grams, np.int64, np.int64, np.int64))]
+                size = len(grams[0][0]) // 2
+        context, parent, n = added(*joined(grams, np.int64, np.int64, np.int64))
+        del grams
+        codes, log_p = joined(shorter, np.int64, np.float64)
+        order = np.argsort(codes)
+        codes, log_p = codes[order], log_p[order]
         often = np.flatnonzero(n >= LEAST)
-        at = order[first[often]]
-        for k in range(0, len(at), CHUNK_TOKENS):
-            some = at[k : k + CHUNK_TOKENS]
-            yield pa.RecordBatch.from_arrays([pa.array(context[some]), pa.array(symbol[some]), pa.array(n[often[k : k + CHUNK_TOKENS]].astype(np.int64))], ["context", "symbol", "n"])
-
-    return map_batches(doc_input(training), run, "slice int, context binary, symbol binary, n binary", rows=0).repartition(tasks, "slice").mapInArrow(add, "context long, symbol long, n long")
-
-
-def firsts(values: np.ndarray) -> np.ndarray:
-    """Where sorted values differ from those before."""
-    return np.flatnonzero(np.append(np.ones(min(len(values), 1), bool), values[1:] != values[:-1]))
-
-
-def numbers(df: DataFrame) -> list[np.ndarray]:
-    got = df.toArrow()
-    return [got.column(c).to_numpy() for c in df.columns]
-
-
-def grown(entries: DataFrame, contexts: DataFrame, shorter: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The states of one depth that pass the divergence test, and all entries. entries: context, symbol, n; contexts: context,
-    total, suffix (the code without the first symbol, null if that was the only one); shorter: code, log_p of the entries one
-    symbol shorter. States: code, log_left, n; entries: code, parent, n, log_p, explicit (its context is a state). Deletes what it
-    was given as entries."""
-
-    def coded(batch):
-        context, symbol, suffix = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("context", "symbol", "suffix"))
-        parent = symbol if batch.column("suffix").null_count else fold(suffix, symbol)
-        return {c: batch.column(c) for c in ("context", "n", "total", "left")} | {"code": fold(context, symbol), "parent": parent}
-
-    sizes = entries.groupBy("context").agg(F.sum("n").alias("explicit"), F.count("*").alias("kinds"))
-    sizes = sizes.join(contexts, "context").withColumn("left", F.greatest((F.col("total") - F.col("explicit") + DISCOUNT * F.col("kinds")) / F.col("total"), F.lit(1e-12)))
-    sizes = stored(sizes)
-    made = map_batches(entries.join(sizes, "context"), coded, "context long, n long, total long, left double, code long, parent long", rows=0)
-    made = made.join(shorter.select(F.col("code").alias("parent"), F.col("log_p").alias("below")), "parent")
-    made = stored(made.select("context", "code", "parent", "n", "below", ((F.col("n") - DISCOUNT) / F.col("total") + F.col("left") * F.pow(F.lit(10.0), "below")).alias("p")))
-    dropped(entries)
-    release(entries.sparkSession)
-    gains = made.groupBy("context").agg(F.sum(F.col("n") * (F.log("p") - F.col("below") * math.log(10))).alias("gain"))
-    gain = F.col("gain") + (F.col("total") - F.col("explicit")) * F.log("left")
-    states = stored(sizes.join(gains, "context").where(gain > 0.5 * F.log(F.col("total") + 1) * (F.col("kinds") + 1)).select(F.col("context").alias("code"), F.log10("left").alias("log_left"), F.col("total").alias("n")))
-    explicit = F.col("state").isNotNull()
-    done = made.join(states.select(F.col("code").alias("state")), F.col("context") == F.col("state"), "left")
-    done = stored(done.select("code", "parent", "n", F.when(explicit, F.log10("p")).otherwise(F.col("below")).alias("log_p"), explicit.alias("explicit")))
-    dropped(made, sizes)
-    return states, done
-
-
-def keyed(words: DataFrame, tree: Tree) -> DataFrame:
-    """key, value: the base of words."""
-
-    def run(batch):
-        return {"key": word_keys(batch.column("word").to_numpy()), "value": tree.log_base(batch.column("n").to_numpy())}
-
-    return map_batches(words, run, "key long, value double", rows=0)
+        context, parent, n = context[often], parent[often], n[often]
+        order = np.argsort(parent)
+        at, there = find(codes, parent[order])
+        order, at = order[there], at[there]
+        if len(order):
+            yield record_batch(dealt(GRAMS, slice_bits, context[order], a=context[order], b=fold(context[order], parent[order]), c=n[order], d=log_p[at]))
+
+    return run
+
+
+def size_class(n: np.ndarray) -> np.ndarray:
+    return np.floor(np.log2(n) * 8).astype(np.int16)
+
+
+def grown(depth: int, slice_bits: int):
+    """From counted and context, total: what passes the divergence test, dealt by code, as TREE + depth: key, value, size class.
+    Keys are -1 - code of states and codes of their entries. And, for the next depth, all entries as GRAMS: code, log_p, n; and
+    contexts that are frequent enough as TABLE: code, n."""
+
+    def run(batches):
+        entries, contexts = [], []
+        for batch in batches:
+            entries.append(unpacked(batch, GRAMS, np.int64, np.int64, np.int64, np.float64))
+            contexts.append(unpacked(batch, TABLE, np.int64, np.int64))
+        context, code, n, below = joined(entries, np.int64, np.int64, np.int64, np.float64)
+        known, total = joined(contexts, np.int64, np.int64)
+        order = np.argsort(known)
+        known, total = known[order], total[order]
+        order = np.argsort(context)
+        at, there = find(known, context[order])
+        order, at = order[there], at[there]
+        if not len(order):
+            return
+        context, code, n, below = context[order], code[order], n[order], below[order]
+        first = firsts(context)
+        kinds, explicit, total = np.diff(np.append(first, len(context))), np.add.reduceat(n, first), total[at[first]]
+        left = np.maximum((total - explicit + DISCOUNT * kinds) / total, 1e-12)
+        of = np.repeat(np.arange(len(first)), kinds)
+        p = (n - DISCOUNT) / total[of] + left[of] * 10.0**below
+        gain = np.add.reduceat(n * (np.log(p) - below * math.log(10)), first) + (total - explicit) * np.log(left)
+        state = gain > 0.5 * np.log(total + 1) * (kinds + 1)
+        states, told = np.flatnonzero(state), np.flatnonzero(state[of])
+        log_left, log_p = np.log10(left), np.log10(p)
+        key = np.concatenate([-1 - context[first[states]], code[told]])
+        value = np.concatenate([log_left[states], log_p[told] - below[told] - log_left[of[told]]])
+        if len(key):
+            yield record_batch(dealt(TREE + depth, slice_bits, key, a=key, b=value, c=size_class(np.concatenate([total[states], n[told]]))))
+        if depth < DEPTH:
+            yield record_batch(dealt(GRAMS, slice_bits, code, a=code, b=np.where(state[of], log_p, below)))
+            often = np.flatnonzero(n >= max(4, CONTEXT * LEAST))
+            if len(often):
+                yield record_batch(dealt(TABLE, slice_bits, code[often], a=code[often], b=n[often]))
+
+    return run
 
 
 def word_keys(words: np.ndarray) -> np.ndarray:
@@ -311,195 +460,230 @@ def word_keys(words: np.ndarray) -> np.ndarray:
 
 def learn(training: DataFrame, counts: DataFrame) -> Tree:
     """counts: word_counts(training), materialised."""
+    spark = training.sparkSession
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // TASK_TOKENS + 1)
+    slice_bits = (SLICES * tasks).bit_length()
     end = int(END.astype(np.int64))
     is_known = (F.col("n") >= max(LEAST, math.ceil(n * KNOWN_SHARE))) | (F.col("word") == F.lit(end))  # at most 1 / KNOWN_SHARE
     words, known = numbers(counts.where(is_known))
     order = np.argsort(words.view(np.uint64))
     words, known = words.view(np.uint64)[order], known[order]
-    tree = Tree(n, v, words, known, np.where((known >= LEAST) | (words == END), words.view(np.int64), RARE))
-    spark = training.sparkSession
+    tree = Tree(n, v, words, known, np.where((known >= LEAST) | (words == END), words.view(np.int64), RARE), slice_bits, tasks)
     rows = int(known[words == END].sum())
+    freed(spark)
+
+    def as_contexts(batch):
+        code = fold(np.zeros(batch.num_rows, np.int64), batch.column("word").to_numpy())
+        return dealt(TABLE, slice_bits, code, a=code, b=batch.column("n").to_numpy())
 
-    def contexts(batch):
+    def as_symbols(batch):
         word = batch.column("word").to_numpy()
-        return {"context": fold(np.zeros(len(word), np.int64), word), "total": batch.column("n")}
+        return dealt(TABLE, slice_bits, word, a=word, b=log_base(n, v, batch.column("n").to_numpy()))
+
+    def as_rest(batch):
+        key, count = word_keys(batch.column("word").to_numpy()), batch.column("n").to_numpy()
+        return dealt(WORDS, slice_bits, key, a=key, b=log_base(n, v, count) - log_base(n, v, np.zeros(1)))
 
     begin = spark.createDataFrame([(int(START.astype(np.int64)), rows)] if rows else [], "word long, n long")
-    of = map_batches(counts.where((F.col("n") >= LEAST) & (F.col("word") != F.lit(end))).unionByName(begin), contexts, "context long, total long", rows=0).withColumn("suffix", F.lit(None).cast("long"))
-    size = F.lit(float(n + 0.5 * (v + 1)))
-    shorter = counts.where((F.col("n") >= LEAST) | (F.col("word") == F.lit(end))).select(F.col("word").alias("code"), F.log10((F.col("n") + 0.5) / size).alias("log_p"))
-    frequent, parts, files = None, [], []
+    often, is_end = F.col("n") >= LEAST, F.col("word") == F.lit(end)
+    contexts = map_batches(counts.where(often & ~is_end).unionByName(begin), as_contexts, PACKED, rows=0)
+    shorter = map_batches(counts.where(often | is_end), as_symbols, PACKED, rows=0)
+    frequent, parts, done = None, [], []
     for depth in range(1, DEPTH + 1):
-        found = stored(context_counts(training, depth, frequent, n))
-        release(spark)
-        states, entries = grown(found, of, shorter)
-        files += [states, entries]
-        parts += [states.select((-1 - F.col("code")).alias("key"), F.col("log_left").alias("value"), "n", F.lit(depth).alias("depth"))]
-        parts += [entries.where("explicit").select(F.col("code").alias("key"), F.col("log_p").alias("value"), "n", F.lit(depth).alias("depth"))]
-        release(spark)
-        often = entries.where(F.col("n") >= max(4, CONTEXT * LEAST))
-        n_often = often.count()
+        made = gram_counts(training, depth, frequent, slice_bits).unionByName(shorter).repartition(tasks, "slice").mapInArrow(counted(slice_bits), PACKED)
+        path = stored(made.unionByName(contexts).repartition(tasks, "slice").mapInArrow(grown(depth, slice_bits), PACKED), "kind")
+        for x in done:
+            dropped(spark, x)
+        done = [f"{path}/kind={k}" for k in (GRAMS, TABLE)]
+        tree.paths.append(path)
+        whole = spark.read.schema(PACKED).parquet(path)
+        parts.append(whole.where(F.col("kind") == TREE + depth))
+        contexts, shorter = whole.where(F.col("kind") == TABLE), whole.where(F.col("kind") == GRAMS).withColumn("kind", F.lit(TABLE).cast("byte"))
+        n_often = contexts.agg(F.coalesce(F.sum(F.length("a")), F.lit(0))).first()[0] // 8
+        freed(spark)
         if depth == DEPTH or not n_often:
             break
-        of, shorter = often.select(F.col("code").alias("context"), F.col("n").alias("total"), F.col("parent").alias("suffix")), entries
-        if depth == 1:  # the suffix of two symbols is the code of the last alone
-            of = rewritten(of)
-        frequent = bitmap(often, n_often)
+        frequent = bitmap(contexts, n_often, slice_bits, tasks)
+    for x in done:
+        dropped(spark, x)
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)
-    size_class = F.floor(F.log2("n") * 8)
-    least, room = None, HEAD_ROWS
-    for k, rows in sorted(whole.groupBy(size_class.alias("k")).count().collect(), reverse=True):
+
+    def classes(batch):
+        k, rows = np.unique(np.frombuffer(b"".join(batch.column("c").to_pylist()), np.int16), return_counts=True)
+        return {"k": k, "rows": rows}
+
+    least, n_rest, room = 1 << 14, 0, HEAD_ROWS  # no size class is as large
+    for k, rows in sorted(map_batches(whole, classes, "k int, rows long", rows=0).groupBy("k").agg(F.sum("rows")).collect(), reverse=True):
         room -= rows
         if room < 0:
-            break
-        least = k
-    in_head = F.lit(False) if least is None else size_class >= least
-    key, value, level = numbers(whole.where(in_head).select("key", "value", "depth"))  # at most HEAD_ROWS
-    order = np.argsort(key)
-    key, value, level = key[order], value[order], level[order]
+            n_rest += rows
+        else:
+            least = k
+
+    def in_head(batch):
+        for depth in range(1, DEPTH + 1):
+            key, value, k = unpacked(batch, TREE + depth, np.int64, np.float64, np.int16)
+            yield {"depth": [depth], "key": [key[k >= least].tobytes()], "value": [value[k >= least].tobytes()]}
+
+    def in_rest(batch):
+        rows = [(k, *(np.frombuffer(x, t) for x, t in zip(r, (np.int64, np.float64, np.int16), strict=True))) for k, *r in zip(*(batch.column(c).to_pylist() for c in ("slice", "a", "b", "c")), strict=True)]
+        rows = [(k, key[size < least], value[size < least]) for k, key, value, size in rows]
+        rows = [(k, key.tobytes(), value.tobytes()) for k, key, value in rows if len(key)]
+        return {"slice": [k for k, _, _ in rows], "kind": [TREE] * len(rows), "a": [a for _, a, _ in rows], "b": [b for _, _, b in rows]} | {c: [None] * len(rows) for c in "cd"}
+
+    head = map_batches(whole, in_head, "depth int, key binary, value binary", rows=0).toArrow()  # at most HEAD_ROWS
     for depth in range(1, DEPTH + 1):
-        state, entry = (level == depth) & (key < 0), (level == depth) & (key >= 0)
-        tree.levels.append(Level(-1 - key[state][::-1], value[state][::-1], key[entry], value[entry]))
-    tree.rest = stored(whole.where(~in_head).select("key", "value", F.lit(True).alias("in_tree")).unionByName(keyed(counts.where(~is_known), tree).withColumn("in_tree", F.lit(False))))
-    dropped(*files)
-    release(spark)
+        some = head.filter(pa.compute.equal(head.column("depth"), depth))
+        key, value = (np.frombuffer(b"".join(some.column(c).to_pylist()), t) for c, t in (("key", np.int64), ("value", np.float64)))
+        order = np.argsort(key)
+        key, value = key[order], value[order]
+        edge = np.searchsorted(key, 0)
+        tree.levels.append(Level(-1 - key[:edge][::-1], value[:edge][::-1], key[edge:], value[edge:]))
+    rest = map_batches(whole, in_rest, PACKED, rows=0)
+    tree.bitmap = bitmap(rest, n_rest, slice_bits, tasks)
+    tree.rest = rest.unionByName(map_batches(counts.where(~is_known), as_rest, PACKED, rows=0))
+    freed(spark)
     return tree
 
 
-def rewritten(contexts: DataFrame) -> DataFrame:
-    """With suffix as the code of a context of one symbol instead of the symbol."""
-
-    def run(batch):
-        suffix = batch.column("suffix").to_numpy()
-        return {"context": batch.column("context"), "total": batch.column("total"), "suffix": fold(np.zeros(len(suffix), np.int64), suffix)}
-
-    return map_batches(contexts, run, "context long, total long, suffix long", rows=0)
+def log_none(tree: Tree) -> float:
+    return float(tree.log_base(np.zeros(1))[0])
 
 
-SCORED = "id long, n_tokens long, n_known long, n_rare long, n_based long, base double, score double, words array<long>, tf array<int>, based array<int>, at array<int>, step array<byte>, key array<long>, value array<double>"
-LISTS = {"words": pa.int64(), "tf": pa.int32(), "based": pa.int32(), "at": pa.int32(), "step": pa.int8(), "key": pa.int64(), "value": pa.float64()}
+def broadcast(spark: SparkSession, tree: Tree):
+    """The head of the tree, the known words and the bitmap of the rest, for scored."""
+    keys, values = (np.concatenate([np.zeros(0, t), *(y for x in tree.levels for y in x_of(x))]) for t, x_of in ((np.int64, lambda x: (-1 - x.contexts, x.entries)), (np.float64, lambda x: (x.log_left, x.adds))))
+    return spark.sparkContext.broadcast((Index(keys.view(np.uint64), values), Index(tree.words, tree.log_base(tree.counts)), tree.bitmap))
 
 
-def scored(docs: DataFrame, shared) -> DataFrame:
-    """doc_id, id (of the row), what the broadcast part of the tree and the known words say of each text, and what is left to
-    look up: its other words with their counts (tf), and with those of them whose score only lacks their base (based); and for
-    each token (at) of which the rest of the tree may know something, steps: 2 * depth adds a value, 2 * depth + 1 sets it anew
-    and makes void what is before, 0 and 1 set the base. The value is given (no key) or that of a key."""
-    hashes, done = WordHashes(), [0]
+def scored(docs: DataFrame, tree: Tree, shared, kind: str) -> DataFrame:
+    """What the broadcast part of the tree and the known words say of each text, as DOCS; and packed keys and rows of what is left
+    to look up: its other words as ASK_WORDS, and as ASK the states and entries that the rest of the tree may have. part and row
+    tell texts apart."""
+    none, slice_bits, done = log_none(tree), tree.slice_bits, [0]
+    names = ["part", "row", "doc_id", "n_tokens", "n_known", "base", "score"]
 
     def run(batch):
-        tree, rest = shared.value
-        log_known, log_none = tree.log_base(tree.counts), float(tree.log_base(np.zeros(1))[0])
-        first = TaskContext.get().partitionId() << 40
-        out = {k: [] for k in ("n_tokens", "n_known", "n_rare", "n_based", "base", "score")}
-        lists = {k: [] for k in LISTS}
-        for chunk in chunks(batch, hashes):
-            place, known = find(tree.words, chunk.hashes)
-            base = np.where(known, log_known[place], 0.0) if len(log_known) else np.zeros(len(known))
-            p, lacks, is_open, (token, step, key, value, given) = unfinished(chunk, tree, rest, known, base, log_none)
-            based = lacks & ~is_open
-            sums = (np.ones(len(p), np.int64), known.astype(np.int64), (~known).astype(np.int64), based.astype(np.int64), base, np.where(is_open, 0.0, p))
-            for k, x in zip(out, sums, strict=True):
-                out[k].extend(chunk.sums(x))
+        head, words, rest = shared.value
+        part = TaskContext.get().partitionId()
+
+        def asked(number, key, row):
+            made = dealt(number, slice_bits, key, a=key, b=row.astype(np.int32))
+            n = len(made["slice"])
+            return made | {k: [None] * n for k in names} | {"part": [part] * n}
+
+        at = 0
+        for chunk in chunks(batch):
+            n, first = len(chunk.starts), done[0]
+            base, known = words.find(chunk.hashes)
+            score, ask = base + np.where(known, 0.0, none), []
+            sums = {"n_tokens": chunk.sums(np.ones(len(base), np.int64)), "n_known": chunk.sums(known.astype(np.int64)), "base": chunk.sums(score)}
             others = np.flatnonzero(~known)
-            row, word = chunk.row(others), chunk.hashes[others]
-            order = np.lexsort((word, row))
-            row, word, others = row[order], word[order], others[order]
-            head = np.union1d(firsts(row), firsts(word))
-            tf, tf_based = np.diff(np.append(head, len(row))), np.add.reduceat(based[others].astype(np.int64), head) if len(head) else head
-            for k, at, x in (("words", row[head], word[head].view(np.int64)), ("tf", row[head], tf), ("based", row[head], tf_based)):
-                lists[k].append((np.bincount(at, minlength=len(chunk.starts)), pa.array(x, LISTS[k])))
-            per_row = np.bincount(chunk.row(token), minlength=len(chunk.starts))
-            for k, x in (("at", pa.array(token, LISTS["at"])), ("step", pa.array(step, LISTS["step"])), ("key", pa.array(key, LISTS["key"], mask=given)), ("value", pa.array(value, LISTS["value"], mask=~given))):
-                lists[k].append((per_row, x))
-        for k, parts in lists.items():
-            lengths = np.concatenate([np.zeros(1, np.int64), *(n for n, _ in parts)])
-            out[k] = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths), pa.int32()), pa.concat_arrays([pa.array([], LISTS[k]), *(x for _, x in parts)]))
-        out["id"] = range(first + done[0], first + done[0] + batch.num_rows)
-        done[0] += batch.num_rows
-        return {"doc_id": batch.column("doc_id").to_pylist()} | out
-
-    return map_batches(doc_input(docs), run, f"doc_id {dict(docs.dtypes)['doc_id']}, {SCORED}")
-
-
-def unfinished(chunk: Chunk, tree: Tree, rest: Bitmap, known: np.ndarray, base: np.ndarray, log_none: float):
-    """For each token its value from the broadcast tree, whether that lacks the base of its word, and whether the rest of the
-    tree may change it; and the steps of the latter: token, step, key, value, is without key; sorted by token."""
-    p, lacks, is_open, told_at = base, ~known, np.zeros(len(known), bool), np.zeros(len(known), np.int8)
-    steps = []
-
-    def step(tokens: np.ndarray, number: int, key: np.ndarray | None = None, value: np.ndarray | float = 0.0) -> None:
-        steps.append((tokens, np.full(len(tokens), number, np.int8), np.zeros(len(tokens), np.int64) if key is None else key, np.broadcast_to(value, len(tokens)), np.full(len(tokens), key is None)))
-
-    for depth, (level, (codes, grams)) in enumerate(zip(tree.levels, chunk.steps(), strict=False), 1):
-        left = np.zeros(len(p))
-        some = np.flatnonzero(codes >= 0)
-        at, there = find(level.contexts, codes[some])
-        states = some[there]
-        left[states] = level.log_left[at[there]]
-        asked = some[~there]
-        asked = asked[rest.has(-1 - codes[asked])]
-        states = np.concatenate([states, asked])
-        at, there = find(level.entries, grams[states])
-        told, told_p = states[there], level.log_p[at[there]]
-        sought = states[~there]
-        sought = sought[rest.has(grams[sought])]
-        fresh = np.zeros(len(p), bool)
-        fresh[asked] = fresh[sought] = True
-        fresh &= ~is_open
-        new = np.flatnonzero(fresh & ~lacks)
-        step(new, 2 * depth - 1, value=p[new])
-        new = np.flatnonzero(fresh & lacks)
-        step(new, 0, value=log_none)
-        step(new, 1, key=word_keys(chunk.hashes[new]))
-        step(new, 2, value=p[new])
-        is_open |= fresh
-        lasting = np.flatnonzero(is_open & (left != 0))
-        step(lasting, 2 * depth, value=left[lasting])
-        step(asked, 2 * depth, key=-1 - codes[asked])
-        step(sought, 2 * depth + 1, key=grams[sought])
-        p = p + left
-        p[told], lacks[told], is_open[told], told_at[told] = told_p, False, False, depth
-    if not steps:
-        step(np.zeros(0, np.int64), 0)
-    token, number, key, value, given = (np.concatenate(x) for x in zip(*steps, strict=True))
-    lasting = np.flatnonzero(is_open[token] & ((told_at[token] == 0) | (number > 2 * told_at[token])))
-    lasting = lasting[np.argsort(token[lasting], kind="stable")]
-    return p, lacks, is_open, tuple(x[lasting] for x in (token, number, key, value, given))
+            yield asked(ASK_WORDS, word_keys(chunk.hashes[others]), first + chunk.row(others))
+            for codes, _, grams in chunk.steps():
+                some = np.flatnonzero(codes >= 0)
+                for key in (-1 - codes[some], grams[some]):
+                    value, there = head.find(key.view(np.uint64))
+                    score[some] += value
+                    missing = np.flatnonzero(~there)
+                    missing = missing[rest.has(key[missing])]
+                    ask.append((key[missing], some[missing]))
+            key, token = (np.concatenate(x) for x in zip(*ask, strict=True))
+            yield asked(ASK, key, first + chunk.row(token))
+            yield {"slice": [part % (1 << slice_bits)] * n, "kind": [DOCS] * n, "part": [part] * n, "row": range(first, first + n), "doc_id": batch.column("doc_id").slice(at, n), "score": chunk.sums(score)} | {k: [None] * n for k in "abcd"} | sums
+            at, done[0] = at + n, first + n
+
+    return map_batches(doc_input(docs), run, f"{PACKED}, part int, row int, doc_id {kind}, n_tokens long, n_known long, base double, score double")
+
+
+OF_DOCS = ["doc_id", "row", "n_tokens", "n_known", "base", "score"]
+
+
+def looked_up(batches):
+    """Per part the rows and values of what was asked for and is there, packed; texts go through."""
+    tables, asked, doc_type = {TREE: [], WORDS: []}, {ASK: [], ASK_WORDS: []}, None
+    for batch in batches:
+        kinds, doc_type = batch.column("kind").to_numpy(), batch.schema.field("doc_id").type
+        docs = batch.take(pa.array(np.flatnonzero(kinds == DOCS)))
+        if docs.num_rows:
+            yield pa.RecordBatch.from_arrays([docs.column("part"), docs.column("kind"), *(docs.column(k) for k in ("a", "b", *OF_DOCS))], ["part", "kind", "a", "b", *OF_DOCS])
+        for kind, parts in tables.items():
+            parts.append(unpacked(batch, kind, np.int64, np.float64))
+        for kind, parts in asked.items():
+            some = batch.filter(pa.array(kinds == kind)).select(["part", "a"])
+            part = np.repeat(some.column("part").to_numpy(zero_copy_only=False).astype(np.int32), [len(x) // 8 for x in some.column("a").to_pylist()])
+            parts.append([*unpacked(batch, kind, np.int64, np.int32), part])
+    for kind, of in ((ASK, TREE), (ASK_WORDS, WORDS)):
+        key, value = joined(tables.pop(of), np.int64, np.float64)
+        order = np.argsort(key)
+        key, value = key[order], value[order]
+        sought, row, part = joined(asked.pop(kind), np.int64, np.int32, np.int32)
+        order = np.argsort(sought)
+        at, there = find(key, sought[order])
+        order, at = order[there], at[there]
+        by_part = np.argsort(part[order], kind="stable")
+        order, at = order[by_part], at[by_part]
+        if len(order):
+            made = packed(kind, part[order], a=row[order], b=np.rint(value[at] / UNIT).astype(np.int64))
+            n = len(made["kind"])
+            none = [pa.nulls(n, t) for t in (doc_type, pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+            yield pa.RecordBatch.from_arrays([pa.array(made["slice"]), pa.array(made["kind"]), pa.array(made["a"], pa.binary()), pa.array(made["b"], pa.binary()), *none], ["part", "kind", "a", "b", *OF_DOCS])
+
+
+def summed(batches):
+    """The texts with the values that were looked up for them."""
+    docs, asked = [], {ASK: [], ASK_WORDS: []}
+    for batch in batches:
+        kinds = batch.column("kind").to_numpy()
+        docs.append(batch.take(pa.array(np.flatnonzero(kinds == DOCS))))
+        for kind, parts in asked.items():
+            some = batch.filter(pa.array(kinds == kind)).select(["part", "a"])
+            part = np.repeat(some.column("part").to_numpy(zero_copy_only=False).astype(np.int64), [len(x) // 4 for x in some.column("a").to_pylist()])
+            row, value = unpacked(batch, kind, np.int32, np.int64)
+            parts.append([part << 32 | row, value])
+    if not sum(x.num_rows for x in docs):
+        return
+    table_ = pa.Table.from_batches(docs).combine_chunks()
+    ids = table_.column("part").to_numpy().astype(np.int64) << 32 | table_.column("row").to_numpy()
+    order = np.argsort(ids)
+    table_, ids = table_.take(pa.array(order)), ids[order]
+    found, sums = np.zeros(len(ids), np.int64), {}
+    for kind, parts in asked.items():
+        own, value = joined(parts, np.int64, np.int64)
+        at = np.searchsorted(ids, own)
+        sums[kind] = np.zeros(len(ids), np.int64)
+        np.add.at(sums[kind], at, value)
+        if kind == ASK_WORDS:
+            np.add.at(found, at, 1)
+    of_words = sums[ASK_WORDS] * UNIT
+    columns = [table_.column("doc_id"), table_.column("n_tokens"), pa.array(table_.column("n_known").to_numpy() + found), pa.array(table_.column("base").to_numpy() + of_words), pa.array(table_.column("score").to_numpy() + of_words + sums[ASK] * UNIT)]
+    yield from pa.table(columns, ["doc_id", "n_tokens", "n_known", "base_score", "score"]).to_batches(max_chunksize=10_000)
 
 
 def score_documents(docs: DataFrame, training: Column) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score; the tree learns from the rows where training holds."""
-    learnt = docs.where(training)
-    counts = cut(word_counts(learnt))
-    tree = learn(learnt, counts)
-    in_tree = tree.rest.where("in_tree").select(F.col("key").alias("code"))
-    shared = docs.sparkSession.sparkContext.broadcast((tree, bitmap(in_tree, in_tree.count())))
-    size = F.lit(float(tree.n + 0.5 * (tree.v + 1)))
-    made = stored(scored(docs, shared))
-    rare = made.select("id", F.explode(F.arrays_zip("words", "tf", "based")).alias("r")).select("id", F.col("r.words").alias("word"), F.col("r.tf").alias("tf"), F.col("r.based").alias("based"))
-    log_base = F.log10((F.col("n") + 0.5) / size)
-    rare = rare.join(counts.where(F.col("n") < max(LEAST, math.ceil(tree.n * KNOWN_SHARE))), "word")
-    sums = rare.groupBy("id").agg(F.sum("tf").alias("found"), F.sum(F.col("tf") * log_base).alias("log_found"), F.sum("based").alias("based"), F.sum(F.col("based") * log_base).alias("log_based"))
-    steps = made.select("id", F.explode(F.arrays_zip("at", "step", "key", "value")).alias("r")).select("id", F.col("r.at").alias("at"), F.col("r.step").alias("step"), F.col("r.key").alias("key"), F.col("r.value").alias("value"))
-    asked = steps.where(F.col("key").isNotNull()).drop("value").join(tree.rest.select("key", "value"), "key")
-    steps = steps.where(F.col("key").isNull()).drop("key").unionByName(asked.drop("key"))
-    sets = F.when((F.col("step") == 0) | (F.col("step") % 2 == 1), F.col("step"))
-    adds = [F.coalesce(F.sum(F.when(F.col("step") == 2 * d, F.col("value"))), F.lit(0.0)).alias(f"add{d}") for d in range(1, DEPTH + 1)]
-    tokens = steps.groupBy("id", "at").agg(F.max(sets).alias("set"), F.max_by("value", sets).alias("p"), *adds)
-    p = F.col("p")
-    for d in range(1, DEPTH + 1):
-        p = p + F.when(F.col("set") < 2 * d, F.col(f"add{d}")).otherwise(0.0)
-    tokens = tokens.groupBy("id").agg(F.sum(p).alias("log_tree"))
-    one = made.drop("words", "tf", "at", "step", "key", "value").withColumnRenamed("based", "_").join(sums, "id", "left").join(tokens, "id", "left")
-    none = F.log10(F.lit(0.5) / size)
-    or_0 = lambda c: F.coalesce(F.col(c), F.lit(0))
-    base = F.col("base") + or_0("log_found") + (F.col("n_rare") - or_0("found")) * none
-    score = F.col("score") + or_0("log_based") + (F.col("n_based") - or_0("based")) * none + or_0("log_tree")
-    return one.select("doc_id", "n_tokens", (F.col("n_known") + or_0("found")).cast("long").alias("n_known"), F.lit(tree.n).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))
+    spark, learnt = docs.sparkSession, docs.where(training)
+    tree = learn(learnt, cut(word_counts(learnt)))
+    shared, kind = broadcast(spark, tree), dict(docs.dtypes)["doc_id"]
+    of_docs = f"doc_id {kind}, row int, n_tokens long, n_known long, base double, score double"
+    schema = f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double"
+    rest, paths = tree.rest.withColumn("part", F.lit(-1)), []
+    parts = PARTS if tree.n > PART_TOKENS else 1
+    for k in range(parts):
+        own = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)) == k) if parts > 1 else docs
+        made = scored(own, tree, shared, kind).unionByName(rest, allowMissingColumns=True)
+        made = made.repartition(tree.tasks, "slice").mapInArrow(looked_up, f"part int, kind byte, a binary, b binary, {of_docs}")
+        paths.append(stored(made.repartition(tree.tasks, "part").mapInArrow(summed, schema)))
+        if parts > 1:
+            spark.range(1).collect()
+            freed(spark)
+    for path in tree.paths:
+        dropped(spark, path)
+    done = spark.read.schema(schema).parquet(*paths)
+    return done.select("doc_id", "n_tokens", "n_known", F.lit(tree.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

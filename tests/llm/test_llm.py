@@ -3,11 +3,15 @@
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
+from unittest.mock import MagicMock
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -528,6 +532,39 @@ def test_suffix_tree_keeps_what_occurs_twice(spark):
     assert got.n_known == 13 and got.score - got.base_score > 11 * 3
 
 
+def test_suffix_tree_counts_words_in_bounded_memory(spark, monkeypatch):
+    runs = []
+    for name, made in (("doc_input", lambda df: df), ("map_batches", lambda df, run, *_, **__: runs.append(run) or df)):
+        monkeypatch.setattr(suffix_tree, name, made)
+    suffix_tree.word_counts(MagicMock())
+    text = " ".join(f"w{k}" for k in range(500_000)).encode()
+    batch = pa.RecordBatch.from_arrays([pa.array([text, None, b"w7 W7"], pa.binary())], ["text"])
+    tracemalloc.start()
+    try:
+        got = runs[0](batch)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sorted(np.asarray(got["n"]).tolist())[-3:] == [1, 3, 3] and len(got["n"]) == 500_001
+    assert peak < 12 * len(text)
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_suffix_tree_scores_in_parts_and_leaves_no_tables(spark, monkeypatch, parts):
+    for name, value in (("HEAD_ROWS", 50), ("KNOWN_SHARE", 0.01), ("PARTS", parts), ("PART_TOKENS", 100)):
+        monkeypatch.setattr(suffix_tree, name, value, raising=False)
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(folder.rglob("*.parquet"))
+    rng = random.Random(17)
+    texts = [" ".join(f"w{int(rng.expovariate(0.05))}" for _ in range(rng.randrange(50))) for _ in range(90)] + ["", "w1 w2", "w1 w2"]
+    docs = spark.createDataFrame([(None if k % 9 == 0 else k // 2, t, "a", "s", 0) for k, t in enumerate(texts)], SCHEMA).repartition(3)
+    want, _ = brute_scores(texts, [True] * len(texts))
+    got = suffix_tree.score_documents(docs, F.lit(True)).collect()
+    assert np.allclose(sorted(r.score for r in got), sorted(want), rtol=1e-9, atol=0)
+    left = set(folder.rglob("*.parquet")) - before
+    assert left and all("score" in pq.read_schema(p).names for p in left)
+
+
 def test_suffix_tree_learns_and_sums_to_one(spark):
     rng, text = random.Random(11), []
     for k in range(60):
