@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrylens.llm import decontamination, jaccard_join, language_id, license_scan, line_dedup, mixing, quality_classifier, quality_rules, suffix_tree, token_counts
+from quarrylens.llm import decontamination, filter_audit, jaccard_join, language_id, license_scan, line_dedup, mixing, quality_classifier, quality_rules, suffix_tree, token_counts
 
 QUERIES = {
     "op1_license_scan": license_scan.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_counts": token_counts.query,
     "op9_language_id": language_id.query,
     "op10_quality_classifier": quality_classifier.query,
+    "op11_filter_audit": filter_audit.query,
 }
 
 #: The others cannot be put in SQL; tests/llm holds them against brute force.
@@ -25,4 +26,5 @@ ORACLES = {
     "op5_quality_rules": quality_rules.oracle(),
     "op6_mixing": mixing.oracle(),
     "op7_jaccard_join": jaccard_join.oracle(),
+    "op11_filter_audit": filter_audit.oracle(),
 }
