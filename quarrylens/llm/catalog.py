@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrylens.llm import decontamination, filter_audit, jaccard_join, language_id, license_scan, line_dedup, mixing, quality_classifier, quality_rules, suffix_tree, token_counts
+from quarrylens.llm import chat_format, decontamination, filter_audit, jaccard_join, language_id, license_scan, line_dedup, mixing, quality_classifier, quality_rules, suffix_tree, token_counts
 
 QUERIES = {
     "op1_license_scan": license_scan.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_language_id": language_id.query,
     "op10_quality_classifier": quality_classifier.query,
     "op11_filter_audit": filter_audit.query,
+    "op12_chat_format": chat_format.query,
 }
 
 #: The others cannot be put in SQL; tests/llm holds them against brute force.
@@ -27,4 +28,5 @@ ORACLES = {
     "op6_mixing": mixing.oracle(),
     "op7_jaccard_join": jaccard_join.oracle(),
     "op11_filter_audit": filter_audit.oracle(),
+    "op12_chat_format": chat_format.oracle(),
 }
