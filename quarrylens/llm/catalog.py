@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrylens.llm import chat_format, decontamination, filter_audit, jaccard_join, language_id, license_scan, line_dedup, mixing, quality_classifier, quality_rules, suffix_tree, token_counts
+from quarrylens.llm import chat_format, collocations, decontamination, filter_audit, jaccard_join, language_id, license_scan, line_dedup, mixing, quality_classifier, quality_rules, suffix_tree, token_counts
 
 QUERIES = {
     "op1_license_scan": license_scan.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_quality_classifier": quality_classifier.query,
     "op11_filter_audit": filter_audit.query,
     "op12_chat_format": chat_format.query,
+    "op13_collocations": collocations.query,
 }
 
 #: The others cannot be put in SQL; tests/llm holds them against brute force.
@@ -29,4 +30,5 @@ ORACLES = {
     "op7_jaccard_join": jaccard_join.oracle(),
     "op11_filter_audit": filter_audit.oracle(),
     "op12_chat_format": chat_format.oracle(),
+    "op13_collocations": collocations.oracle(),
 }
