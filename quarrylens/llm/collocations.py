@@ -280,7 +280,7 @@ def _looked_up(rows: DataFrame, known: DataFrame, on: str, few: bool) -> DataFra
     """rows with the columns of known, which has a row for each key, named as column `on` of rows; a frequent word is no hot key."""
     if few:
         return rows.join(F.broadcast(known), on)  # counted before
-    spread = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    spread = known.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     return rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))).join(spread, [on, "_salt"]).drop("_salt")
 
 

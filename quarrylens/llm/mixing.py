@@ -71,7 +71,7 @@ def _with_source(rows: DataFrame, by_source: DataFrame, few: bool, how: str = "i
     if few:
         return rows.join(F.broadcast(right), same, how).drop("_source")  # the number of sources has been checked
     salts = 64
-    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return rows.withColumn("_row_salt", F.pmod(F.col("h"), F.lit(salts))).join(right, same & (F.col("_row_salt") == F.col("_salt")), how).drop("_source", "_salt", "_row_salt")
 
 

@@ -133,7 +133,7 @@ def judge(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
         joined = feats.join(F.broadcast(limits), same, "left")  # its size has just been checked
     else:
         salt = F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS))
-        spread = limits.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        spread = limits.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         joined = feats.withColumn("_row_salt", salt).join(spread, same & (F.col("_row_salt") == F.col("_salt")), "left").drop("_salt", "_row_salt")
     outside = F.lit(False)
     for n, (_, _, _, lower) in RATIOS.items():
