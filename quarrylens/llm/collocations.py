@@ -4,11 +4,10 @@
    language and word (checked to be unique in the dictionary), so that a task needs no copy of the dictionary, but a bitmap of it,
    of bounded size. A word that the bitmap does not know breaks a piece; one that it passes wrongly only makes phrases that are
    too rare to count.
-2. Pairs of ids are packed into 16-byte keys, sorted and run-length counted.
-3. Windows of up to five ids, cut before the first pair that is not frequent, are packed into 40-byte keys (zeros behind their end).
-   In sorted order all windows that begin with a phrase follow each other, so one pass counts the phrases of every length. Tasks
-   radix-sort and merge their own keys first (a hot phrase is one row for each `HELD` keys), then keys are range-partitioned, sorted and run-length counted; only the
-   runs at the ends of a range meet again.
+2. Pairs of ids are packed into binary keys of fixed width, radix-sorted and merged by each task (a hot pair is one row for each
+   `HELD` windows), partitioned by ranges of the key's leading digit, sorted and run-length counted.
+3. Windows of up to `longest` ids, cut before the first pair that is not frequent, go the same way, with zeros behind their end. In
+   sorted order all windows that begin with a phrase follow each other, so one pass counts the phrases of every length.
 4. Counts join back by key for the cuts of each phrase, for longer phrases that make it redundant, and for the words of its ids.
 
 Defined results: a null or empty text has no words; a null lang is `und`; repeated rows count each; doc_id is not used; ties go to
@@ -29,7 +28,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quarrylens.llm.common import BROADCAST_ROWS, WordHashes, cut, mix64, release, small, table
-from quarrylens.llm.suffix_tree import dropped, stored
 
 LONGEST, LEAST, TOP, PERCENT = 5, 100, 2000, 100
 #: Bits of a bitmap for each key, and at most (32 MB).
@@ -175,7 +173,8 @@ def windows(ids: np.ndarray, n: int, width: int, pairs: Bits | None) -> np.ndarr
 
 
 def packed_keys(docs: DataFrame, seed: int, words: Bits, pairs: Bits | None, width: int) -> DataFrame:
-    """key (ids of `width` words, 8 bytes each), n: keys of a task that differ, and how often each is there."""
+    """key, n: keys of a task that differ, and how often each is there. A key has `width` ids of 8 bytes behind a leading digit of
+    two bytes, taken from a hash of its first two ids (three, if pairs are given), so that digits are even whatever the words are."""
     shared = docs.sparkSession.sparkContext.broadcast((words, pairs))  # two bitmaps of at most MOST_BITS
 
     def run(batches):
@@ -196,11 +195,15 @@ def packed_keys(docs: DataFrame, seed: int, words: Bits, pairs: Bits | None, wid
                 held.append(windows(ids[k : k + HELD + width - 1], min(HELD, len(ids) - goes_on - k), width, pairs))
 
         def rows():
-            keys, n = merged(np.concatenate(held))
+            ids, n = merged(np.concatenate(held))
             held.clear()
+            digit = pair_hash(ids[:, 0].astype(np.uint64), ids[:, 1].astype(np.uint64))
+            if pairs is not None:
+                digit = pair_hash(digit, ids[:, 2].astype(np.uint64))
+            keys = np.concatenate([(digit >> np.uint64(48)).astype(">u2").view(np.uint8).reshape(-1, 2), ids.view(np.uint8).reshape(len(ids), 8 * width)], axis=1)
             for k in range(0, len(keys), 50_000):
                 part = np.ascontiguousarray(keys[k : k + 50_000])
-                offsets = np.arange(len(part) + 1, dtype=np.int32) * (8 * width)
+                offsets = np.arange(len(part) + 1, dtype=np.int32) * keys.shape[1]
                 yield pa.RecordBatch.from_arrays([pa.BinaryArray.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(offsets), pa.py_buffer(part.tobytes())]), pa.array(n[k : k + 50_000], pa.int64())], ["key", "n"])
 
         n = 0
@@ -228,43 +231,39 @@ def packed_keys(docs: DataFrame, seed: int, words: Bits, pairs: Bits | None, wid
 
 
 def run_lengths(packed: DataFrame, lengths: list[int], least: int = LEAST) -> DataFrame:
-    """key, n of the phrases of so many words with `least` occurrences or more. packed: key, n, where equal keys may come again."""
+    """key (ids), n of the phrases of so many words with `least` occurrences or more. packed: key, n, where equal keys may come
+    again. Ranges of the leading digit are the partitions, so a phrase that the digit is taken from lies in one of them."""
 
     def run(batches):
-        open_: dict[int, tuple[bytes, int, bool]] = {}  # words -> the run that may go on: its key, n, is it the first of the range
+        open_: dict[int, tuple[bytes, int]] = {}  # words -> the run that may go on in the next batch: its key, n
 
         def done(found):
+            found = [(key[2:], n) for key, n in found if n >= least and any(key[-8:])]
             return pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())], ["key", "n"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys, n = batch.column("key"), batch.column("n").to_numpy()
-            first = keys.offset
-            offsets = np.frombuffer(keys.buffers()[1], np.int32)[first : first + len(keys) + 1]
+            offsets = np.frombuffer(keys.buffers()[1], np.int32)[keys.offset : keys.offset + len(keys) + 1]
             table_ = np.frombuffer(keys.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(len(keys), -1)
             found = []
             for words in lengths:
-                part = table_[:, : 8 * words]
+                part = table_[:, : 2 + 8 * words]
                 starts = np.flatnonzero(np.append(True, (part[1:] != part[:-1]).any(axis=1)))
                 sums = np.add.reduceat(n, starts)
-                begins = True
                 if words in open_:
-                    key, before, begins = open_[words]
+                    key, before = open_[words]
                     if part[0].tobytes() == key:
                         sums[0] += before
                     else:
-                        if before >= least or begins:
-                            found.append((key, before))
-                        begins = False
-                whole = part[starts, 8 * words - 8 :].any(axis=1)
-                for k in np.flatnonzero(whole[:-1] & ((sums[:-1] >= least) | (begins & (np.arange(len(starts) - 1) == 0)))).tolist():
-                    found.append((part[starts[k]].tobytes(), int(sums[k])))
-                open_[words] = part[starts[-1]].tobytes(), int(sums[-1]), begins and len(starts) == 1
-            yield done([x for x in found if any(x[0][-8:])])
-        yield done([(key, n) for key, n, _ in open_.values() if any(key[-8:])])  # it may go on in the next range
+                        found.append((key, before))
+                found += [(part[starts[k]].tobytes(), int(sums[k])) for k in np.flatnonzero(sums[:-1] >= least).tolist()]
+                open_[words] = part[starts[-1]].tobytes(), int(sums[-1])
+            yield done(found)
+        yield done(open_.values())
 
-    return packed.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(run, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return packed.repartition(F.substring("key", 1, 2)).sortWithinPartitions("key").mapInArrow(run, "key binary, n long")
 
 
 def n_words() -> Column:
@@ -290,7 +289,7 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     counts = cut(word_counts(docs).where((F.col("n") >= least) | F.col("word").isNull()))
     words, seed = dictionary(counts, least)
     known = bitmap(words.select(F.col("id").alias("key")), words.count(), most_bits)
-    pairs = _counted(packed_keys(docs, seed, known, None, 2), [2], least)
+    pairs = cut(run_lengths(packed_keys(docs, seed, known, None, 2), [2], least))
     found = [pairs]
     if longest > 2:
 
@@ -300,20 +299,12 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
                 yield pa.RecordBatch.from_arrays([pa.array(pair_hash(keys[:, 0], keys[:, 1]).view(np.int64))], ["key"])
 
         often = bitmap(pairs.select("key").mapInArrow(hashes, "key long"), pairs.count(), most_bits)
-        found.append(_counted(packed_keys(docs, seed, known, often, longest), list(range(3, longest + 1)), least))
+        found.append(cut(run_lengths(packed_keys(docs, seed, known, often, longest), list(range(3, longest + 1)), least)))
     phrases = found[0] if len(found) == 1 else found[0].unionByName(found[1])
     release(spark)
     return words, counts.where("word IS NULL").select("lang", F.col("n").alias("total")), phrases
 
 
-def _counted(packed: DataFrame, lengths: list[int], least: int) -> DataFrame:
-    """run_lengths of keys that are written once: finding the ranges reads them a second time."""
-    path = stored(packed)
-    found = cut(run_lengths(packed.sparkSession.read.schema(packed.schema).parquet(path), lengths, least))
-    dropped(packed.sparkSession, path)
-    return found
-
-
 def scored(words: DataFrame, totals: DataFrame, phrases: DataFrame, percent: int = PERCENT) -> DataFrame:
     """lang, key, a, l, r, n, score of the phrases that no longer one makes redundant, by their lowest-scoring cut."""
     one = words.select(F.unhex(F.lpad(F.hex("id"), 16, "0")).alias("key"), "n", "lang")
