@@ -35,6 +35,8 @@ BITS_EACH, MOST_BITS = 16, 1 << 28
 #: Keys that a task holds before it merges equal ones; words that it counts before it lets them go; bytes of a text read at a time.
 HELD, WORDS_HELD, PART_BYTES = 1 << 20, 200_000, 1 << 20
 SALTS = 16
+#: A word with more than one in so many occurrences is hot: its keys are dealt to 2 ** HOT_BITS ranges.
+HOT_WORDS, HOT_BITS = 2000, 6
 SEEDS = 16
 
 #: Lower case; what ends a piece becomes a dot, and a tab a space.
@@ -172,13 +174,14 @@ def windows(ids: np.ndarray, n: int, width: int, pairs: Bits | None) -> np.ndarr
     return rows[rows[:, 1 if pairs is None else 2] != 0]
 
 
-def packed_keys(docs: DataFrame, seed: int, words: Bits, pairs: Bits | None, width: int) -> DataFrame:
+def packed_keys(docs: DataFrame, seed: int, words: Bits, hot: np.ndarray, pairs: Bits | None, width: int) -> DataFrame:
     """key, n: keys of a task that differ, and how often each is there. A key has `width` ids of 8 bytes behind a leading digit of
-    two bytes, taken from a hash of its first two ids (three, if pairs are given), so that digits are even whatever the words are."""
-    shared = docs.sparkSession.sparkContext.broadcast((words, pairs))  # two bitmaps of at most MOST_BITS
+    two bytes, the hash of its first id; that of a hot word also depends on the ids behind it (one, or two if pairs are given), so
+    that no range is much larger than others. Keys of one word stay together and compress well."""
+    shared = docs.sparkSession.sparkContext.broadcast((words, pairs, hot))  # two bitmaps of at most MOST_BITS, at most HOT_WORDS ids
 
     def run(batches):
-        words, pairs = shared.value
+        words, pairs, hot = shared.value
         memo, salts = WordHashes(), {}
         hashes: list[np.ndarray] = []  # of texts not yet packed
         salt: list[int] = []
@@ -197,9 +200,10 @@ def packed_keys(docs: DataFrame, seed: int, words: Bits, pairs: Bits | None, wid
         def rows():
             ids, n = merged(np.concatenate(held))
             held.clear()
-            digit = pair_hash(ids[:, 0].astype(np.uint64), ids[:, 1].astype(np.uint64))
+            first, rest = ids[:, 0].astype(np.uint64), ids[:, 1].astype(np.uint64)
             if pairs is not None:
-                digit = pair_hash(digit, ids[:, 2].astype(np.uint64))
+                rest = pair_hash(rest, ids[:, 2].astype(np.uint64))
+            digit = mix64(first + np.where(np.isin(first, hot), mix64(rest) >> np.uint64(64 - HOT_BITS), np.uint64(0)) * _M)
             keys = np.concatenate([(digit >> np.uint64(48)).astype(">u2").view(np.uint8).reshape(-1, 2), ids.view(np.uint8).reshape(len(ids), 8 * width)], axis=1)
             for k in range(0, len(keys), 50_000):
                 part = np.ascontiguousarray(keys[k : k + 50_000])
@@ -289,7 +293,10 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     counts = cut(word_counts(docs).where((F.col("n") >= least) | F.col("word").isNull()))
     words, seed = dictionary(counts, least)
     known = bitmap(words.select(F.col("id").alias("key")), words.count(), most_bits)
-    pairs = cut(run_lengths(packed_keys(docs, seed, known, None, 2), [2], least))
+    total = counts.where("word IS NULL").agg(F.sum("n")).first()[0] or 0
+    hot = words.where(F.col("n") > total // HOT_WORDS).select("id").toArrow().column("id").to_numpy().view(np.uint64)  # fewer than HOT_WORDS
+    pairs = cut(run_lengths(packed_keys(docs, seed, known, hot, None, 2), [2], least))
+    release(spark)
     found = [pairs]
     if longest > 2:
 
@@ -299,7 +306,7 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
                 yield pa.RecordBatch.from_arrays([pa.array(pair_hash(keys[:, 0], keys[:, 1]).view(np.int64))], ["key"])
 
         often = bitmap(pairs.select("key").mapInArrow(hashes, "key long"), pairs.count(), most_bits)
-        found.append(cut(run_lengths(packed_keys(docs, seed, known, often, longest), list(range(3, longest + 1)), least)))
+        found.append(cut(run_lengths(packed_keys(docs, seed, known, hot, often, longest), list(range(3, longest + 1)), least)))
     phrases = found[0] if len(found) == 1 else found[0].unionByName(found[1])
     release(spark)
     return words, counts.where("word IS NULL").select("lang", F.col("n").alias("total")), phrases
