@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.operators.graph import levels
+from quarrylens.operators.graph import topological_levels
 
 #: Weights of complexity, volume, lines and comments, by language (fixed values).
 WEIGHTS = {"python": (0.23, 5.2, 16.2, 50.0), "java": (0.25, 5.5, 16.2, 50.0), "javascript": (0.20, 4.8, 16.2, 50.0)}
@@ -178,7 +178,8 @@ def class_rows(sources: DataFrame, key: str = "path", text: str = "text") -> Dat
 def class_metrics(classes: DataFrame, key: str = "path") -> DataFrame:
     """WMC, RFC, CBO, both lacks of cohesion, depth of inheritance and number of children of each class of class_rows.
 
-    Classes are told apart by name; the depth counts bases among them, and one step more for a base that is not. Pairs of
+    Classes are told apart by name; the depth goes through the deepest base, and counts a
+    base that is not among them as one step. Pairs of
     methods are compared within their class, which one source file bounds.
     """
     attributes = F.transform("methods", lambda m: m["attributes"])
@@ -193,8 +194,8 @@ def class_metrics(classes: DataFrame, key: str = "path") -> DataFrame:
     )
     edges = classes.select(F.explode("bases").alias("src"), F.col("class_name").alias("dst")).distinct()
     known = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
-    roots = known.join(edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").select(F.col("node").alias("origin"), "node")
-    depth = levels(edges, roots).groupBy(F.col("node").alias("class_name")).agg(F.max("level").alias("dit"))
+    # A layer is the longest way from a class without bases; classes on a cycle of bases have none.
+    depth = topological_levels(edges, known).select(F.col("node").alias("class_name"), F.col("layer").alias("dit"))
     children = edges.groupBy(F.col("src").alias("class_name")).agg(F.count("*").alias("noc"))
     return made.join(depth, "class_name", "left").join(children, "class_name", "left").withColumn("dit", F.coalesce("dit", F.lit(0))).withColumn("noc", F.coalesce("noc", F.lit(0)))
 

@@ -250,17 +250,43 @@ def schema_of(kind: T.DataType) -> dict:
     return {"type": _TYPES.get(type(kind), "string")}
 
 
+#: Tokens of SQL: comments, strings, quoted names, single marks, runs of anything else.
+_SQL_TOKEN = r"(?s)--[^\n]*|/\*.*?\*/|'(?:[^']|'')*+'|\"(?:[^\"]|\"\")*+\"|`[^`]*+`|\[[^\]]*+\]|[(),;]|[^-/'\"`\[(),;]++|."
+#: Marks that the lexer puts in: end of a statement, start and end of its outermost parentheses, comma in these.
+_END, _OPEN, _CLOSE, _COMMA = "\u0001", "\u0002", "\u0003", "\u0004"
+_NAME = r'(?:\"(?:[^\"]|\"\")*\"|`[^`]*`|\[[^\]]*\]|[^\s"`\[(),.;\x02]+)'
+
+
+def lexed(sql: Column) -> Column:
+    """SQL text without comments, in which only what parts statements and columns is marked: a fold over its tokens keeps the depth
+    of parentheses, so that commas and semicolons inside strings, quoted names and nested parentheses part nothing."""
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"))
+
+    def step(state, x):
+        depth, out = state["depth"], state["out"]
+        put = F.when(x.rlike(r"^(--|/\*)"), F.lit(" ")).when((x == ";") & (depth == 0), F.lit(_END)).when((x == "(") & (depth == 0), F.lit(_OPEN)).when((x == ")") & (depth == 1), F.lit(_CLOSE)).when((x == ",") & (depth == 1), F.lit(_COMMA)).otherwise(x)
+        new = F.when(x == "(", depth + 1).when(x == ")", F.greatest(depth - 1, F.lit(0))).otherwise(depth)
+        return F.struct(new.alias("depth"), F.concat(out, put).alias("out"))
+
+    clean = F.regexp_replace(sql, "[\u0001-\u0004]", " ")
+    return F.aggregate(F.regexp_extract_all(clean, F.lit(_SQL_TOKEN), F.lit(0)), start, step, lambda s: s["out"])
+
+
+def unquoted(name: Column) -> Column:
+    """A name of one or more parts without its quotes; doubled quotes inside are one."""
+    part = lambda x: F.when(x.startswith('"'), F.regexp_replace(F.substring(x, F.lit(2), F.length(x) - 2), '""', '"')).when(x.rlike(r"^[`\[]"), F.substring(x, F.lit(2), F.length(x) - 2)).otherwise(x)
+    return F.array_join(F.transform(F.regexp_extract_all(name, F.lit(_NAME), F.lit(0)), part), ".")
+
+
 def parse_ddl(df: DataFrame, ddl: str = "ddl") -> DataFrame:
     """F8: table_name, position, column_name, column_type, not_null, of the CREATE TABLE statements in a column of SQL text."""
-    tables = F.explode(F.split(F.regexp_replace(ddl, r"--[^\n]*", ""), ";"))
-    one = df.select(tables.alias("s")).where(F.col("s").rlike(r"(?is)create\s+table"))
-    name = F.regexp_extract("s", r'(?is)create\s+table\s+(?:if\s+not\s+exists\s+)?["`\[]?([\w.]+)["`\]]?\s*\(', 1)
-    body = F.regexp_extract("s", r"(?is)create\s+table[^(]*\((.*)\)", 1)
-    # Commas within parentheses, as of DECIMAL(10, 2), do not part columns.
-    parts = F.split(F.regexp_replace(body, r"\(([^()]*),([^()]*)\)", "($1\u0001$2)"), ",")
-    cols = one.select(name.alias("table_name"), F.posexplode(parts).alias("position", "c")).select("table_name", "position", F.trim(F.regexp_replace(F.regexp_replace("c", "\u0001", ","), r"\s+", " ")).alias("c"))
-    cols = cols.where(~F.col("c").rlike(r"(?i)^(primary|foreign|unique|constraint|check|index|key)\b") & (F.col("c") != ""))
-    return cols.select("table_name", "position", F.regexp_extract("c", r'^["`\[]?(\w+)', 1).alias("column_name"), F.upper(F.regexp_extract("c", r'^\S+ (\w+(?: ?\([^)]*\))?)', 1)).alias("column_type"), F.col("c").rlike(r"(?i)not null|primary key").alias("not_null"))
+    one = df.select(F.explode(F.split(lexed(F.col(ddl)), _END)).alias("s"))
+    head = rf"(?is)^\s*create\s+(?:\w+\s+)*?table\s+(?:if\s+not\s+exists\s+)?({_NAME}(?:\s*\.\s*{_NAME})*)\s*{_OPEN}([^{_CLOSE}]*)"
+    made = one.where(F.col("s").rlike(head)).select(unquoted(F.regexp_extract("s", head, 1)).alias("table_name"), F.posexplode(F.split(F.regexp_extract("s", head, 2), _COMMA)).alias("position", "c"))
+    cols = made.withColumn("c", F.trim(F.regexp_replace("c", r"^\s+|\s+$", ""))).where(~F.col("c").rlike(r"(?i)^(primary|foreign|unique|constraint|check|index|key)\b") & (F.col("c") != ""))
+    kind = F.regexp_extract("c", rf"(?s)^{_NAME}\s+(\w+(?:\s?\([^)]*\))?)", 1)
+    bare = F.regexp_replace("c", r"'(?:[^']|'')*+'", "''")
+    return cols.select("table_name", "position", unquoted(F.regexp_extract("c", f"^{_NAME}", 0)).alias("column_name"), F.upper(F.regexp_replace(kind, r"\s+", " ")).alias("column_type"), bare.rlike(r"(?i)\bnot\s+null\b|\bprimary\s+key\b").alias("not_null"))
 
 
 def ddl_keys(df: DataFrame, ddl: str = "ddl") -> DataFrame:
@@ -329,6 +355,10 @@ def avro_incompatibilities(writer: object, reader: object, path: str = "$") -> l
     if a != b:
         return [] if b in AVRO_PROMOTIONS.get(a, ()) else [f"{path}: {a} is not readable as {b}"]
     out: list[str] = []
+    if a in ("record", "enum", "fixed"):
+        full = lambda x: ".".join(filter(None, (x.get("namespace"), x.get("name"))))
+        if full(w) != full(r) and not {full(w), w.get("name")} & set(r.get("aliases", [])):
+            out.append(f"{path}: {full(w)} is not the reader's {full(r)}, nor an alias of it")
     if a == "record":
         fields = {f["name"]: f for f in w.get("fields", [])}
         for f in r.get("fields", []):

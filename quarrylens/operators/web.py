@@ -11,20 +11,55 @@ TWITTER = ("twitter:card", "twitter:title", "twitter:description", "twitter:imag
 NAMES = ("description", "keywords", "robots", "viewport")
 
 
+#: An attribute: a name, and a value in double, single or no quotes, or none.
+_ATTRIBUTE = r"[^\s/>=][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+))?+"
+#: What stands in a tag behind its name, to its end: a `>` inside quotes does not end it.
+_REST = rf"(?=[\s/>])(?:[\s/=]++|{_ATTRIBUTE})*+>"
+#: Comments, and elements whose content is no markup; not closed, they reach to the end.
+_COMMENT, _RAW = r"<!--.*?(?:-->|\z)", rf"<({{0}}){_REST}.*?(?:</\1(?=[\s/>])[^>]*+>|\z)"
+#: Named character references that are decoded, beside numeric ones (fixed values).
+ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "copy": "\u00a9", "reg": "\u00ae", "hellip": "\u2026", "ndash": "\u2013", "mdash": "\u2014", "laquo": "\u00ab", "raquo": "\u00bb", "euro": "\u20ac"}
+_REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z]+);"
+
+
+def decoded(text: Column) -> Column:
+    """Text with its character references replaced; unknown ones stay."""
+    named = F.create_map(*(F.lit(x) for pair in ENTITIES.items() for x in pair))
+
+    def one(x):
+        hexadecimal = x.rlike("^&#[xX]")
+        number = F.when(hexadecimal, F.conv(F.regexp_extract(x, "([0-9a-fA-F]+);$", 1), 16, 10)).otherwise(F.regexp_extract(x, "^&#([0-9]+);$", 1)).try_cast("long")
+        valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        letter = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, number)), 8, "0")), "UTF-32")
+        return F.when(~x.rlike(f"^{_REFERENCE}$"), x).when(x.startswith("&#"), F.coalesce(letter, F.lit("\ufffd"))).otherwise(F.coalesce(F.try_element_at(named, F.regexp_extract(x, "^&([a-zA-Z]+);$", 1)), x))
+
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(F.regexp_extract_all(text, F.lit(rf"{_REFERENCE}|[^&]++|&"), F.lit(0)), one), "")).otherwise(text)
+
+
 def _attribute(tag: Column, name: str) -> Column:
-    """The value of a quoted attribute of a tag, null without it."""
-    return F.when(tag.rlike(rf"(?i)\s{name}\s*=\s*[\"']"), F.regexp_extract(tag, rf"(?i)\s{name}\s*=\s*[\"']([^\"']*)[\"']", 1))
+    """The value of the first attribute of a tag with this name: decoded, '' if it has none, null without the attribute."""
+    every = F.regexp_extract_all(F.regexp_replace(tag, r"^<[^\s/>]+", ""), F.lit(_ATTRIBUTE), F.lit(0))
+    found = F.try_element_at(F.filter(every, lambda x: F.lower(F.regexp_extract(x, r"^[^\s/>=]+", 0)) == name), F.lit(1))
+    value = F.regexp_replace(found, r"^[^\s/>=]+\s*=?\s*", "")
+    return decoded(F.when(value.rlike("^[\"']"), F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value))
+
+
+def _tags(html: str, name: str) -> Column:
+    """The opening tags of a name, in order, outside comments and raw text."""
+    raw = _RAW.format("script|style|textarea|title")
+    every = F.regexp_extract_all(html, F.lit(rf"(?is){_COMMENT}|{raw}|<{name}{_REST}"), F.lit(0))
+    return F.filter(every, lambda x: x.rlike(rf"(?is)^<{name}[\s/>]"))
 
 
 def meta_tags(pages: DataFrame, html: str = "html") -> DataFrame:
     """The columns of pages but the markup, with title, canonical, and the named, og and twitter meta values (the first of each)."""
-    metas = F.regexp_extract_all(html, F.lit(r"(?is)<meta\s[^>]*>"), 0)
-    links = F.regexp_extract_all(html, F.lit(r"(?is)<link\s[^>]*>"), 0)
     keys = lambda m: F.lower(F.coalesce(_attribute(m, "name"), _attribute(m, "property"), F.lit("")))
-    first = lambda n: F.try_element_at(F.transform(F.filter("_m", lambda m: keys(m) == n), lambda m: _attribute(m, "content")), F.lit(1))
-    canon = F.try_element_at(F.transform(F.filter("_k", lambda m: F.lower(_attribute(m, "rel")) == "canonical"), lambda m: _attribute(m, "href")), F.lit(1))
-    title = F.when(F.col(html).rlike(r"(?is)<title[^>]*>.*?</title>"), F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)))
-    made = pages.withColumn("_m", metas).withColumn("_k", links).withColumn("title", title).withColumn("canonical", canon)
+    first = lambda n: F.try_element_at(F.transform(F.filter("_m", lambda m: m["key"] == n), lambda m: m["content"]), F.lit(1))
+    canon = F.try_element_at(F.filter(F.transform("_k", lambda m: F.when(F.array_contains(F.split(F.lower(_attribute(m, "rel")), r"\s+"), "canonical"), _attribute(m, "href"))), lambda x: x.isNotNull()), F.lit(1))
+    shown = F.regexp_replace(html, rf"(?is){_COMMENT}|{_RAW.format('script|style|textarea')}", "")
+    title = rf"(?is)<title{_REST}(.*?)</title(?=[\s/>])"
+    made = pages.withColumn("_m", F.transform(_tags(html, "meta"), lambda m: F.struct(keys(m).alias("key"), _attribute(m, "content").alias("content")))).withColumn("_k", _tags(html, "link"))
+    made = made.withColumn("title", F.when(shown.rlike(title), F.trim(decoded(F.regexp_extract(shown, title, 1))))).withColumn("canonical", canon)
     for n in (*NAMES, *OG, *TWITTER):
         made = made.withColumn(n.replace(":", "_"), first(n))
     return made.drop("_m", "_k", html)
@@ -54,23 +89,54 @@ def seo_score(rules: DataFrame) -> DataFrame:
 
 
 def links(pages: DataFrame, key: str, url: str = "url", html: str = "html") -> DataFrame:
-    """Key, position, href, text (up to 100 characters) of each a[href]."""
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)<a\s[^>]*>.*?</a>"), 0)
-    each = pages.select(key, F.col(url).alias("page_url"), F.posexplode(tags).alias("position", "_t")).withColumn("href", _attribute(F.col("_t"), "href"))
-    text = F.substring(F.trim(F.regexp_replace(F.regexp_replace("_t", r"(?s)<[^>]*>", ""), r"\s+", " ")), 1, 100)
-    return each.where(F.col("href").isNotNull()).select(key, "page_url", "position", "href", text.alias("text"))
+    """Key, position, href, text (up to 100 characters) of each a[href], and base_url: the page's, or that of its base[href]."""
+    shown = F.regexp_replace(html, rf"(?is){_COMMENT}|{_RAW.format('script|style|textarea|title')}", "")
+    tags = F.regexp_extract_all(shown, F.lit(rf"(?is)<a{_REST}.*?(?:</a(?=[\s/>])[^>]*+>|(?=<a[\s/>])|\z)"), F.lit(0))
+    base = F.try_element_at(F.filter(F.transform(_tags(html, "base"), lambda x: _attribute(x, "href")), lambda x: x.isNotNull()), F.lit(1))
+    each = pages.select(key, F.col(url).alias("page_url"), F.coalesce(resolved(base, F.col(url)), F.col(url)).alias("base_url"), F.posexplode(tags).alias("position", "_t"))
+    each = each.withColumn("href", F.trim(_attribute(F.regexp_extract("_t", rf"(?is)^<a{_REST}", 0), "href")))
+    plain = F.regexp_replace("_t", rf"(?is){_COMMENT}|</?[a-z][^\s/>]*+{_REST}", "")
+    text = F.substring(F.trim(F.regexp_replace(decoded(plain), r"\s+", " ")), 1, 100)
+    return each.where(F.col("href").isNotNull()).select(key, "page_url", "base_url", "position", "href", text.alias("text"))
+
+
+#: scheme, authority, path, query and fragment of a reference (the pattern of RFC 3986).
+_URL = r"(?s)^(?:([a-zA-Z][a-zA-Z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+
+
+def without_dots(path: Column) -> Column:
+    """A path without its dot segments: a fold over its segments."""
+    segments = F.split(path, "/")
+    last = F.element_at(segments, -1).isin(".", "..")
+    up = lambda a: F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(1)))
+    kept = F.aggregate(F.slice(segments, F.lit(2), F.size(segments)), F.array(F.element_at(segments, 1)), lambda a, x: F.when(x == "..", up(a)).when(x == ".", a).otherwise(F.array_append(a, x)))
+    return F.concat(F.array_join(kept, "/"), F.when(last, F.lit("/")).otherwise(F.lit("")))
+
+
+def resolved(reference: Column, base: Column) -> Column:
+    """A reference against a base by RFC 3986, with scheme and host in lower case, as a browser shows it."""
+    part = lambda c, k: F.regexp_extract(c, _URL, k)
+    has = lambda c, pattern: c.rlike(pattern)
+    absolute, authority, query = has(reference, "^[a-zA-Z][a-zA-Z0-9+.-]*:"), has(reference, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//"), has(reference, r"^[^#]*\?")
+    path = part(reference, 3)
+    folder = F.when((part(base, 2) != "") & (part(base, 3) == ""), F.lit("/")).otherwise(F.regexp_extract(part(base, 3), r"(?s)^(.*/)", 1))
+    joined = F.when(absolute | authority | path.startswith("/"), path).when(path == "", part(base, 3)).otherwise(F.concat(folder, path))
+    clean = F.when(joined.startswith("/"), without_dots(joined)).otherwise(joined)
+    scheme = F.lower(F.when(absolute, part(reference, 1)).otherwise(part(base, 1)))
+    host = F.when(authority, part(reference, 2)).when(absolute, F.lit("")).otherwise(part(base, 2))
+    host = F.concat(F.regexp_extract(host, "^(.*@)?", 1), F.lower(F.regexp_replace(host, "^.*@", "")))
+    asked = F.when(query, F.concat(F.lit("?"), part(reference, 4))).when(~absolute & ~authority & (path == "") & has(base, r"^[^#]*\?"), F.concat(F.lit("?"), part(base, 4))).otherwise(F.lit(""))
+    mark = F.when(has(reference, "#"), F.concat(F.lit("#"), part(reference, 5))).otherwise(F.lit(""))
+    return F.concat(F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(F.lit("")), F.when(host != "", F.concat(F.lit("//"), host)).otherwise(F.lit("")), clean, asked, mark)
 
 
 def link_types(found: DataFrame) -> DataFrame:
-    """link_url (resolved against the page for the usual relative forms) and link_type."""
-    h, page = F.lower("href"), F.col("page_url")
-    host = lambda c: F.regexp_extract(c, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)
-    scheme, base = F.regexp_extract(page, r"^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1), F.regexp_extract(page, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
-    folder = F.regexp_extract(page, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^?#]*/)", 1)
-    full = F.when(h.rlike("^[a-z][a-z0-9+.-]*:"), F.col("href")).when(h.startswith("//"), F.concat(scheme, "href")).when(h.startswith("/"), F.concat(base, "href")).when(h.startswith("#"), F.concat(F.regexp_replace(page, "#.*$", ""), "href")).otherwise(F.concat(F.when(folder == "", F.concat(base, F.lit("/"))).otherwise(folder), F.col("href")))
+    """link_url (resolved against base_url), link_host and link_type."""
+    h = F.lower("href")
+    host = lambda c: F.lower(F.regexp_extract(c, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     kind = F.when(h.startswith("#"), "anchor").when(h.startswith("mailto:"), "mailto").when(h.startswith("tel:"), "tel").when(h.startswith("javascript:"), "javascript")
-    made = found.withColumn("link_url", full).withColumn("link_host", host(F.col("link_url")))
-    return made.withColumn("link_type", kind.when(F.col("link_host") == host(page), "internal").when(F.lower("link_url").rlike("^https?:"), "external").otherwise("other"))
+    made = found.withColumn("link_url", resolved(F.col("href"), F.col("base_url"))).withColumn("link_host", host(F.col("link_url")))
+    return made.withColumn("link_type", kind.when(F.col("link_host") == host(F.col("page_url")), "internal").when(F.lower("link_url").rlike("^https?:"), "external").otherwise("other")).drop("base_url")
 
 
 def filter_links(typed: DataFrame, key: str, skip_types: tuple[str, ...] = ("mailto", "tel", "javascript"), skip_patterns: tuple[str, ...] = ()) -> DataFrame:

@@ -183,8 +183,21 @@ def f16(s, d):
 
 
 def f08(s, d):
-    ddl = s.createDataFrame([("CREATE TABLE users (id BIGINT PRIMARY KEY, name VARCHAR(40) NOT NULL, -- a name\n balance DECIMAL(10, 2)); CREATE TABLE IF NOT EXISTS posts (id INT NOT NULL, user_id BIGINT, FOREIGN KEY (user_id) REFERENCES users(id));",)], "ddl string")
-    return sc.parse_ddl(ddl)
+    """DDL of a table for each part, with quoted names, defaults that hold commas, comments and nested parentheses."""
+    p = t(s, d, "part")
+    ddl = F.format_string(
+        '''/* (, */ CREATE TABLE IF NOT EXISTS shop."part %d, (x)" (id BIGINT PRIMARY KEY, -- key, of
+ "my, col" VARCHAR(%d) DEFAULT 'x, y); it''s' NOT NULL, `brand` CHAR(10) DEFAULT '%s not null', price DECIMAL(10, 2) CHECK (price IN (1, (2))), CONSTRAINT c CHECK (id > 0));
+CREATE TEMPORARY TABLE "%s" ("a ""b""" INT NOT NULL, FOREIGN KEY ("a ""b""") REFERENCES x(id)); INSERT INTO t VALUES (1, ';')''',
+        "p_partkey", "p_size", "p_brand", "p_name",
+    )
+    return sc.parse_ddl(p.select(ddl.alias("ddl")))
+
+
+F08 = """SELECT x.* FROM (SELECT unnest([
+  {'table_name': 'shop.part ' || p_partkey || ', (x)', 'position': 0, 'column_name': 'id', 'column_type': 'BIGINT', 'not_null': true}, {'table_name': 'shop.part ' || p_partkey || ', (x)', 'position': 1, 'column_name': 'my, col', 'column_type': 'VARCHAR(' || p_size || ')', 'not_null': true},
+  {'table_name': 'shop.part ' || p_partkey || ', (x)', 'position': 2, 'column_name': 'brand', 'column_type': 'CHAR(10)', 'not_null': false}, {'table_name': 'shop.part ' || p_partkey || ', (x)', 'position': 3, 'column_name': 'price', 'column_type': 'DECIMAL(10, 2)', 'not_null': false},
+  {'table_name': p_name, 'position': 0, 'column_name': 'a "b"', 'column_type': 'INT', 'not_null': true}]) AS x FROM part)"""
 
 
 def _tags(s, d):
@@ -230,7 +243,7 @@ QUERIES = {
     "f05_json_validate": f05, "f08_ddl": f08, "f10_schema_diff": f10, "f16_mock": f16,
     "w01_meta_tags": lambda s, d: _tags(s, d).select("page_id", "title", "canonical", "description", "viewport"),
     "w03_seo_score": lambda s, d: rounded(web.seo_score(web.meta_rules(_tags(s, d))).select("page_id", "title_valid", "description_valid", "issues", "seo_score")),
-    "w04_links": lambda s, d: web.links(t(s, d, "pages"), "page_id"),
+    "w04_links": lambda s, d: web.links(t(s, d, "pages"), "page_id").drop("base_url"),
     "w05_link_types": lambda s, d: web.link_types(web.links(t(s, d, "pages"), "page_id")).select("page_id", "position", "link_url", "link_host", "link_type"),
     "w06_filter_links": lambda s, d: web.filter_links(web.link_types(web.links(t(s, d, "pages"), "page_id")), "page_id", skip_patterns=("/the$",)).select("page_id", "link_url", "position"),
     "w07_link_report": lambda s, d: web.link_report(web.link_types(web.links(t(s, d, "pages"), "page_id")), "page_id"),
@@ -267,11 +280,11 @@ ORACLES = {
     "f02_formats": "SELECT page_id, CASE WHEN regexp_matches(url, '^https?://') THEN 'uri' END AS url_format, 'date' AS date_format FROM pages",
     "f03_common_pattern": r"SELECT o_orderstatus, count(*) AS samples, '^\d\-\d\d\d\d$' AS pattern FROM orders GROUP BY 1",
     "f05_json_validate": F05,
-    "f08_ddl": "SELECT * FROM (VALUES ('users', 0, 'id', 'BIGINT', true), ('users', 1, 'name', 'VARCHAR(40)', true), ('users', 2, 'balance', 'DECIMAL(10, 2)', false), ('posts', 0, 'id', 'INT', true), ('posts', 1, 'user_id', 'BIGINT', false)) v(table_name, position, column_name, column_type, not_null)",
+    "f08_ddl": F08,
     "f10_schema_diff": "SELECT * FROM (VALUES ('orders', 'o_orderstatus', 'string', NULL, 'dropped'), ('lineitem', 'l_quantity', 'double', 'decimal(10,2)', 'modified'), ('events', 'source', NULL, 'string', 'added')) v(table_name, column_name, old_type, new_type, change)",
-    "w01_meta_tags": r"SELECT page_id, CASE WHEN regexp_matches(html, '(?is)<title[^>]*>.*?</title>') THEN trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), ' ') END AS title, NULL::VARCHAR AS canonical, NULL::VARCHAR AS description, NULL::VARCHAR AS viewport FROM pages",
+    "w01_meta_tags": r"SELECT page_id, CASE WHEN regexp_matches(html, '(?is)<title[^>]*>.*?</title>') THEN trim(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&'), ' ') END AS title, NULL::VARCHAR AS canonical, NULL::VARCHAR AS description, NULL::VARCHAR AS viewport FROM pages",
     "w03_seo_score": rounded_sql(r"""SELECT page_id, coalesce(length(title) BETWEEN 30 AND 60, false) AS title_valid, false AS description_valid, array_to_string(list_filter([CASE WHEN title IS NULL THEN 'title missing' WHEN length(title) < 30 THEN 'title short' WHEN length(title) > 60 THEN 'title long' END, 'description missing', 'canonical missing', 'viewport missing', 'og:title missing', 'og:description missing', 'og:image missing', 'og:url missing', 'og:type missing'], lambda x: x IS NOT NULL), ',') AS issues,
-      greatest(0.0, 100.0 - CASE WHEN title IS NULL THEN 30 WHEN NOT length(title) BETWEEN 30 AND 60 THEN 15 ELSE 0 END - 25 - 5 - 10 - 20 - 10)::DOUBLE AS seo_score FROM (SELECT page_id, CASE WHEN regexp_matches(html, '(?is)<title[^>]*>.*?</title>') THEN trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), ' ') END AS title FROM pages)""", "seo_score"),
+      greatest(0.0, 100.0 - CASE WHEN title IS NULL THEN 30 WHEN NOT length(title) BETWEEN 30 AND 60 THEN 15 ELSE 0 END - 25 - 5 - 10 - 20 - 10)::DOUBLE AS seo_score FROM (SELECT page_id, CASE WHEN regexp_matches(html, '(?is)<title[^>]*>.*?</title>') THEN trim(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&'), ' ') END AS title FROM pages)""", "seo_score"),
     "w04_links": "WITH " + LINKS + " SELECT * FROM lh",
     "w05_link_types": "WITH " + TYPED + " SELECT page_id, position, link_url, link_host, link_type FROM ly",
     "w06_filter_links": "WITH " + TYPED + " SELECT page_id, link_url, min(position) AS position FROM ly WHERE link_type NOT IN ('mailto', 'tel', 'javascript') AND NOT regexp_matches(link_url, '(?i)/the$') GROUP BY 1, 2",
