@@ -6,7 +6,7 @@ documents and how often each labeller votes on good and on bad ones. The posteri
 logistic scorer on hashed features (word shapes, and the document's statistics in steps). Every document is then scored.
 
 The counts cover all documents. The scorer alone is fitted on a bounded sample: the `TRAIN_ROWS` documents with the least
-hash of their doc_id (of their text, where there is none); rows that tie with the last of them differ in nothing that counts.
+hash of doc_id and text, so that only equal rows tie with the last of them, and the order of rows does not count.
 
 Defined results: a null or empty text gets no votes but has a score, that of the prior and the intercept; equal rows have
 equal results, each its own row; an empty table gives an empty result; columns other than doc_id and text are ignored (score)
@@ -158,7 +158,7 @@ def learn(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, di
     made = described(docs.select("doc_id", "text"))
     counts = {r.pattern: r.n for r in made.groupBy("pattern").agg(F.count("*").alias("n")).collect()}  # at most 3^10 patterns
     _, _, posterior = label_model(counts)
-    key = F.xxhash64(F.lit("train"), F.col("doc_id").cast("string"), F.when(F.col("doc_id").isNull(), F.col("text")))
+    key = F.xxhash64(F.lit("train"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit("")))  # equal only for rows that are equal
     chosen = docs.select(key.alias("k")).orderBy("k").limit(train_rows).agg(F.max("k")).first()[0]  # the sample bound is a parameter
     some = described(docs.where(key <= F.lit(chosen)).select("doc_id", "text")).select("pattern", "at", "value") if chosen is not None else None
     if some is None:

@@ -234,3 +234,27 @@ def test_radix_order():
     keys = np.ascontiguousarray(ids.astype(">u8"))
     order = collocations.radix_order(keys)
     assert [keys[k].tobytes() for k in order] == sorted(k.tobytes() for k in keys)
+
+
+# paths of earlier operators that large tables take
+
+
+def test_many_sources_and_groups(spark, rows, monkeypatch):
+    """Without broadcasts the mix and the quality rules give the same rows."""
+    from quarrylens.llm import mixing, quality_rules
+
+    docs = spark.createDataFrame(rows, SCHEMA)
+    want = collected(mixing.plan_mix(docs)), collected(quality_rules.judge(docs, 5))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", -1)
+    monkeypatch.setattr(quality_rules, "BROADCAST_GROUPS", -1)
+    assert (collected(mixing.plan_mix(docs)), collected(quality_rules.judge(docs, 5))) == want
+
+
+def test_training_sample_does_not_depend_on_order(spark):
+    """Rows of one doc_id that differ in their text."""
+    from quarrylens.llm import quality_classifier
+
+    rng = random.Random(1)
+    rows = [(1, " ".join(rng.choice(WORDS) for _ in range(80)) + ".", "en", "s", 0) for _ in range(6)] + [(1, "%% ## " * k, "en", "s", 0) for k in range(1, 7)]
+    one, two = ([(r.doc_id, round(r.score, 9)) for r in quality_classifier.score_quality(spark.createDataFrame(x, SCHEMA).coalesce(1), 4).collect()] for x in (rows, rows[::-1]))
+    assert one == two[::-1]
