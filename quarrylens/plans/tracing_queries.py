@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrylens.operators import graph, tracing
@@ -64,10 +65,39 @@ EDGES = """WITH RECURSIVE ed AS (SELECT DISTINCT c_nationkey AS src, s_nationkey
 CLOSURE = EDGES + ", cl(src, dst) AS (SELECT src, dst FROM ed UNION SELECT cl.src, ed.dst FROM cl JOIN ed ON cl.dst = ed.src)"
 
 
+def _handovers(s, d):
+    """From each customer to the customer of the next order of the same day, after their first and after their last order that has one."""
+    day = W.partitionBy("o_orderdate").orderBy("o_orderkey")
+    after = t(s, d, "orders").select(F.col("o_custkey").alias("src"), "o_orderkey", F.lead("o_custkey").over(day).alias("dst")).where("dst IS NOT NULL")
+    both = after.groupBy("src").agg(F.min_by("dst", "o_orderkey").alias("a"), F.max_by("dst", "o_orderkey").alias("b"))
+    return both.select("src", F.explode(F.array("a", "b")).alias("dst")).distinct()
+
+
+HANDOVERS = """WITH RECURSIVE nx AS (SELECT o_custkey AS src, o_orderkey, lead(o_custkey) OVER (PARTITION BY o_orderdate ORDER BY o_orderkey) AS dst FROM orders),
+ed AS (SELECT DISTINCT src, unnest([a, b]) AS dst FROM (SELECT src, arg_min(dst, o_orderkey) AS a, arg_max(dst, o_orderkey) AS b FROM nx WHERE dst IS NOT NULL GROUP BY 1)),
+cl(src, dst) AS (SELECT src, dst FROM ed UNION SELECT cl.src, ed.dst FROM cl JOIN ed ON cl.dst = ed.src),
+nd AS (SELECT src AS node FROM ed UNION SELECT dst FROM ed),
+co AS (SELECT node, least(node, coalesce(min(b.src), node)) AS component FROM nd LEFT JOIN cl a ON a.src = node LEFT JOIN cl b ON b.src = a.dst AND b.dst = node GROUP BY 1)"""
+FEEDBACK = HANDOVERS + """, dg AS (SELECT src, count(*) AS dependencies FROM ed GROUP BY 1),
+il AS (SELECT src, dst, a.component FROM ed JOIN co a ON a.node = src JOIN co b ON b.node = dst WHERE a.component = b.component AND src <> dst),
+st AS (SELECT arg_min(dst, (dependencies, src, dst)) AS node FROM il JOIN dg USING (src) GROUP BY component),
+lv(node, level) AS (SELECT node, 0 FROM st UNION SELECT dst, level + 1 FROM lv JOIN il ON node = src WHERE level < 60), pl AS (SELECT node, min(level) AS level FROM lv GROUP BY 1),
+ps AS (SELECT il.*, (a.level, src) > (b.level, dst) AS against FROM il JOIN pl a ON a.node = src JOIN pl b ON b.node = dst),
+ly(node, layer) AS (SELECT node, 0 FROM pl UNION SELECT dst, layer + 1 FROM ly JOIN ps ON node = src AND NOT against), la AS (SELECT node, max(layer) AS layer FROM ly GROUP BY 1)
+SELECT src, dst, component, dependencies FROM (SELECT src, dst, component FROM ps JOIN la a ON a.node = src JOIN la b ON b.node = dst WHERE against AND a.layer >= b.layer
+  UNION ALL SELECT src, dst, component FROM ed JOIN co ON node = src WHERE src = dst) JOIN dg USING (src)"""
+
+
 def _nodes(s, d):
     return t(s, d, "nation").select(F.col("n_nationkey").alias("node"))
 
 
+def h10_modularity(s, d):
+    """Of the graph's components; 1 in a graph without links between them is never reached."""
+    edges = _handovers(s, d)
+    return rounded(graph.modularity(edges, graph.components(edges).select("node", F.col("component").alias("community"))), 9)
+
+
 def p08(s, d):
     return rounded(tracing.apm_report(spans(s, d)))
 
@@ -129,6 +159,11 @@ QUERIES = {
     "h10_components": lambda s, d: graph.components(_edges(s, d)),
     "h11_layer_violations": lambda s, d: graph.layer_violations(_edges(s, d), t(s, d, "nation").select(F.col("n_nationkey").alias("node"), F.col("n_regionkey").alias("rank"))),
     "h13_strong_components": lambda s, d: graph.strong_components(_edges(s, d)),
+    "h10_communities": lambda s, d: graph.communities(_handovers(s, d)),
+    "h10_modularity": h10_modularity,
+    "h12_cycle_breaks": lambda s, d: graph.cycle_breaks(_edges(s, d)).withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), ",")),
+    "h12_feedback_edges": lambda s, d: graph.feedback_edges(_handovers(s, d)),
+    "h13_strong_components_all": lambda s, d: graph.strong_components(_handovers(s, d)),
     "h13_shortest_paths": lambda s, d: graph.shortest_paths(_edges(s, d), 0),
     "h13_topological": lambda s, d: graph.topological_levels(_edges(s, d), _nodes(s, d)),
 }
@@ -172,6 +207,13 @@ ORACLES = {
     "h10_components": EDGES + ", bo AS (SELECT src, dst FROM ed UNION SELECT dst, src FROM ed), re(node, other) AS (SELECT src, src FROM bo UNION SELECT node, dst FROM re JOIN bo ON other = src) SELECT node, min(other) AS component FROM re GROUP BY 1",
     "h11_layer_violations": EDGES + " SELECT src, dst, a.n_regionkey AS src_rank, b.n_regionkey AS dst_rank FROM ed JOIN nation a ON a.n_nationkey = src JOIN nation b ON b.n_nationkey = dst WHERE a.n_regionkey > b.n_regionkey",
     "h13_strong_components": CLOSURE + ", nd AS (SELECT src AS node FROM ed UNION SELECT dst FROM ed) SELECT node, least(node, coalesce(min(b.src), node)) AS component FROM nd LEFT JOIN cl a ON a.src = node LEFT JOIN cl b ON b.src = a.dst AND b.dst = node GROUP BY 1",
+    "h10_modularity": HANDOVERS + """, sy AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM ed WHERE src <> dst), un AS (SELECT a AS src, b AS dst FROM sy UNION ALL SELECT b, a FROM sy), uc(src, dst) AS (SELECT src, dst FROM un UNION SELECT uc.src, un.dst FROM uc JOIN un ON uc.dst = un.src),
+      cm AS (SELECT src AS node, min(dst) AS c FROM uc GROUP BY 1), kk AS (SELECT c, count(*) AS k FROM un JOIN cm ON node = src GROUP BY 1) SELECT round(((SELECT sum(k) FROM kk)::DOUBLE * (SELECT sum(k) FROM kk) - (SELECT sum(k * k) FROM kk)) / ((SELECT sum(k) FROM kk)::DOUBLE * (SELECT sum(k) FROM kk)), 9) + 0.0 AS modularity""",
+    "h12_cycle_breaks": EDGES + """, pt(path) AS (SELECT [src, dst] FROM ed WHERE dst >= src UNION ALL SELECT list_append(path, ed.dst) FROM pt JOIN ed ON path[-1] = ed.src WHERE path[1] <> path[-1] AND len(path) <= 4 AND (ed.dst = path[1] OR (ed.dst > path[1] AND NOT list_contains(path, ed.dst)))),
+      cy AS (SELECT path, unnest(range(1, len(path))) AS k FROM pt WHERE path[1] = path[-1]), dg AS (SELECT src, count(*) AS dependencies FROM ed GROUP BY 1), bs AS (SELECT path, min((dependencies, k, path[k], path[k + 1])) AS b FROM cy JOIN dg ON src = path[k] GROUP BY 1)
+      SELECT array_to_string(path, ',') AS path, b[3] AS src, b[4] AS dst, b[1] AS dependencies, 'Source has only ' || b[1] || ' dependencies' AS reason FROM bs""",
+    "h12_feedback_edges": FEEDBACK,
+    "h13_strong_components_all": HANDOVERS + " SELECT node, component FROM co",
     "h13_shortest_paths": EDGES + ", lv(node, distance) AS (SELECT 0, 0 UNION SELECT dst, distance + 1 FROM lv JOIN ed ON node = src WHERE distance < 30) SELECT node::INTEGER AS node, min(distance)::INTEGER AS distance FROM lv GROUP BY 1",
     "h13_topological": CLOSURE + """, bad AS (SELECT DISTINCT a.dst AS node FROM cl a JOIN cl b ON a.src = b.src AND b.src = b.dst UNION SELECT src FROM cl WHERE src = dst), ly(node, layer) AS (SELECT n_nationkey, 0 FROM nation WHERE n_nationkey NOT IN (SELECT dst FROM ed) AND n_nationkey NOT IN (SELECT node FROM bad)
       UNION SELECT dst, layer + 1 FROM ly JOIN ed ON node = src WHERE dst NOT IN (SELECT node FROM bad) AND layer < 40) SELECT n_nationkey AS node, max(layer)::INTEGER AS layer FROM nation LEFT JOIN ly ON node = n_nationkey GROUP BY 1""",
