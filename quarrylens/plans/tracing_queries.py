@@ -93,7 +93,7 @@ def _nodes(s, d):
 
 
 def h10_modularity(s, d):
-    """Of the graph's components; 1 in a graph without links between them is never reached."""
+    """Of the graph's components."""
     edges = _handovers(s, d)
     return rounded(graph.modularity(edges, graph.components(edges).select("node", F.col("component").alias("community"))), 9)
 
@@ -159,7 +159,7 @@ QUERIES = {
     "h10_components": lambda s, d: graph.components(_edges(s, d)),
     "h11_layer_violations": lambda s, d: graph.layer_violations(_edges(s, d), t(s, d, "nation").select(F.col("n_nationkey").alias("node"), F.col("n_regionkey").alias("rank"))),
     "h13_strong_components": lambda s, d: graph.strong_components(_edges(s, d)),
-    "h10_communities": lambda s, d: graph.communities(_handovers(s, d)),
+    "h10_communities": lambda s, d: graph.communities(_edges(s, d)),
     "h10_modularity": h10_modularity,
     "h12_cycle_breaks": lambda s, d: graph.cycle_breaks(_edges(s, d)).withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), ",")),
     "h12_feedback_edges": lambda s, d: graph.feedback_edges(_handovers(s, d)),
