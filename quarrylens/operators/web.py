@@ -93,7 +93,8 @@ def links(pages: DataFrame, key: str, url: str = "url", html: str = "html") -> D
     shown = F.regexp_replace(html, rf"(?is){_COMMENT}|{_RAW.format('script|style|textarea|title')}", "")
     tags = F.regexp_extract_all(shown, F.lit(rf"(?is)<a{_REST}.*?(?:</a(?=[\s/>])[^>]*+>|(?=<a[\s/>])|\z)"), F.lit(0))
     base = F.try_element_at(F.filter(F.transform(_tags(html, "base"), lambda x: _attribute(x, "href")), lambda x: x.isNotNull()), F.lit(1))
-    each = pages.select(key, F.col(url).alias("page_url"), F.coalesce(resolved(base, F.col(url)), F.col(url)).alias("base_url"), F.posexplode(tags).alias("position", "_t"))
+    read = pages.select(key, F.col(url).alias("page_url"), base.alias("_base"), tags.alias("_tags"))  # once, before they are used many times
+    each = read.select(key, "page_url", F.when(F.col("_base").isNull(), F.col("page_url")).otherwise(resolved(F.col("_base"), F.col("page_url"))).alias("base_url"), F.posexplode("_tags").alias("position", "_t"))
     each = each.withColumn("href", F.trim(_attribute(F.regexp_extract("_t", rf"(?is)^<a{_REST}", 0), "href")))
     plain = F.regexp_replace("_t", rf"(?is){_COMMENT}|</?[a-z][^\s/>]*+{_REST}", "")
     text = F.substring(F.trim(F.regexp_replace(decoded(plain), r"\s+", " ")), 1, 100)
