@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from quarrylens.functions.numeric import change_percent_abs, nonzero_ratio, steps
 from quarrylens.operators.quantiles import grouped
@@ -245,22 +245,77 @@ def regressions(df: DataFrame, keys: list[str], value: str, is_after: Column, al
     return made.withColumn("quick_check", quick)
 
 
-def bootstrap(df: DataFrame, keys: list[str], value: str, is_after: Column, iterations: int = 1000, seed: int = 7) -> DataFrame:
-    """Confidence interval of the difference of means. Poisson resampling: each row counts as often as a seeded Poisson variable says, so no series is gathered anywhere."""
-    mark = F.xxhash64(*keys, value, "_row")
-    rows = df.where(F.col(value).isNotNull()).withColumn("_row", F.monotonically_increasing_id()).select(*keys, F.col(value).cast("double").alias("_v"), is_after.alias("_after"), mark.alias("_k"))
-    u = F.pmod(F.xxhash64("_k", "_i", F.lit(seed)), F.lit(1 << 52)).cast("double") / float(1 << 52)
-    cuts, below, p = [], 0.0, math.exp(-1)
-    for k in range(1, 12):
-        below += p
-        p /= k
-        cuts.append((u >= below).cast("int"))
-    weight = sum(cuts[1:], cuts[0])
-    each = rows.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))).withColumn("_w", weight)
-    means = each.groupBy(*keys, "_i").agg(
-        F.try_divide(F.sum(F.when(F.col("_after"), F.col("_w") * F.col("_v"))), F.sum(F.when(F.col("_after"), F.col("_w")))).alias("_a"),
-        F.try_divide(F.sum(F.when(~F.col("_after"), F.col("_w") * F.col("_v"))), F.sum(F.when(~F.col("_after"), F.col("_w")))).alias("_b"),
-    )
-    d = F.col("_a") - F.col("_b")
+#: Rows whose resampling counts are drawn together, and states of series a task holds before it hands them on.
+DRAW_ROWS, HELD_SERIES = 1_000, 2_000
+
+
+def _resampled(keys: list[str], iterations: int):
+    """Arrow batches of keys, _g (the keys as text), _k (the row's hash), _c, _v, _after to one row for each series and task: for
+    each iteration the drawn counts and the sums of counts times values, of both periods."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        held: dict = {}
+
+        def drawn(marks, counts):
+            # The stream depends on the row's hash alone; of a row that stands c times a Poisson variable of mean c is drawn.
+            return np.stack([np.random.Generator(np.random.Philox(key=int(k))).poisson(c, iterations) for k, c in zip(marks, counts, strict=True)]).astype("float64")
+
+        def out(schema):
+            names, series = list(held), list(held.values())
+            held.clear()
+            columns = [pa.array([n[j] for n in names], schema.field(key).type) for j, key in enumerate(keys)]
+            offsets = pa.array(np.arange(len(series) + 1, dtype="int32") * iterations)
+            columns += [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([x[j] for x in series]))) for j in range(4)]
+            return pa.RecordBatch.from_arrays(columns, [*keys, "_cb", "_sb", "_ca", "_sa"])
+
+        schema = None
+        for batch in batches:
+            schema = batch.schema
+            for start in range(0, batch.num_rows, DRAW_ROWS):
+                part = batch.slice(start, DRAW_ROWS)
+                code = part.column(schema.get_field_index("_g")).dictionary_encode().indices.to_numpy()
+                order = np.argsort(code, kind="stable")
+                _, at = np.unique(code[order], return_index=True)
+                mark, count, value, after = (part.column(schema.get_field_index(c)).to_numpy(zero_copy_only=False)[order] for c in ("_k", "_c", "_v", "_after"))
+                times = drawn(mark.view("uint64"), count)
+                value, after = value[:, None], after.astype("float64")[:, None]
+                sums = [np.add.reduceat(times * x, at) for x in (1 - after, (1 - after) * value, after, after * value)]
+                names = zip(*(part.column(schema.get_field_index(k)).take(pa.array(order[at])).to_pylist() for k in keys)) if keys else [()]
+                for n, name in enumerate(names):
+                    new = np.stack([x[n] for x in sums])
+                    held[name] = held[name] + new if name in held else new
+                if len(held) >= HELD_SERIES:
+                    yield out(schema)
+        if held:
+            yield out(schema)
+
+    return run
+
+
+def bootstrap(df: DataFrame, keys: list[str], value: str, is_after: Column, iterations: int = 1000, seed: int = 7, identity: list[str] | None = None) -> DataFrame:
+    """Confidence interval of the difference of means. Poisson resampling: each row counts as often as a seeded Poisson variable says.
+
+    What a row draws depends on the seed and on what the row holds, not on where it lies, so reruns agree whatever the partitions
+    (but for the order in which doubles are added). `identity` names columns that tell all rows apart, such as a primary key: rows
+    then stay where they are, each task adds up one matrix (series x iterations) and only these are shuffled. Without it, rows equal
+    in keys, period and value are first counted, which shuffles the distinct ones, and such a group draws for all its rows at once.
+    Null and NaN values and null periods do not count; a series without rows of one period has no row; iterations in which one
+    period drew nothing are left out.
+    """
+    after, v = is_after, F.col(value).cast("double")
+    rows = df.where(v.isNotNull() & ~F.isnan(v) & after.isNotNull())
+    if identity:
+        rows = rows.select(*keys, F.xxhash64(*identity, F.lit(seed)).alias("_k"), F.lit(1).cast("long").alias("_c"), v.alias("_v"), after.alias("_after"))
+    else:
+        rows = rows.select(*keys, v.alias("_v"), after.alias("_after")).groupBy(*keys, "_v", "_after").agg(F.count("*").alias("_c")).withColumn("_k", F.xxhash64(*keys, "_v", "_after", F.lit(seed)))
+    rows = rows.withColumn("_g", F.to_json(F.struct(*keys)) if keys else F.lit(""))
+    states = ("_cb", "_sb", "_ca", "_sa")
+    types = StructType([*rows.select(*keys).schema.fields, *(StructField(c, ArrayType(DoubleType())) for c in states)])
+    merged = rows.mapInArrow(_resampled(keys, iterations), types).select(*keys, F.posexplode(F.arrays_zip(*states)).alias("_i", "_s")).groupBy(*keys, "_i").agg(*(F.sum(F.col("_s")[c]).alias(c) for c in states))
+    # At most `iterations` differences are left of a series.
+    d = F.try_divide("_sa", "_ca") - F.try_divide("_sb", "_cb")
     q = [F.percentile(d, F.lit(x)).alias(n) for n, x in (("ci_lower_95", 0.025), ("ci_upper_95", 0.975), ("ci_lower_99", 0.005), ("ci_upper_99", 0.995))]
-    return means.where(d.isNotNull()).groupBy(*keys).agg(F.avg(d).alias("mean_difference"), *q, F.avg((d > 0).cast("double")).alias("probability_regression"))
+    return merged.where(d.isNotNull()).groupBy(*keys).agg(F.avg(d).alias("mean_difference"), *q, F.avg((d > 0).cast("double")).alias("probability_regression"))

@@ -15,15 +15,15 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def numbered(df: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
-    """df with the place (from 0) of each row in its series, in the order of a number or a time; null comes first.
+def numbered(df: DataFrame, keys: list[str], order: str, name: str, ties: tuple[str, ...] = ()) -> DataFrame:
+    """df with the place (from 0) of each row in its series, in the order of a number or a time, then of `ties`; null comes first.
 
     A long series is cut into parts of its range; rows are numbered within each part, from the number of rows in parts before.
     """
     kind = dict(df.dtypes)[order]
     known = kind.startswith(("timestamp", "date", "decimal")) or kind in ("tinyint", "smallint", "int", "bigint", "float", "double")
     if not known or estimated_bytes(df) <= ORDERED_BYTES:
-        return df.withColumn(name, (F.row_number().over(W.partitionBy(*keys).orderBy(order)) - 1).cast("long"))
+        return df.withColumn(name, (F.row_number().over(W.partitionBy(*keys).orderBy(order, *ties)) - 1).cast("long"))
     x = (F.unix_micros(F.col(order).cast("timestamp")) if kind.startswith(("timestamp", "date")) else F.col(order)).cast("double")
     ends = df.groupBy(*keys).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi")).select(*(F.col(k).alias(f"_key_{k}") for k in keys), "_lo", "_hi")
     same = F.lit(True)
@@ -34,7 +34,7 @@ def numbered(df: DataFrame, keys: list[str], order: str, name: str) -> DataFrame
     before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     counts = cut.groupBy(*keys, "_part").agg(F.count("*").alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
     counts = counts.select(*(F.col(k).alias(f"_key_{k}") for k in keys), F.col("_part").alias("_of"), "_before")
-    placed = cut.withColumn(name, F.row_number().over(W.partitionBy(*keys, "_part").orderBy(order)) - 1)
+    placed = cut.withColumn(name, F.row_number().over(W.partitionBy(*keys, "_part").orderBy(order, *ties)) - 1)
     done = placed.join(counts, same & (F.col("_part") == F.col("_of"))).withColumn(name, (F.col(name) + F.col("_before")).cast("long"))
     return done.drop("_part", "_of", "_before", *(f"_key_{k}" for k in keys))
 
@@ -42,8 +42,14 @@ def numbered(df: DataFrame, keys: list[str], order: str, name: str) -> DataFrame
 def with_totals(df: DataFrame, keys: list[str], *aggregates) -> DataFrame:
     """df with aggregates of each row's series, which are joined rather than gathered by a window."""
     made = df.groupBy(*keys).agg(*aggregates)
-    made = made.select(*(F.col(k).alias(f"_key_{k}") for k in keys), *(c for c in made.columns if c not in keys))
+    return matched(df, made, keys)
+
+
+def matched(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """df beside the row of `other` with the same keys; null keys match, and one row stands beside one if there are no keys."""
+    names = {k: f"_key_{k}" for k in keys}
+    other = other.select(*(F.col(k).alias(n) for k, n in names.items()), *(c for c in other.columns if c not in keys))
     same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
-    return df.join(made, same).drop(*(f"_key_{k}" for k in keys))
+    for k, n in names.items():
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    return df.join(other, same).drop(*names.values())

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quarrylens.functions.numeric import change_percent_start, messages, nonzero_ratio
 from quarrylens.operators.anomaly import change_points
-from quarrylens.operators.series import numbered
+from quarrylens.operators.series import ORDERED_BYTES, estimated_bytes, matched, numbered
 from quarrylens.operators.stats import guarded_r2
 
 LATENCY_WORDS = "latency|duration|time|delay|response"
@@ -106,24 +106,106 @@ def linear_forecast(df: DataFrame, keys: list[str], ts: str = "ts", value: str =
     return _points(made, keys, periods, F.col("_my") + F.col("_b") * (x - F.col("_mx")), _t_value(confidence) * error * far)
 
 
-def holt_forecast(df: DataFrame, keys: list[str], ts: str = "ts", value: str = "value", periods: int = 7, confidence: float = 0.95, least: int = 10, alpha: float = 0.3, beta: float = 0.1) -> DataFrame:
-    """Double exponential smoothing. A recurrence over the whole series, so a series is folded in one place, as one array of values."""
-    rows = _training(df, keys, ts, value)
-    made = rows.groupBy(*keys).agg(*_common(), F.array_sort(F.collect_list(F.struct("_us", "_y"))).alias("_rows"), F.avg("_y").alias("_my"), F.var_pop("_y").alias("_vy")).where(F.col("training_points") >= least).join(intervals(df, keys, ts), keys)
-    first, last = F.col("_rows")[0]["_y"], F.col("last_value")
-    start = F.struct(first.alias("level"), ((last - first) / F.col("training_points")).alias("trend"), F.lit(0.0).alias("ss"))
+#: Points of a stretch that one task smooths, and stretches whose effects are composed at a time.
+STRETCH, FAN = 10_000, 1_000
+
+
+def _affine(alpha: float, beta: float, base: Column, values: Column) -> Column:
+    """What Holt smoothing of an array of values does to any start (level, trend) = base + d: the end is M d + (v0, v1), the squared
+    misses add up to q + b . d + d . C d. The values of M, v, b and C are plain columns of one struct, so effects compose.
+
+    The base lies on the series, so that little is lost when the squares of far starts cancel.
+    """
+    a, c, g = 1 - alpha, alpha, alpha * beta
+    level, trend = base["level"], base["trend"]
+    zero = F.lit(0.0)
+    start = F.struct(F.lit(1.0).alias("m00"), zero.alias("m01"), zero.alias("m10"), F.lit(1.0).alias("m11"), level.alias("v0"), trend.alias("v1"), zero.alias("q"), zero.alias("b0"), zero.alias("b1"), zero.alias("c00"), zero.alias("c01"), zero.alias("c11"))
+
+    def step(s: Column, y: Column) -> Column:
+        v0 = c * y + a * (s["v0"] + s["v1"])
+        v1 = beta * (v0 - s["v0"]) + (1 - beta) * s["v1"]
+        m00, m01 = a * (s["m00"] + s["m10"]), a * (s["m01"] + s["m11"])
+        m10, m11 = -g * s["m00"] + (1 - g) * s["m10"], -g * s["m01"] + (1 - g) * s["m11"]
+        miss, u0, u1 = y - (v0 + v1), m00 + m10, m01 + m11  # miss - (u0, u1) . d
+        return F.struct(
+            m00.alias("m00"), m01.alias("m01"), m10.alias("m10"), m11.alias("m11"), v0.alias("v0"), v1.alias("v1"), (s["q"] + miss * miss).alias("q"),
+            (s["b0"] - 2 * miss * u0).alias("b0"), (s["b1"] - 2 * miss * u1).alias("b1"), (s["c00"] + u0 * u0).alias("c00"), (s["c01"] + u0 * u1).alias("c01"), (s["c11"] + u1 * u1).alias("c11"),
+        )
+
+    return F.aggregate(values, start, step)
+
+
+def _composed(first: Column, second: Column) -> Column:
+    """The effect of two stretches in turn; each is a struct of its base (level, trend) and its effect f."""
+    f, s = first["f"], second["f"]
+    # A start d off the first base is (n00 n01, n10 n11) d + g off the second one.
+    g0, g1 = f["v0"] - second["level"], f["v1"] - second["trend"]
+    m = {k: f[k] for k in ("m00", "m01", "m10", "m11")}
+    # C g and C M of the second stretch.
+    h0, h1 = s["c00"] * g0 + s["c01"] * g1, s["c01"] * g0 + s["c11"] * g1
+    k00, k01 = s["c00"] * m["m00"] + s["c01"] * m["m10"], s["c00"] * m["m01"] + s["c01"] * m["m11"]
+    k10, k11 = s["c01"] * m["m00"] + s["c11"] * m["m10"], s["c01"] * m["m01"] + s["c11"] * m["m11"]
+    e0, e1 = s["b0"] + 2 * h0, s["b1"] + 2 * h1
+    made = F.struct(
+        (s["m00"] * m["m00"] + s["m01"] * m["m10"]).alias("m00"), (s["m00"] * m["m01"] + s["m01"] * m["m11"]).alias("m01"),
+        (s["m10"] * m["m00"] + s["m11"] * m["m10"]).alias("m10"), (s["m10"] * m["m01"] + s["m11"] * m["m11"]).alias("m11"),
+        (s["m00"] * g0 + s["m01"] * g1 + s["v0"]).alias("v0"), (s["m10"] * g0 + s["m11"] * g1 + s["v1"]).alias("v1"),
+        (f["q"] + s["q"] + s["b0"] * g0 + s["b1"] * g1 + g0 * h0 + g1 * h1).alias("q"),
+        (f["b0"] + m["m00"] * e0 + m["m10"] * e1).alias("b0"), (f["b1"] + m["m01"] * e0 + m["m11"] * e1).alias("b1"),
+        (f["c00"] + m["m00"] * k00 + m["m10"] * k10).alias("c00"), (f["c01"] + m["m00"] * k01 + m["m10"] * k11).alias("c01"), (f["c11"] + m["m01"] * k01 + m["m11"] * k11).alias("c11"),
+    )
+    return F.struct(first["level"].alias("level"), first["trend"].alias("trend"), made.alias("f"))
+
+
+def smoothed(rows: DataFrame, keys: list[str], alpha: float, beta: float, stretch: int = STRETCH, fan: int = FAN, whole: bool | None = None) -> DataFrame:
+    """keys, level, trend, ss: Holt smoothing of each series of (keys, _us, _y), from its first value and the mean step to its last,
+    over all values but the first; ss adds up the squared misses.
+
+    Smoothing is a recurrence, but the effect of a stretch of points on any start is an affine map, and the squared misses are a
+    quadratic form of the start; both compose (a parallel scan). So a long series is cut in stretches of rows, which are smoothed
+    independently, and their effects, 14 numbers each, are composed level by level, `fan` at a time. A series of 10^10 points takes
+    two levels; no task holds more than `stretch` values or `fan` effects. Inputs small by the optimiser's estimate are one stretch.
+    """
+    if whole is None:
+        whole = estimated_bytes(rows) <= ORDERED_BYTES
+    if whole:
+        made = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_us", "_y"))).alias("_rows"))
+        values = F.transform(F.col("_rows"), lambda r: r["_y"])
+        n = F.size("_rows")
+        made = made.select(*keys, values.alias("_ys"), n.alias("_n")).withColumn("_base", F.struct(F.col("_ys")[0].alias("level"), ((F.element_at("_ys", -1) - F.col("_ys")[0]) / F.col("_n")).alias("trend")))
+        made = made.withColumn("f", _affine(alpha, beta, F.col("_base"), F.slice("_ys", 2, F.greatest(F.col("_n") - 1, F.lit(1)))))
+        return made.select(*keys, F.col("f.v0").alias("level"), F.col("f.v1").alias("trend"), F.col("f.q").alias("ss"))
+    placed = numbered(rows, keys, "_us", "_place", ties=("_y",))
+    made = placed.groupBy(*keys, F.floor(F.col("_place") / stretch).alias("_at")).agg(F.array_sort(F.collect_list(F.struct("_place", "_y"))).alias("_rows"))
+    values = F.transform(F.col("_rows"), lambda r: r["_y"])
+    made = made.select(*keys, "_at", values.alias("_ys"))
+    # The first value of a series is where smoothing starts; it is not smoothed itself.
+    base = F.struct(F.col("_ys")[0].alias("level"), F.lit(0.0).alias("trend"))
+    rest = F.when(F.col("_at") == 0, F.slice("_ys", 2, F.greatest(F.size("_ys") - 1, F.lit(1)))).otherwise(F.col("_ys"))
+    made = made.withColumn("_e", F.struct(F.col("_ys")[0].alias("level"), F.lit(0.0).alias("trend"), _affine(alpha, beta, base, rest).alias("f"))).select(*keys, "_at", "_e", F.element_at("_ys", -1).alias("_last"), F.size("_ys").cast("long").alias("_n"))
+
+    def composed(frame: DataFrame, by: list) -> DataFrame:
+        got = frame.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_at", "_e"))).alias("_es"), F.max_by("_last", "_at").alias("_last"), F.sum("_n").alias("_n"))
+        effects = F.transform("_es", lambda x: x["_e"])
+        return got.withColumn("_e", F.reduce(F.slice(effects, 2, F.greatest(F.size("_es") - 1, F.lit(1))), F.element_at(effects, 1), _composed))
+
+    for _ in range(2):
+        made = composed(made, [*keys, F.floor(F.col("_at") / fan).alias("_up")]).select(*keys, F.col("_up").alias("_at"), "_e", "_last", "_n")
+    made = composed(made, keys)
+    # The true start has the first level; its trend is off the base by the mean step.
+    f, d = F.col("_e.f"), (F.col("_last") - F.col("_e.level")) / F.col("_n")
+    return made.select(*keys, (f["v0"] + f["m01"] * d).alias("level"), (f["v1"] + f["m11"] * d).alias("trend"), F.greatest(F.lit(0.0), f["q"] + f["b1"] * d + f["c11"] * d * d).alias("ss"))
 
-    def step(acc: Column, row: Column) -> Column:
-        level = alpha * row["_y"] + (1 - alpha) * (acc["level"] + acc["trend"])
-        trend = beta * (level - acc["level"]) + (1 - beta) * acc["trend"]
-        miss = row["_y"] - (level + trend)
-        return F.struct(level.alias("level"), trend.alias("trend"), (acc["ss"] + miss * miss).alias("ss"))
 
-    made = made.withColumn("_f", F.aggregate(F.slice("_rows", 2, F.greatest(F.size("_rows") - 1, F.lit(1))), start, step))
+def holt_forecast(df: DataFrame, keys: list[str], ts: str = "ts", value: str = "value", periods: int = 7, confidence: float = 0.95, least: int = 10, alpha: float = 0.3, beta: float = 0.1) -> DataFrame:
+    """Double exponential smoothing, carried on along its last trend. Points of one time come in the order of their values."""
+    rows = _training(df, keys, ts, value)
+    made = rows.groupBy(*keys).agg(*_common(), F.var_pop("_y").alias("_vy")).where(F.col("training_points") >= least)
+    made = matched(matched(made, smoothed(rows, keys, alpha, beta), keys), intervals(df, keys, ts), keys)
     total = F.col("_vy") * F.col("training_points")
-    made = made.withColumn("model_fit", F.when(total > 0, F.greatest(F.lit(0.0), 1 - F.col("_f.ss") / total)).otherwise(0.0))
-    error = F.sqrt(F.col("_f.ss") / F.col("training_points"))
-    return _points(made, keys, periods, F.col("_f.level") + F.col("step") * F.col("_f.trend"), _t_value(confidence) * error * F.sqrt(1 + F.col("step") * 0.1))
+    made = made.withColumn("model_fit", F.when(total > 0, F.greatest(F.lit(0.0), 1 - F.col("ss") / total)).otherwise(0.0))
+    error = F.sqrt(F.col("ss") / F.col("training_points"))
+    return _points(made, keys, periods, F.col("level") + F.col("step") * F.col("trend"), _t_value(confidence) * error * F.sqrt(1 + F.col("step") * 0.1))
 
 
 def moving_average_forecast(df: DataFrame, keys: list[str], ts: str = "ts", value: str = "value", periods: int = 7, confidence: float = 0.95, least: int = 10, window: int = 7) -> DataFrame:

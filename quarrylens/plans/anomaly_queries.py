@@ -27,7 +27,7 @@ def _after():
 
 
 def n25(s, d):
-    return rounded(an.bootstrap(t(s, d, "orders"), ["o_orderpriority"], "o_totalprice", _after(), iterations=100))
+    return rounded(an.bootstrap(t(s, d, "orders"), ["o_orderpriority"], "o_totalprice", _after(), iterations=100, identity=["o_orderkey"]))
 
 
 FOUND = "deviation, CASE WHEN expected_value <> 0 THEN 100 * deviation / expected_value ELSE 0.0 END AS deviation_percent"
