@@ -3,28 +3,18 @@
 from __future__ import annotations
 
 import itertools
-import tempfile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrylens.operators.series import settled as _settled
+
 #: Levels after which what a walk has found is put together anew, so that plans do not grow with its length.
 GATHER_LEVELS = 16
 #: Share of nodes of one outgoing link from which merging chains is worth its rounds.
 CHAINED = 0.6
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """df with its lineage cut in the shared checkpoint folder; only a local session without one gets its own."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="quarrylens-"))
-    return df.checkpoint()
-
-
 def levels(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """origin, node, level: breadth first from each start (origin, node) along the edges; a node has the level of its first visit."""
     links = edges.select("src", "dst").distinct()

@@ -7,8 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrylens.functions.numeric import change_percent_signed, messages, none_if_zero, ratio
+from quarrylens.operators.anchored import STRETCH, with_starts
 from quarrylens.operators.quantiles import grouped
-from quarrylens.operators.series import numbered, with_totals
+from quarrylens.operators.series import ORDERED_BYTES, estimated_bytes, numbered, with_totals
 
 PERCENTILES = {"p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99, "p999": 0.999}
 BUCKETS = (10, 25, 50, 100, 250, 500, 1000, 2500, 5000, 10000)
@@ -137,31 +138,25 @@ def window_aggregate(df: DataFrame, keys: list[str], ts: str = "ts", value: str
     return with_percentiles(summary(placed, [*keys, "window_start"], value, F.sum(value).alias("sum_value"))).withColumn("throughput", F.col("sample_count") / F.lit(float(seconds)))
 
 
-def anchored_windows(df: DataFrame, keys: list[str], ts: str = "ts", value: str = "value", seconds: int = 60) -> DataFrame:
+def anchored_windows(df: DataFrame, keys: list[str], ts: str = "ts", value: str = "value", seconds: int = 60, stretch: int = STRETCH, whole: bool | None = None) -> DataFrame:
     """Windows that start at a group's first sample, and after that at the first sample past the window's end.
 
-    The start of each window depends on all before it, so a group is folded in order. Rows are first cut into runs at gaps of
-    a window or more, where a window starts in any case; only the times of a run are gathered in one place, to find the starts.
+    Series are streamed in order, long ones in stretches at once (see anchored.py); no task holds a series. Rows without a value
+    or a time do not count.
     """
-    t = F.unix_micros(F.col(ts).cast("timestamp"))
-    size = seconds * 1_000_000
-    order = W.partitionBy(*keys).orderBy("_t")
-    rows = df.where(F.col(value).isNotNull() & F.col(ts).isNotNull()).select(*keys, t.alias("_t"), F.col(value).cast("double").alias("_v"))
-    gap = F.coalesce((F.col("_t") - F.lag("_t").over(order) >= size).cast("int"), F.lit(1))
-    runs = rows.withColumn("_run", F.sum(gap).over(order))
-    folded = runs.groupBy(*keys, "_run").agg(F.array_sort(F.collect_list("_t")).alias("_rows"))
-    start = F.aggregate(
-        "_rows",
-        F.struct(F.lit(None).cast("long").alias("at"), F.array().cast("array<long>").alias("starts")),
-        lambda acc, x: F.when(acc["at"].isNull() | (x >= acc["at"] + size), F.struct(x.alias("at"), F.array_append(acc["starts"], x).alias("starts"))).otherwise(acc),
-    )["starts"]
-    # Starts and rows in one order: each row takes the last start before it.
-    starts = folded.select(*keys, "_run", F.explode(start).alias("_t")).withColumn("_v", F.lit(None).cast("double")).withColumn("_start", F.col("_t"))
-    both = starts.unionByName(runs.select(*keys, "_run", "_t", "_v", F.lit(None).cast("long").alias("_start")))
-    before = W.partitionBy(*keys, "_run").orderBy("_t", F.col("_start").isNull()).rowsBetween(W.unboundedPreceding, 0)
-    placed = both.withColumn("_at", F.last("_start", ignorenulls=True).over(before)).where("_start is null")
-    made = placed.groupBy(*keys, "_at").agg(F.count("*").alias("sample_count"), F.sum("_v").alias("sum_value"), F.avg("_v").alias("mean"), F.min("_v").alias("min_value"), F.max("_v").alias("max_value"))
-    return made.withColumn("window_start", F.timestamp_micros("_at").cast("timestamp_ntz")).withColumn("throughput", F.col("sample_count") / F.lit(float(seconds))).drop("_at")
+    t = F.unix_micros(F.col(ts).cast("timestamp")).alias("_t")
+    v = F.col(value).cast("double")
+    rows = df.where(F.col(value).isNotNull() & F.col(ts).isNotNull())
+    if whole is None:
+        whole = estimated_bytes(rows) <= ORDERED_BYTES
+    if whole:
+        rows = rows.select(*keys, t, F.lit(1).cast("long").alias("_n"), v.alias("_sum"), v.alias("_min"), v.alias("_max"))
+    else:  # one row for each time
+        rows = rows.select(*keys, t, v.alias("_v")).groupBy(*keys, "_t").agg(F.count("*").alias("_n"), F.sum("_v").alias("_sum"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    placed = with_starts(rows, keys, seconds * 1_000_000, stretch, whole)
+    made = placed.groupBy(*keys, "_start").agg(F.sum("_n").alias("sample_count"), F.sum("_sum").alias("sum_value"), F.min("_min").alias("min_value"), F.max("_max").alias("max_value"))
+    made = made.select(*keys, "sample_count", "sum_value", (F.col("sum_value") / F.col("sample_count")).alias("mean"), "min_value", "max_value", F.timestamp_micros("_start").cast("timestamp_ntz").alias("window_start"))
+    return made.withColumn("throughput", F.col("sample_count") / F.lit(float(seconds)))
 
 
 def throughput(count: Column, seconds: Column) -> Column:

@@ -75,3 +75,33 @@ def test_bootstrap_counts_equal_rows_as_often_as_they_stand(spark):
     rows = [("m", n, float(n % 2), bool(n // 2 % 2)) for n in range(4000)]
     _, low, high, *_ = resampled(spark, rows, 2)["m"]
     assert 0.8 < (high - low) / (2 * 1.96 * math.sqrt(2 * 0.25 / 2000)) < 1.2
+
+
+def anchored(times, size):
+    made, start = {}, None
+    for t in sorted(times):
+        if start is None or t >= start + size:
+            start = t
+        made[start] = made.get(start, 0) + 1
+    return made
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_anchored_windows_against_a_loop(spark, whole):
+    """Windows much shorter and much longer than a stretch, grids, bursts, ties, gaps, times before 1970, null keys."""
+    draw = random.Random(9)
+    series = {
+        "grid": list(range(0, 400, 2)), "dense": [draw.randrange(100) for _ in range(300)], "bursts": [s * 977 + draw.randrange(40) for s in range(12) for _ in range(20)],
+        "sparse": [k * 1000 for k in range(20)], "ties": [5] * 50, "one": [-7], "old": [draw.randrange(-900, 100) for _ in range(150)], None: [draw.randrange(3000) for _ in range(200)],
+    }
+    rows = [(k, s, 1.0) for k, ts in series.items() for s in ts] + [("one", None, 1.0), ("one", 3, None)]
+    draw.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, s long, value double").withColumn("ts", F.timestamp_seconds("s").cast("timestamp_ntz")).repartition(3)
+    for size in (30, 1) if not whole else (30, 7, 1):
+        got = {}
+        for r in stats.anchored_windows(df, ["k"], seconds=size, stretch=11, whole=whole).select("k", F.unix_micros(F.col("window_start").cast("timestamp")).alias("at"), "sample_count", "sum_value").collect():
+            assert r.sum_value == r.sample_count
+            got.setdefault(r.k, {})[r.at // 1_000_000] = r.sample_count
+        assert got == {k: anchored(ts, size) for k, ts in series.items()}, size
+    assert stats.anchored_windows(df.where("k = 'none'"), ["k"], whole=whole).count() == 0
+    assert stats.anchored_windows(df, [], seconds=30, stretch=50, whole=whole).count() == len(anchored([s for ts in series.values() for s in ts], 30))
