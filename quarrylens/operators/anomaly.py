@@ -118,7 +118,7 @@ def detect_with_baseline(df: DataFrame, base: DataFrame, keys: list[str], ts: st
 def change_points(df: DataFrame, keys: list[str], order: str, value: str = "value", window: int = 10, threshold: float = Z) -> DataFrame:
     """Places where the means of the windows before and after differ by the threshold in pooled sigmas."""
     v = F.col(value).cast("double")
-    rows = with_totals(df.where(v.isNotNull()).select(*keys, order, v.alias("_v")), keys, F.count("*").alias("_n"))
+    rows = with_totals(df.where(v.isNotNull()).select(*keys, order, v.alias("_v")), keys, _n=F.count("*"))
     rows = numbered(rows, keys, order, "index")
     # Windows reach over the ends of a stretch of rows, so each stretch also gets the rows next to it.
     of = lambda c: F.floor(c / STRETCH)
@@ -212,15 +212,13 @@ def t_p_value(t, df):
 def distributions(df: DataFrame, keys: list[str], value: str, is_after: Column) -> DataFrame:
     """Both periods' mean, sample sigma, percentiles and range; series with both periods only."""
     v = F.col(value).cast("double")
-    side = {"before": F.when(~is_after, v), "after": F.when(is_after, v)}
-    aggregates = []
-    for name, x in side.items():
-        aggregates += [F.count(x).alias(f"{name}_n"), F.avg(x).alias(f"{name}_mean"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias(f"{name}_std"), F.min(x).alias(f"{name}_min"), F.max(x).alias(f"{name}_max"), F.percentile(x, F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99))).alias(f"_{name}")]
-    made = df.groupBy(*keys).agg(*aggregates).where("before_n > 0 and after_n > 0")
-    for name in side:
-        for k, p in enumerate(("p50", "p90", "p99")):
-            made = made.withColumn(f"{name}_{p}", F.col(f"_{name}")[k])
-    return made.drop("_before", "_after").withColumn("mean_change_percent", change_percent_abs("before_mean", "after_mean")).withColumn("std_change_percent", change_percent_abs("before_std", "after_std"))
+    rows = df.where(v.isNotNull() & is_after.isNotNull()).select(*keys, is_after.alias("_late"), v.alias("_v"))
+    each = grouped(rows, [*keys, "_late"], F.col("_v"), [0.5, 0.9, 0.99], [F.count("*").alias("n"), F.avg("_v").alias("mean"), F.coalesce(F.stddev_samp("_v"), F.lit(0.0)).alias("std"), F.min("_v").alias("min"), F.max("_v").alias("max")])
+    figure = F.struct("n", "mean", "std", "min", "max", "_p")
+    made = each.groupBy(*keys).agg(F.max(F.when(~F.col("_late"), figure)).alias("before"), F.max(F.when(F.col("_late"), figure)).alias("after")).where("before is not null and after is not null")
+    for name in ("before", "after"):
+        made = made.withColumns({f"{name}_{c}": F.col(name)[c] for c in ("n", "mean", "std", "min", "max")} | {f"{name}_{p}": F.col(name)["_p"][k] for k, p in enumerate(("p50", "p90", "p99"))})
+    return made.drop("before", "after").withColumn("mean_change_percent", change_percent_abs("before_mean", "after_mean")).withColumn("std_change_percent", change_percent_abs("before_std", "after_std"))
 
 
 def regressions(df: DataFrame, keys: list[str], value: str, is_after: Column, alpha: float = 0.05, least_effect: float = 0.2, limit: float = SIGNIFICANT, critical: float = CRITICAL) -> DataFrame:

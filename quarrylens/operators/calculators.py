@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrylens.functions.numeric import messages, none_if_zero, ratio, steps
+from quarrylens.operators.quantiles import at_levels
+from quarrylens.operators.series import with_previous
 from quarrylens.operators.stats import summary, with_percentiles
 
 MIB = 1024.0 * 1024.0
@@ -53,17 +55,18 @@ def evictions(df: DataFrame) -> DataFrame:
 
 
 def query_metrics(df: DataFrame, by: str, time: str, examined: str, affected: str, used_index: Column, slow_ms: float = 100.0) -> DataFrame:
-    """A row over all queries (the key null) and one for each type, with grouping sets."""
+    """A row over all queries (the key null) and one for each type, from one pass."""
     v = F.col(time).cast("double")
-    made = df.cube(by).agg(
-        F.grouping(by).alias("_g"), F.count("*").alias("total_queries"), F.avg(v).alias("average_execution_ms"), F.max(v).alias("max_execution_ms"), F.min(v).alias("min_execution_ms"), F.percentile(v, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))).alias("_p"),
+    figures = [
+        F.count("*").alias("total_queries"), F.avg(v).alias("average_execution_ms"), F.max(v).alias("max_execution_ms"), F.min(v).alias("min_execution_ms"),
         F.count_if(v > slow_ms).alias("slow_query_count"), (F.avg(used_index.cast("double")) * 100).alias("index_usage_percent"), F.sum(examined).alias("_x"), F.sum(F.when(F.col(affected) > 0, F.col(affected))).alias("_a"),
-    )
+    ]
+    made = at_levels(df, [[by], []], v, [0.5, 0.95, 0.99], figures)
     for k, n in enumerate(("median_execution_ms", "p95_execution_ms", "p99_execution_ms")):
         made = made.withColumn(n, F.col("_p")[k])
-    made = made.withColumn("scan_rate", F.coalesce(ratio("_x", "_a"), F.lit(0.0))).withColumn("is_total", F.col("_g") == 1)
+    made = made.withColumn("scan_rate", F.coalesce(ratio("_x", "_a"), F.lit(0.0))).withColumn("is_total", F.col("_level") == 1)
     slow = 100.0 * F.col("slow_query_count") / F.col("total_queries")
-    return made.withColumn("recommendations", codes((F.col("p95_execution_ms") > 500, "high p95"), (slow > 10, "many slow queries"), (F.col("index_usage_percent") < 80, "low index usage"), (F.col("scan_rate") > 100, "full scans"))).drop("_g", "_p", "_x", "_a")
+    return made.withColumn("recommendations", codes((F.col("p95_execution_ms") > 500, "high p95"), (slow > 10, "many slow queries"), (F.col("index_usage_percent") < 80, "low index usage"), (F.col("scan_rate") > 100, "full scans"))).drop("_level", "_p", "_x", "_a")
 
 
 def pool_metrics(df: DataFrame) -> DataFrame:
@@ -101,8 +104,8 @@ def capacity(current: Column, most: Column) -> tuple[Column, Column]:
 
 def latency_metrics(df: DataFrame, keys: list[str], order: str, value: str = "value", packet_loss: Column | None = None) -> DataFrame:
     """K1, K2: summary, jitter in order, status."""
-    step = F.abs(F.col(value) - F.lag(value).over(W.partitionBy(*keys).orderBy(order)))
-    made = with_percentiles(summary(df.where(F.col(value).isNotNull()).withColumn("_step", step), keys, value, F.coalesce(F.avg("_step"), F.lit(0.0)).alias("jitter"), F.max(packet_loss if packet_loss is not None else F.lit(None).cast("double")).alias("packet_loss_percent")))
+    rows = with_previous(df.where(F.col(value).isNotNull()), keys, order, value, "_before").withColumn("_step", F.abs(F.col(value) - F.col("_before")))
+    made = with_percentiles(summary(rows, keys, value, F.coalesce(F.avg("_step"), F.lit(0.0)).alias("jitter"), F.max(packet_loss if packet_loss is not None else F.lit(None).cast("double")).alias("packet_loss_percent")))
     loss = F.coalesce("packet_loss_percent", F.lit(0.0))
     made = made.withColumn("status", F.when(loss > 5, "poor").when(F.col("p95") <= 50, "good").when(F.col("p95") <= 100, "acceptable").otherwise("poor"))
     return made.withColumn("recommendations", codes((F.col("p95") > 100, "high latency"), (F.col("jitter") > 20, "high jitter"), (loss > 1, "packet loss")))
@@ -119,8 +122,8 @@ def bandwidth(df: DataFrame) -> DataFrame:
 def dns_metrics(df: DataFrame, record_type: str, time: str, cache_hit: Column, failure: Column) -> DataFrame:
     """K4: over all lookups (record type null) and for each type."""
     v = F.col(time).cast("double")
-    made = df.cube(record_type).agg(F.grouping(record_type).alias("_g"), F.count("*").alias("total_queries"), F.avg(v).alias("avg_ms"), F.percentile(v, F.lit(0.95)).alias("p95_ms"), F.max(v).alias("max_ms"), (F.avg(cache_hit.cast("double")) * 100).alias("cache_hit_rate"), (F.avg(failure.cast("double")) * 100).alias("failure_rate"))
-    made = made.withColumn("is_total", F.col("_g") == 1).drop("_g")
+    made = at_levels(df, [[record_type], []], v, [0.95], [F.count("*").alias("total_queries"), F.avg(v).alias("avg_ms"), F.max(v).alias("max_ms"), (F.avg(cache_hit.cast("double")) * 100).alias("cache_hit_rate"), (F.avg(failure.cast("double")) * 100).alias("failure_rate")])
+    made = made.withColumn("p95_ms", F.col("_p")[0]).withColumn("is_total", F.col("_level") == 1).drop("_level", "_p")
     made = made.withColumn("status", F.when(F.col("failure_rate") > 5, "critical").when(F.col("p95_ms") > 100, "slow").when(F.col("p95_ms") > 50, "acceptable").otherwise("good"))
     return made.withColumn("recommendations", codes((F.col("p95_ms") > 100, "slow resolution"), (F.col("cache_hit_rate") < 50, "low cache hit rate"), (F.col("failure_rate") > 1, "failures")))
 

@@ -30,7 +30,7 @@ def grouped(df: DataFrame, keys: list[str], value: Column, percentiles: list[flo
         return df.groupBy(*keys).agg(*aggregates, F.percentile(value, F.array(*map(F.lit, percentiles))).alias("_p"))
     found = refined(df, keys, value, percentiles)
     if not keys:
-        return df.agg(*aggregates).join(F.broadcast(found), F.lit(True), "left")  # one row
+        return df.agg(F.count("*").alias("_all"), *aggregates).drop("_all").join(F.broadcast(found), F.lit(True), "left")  # one row
     made = (df.groupBy(*keys).agg(*aggregates) if aggregates else df.select(*keys).distinct()).alias("_a")
     same = F.lit(True)
     for k in keys:
@@ -38,6 +38,15 @@ def grouped(df: DataFrame, keys: list[str], value: Column, percentiles: list[flo
     return made.join(found.alias("_f"), same, "left").select("_a.*", "_f._p")
 
 
+def at_levels(df: DataFrame, levels: list[list[str]], value: Column, percentiles: list[float], aggregates: list[Column], buffer_rows: int = BUFFER_ROWS) -> DataFrame:
+    """`grouped` for several sets of keys in one pass over df: all keys (null where a level has them not), _level (its place in
+    `levels`), the aggregates, _p. The aggregates and the value must not use the keys."""
+    keys = list(dict.fromkeys(k for level in levels for k in level))
+    rows = df.withColumn("_level", F.explode(F.array(*(F.lit(n) for n in range(len(levels))))))
+    rows = rows.withColumns({k: F.when(F.col("_level").isin([n for n, level in enumerate(levels) if k in level]), F.col(k)) for k in keys})
+    return grouped(rows, [*keys, "_level"], value, percentiles, aggregates, buffer_rows)
+
+
 def refined(df: DataFrame, keys: list[str], value: Column, percentiles: list[float]) -> DataFrame:
     """keys, _p, by brackets."""
     rows = df.where(value.isNotNull()).select(*keys, value.cast("double").alias("_v"))
@@ -65,4 +74,5 @@ def refined(df: DataFrame, keys: list[str], value: Column, percentiles: list[flo
     low, high = F.floor("at"), F.ceil("at")
     pair = upto.groupBy(*keys, "k").agg(F.min("at").alias("at"), F.min(F.when(F.col("_upto") > low, F.col("v"))).alias("_a"), F.min(F.when(F.col("_upto") > high, F.col("v"))).alias("_z"))
     number = F.when(low == high, F.col("_a")).otherwise((high - F.col("at")) * F.col("_a") + (F.col("at") - low) * F.col("_z"))
-    return pair.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", number.alias("p")))), lambda x: x["p"]).alias("_p"))
+    found = pair.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", number.alias("p")))), lambda x: x["p"]).alias("_p"))
+    return found.where(F.size("_p") > 0)  # without keys, no value at all is a row too

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 #: Estimated bytes of a frame up to which a series is put in order by one window, and parts of the range of longer ones.
 ORDERED_BYTES, PARTS = 64_000_000, 4_000
+#: Rows of a long series that are looked at in order in one task.
+STRETCH = 200_000
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -41,10 +43,23 @@ def numbered(df: DataFrame, keys: list[str], order: str, name: str, ties: tuple[
     return done.drop("_part", "_of", "_before", *(f"_key_{k}" for k in keys))
 
 
-def with_totals(df: DataFrame, keys: list[str], *aggregates) -> DataFrame:
-    """df with aggregates of each row's series, which are joined rather than gathered by a window."""
-    made = df.groupBy(*keys).agg(*aggregates)
-    return matched(df, made, keys)
+def with_totals(df: DataFrame, keys: list[str], **aggregates: Column) -> DataFrame:
+    """df with aggregates of each row's series. Those of long series are joined rather than gathered by a window."""
+    if estimated_bytes(df) <= ORDERED_BYTES:
+        return df.withColumns({name: a.over(W.partitionBy(*keys)) for name, a in aggregates.items()})
+    return matched(df, df.groupBy(*keys).agg(*(a.alias(name) for name, a in aggregates.items())), keys)
+
+
+def with_previous(df: DataFrame, keys: list[str], order: str, value: str, name: str, stretch: int = STRETCH, whole: bool | None = None) -> DataFrame:
+    """df with the value of the row before in its series. A long series is cut in stretches, which also get the row before them."""
+    if whole is None:
+        whole = estimated_bytes(df) <= ORDERED_BYTES
+    if whole:
+        return df.withColumn(name, F.lag(value).over(W.partitionBy(*keys).orderBy(order)))
+    of = F.floor(F.col("_place") / stretch)
+    rows = numbered(df, keys, order, "_place").withColumn("_stretch", F.explode(F.sequence(of, F.floor((F.col("_place") + 1) / stretch))))
+    before = F.lag(value).over(W.partitionBy(*keys, "_stretch").orderBy("_place"))
+    return rows.withColumn(name, before).where(F.col("_stretch") == of).drop("_place", "_stretch")
 
 
 def matched(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:

@@ -177,7 +177,7 @@ def guarded_r2(y: str, x: str) -> Column:
 def index_trend(df: DataFrame, keys: list[str], order: str, value: str = "value", lower_is_better: bool = True, stability: float = 0.05, confidence: float = 0.7) -> DataFrame:
     """Least squares on the index of each value in order, change from first to last, direction, values beyond 2 sigma."""
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(order).alias("_o"), F.col(value).cast("double").alias("_y"))
-    rows = numbered(with_totals(rows, keys, F.avg("_y").alias("_m"), F.stddev_pop("_y").alias("_s")), keys, "_o", "_x").withColumn("_x", F.col("_x").cast("double"))
+    rows = numbered(with_totals(rows, keys, _m=F.avg("_y"), _s=F.stddev_pop("_y")), keys, "_o", "_x").withColumn("_x", F.col("_x").cast("double"))
     far = F.when(F.col("_s") > 0, F.abs((F.col("_y") - F.col("_m")) / F.col("_s")) > 2.0).otherwise(False)
     made = rows.groupBy(*keys).agg(
         F.count("*").alias("data_points"), F.coalesce(F.regr_slope("_y", "_x"), F.lit(0.0)).alias("slope"), guarded_r2("_y", "_x").alias("confidence"),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from quarrylens.functions.numeric import ratio
-from quarrylens.operators.quantiles import grouped
+from quarrylens.operators.quantiles import at_levels, grouped
 
 SLOW_SPAN_MS, SLOW_TRACE_MS = 100.0, 1000.0
 
@@ -46,17 +46,18 @@ def span_statistics(spans: DataFrame, keys: list[str] | None = None) -> DataFram
 
 
 def service_metrics(spans: DataFrame) -> DataFrame:
-    """A row for each service (operation_name null) and for each of its operations, from one pass with grouping sets."""
+    """A row for each service (operation_name null) and for each of its operations, from one pass."""
     d = F.col("duration_ms")
-    made = spans.rollup("service_name", "operation_name").agg(
-        F.grouping("service_name").alias("_gs"), F.grouping("operation_name").alias("_go"), F.count("*").alias("request_count"), F.count_if(F.col("is_error")).alias("error_count"), F.sum(d).alias("total_duration_ms"), F.avg(d).alias("avg_duration_ms"),
-        F.min(d).alias("min_duration_ms"), F.max(d).alias("max_duration_ms"), F.percentile(d, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))).alias("_p"), F.min("start_ns").alias("_a"), F.max("end_ns").alias("_z"),
-    ).where("_gs = 0")
+    figures = [
+        F.count("*").alias("request_count"), F.count_if(F.col("is_error")).alias("error_count"), F.sum(d).alias("total_duration_ms"), F.avg(d).alias("avg_duration_ms"),
+        F.min(d).alias("min_duration_ms"), F.max(d).alias("max_duration_ms"), F.min("start_ns").alias("_a"), F.max("end_ns").alias("_z"),
+    ]
+    made = at_levels(spans, [["service_name", "operation_name"], ["service_name"]], d, [0.5, 0.95, 0.99], figures)
     period = F.greatest((F.col("_z") - F.col("_a")) / 1e9, F.lit(1.0))
-    made = made.withColumn("error_rate", F.col("error_count") / F.col("request_count")).withColumn("throughput_per_second", F.col("request_count") / period).withColumn("is_total", F.col("_go") == 1)
+    made = made.withColumn("error_rate", F.col("error_count") / F.col("request_count")).withColumn("throughput_per_second", F.col("request_count") / period).withColumn("is_total", F.col("_level") == 1)
     for k, n in enumerate(("p50", "p95", "p99")):
         made = made.withColumn(f"{n}_duration_ms", F.col("_p")[k])
-    return made.drop("_gs", "_go", "_p", "_a", "_z")
+    return made.drop("_level", "_p", "_a", "_z")
 
 
 def traces(spans: DataFrame) -> DataFrame:
@@ -74,10 +75,11 @@ def health_score(error_rate: Column, p99: Column, slow_ms: float = SLOW_TRACE_MS
 
 def apm_report(spans: DataFrame, slow_ms: float = SLOW_TRACE_MS) -> DataFrame:
     """One row over all traces."""
-    t = traces(spans).agg(
+    figures = [
         F.count("*").alias("trace_count"), F.coalesce(F.sum("span_count"), F.lit(0)).alias("span_count"), F.coalesce(F.sum("error_count"), F.lit(0)).alias("_e"), F.count_if(F.col("total_duration_ms") > slow_ms).alias("slow_traces"),
-        F.count_if(F.col("error_count") > 0).alias("error_traces"), F.coalesce(F.avg("total_duration_ms"), F.lit(0.0)).alias("overall_avg_latency_ms"), F.coalesce(F.percentile("total_duration_ms", F.lit(0.99)), F.lit(0.0)).alias("overall_p99_latency_ms"),
-    )
+        F.count_if(F.col("error_count") > 0).alias("error_traces"), F.coalesce(F.avg("total_duration_ms"), F.lit(0.0)).alias("overall_avg_latency_ms"),
+    ]
+    t = grouped(traces(spans), [], F.col("total_duration_ms"), [0.99], figures).withColumn("overall_p99_latency_ms", F.coalesce(F.col("_p")[0], F.lit(0.0))).drop("_p")
     t = t.withColumn("overall_error_rate", ratio("_e", "span_count")).drop("_e")
     return t.withColumn("health_score", health_score(F.col("overall_error_rate"), F.col("overall_p99_latency_ms"), slow_ms))
 
@@ -92,7 +94,9 @@ def service_map(spans: DataFrame) -> DataFrame:
     """Calls between different services. A span id means its last span, over all traces."""
     parents = spans.groupBy("span_id").agg(F.max_by("service_name", "seq").alias("source_service")).withColumnRenamed("span_id", "parent_span_id")
     calls = spans.where(F.col("parent_span_id").isNotNull()).join(parents, "parent_span_id").where(F.col("source_service") != F.col("service_name"))
-    return calls.groupBy("source_service", F.col("service_name").alias("target_service")).agg(F.count("*").alias("call_count"), F.count_if(F.col("is_error")).alias("error_count"), F.avg("duration_ms").alias("avg_latency_ms"), F.percentile("duration_ms", F.lit(0.99)).alias("p99_latency_ms"))
+    calls = calls.select("source_service", F.col("service_name").alias("target_service"), "is_error", "duration_ms")
+    made = grouped(calls, ["source_service", "target_service"], F.col("duration_ms"), [0.99], [F.count("*").alias("call_count"), F.count_if(F.col("is_error")).alias("error_count"), F.avg("duration_ms").alias("avg_latency_ms")])
+    return made.withColumn("p99_latency_ms", F.col("_p")[0]).drop("_p")
 
 
 def roots_and_leaves(spans: DataFrame, edges: DataFrame) -> DataFrame:
@@ -180,7 +184,8 @@ def common_bottlenecks(segments: DataFrame, n: int = 5) -> DataFrame:
 def service_bottlenecks(segments: DataFrame) -> DataFrame:
     """P27."""
     c = F.col("contribution_ms")
-    return segments.groupBy("service_name").agg(F.sum(c).alias("total_contribution_ms"), F.avg(c).alias("avg_contribution_ms"), F.max(c).alias("max_contribution_ms"), F.count("*").alias("occurrence_count"), F.percentile(c, F.lit(0.5)).alias("p50_contribution_ms"), F.percentile(c, F.lit(0.99)).alias("p99_contribution_ms"))
+    made = grouped(segments, ["service_name"], c, [0.5, 0.99], [F.sum(c).alias("total_contribution_ms"), F.avg(c).alias("avg_contribution_ms"), F.max(c).alias("max_contribution_ms"), F.count("*").alias("occurrence_count")])
+    return made.withColumn("p50_contribution_ms", F.col("_p")[0]).withColumn("p99_contribution_ms", F.col("_p")[1]).drop("_p")
 
 
 def compare_traces(segments: DataFrame, a: str, b: str) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from quarrylens.functions.numeric import change_percent_start, messages, nonzero_ratio
 from quarrylens.operators.anomaly import change_points
-from quarrylens.operators.series import ORDERED_BYTES, estimated_bytes, matched, numbered
+from quarrylens.operators.quantiles import grouped
+from quarrylens.operators.series import ORDERED_BYTES, estimated_bytes, matched, numbered, with_previous
 from quarrylens.operators.stats import guarded_r2
 
 LATENCY_WORDS = "latency|duration|time|delay|response"
@@ -70,8 +71,9 @@ def trend_report(trends: DataFrame, metric: str) -> DataFrame:
 
 def intervals(df: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
     """Median of the positive gaps, a day if there is none."""
-    gap = seconds(ts) - F.lag(seconds(ts)).over(W.partitionBy(*keys).orderBy(ts))
-    return df.select(*keys, gap.alias("_gap")).groupBy(*keys).agg(F.coalesce(F.percentile(F.when(F.col("_gap") > 0, F.col("_gap")), F.lit(0.5)), F.lit(DAY)).alias("interval_seconds"))
+    rows = with_previous(df.select(*keys, F.col(ts).alias("_ts")), keys, "_ts", "_ts", "_was").withColumn("_gap", seconds("_ts") - seconds("_was"))
+    made = grouped(rows, keys, F.when(F.col("_gap") > 0, F.col("_gap")), [0.5], [])
+    return made.select(*keys, F.coalesce(F.col("_p")[0], F.lit(DAY)).alias("interval_seconds"))
 
 
 def _t_value(confidence: float) -> float:

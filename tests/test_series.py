@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylens.operators import anomaly, stats, trend
+from quarrylens.operators import anomaly, quantiles, stats, trend
+from quarrylens.operators.series import with_previous
 
 
 def holt(values, alpha=0.3, beta=0.1):
@@ -105,3 +106,30 @@ def test_anchored_windows_against_a_loop(spark, whole):
         assert got == {k: anchored(ts, size) for k, ts in series.items()}, size
     assert stats.anchored_windows(df.where("k = 'none'"), ["k"], whole=whole).count() == 0
     assert stats.anchored_windows(df, [], seconds=30, stretch=50, whole=whole).count() == len(anchored([s for ts in series.values() for s in ts], 30))
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_previous_rows_across_stretches(spark, whole):
+    draw = random.Random(2)
+    rows = [(k, n, None if n % 7 == 3 else draw.random()) for k in ("a", None) for n in range(50)] + [("b", 0, 1.0)]
+    draw.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, n long, v double").repartition(4)
+    got = {(r.k, r.n): r.w for r in with_previous(df, ["k"], "n", "v", "w", stretch=6, whole=whole).collect()}
+    values = {(k, n): v for k, n, v in rows}
+    assert got == {(k, n): values.get((k, n - 1)) for k, n in values}
+
+
+@pytest.mark.parametrize("buffer_rows", [0, 10**9])
+def test_percentiles_at_levels(spark, buffer_rows):
+    """In one buffer and by brackets: the same as one query for each level; null keys are apart from left-out ones."""
+    draw = random.Random(4)
+    rows = [(draw.choice(("x", "y", None)), draw.randrange(3), draw.choice((None, draw.uniform(0, 9)))) for _ in range(400)]
+    df = spark.createDataFrame(rows, "a string, b int, v double")
+    got = {(r._level, r.a, r.b): (r.n, [round(p, 9) for p in r._p]) for r in quantiles.at_levels(df, [["a", "b"], ["a"], []], F.col("v"), [0.5, 0.9], [F.count("*").alias("n")], buffer_rows).collect()}
+    want = {}
+    for level, keys in enumerate((["a", "b"], ["a"], [])):
+        for r in df.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile("v", F.array(F.lit(0.5), F.lit(0.9))).alias("p")).collect():
+            want[level, r.a if "a" in keys else None, r.b if "b" in keys else None] = (r.n, [round(p, 9) for p in r.p])
+    assert got == want
+    none = quantiles.grouped(df.where("v is null"), [], F.col("v"), [0.5], [], buffer_rows).collect()
+    assert len(none) == 1 and none[0]._p is None
