@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarrylens.operators import clones
 from quarrylens.operators import history as h
 from quarrylens.operators import schema as sc
 from quarrylens.operators import text as tx
@@ -234,7 +235,7 @@ QUERIES = {
     "h02_rule_scan": lambda s, d: tx.scan_rules(t(s, d, "documents"), "doc_id", RULES),
     "h04_literal_clones": lambda s, d: tx.literal_clones(_blocks(s, d), "doc_id"),
     "h04_clone_families": lambda s, d: tx.clone_families(_blocks(s, d), "doc_id"),
-    "h05_near_clones": lambda s, d: rounded(tx.near_clones(_blocks(s, d), "doc_id").select("a.*", F.col("b.doc_id").alias("other_doc_id"), F.col("b.start_line").alias("other_start_line"), "similarity")),
+    "h05_near_clones": lambda s, d: rounded(clones.near_clones(_blocks(s, d), "doc_id")),
     "h06_blocks": lambda s, d: _blocks(s, d),
     "h07_duplication": lambda s, d: rounded(tx.duplication(t(s, d, "documents"), _blocks(s, d), "doc_id")),
     "f01_json_profile": lambda s, d: rounded(tx.json_profile(_mixed(s, d), "json")),

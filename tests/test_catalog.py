@@ -9,8 +9,6 @@ from quarrylens.plans import catalog
 
 DATA = Path("/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: Their parameters are set for the larger tables.
-SLOW = {"h05_near_clones"}
 
 
 def same(spark_frame, sql: str, tables=TABLES) -> None:
@@ -29,7 +27,7 @@ def same(spark_frame, sql: str, tables=TABLES) -> None:
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, name):
     frame = catalog.QUERIES[name](spark, str(DATA))
     if name in catalog.ORACLES:

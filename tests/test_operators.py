@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylens.operators import anomaly, calculators, graph, history, quality, quantiles, schema, slo, stats, text, tracing, trend, web
+from quarrylens.operators import anomaly, calculators, clones, graph, history, quality, quantiles, schema, slo, stats, text, tracing, trend, web
 from quarrylens.sources import readers
 
 SPAN = "trace_id string, span_id string, parent_span_id string, seq long, service_name string, operation_name string, is_error boolean, start_ns long, end_ns long, duration_ms double"
@@ -304,6 +304,7 @@ def test_text_and_web(spark):
 
 def test_near_clones_against_brute_force(spark):
     import random
+    from collections import Counter
     from difflib import SequenceMatcher
 
     rng = random.Random(6)
@@ -316,14 +317,36 @@ def test_near_clones_against_brute_force(spark):
         rows.append((k, 1, " ".join(words[: rng.randrange(32, 41)])))
     df = spark.createDataFrame([*rows, (90, 1, rows[0][2])], "doc_id long, start_line int, block string")
     norm = {r.doc_id: r.tokens for r in df.select("doc_id", F.trim(F.regexp_replace(text.normalised(F.col("block")), r"\s+", " ")).alias("tokens")).collect()}
-    once = {}
-    for doc in sorted(norm):
-        once.setdefault(norm[doc], doc)
-    ids = sorted(doc for tokens, doc in once.items() if tokens)
+    held = Counter(x.replace(" ", "") for x in norm.values())
     ratio = lambda x, y: SequenceMatcher(None, norm[x].split(), norm[y].split()).ratio()
-    want = sorted((x, y, round(r, 9)) for x in ids for y in ids if x < y and (r := ratio(x, y)) >= text.NEAR)
-    got = sorted((r.a.doc_id, r.b.doc_id, round(r.similarity, 9)) for r in text.near_clones(df, "doc_id").collect())
-    assert len(want) > 20 and got == want
+    want, used = [], set()
+    ids = [doc for doc in sorted(norm) if norm[doc] and held[norm[doc].replace(" ", "")] == 1]
+    for x in ids:
+        if x in used:
+            continue
+        mine = [(y, r) for y in ids if y > x and y not in used and (r := ratio(x, y)) >= text.NEAR]
+        used.update([x, *(y for y, _ in mine)])
+        want.extend([(x, x, 1.0)] * bool(mine) + [(y, x, round(r, 9)) for y, r in mine])
+    for batch in (clones.BATCH, 16):  # in one batch, and in batches of 16, 32 and 64
+        got = sorted((r.doc_id, r.class_doc_id, round(r.similarity, 9)) for r in clones.near_clones(df, "doc_id", batch=batch).collect())
+        assert len(want) > 20 and got == sorted(want)
+    assert clones.near_clones(df.limit(0), "doc_id").count() == 0
+
+
+def test_matched_runs_are_those_of_difflib():
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(4)
+    for _ in range(150):
+        a = [rng.choice("aaaaab.,;") for _ in range(rng.randrange(1, 90))]
+        b = [x if rng.random() < 0.8 else rng.choice("ab.,") for x in a][rng.randrange(2) :] or ["a"]
+        total = sum(m.size for m in SequenceMatcher(None, a, b).get_matching_blocks())
+        masks = {}
+        for k, x in enumerate(a):
+            masks[x] = masks.get(x, 0) | 1 << k
+        assert clones.matched(a, b, 0) == total <= clones.common_subsequence(masks, len(a), b)
+        assert clones.matched(a, b, total + 1) == -1 and clones.matched(a, b, total) == total
 
 
 def test_sources(spark, tmp_path):
