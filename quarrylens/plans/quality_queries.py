@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarrylens.operators import quality as q
+from quarrylens.operators import taint
 from quarrylens.plans.common import rounded, rounded_sql, t
 
 # Sources: one small module for each supplier; its number makes the branches, attributes and bases.
@@ -113,13 +114,30 @@ def r18(s, d):
 R18 = """SELECT 'f' || o_orderkey AS path, CASE WHEN o_orderdate >= TIMESTAMP '1997-01-01' THEN 'new' ELSE 'modified' END AS state, 'reference' AS by FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01' OR o_orderkey % 10 = 7
 UNION ALL SELECT 'f' || o_orderkey, 'modified', 'date' FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01'"""
 
+def h19(s, d):
+    """One module for each supplier, which hands its input to a function of another module and, if even, to the shell; in every third
+    module that function cleans it."""
+    k = F.col("s_suppkey")
+    text = F.concat(
+        F.format_string("from m%d import go as far\ndef go(v):\n    w = f'select {v}'\n", k - k % 5), F.when(k % 3 == 0, "    w = escape(w)\n").otherwise("    w = w + '!'\n"),
+        F.lit("    cursor.execute(w)\ndef view(request):\n    x = request.args.get('q')\n    far(x)\n"), F.when(k % 2 == 0, "    os.system(x)\n").otherwise(""),
+    )
+    return taint.taint_flows(taint.taint_facts(t(s, d, "supplier").select(F.format_string("m%d.py", k).alias("path"), text.alias("text"))))
+
+
+H19 = """SELECT 'm' || k || '.py' AS source_path, 'view' AS source_function, 7::INTEGER AS source_line, 'http_parameter' AS source_type, f.* FROM (SELECT s_suppkey AS k, unnest([
+  {'sink_path': 'm' || (s_suppkey - s_suppkey % 5) || '.py', 'sink_function': 'go', 'sink_line': 5::INTEGER, 'sink_name': 'cursor.execute', 'sink_type': 'sql_query', 'severity': 'critical', 'cwe': 'CWE-89', 'owasp': 'A03:2021', 'sanitizers_present': false, 'steps': 5::INTEGER},
+  {'sink_path': 'm' || s_suppkey || '.py', 'sink_function': 'view', 'sink_line': 9::INTEGER, 'sink_name': 'os.system', 'sink_type': 'shell_command', 'severity': 'critical', 'cwe': 'CWE-78', 'owasp': 'A03:2021', 'sanitizers_present': false, 'steps': 1::INTEGER}]) AS f FROM supplier)
+  WHERE CASE WHEN f.sink_type = 'sql_query' THEN (k - k % 5) % 3 <> 0 AND k - k % 5 IN (SELECT s_suppkey FROM supplier) ELSE k % 2 = 0 END"""
+
+
 QUERIES = {
     "h14_class_metrics": h14, "h15_complexity": h15, "h16_maintainability": h16,
     "h17_debt_roi": lambda s, d: rounded(q.debt_roi(_items(s, d))), "h17_projection": lambda s, d: rounded(q.debt_projection(_items(s, d), "year"), 3), "h17_most_indebted": lambda s, d: rounded(q.most_indebted(_items(s, d))),
-    "h18_coverage_gaps": h18, "h20_compliance": _graded, "h20_overall": lambda s, d: q.overall_grade(_graded(s, d)), "h21_requirements": h21, "r18_new_code": r18,
+    "h18_coverage_gaps": h18, "h19_taint": h19, "h20_compliance": _graded, "h20_overall": lambda s, d: q.overall_grade(_graded(s, d)), "h21_requirements": h21, "r18_new_code": r18,
 }
 
 ORACLES = {
     "h14_class_metrics": H14, "h15_complexity": H15, "h16_maintainability": H16, "h17_debt_roi": H17_ROI, "h17_projection": H17_PROJECTION, "h17_most_indebted": H17_FILES,
-    "h18_coverage_gaps": H18, "h20_compliance": H20, "h20_overall": f"SELECT max(grade) AS overall_grade, count(*) AS categories FROM ({H20})", "h21_requirements": H21, "r18_new_code": R18,
+    "h18_coverage_gaps": H18, "h19_taint": H19, "h20_compliance": H20, "h20_overall": f"SELECT max(grade) AS overall_grade, count(*) AS categories FROM ({H20})", "h21_requirements": H21, "r18_new_code": R18,
 }
