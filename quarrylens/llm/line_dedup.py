@@ -12,6 +12,10 @@ All counts are aggregates that combine before they are shuffled, so a line that
 and the result does not depend on the order of rows, unlike with a tree that is grown line by line. The recurring masks are
 broadcast, if a count shows that they are few; else lists of the lines to drop go to the documents by a join.
 
+Ahead of a dedup of documents, lines can be spared in copies (spare_copies): a copy that loses what it shares would no longer be
+found to be one. A document is held against the document that keeps the most of the lines it is to lose, by the SKETCH least hashes
+of their five-word shingles; where these put the similarity at COPY or more, it loses no lines to that document, only to others.
+
 Defined results: a null text has no lines and stays null; an empty text has one empty line; short lines always stay; rows
 with the same doc_id are one document (null doc_id included); ties between tokens go to the later one by code point; a very
 long text or line is parsed whole; an empty table gives an empty result; further columns are ignored (plan) or kept (remove).
@@ -27,11 +31,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import ARRAY_ROWS, SLICE_ROWS, cut, doc_input, map_batches, small, table, texts
+from quarrylens.llm.common import ARRAY_ROWS, SLICE_ROWS, WordHashes, cut, doc_input, map_batches, small, table, texts, window_hashes
 
 MIN_TOKENS, DEPTH, MIN_DOCS, SIMILARITY = 4, 3, 5, 0.7
 #: Templates of so many words recur from two documents on.
 LONG_TOKENS, LONG_DOCS = 40, 2
+#: Hashes of a text's sketch, and the similarity estimated from it (0.05 is its standard deviation at 0.8) from which lines are spared.
+SKETCH, COPY, SHINGLE = 64, 0.7, 5
 FIELD = b"<*>"
 BLANK, VARIABLE = r"[ \t\x0B\f\r]+", r"[^ ]*[0-9][^ ]*"
 DIGITS = b"0123456789"
@@ -142,24 +148,55 @@ def recurring(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return held.select("leaf", "mh", "doc_id"), template.select("leaf", "mh", "template").join(small(totals), ["leaf", "template"]).select("leaf", "mh", "first")
 
 
-def drop_lists(held: DataFrame, templates: DataFrame) -> DataFrame:
+def sketch(text: bytes, hashes: WordHashes) -> list[int]:
+    """The SKETCH least 32-bit hashes of the text's five-word shingles (of all its words, if they are fewer)."""
+    words = hashes.array(text.lower().split())
+    shingles = window_hashes(words, min(SHINGLE, len(words)))
+    return np.unique((shingles >> np.uint64(32)).astype(np.uint32).view(np.int32))[:SKETCH].tolist() if len(words) else []
+
+
+def copies(docs: DataFrame, held: DataFrame, templates: DataFrame) -> DataFrame:
+    """doc_id, first (materialised): documents that are copies of the one which keeps the most of the lines they are to lose."""
+    lost = held.join(small(templates), ["leaf", "mh"]).where("doc_id <> first").groupBy("doc_id", "first").agg(F.count("*").alias("lines"))
+    most = lost.groupBy("doc_id").agg(F.min(F.struct((-F.col("lines")).alias("lines"), "first")).alias("m")).select("doc_id", "m.first")
+
+    hashes = WordHashes()
+
+    def run(batch):
+        return {"doc_id": batch.column("doc_id").to_pylist(), "sketch": [sketch(x, hashes) for x in texts(batch)]}
+
+    made = map_batches(doc_input(docs), run, f"doc_id {dict(docs.dtypes)['doc_id']}, sketch array<int>").where("doc_id is not null")
+    made = cut(made.groupBy("doc_id").agg(F.min("sketch").alias("sketch")))
+    pairs = most.join(made.withColumnRenamed("sketch", "_a"), "doc_id").join(made.select(F.col("doc_id").alias("first"), F.col("sketch").alias("_b")), "first")
+    least = F.slice(F.array_sort(F.array_union("_a", "_b")), 1, SKETCH)
+    shared = F.size(F.array_intersect(least, F.array_intersect("_a", "_b")))
+    return cut(pairs.where((F.size(least) > 0) & (shared >= COPY * F.size(least))).select("doc_id", "first"))
+
+
+def drop_lists(held: DataFrame, templates: DataFrame, spared: DataFrame | None = None) -> DataFrame:
     """doc_id, drop: hashes of the masked lines that each document loses."""
     lost = held.join(templates, ["leaf", "mh"]).where(~F.col("doc_id").eqNullSafe(F.col("first")))
+    if spared is not None:
+        lost = lost.join(spared, ["doc_id", "first"], "left_anti")
     return lost.groupBy("doc_id").agg(F.collect_set("mh").alias("drop"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """All columns of docs with the text that is left, and _n_lines and _n_dropped."""
+def dedup_lines(docs: DataFrame, spare_copies: bool = False) -> DataFrame:
+    """All columns of docs with the text that is left, and _n_lines and _n_dropped. Copies of whole documents can be spared."""
     held, templates = recurring(docs)
     templates = cut(templates)
-    few, shared, joined = templates.count() <= ARRAY_ROWS, None, docs
+    spared = copies(docs, held, templates) if spare_copies else None
+    few, shared, partner, joined = templates.count() <= ARRAY_ROWS and (spared is None or spared.count() <= ARRAY_ROWS), None, None, docs
     if few:  # masks that recur, and the document that keeps each: their number has just been checked
         found = templates.select("mh", "first").toArrow()
         order = np.argsort(masks := found.column("mh").to_numpy())
         first = found.column("first").to_pylist()
         shared = docs.sparkSession.sparkContext.broadcast((masks[order], [first[k] for k in order.tolist()]))
+        if spared is not None:
+            pairs = spared.toArrow()
+            partner = docs.sparkSession.sparkContext.broadcast(dict(zip(pairs.column("doc_id").to_pylist(), pairs.column("first").to_pylist(), strict=True)))
     else:
-        lists = cut(drop_lists(held, templates).select(F.col("doc_id").alias("_id"), F.col("drop").alias("_drop")))
+        lists = cut(drop_lists(held, templates, spared).select(F.col("doc_id").alias("_id"), F.col("drop").alias("_drop")))
         joined = docs.join(lists, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select(*docs.columns, "_drop")
     at, at_id, schema = docs.columns.index("text"), docs.columns.index("doc_id"), docs.select("*", F.lit(0).cast("long").alias("_n_lines"), F.lit(0).cast("long").alias("_n_dropped")).schema
 
@@ -173,7 +210,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         if not met:
             return []
         at = np.minimum(np.searchsorted(masks, mine := np.array([m for _, m in met])), len(masks) - 1)
-        return [met[j][0] for j in np.flatnonzero(masks[at] == mine).tolist() if first[at[j]] != doc]
+        kept = {doc, partner.value.get(doc, doc)} if partner is not None else {doc}
+        return [met[j][0] for j in np.flatnonzero(masks[at] == mine).tolist() if first[at[j]] not in kept]
 
     def run(batches):
         for batch in (b.slice(k, SLICE_ROWS) for b in batches for k in range(0, b.num_rows, SLICE_ROWS)):
@@ -193,9 +231,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, schema)
 
 
-def remove_repeated_lines(docs: DataFrame) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, spare_copies: bool = False) -> DataFrame:
     """docs with the text that is left; documents of which no word is left, but was before, are gone."""
-    done = dedup_lines(docs)
+    done = dedup_lines(docs, spare_copies)
     return done.where((F.col("_n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
 
 

@@ -251,6 +251,28 @@ def test_long_lines_recur_from_two_documents(spark):
         assert got == {3: (3, 0), 4: (3, 1), None: (1, 1), 5: (1, 0)}
 
 
+def test_copies_keep_the_lines_they_share(spark):
+    """Ahead of a dedup of documents: an exact copy and a near one lose nothing to the first, but what the first loses to a third."""
+    rng = random.Random(21)
+    passage = sentence(rng, 60)
+    lines = [sentence(rng, 45) for _ in range(8)]
+    near = [*lines[:7], " ".join("other" if k in (3, 30) else w for k, w in enumerate(lines[7].split()))]
+    half = [*lines[:2], *(sentence(rng, 45) for _ in range(6))]
+    rows = [(1, f"{sentence(rng, 50)}\n{passage}\n{sentence(rng, 50)}", "a", "s", 0), (2, "\n".join([*lines, passage]), "a", "s", 0), (3, "\n".join([*lines, passage]), "a", "s", 0), (4, "\n".join([*near, passage]), "a", "s", 0), (5, "\n".join(half), "a", "s", 0), (None, None, None, None, 0), (6, "", "a", "s", 0)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    for few in (line_dedup.ARRAY_ROWS, -1):  # masks and copies broadcast, or lists joined
+        line_dedup.ARRAY_ROWS, kept = few, line_dedup.ARRAY_ROWS
+        try:
+            spared = {r.doc_id: r._n_dropped for r in line_dedup.dedup_lines(frame, spare_copies=True).collect()}
+            plain = {r.doc_id: r._n_dropped for r in line_dedup.dedup_lines(frame).collect()}
+        finally:
+            line_dedup.ARRAY_ROWS = kept
+        assert spared == {1: 0, 2: 1, 3: 1, 4: 1, 5: 2, None: 0, 6: 0}
+        assert plain == {1: 0, 2: 1, 3: 9, 4: 8, 5: 2, None: 0, 6: 0}
+    one = jaccard_join.one_of_each(line_dedup.remove_repeated_lines(frame, spare_copies=True), width=5, percent=80)
+    assert {r.doc_id for r in one.collect()} == {1, 2, 5, 6, None}
+
+
 def test_parsed_lines():
     assert line_dedup.parsed(b"a b c") is None
     one, two = line_dedup.parsed(b"user 17 logged in"), line_dedup.parsed(b" user  18\tlogged in ")
