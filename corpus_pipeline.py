@@ -25,8 +25,9 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines whose template recurs; documents that lose their last word go."""
-    return _measured(line_dedup.remove_repeated_lines(docs))
+    """Texts without the lines whose template recurs; documents that lose their last word go. Copies of whole documents keep the lines
+    they share with the first of them, so that the next stage still finds them to be copies."""
+    return _measured(line_dedup.remove_repeated_lines(docs, spare_copies=True))
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
