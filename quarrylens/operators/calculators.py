@@ -144,12 +144,19 @@ def memory_metrics(df: DataFrame) -> DataFrame:
 
 
 def human_bytes(value: Column) -> Column:
-    """Y3."""
+    """Y3. A figure halfway between two of two digits becomes the even one, as printf has it; format_string would round it up."""
     v, out = value.cast("double"), None
+
+    def shown(k: int, unit: str) -> Column:
+        x = v / 1024.0**k
+        # Halfway are odd eighths, and those that end in .125 or .625 go towards zero.
+        down = F.pmod(F.abs(x) * 8, F.lit(4.0)) == 1
+        return F.format_string("%.2f " + unit, F.when(down, x - F.signum(x) * 0.001).otherwise(x))
+
     for k, unit in enumerate(("B", "KB", "MB", "GB", "TB")):
-        hit, text = F.abs(v) < 1024.0 ** (k + 1), F.format_string("%.2f " + unit, v / 1024.0**k)
-        out = F.when(hit, text) if out is None else out.when(hit, text)
-    return out.otherwise(F.format_string("%.2f PB", v / 1024.0**5))
+        hit = F.abs(v) < 1024.0 ** (k + 1)
+        out = F.when(hit, shown(k, unit)) if out is None else out.when(hit, shown(k, unit))
+    return out.otherwise(shown(5, "PB"))
 
 
 def io_metrics(df: DataFrame) -> DataFrame:

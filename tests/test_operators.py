@@ -148,6 +148,12 @@ def test_calculators(spark):
     assert one.select(calculators.optimal_pool_size(F.lit(2), F.lit(100.0))).first()[0] == 5
 
 
+def test_human_bytes_round_halves_to_even(spark):
+    one = spark.range(1)
+    values = (972928, 677504, 972672, 973184, -972928)
+    assert [one.select(calculators.human_bytes(F.lit(v))).first()[0] for v in values] == ["%.2f KB" % (v / 1024) for v in values]
+
+
 def test_gate_passes_missing_metrics(spark):
     conditions = spark.createDataFrame([("rating", "le", "B", True), ("none", "gt", "1", True), ("dup", "le", "3", False)], "metric string, op string, threshold string, error_on_fail boolean")
     metrics = spark.createDataFrame([("p", "rating", "C"), ("q", "dup", "4"), ("q", "rating", "A")], "project string, metric string, value string")
