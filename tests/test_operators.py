@@ -184,6 +184,17 @@ def test_json_types_and_nesting(spark):
     assert {r.json: set(r.errors.split(",")) for r in again.collect()} == got
 
 
+def test_json_schema_grows_with_its_depth(spark):
+    """Not with a power of it: each value is taken apart once."""
+    nested = lambda depth: {"type": "object", "properties": {"a": nested(depth - 1)}} if depth else {"type": "integer", "maximum": 5}
+    text = lambda depth, x: '{"a":' * depth + x + "}" * depth
+    frame = spark.createDataFrame([(text(4, "9"),), (text(4, "5"),), (text(3, "5"),), ('{"a": null}',)], "json string")
+    made = {depth: schema.validate(frame, nested(depth)) for depth in (2, 4)}
+    size = {depth: len(df._jdf.queryExecution().analyzed().toString()) for depth, df in made.items()}
+    assert size[4] < 4 * size[2]
+    assert [r.errors for r in made[4].collect()] == ["$.a.a.a.a:maximum", "", "$.a.a.a:type", "$.a:type"]
+
+
 def test_json_schema_that_refers_to_itself(spark):
     s = {"$ref": "#/definitions/node", "definitions": {"node": {"type": "object", "required": ["v"], "properties": {"v": {"type": "integer"}, "next": {"$ref": "#/definitions/node"}}}}}
     deep = '{"v": 1, "next": ' * 60 + '{"v": "x"}' + "}" * 60
