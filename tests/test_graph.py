@@ -165,3 +165,17 @@ def test_communities(spark):
     found = graph.communities(df)
     assert {r.node: r.community for r in found.collect()} == want and abs(score - best) < 1e-12
     assert abs(graph.modularity(df, found).first()[0] - score) < 1e-12
+
+
+def test_walks_read_their_edges_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        read.add(1)
+        return x
+
+    edges = spark.range(6).select(F.col("id").alias("src"), F.udf(counted, "long").asNondeterministic()(F.col("id") + 1).alias("dst"))
+    nodes = spark.range(8).select(F.col("id").alias("node"))
+    for walk, rows in ((lambda: graph.depths(edges, nodes), 8), (lambda: graph.closure(edges), 21), (lambda: graph.shortest_paths(edges, 0), 7), (lambda: graph.topological_levels(edges, nodes), 8)):
+        before = read.value
+        assert walk().count() == rows and read.value - before == 6
