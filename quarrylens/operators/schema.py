@@ -268,8 +268,8 @@ def schema_of(kind: T.DataType) -> dict:
     return {"type": _TYPES.get(type(kind), "string")}
 
 
-#: Tokens of SQL: comments, strings, quoted names, single marks, runs of anything else.
-_SQL_TOKEN = r"(?s)--[^\n]*|/\*.*?\*/|'(?:[^']|'')*+'|\"(?:[^\"]|\"\")*+\"|`[^`]*+`|\[[^\]]*+\]|[(),;]|[^-/'\"`\[(),;]++|."
+#: Tokens of SQL: comments, single marks, runs of anything else with strings and quoted names in them, of up to 100 pieces.
+_SQL_TOKEN = r"(?s)--[^\n]*|/\*.*?\*/|[(),;]|(?:[^-/'\"`\[(),;]++|'(?:[^']|'')*+'|\"(?:[^\"]|\"\")*+\"|`[^`]*+`|\[[^\]]*+\]|-(?!-)|/(?!\*)){1,100}+|."
 #: Marks that the lexer puts in: end of a statement, start and end of its outermost parentheses, comma in these.
 _END, _OPEN, _CLOSE, _COMMA = "\u0001", "\u0002", "\u0003", "\u0004"
 _NAME = r'(?:\"(?:[^\"]|\"\")*\"|`[^`]*`|\[[^\]]*\]|[^\s"`\[(),.;\x02]+)'
@@ -282,7 +282,7 @@ def lexed(sql: Column) -> Column:
 
     def step(state, x):
         depth, out = state["depth"], state["out"]
-        put = F.when(x.rlike(r"^(--|/\*)"), F.lit(" ")).when((x == ";") & (depth == 0), F.lit(_END)).when((x == "(") & (depth == 0), F.lit(_OPEN)).when((x == ")") & (depth == 1), F.lit(_CLOSE)).when((x == ",") & (depth == 1), F.lit(_COMMA)).otherwise(x)
+        put = F.when(x.startswith("--") | x.startswith("/*"), F.lit(" ")).when((x == ";") & (depth == 0), F.lit(_END)).when((x == "(") & (depth == 0), F.lit(_OPEN)).when((x == ")") & (depth == 1), F.lit(_CLOSE)).when((x == ",") & (depth == 1), F.lit(_COMMA)).otherwise(x)
         new = F.when(x == "(", depth + 1).when(x == ")", F.greatest(depth - 1, F.lit(0))).otherwise(depth)
         return F.struct(new.alias("depth"), F.concat(out, put).alias("out"))
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrylens.operators import anomaly, calculators, clones, graph, history, quality, quantiles, schema, slo, stats, text, tracing, trend, web
+from quarrylens.plans import record_queries
 from quarrylens.sources import readers
 
 SPAN = "trace_id string, span_id string, parent_span_id string, seq long, service_name string, operation_name string, is_error boolean, start_ns long, end_ns long, duration_ms double"
@@ -374,3 +375,17 @@ def test_sources(spark, tmp_path):
     (tmp_path / "src" / "m.py").write_text("x = 1\n")
     (tmp_path / "src" / "n.txt").write_text("no")
     assert [r.text for r in readers.source_tree(spark, str(tmp_path / "src")).collect()] == ["x = 1\n"]
+
+
+def test_ddl_of_few_files_is_read_in_many_tasks(spark, tmp_path):
+    spark.range(40).selectExpr("id AS p_partkey", "1 AS p_size", "'b' AS p_brand", "concat('n', id) AS p_name").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    made = record_queries.f08(spark, str(tmp_path))
+    tasks = made.select("table_name", F.spark_partition_id().alias("task"))
+    assert tasks.count() == 200 and tasks.select("task").distinct().count() > 1
+
+
+def test_ddl_tokens_are_runs(spark):
+    """Strings, quoted names, lone dashes and slashes stay in the run about them; only marks and comments are tokens of their own."""
+    sql = "a-b/c 'x, y' \"q;\" `r` [s] -- t, u\n, /* ( */ v"
+    got = spark.range(1).select(F.regexp_extract_all(F.lit(sql), F.lit(schema._SQL_TOKEN), F.lit(0))).first()[0]
+    assert got == ["a-b/c 'x, y' \"q;\" `r` [s] ", "-- t, u", "\n", ",", " ", "/* ( */", " v"]
