@@ -13,6 +13,7 @@ from pyspark.sql.types import LongType
 
 from quarrylens.functions.numeric import ratio
 from quarrylens.operators.quantiles import at_levels, grouped
+from quarrylens.operators.series import settled
 
 SLOW_SPAN_MS, SLOW_TRACE_MS = 100.0, 1000.0
 
@@ -90,18 +91,28 @@ def top_traces(spans: DataFrame, slow_ms: float = SLOW_TRACE_MS, errors: bool =
     return t.where(F.col("error_count") > 0 if errors else F.col("total_duration_ms") > slow_ms).orderBy("trace_id").limit(n)
 
 
-def service_map(spans: DataFrame) -> DataFrame:
-    """Calls between different services. A span id means its last span, over all traces."""
+def _calls(spans: DataFrame) -> DataFrame:
+    """source_service, target_service, is_error, duration_ms: calls between different services."""
     parents = spans.groupBy("span_id").agg(F.max_by("service_name", "seq").alias("source_service")).withColumnRenamed("span_id", "parent_span_id")
     calls = spans.where(F.col("parent_span_id").isNotNull()).join(parents, "parent_span_id").where(F.col("source_service") != F.col("service_name"))
-    calls = calls.select("source_service", F.col("service_name").alias("target_service"), "is_error", "duration_ms")
+    return calls.select("source_service", F.col("service_name").alias("target_service"), "is_error", "duration_ms")
+
+
+def service_links(spans: DataFrame) -> DataFrame:
+    """source_service, target_service (materialised) of the service map, without its figures."""
+    return settled(_calls(spans).select("source_service", "target_service").distinct())
+
+
+def service_map(spans: DataFrame) -> DataFrame:
+    """Calls between different services. A span id means its last span, over all traces."""
+    calls = _calls(spans)
     made = grouped(calls, ["source_service", "target_service"], F.col("duration_ms"), [0.99], [F.count("*").alias("call_count"), F.count_if(F.col("is_error")).alias("error_count"), F.avg("duration_ms").alias("avg_latency_ms")])
     return made.withColumn("p99_latency_ms", F.col("_p")[0]).drop("_p")
 
 
 def roots_and_leaves(spans: DataFrame, edges: DataFrame) -> DataFrame:
     """Services that nothing calls, and services that call nothing."""
-    services = spans.select("service_name").distinct()
+    services = settled(spans.select("service_name").distinct())
     roots = services.join(edges.select(F.col("target_service").alias("service_name")).distinct(), "service_name", "left_anti").withColumn("kind", F.lit("root"))
     leaves = services.join(edges.select(F.col("source_service").alias("service_name")).distinct(), "service_name", "left_anti").withColumn("kind", F.lit("leaf"))
     return roots.unionByName(leaves)

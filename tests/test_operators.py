@@ -389,3 +389,15 @@ def test_ddl_tokens_are_runs(spark):
     sql = "a-b/c 'x, y' \"q;\" `r` [s] -- t, u\n, /* ( */ v"
     got = spark.range(1).select(F.regexp_extract_all(F.lit(sql), F.lit(schema._SQL_TOKEN), F.lit(0))).first()[0]
     assert got == ["a-b/c 'x, y' \"q;\" `r` [s] ", "-- t, u", "\n", ",", " ", "/* ( */", " v"]
+
+
+def test_roots_and_leaves_take_no_figures(spark, monkeypatch):
+    """The links of the service map are enough; its percentiles are not worked out for them."""
+    rows = [("t", "a", None, 0, "web", "x", False, 0, 1, 1.0), ("t", "b", "a", 1, "api", "x", False, 0, 1, 1.0), ("t", "c", "b", 2, "api", "x", False, 0, 1, 1.0), ("t", "d", "c", 3, "db", "x", False, 0, 1, 1.0)]
+    spans = spark.createDataFrame(rows, SPAN)
+    with monkeypatch.context() as m:
+        m.setattr(tracing, "grouped", None)
+        got = tracing.roots_and_leaves(spans, tracing.service_links(spans))
+    assert {(r.service_name, r.kind) for r in got.collect()} == {("web", "root"), ("db", "leaf")}
+    whole = tracing.service_map(spans).select("source_service", "target_service")
+    assert whole.exceptAll(tracing.service_links(spans)).isEmpty() and whole.count() == 2
