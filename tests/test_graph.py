@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrylens.operators import graph
+from quarrylens.operators.series import estimated_bytes
 
 
 def strong(edges):
@@ -179,3 +180,11 @@ def test_walks_read_their_edges_once(spark):
     for walk, rows in ((lambda: graph.depths(edges, nodes), 8), (lambda: graph.closure(edges), 21), (lambda: graph.shortest_paths(edges, 0), 7), (lambda: graph.topological_levels(edges, nodes), 8)):
         before = read.value
         assert walk().count() == rows and read.value - before == 6
+
+
+def test_estimates_do_not_grow_with_rounds(spark):
+    """What a round leaves has the size of its rows, not a product of the sizes of all rounds before."""
+    ring = spark.range(64).select(F.col("id").alias("src"), F.pmod(F.col("id") + 1, F.lit(64)).alias("dst"))
+    _, on_cycle, (hops, rooted, _) = graph._without_chains(graph._links(ring))
+    assert len(hops) == 7 and on_cycle.count() == 64 and rooted.isEmpty()
+    assert max(map(estimated_bytes, hops)) < 1 << 20
