@@ -401,3 +401,26 @@ def test_roots_and_leaves_take_no_figures(spark, monkeypatch):
     assert {(r.service_name, r.kind) for r in got.collect()} == {("web", "root"), ("db", "leaf")}
     whole = tracing.service_map(spans).select("source_service", "target_service")
     assert whole.exceptAll(tracing.service_links(spans)).isEmpty() and whole.count() == 2
+
+
+def counted_spans(spark):
+    """9 traces of a session and two calls, and how many rows have been read of them."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        read.add(1)
+        return x
+
+    k, part = F.col("id") % 9, F.floor(F.col("id") / 9)
+    spans = spark.range(27).select(F.udf(counted, "long").asNondeterministic()(F.col("id")).alias("seq"), k.cast("string").alias("trace_id"), F.concat_ws("_", part, k).alias("span_id"), F.when(part > 0, F.concat_ws("_", part - 1, k)).alias("parent_span_id"),
+        F.concat(F.lit("s"), part).alias("service_name"), (k == 3).alias("is_error"), (F.col("id") * 1.5).alias("duration_ms"))
+    return spans, read
+
+
+def test_service_bottlenecks_read_segments_once(spark, monkeypatch):
+    spans, read = counted_spans(spark)
+    segments = spans.select("service_name", F.col("duration_ms").alias("contribution_ms"), "seq")
+    want = sorted(map(tuple, tracing.service_bottlenecks(segments).collect()))
+    before = read.value
+    monkeypatch.setattr(tracing, "STORED_ROWS", 5)
+    assert sorted(map(tuple, tracing.service_bottlenecks(segments.where("seq >= 0")).collect())) == want and read.value - before == 27
