@@ -424,3 +424,12 @@ def test_service_bottlenecks_read_segments_once(spark, monkeypatch):
     before = read.value
     monkeypatch.setattr(tracing, "STORED_ROWS", 5)
     assert sorted(map(tuple, tracing.service_bottlenecks(segments.where("seq >= 0")).collect())) == want and read.value - before == 27
+
+
+def test_service_map_joins_calls_once(spark, monkeypatch):
+    spans, read = counted_spans(spark)
+    want = sorted(map(tuple, tracing.service_map(spans).collect()))
+    assert [w[:4] for w in want] == [("s0", "s1", 9, 1), ("s1", "s2", 9, 1)]
+    before = read.value
+    monkeypatch.setattr(tracing, "STORED_ROWS", 5)
+    assert sorted(map(tuple, tracing.service_map(spans.where("seq >= 0")).collect())) == want and read.value - before == 2 * 27
