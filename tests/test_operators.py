@@ -433,3 +433,11 @@ def test_service_map_joins_calls_once(spark, monkeypatch):
     before = read.value
     monkeypatch.setattr(tracing, "STORED_ROWS", 5)
     assert sorted(map(tuple, tracing.service_map(spans.where("seq >= 0")).collect())) == want and read.value - before == 2 * 27
+
+
+def test_apm_report_gathers_traces_once(spark, monkeypatch):
+    spans, read = counted_spans(spark)
+    want = tracing.apm_report(spans).collect()
+    before = read.value
+    monkeypatch.setattr(tracing, "STORED_ROWS", 5)
+    assert tracing.apm_report(spans.where("seq >= 0")).collect() == want and read.value - before == 27
