@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylens.operators.graph import levels
-from quarrylens.operators.series import settled
+from quarrylens.operators.series import stored
 
 #: What brings in data from outside, by kind; first match wins (fixed values).
 SOURCES = (
@@ -45,6 +45,8 @@ SANITISERS = (
 
 FACT = "kind string, src string, dst string, name string, chain string, pos int, line int, scope string, beside array<string>"
 MODULE = "<module>"
+#: Facts from which on a frame is handed over; a frame for each text costs more than parsing it.
+FRAME_ROWS = 10_000
 
 
 def chain(node: ast.AST) -> str:
@@ -207,6 +209,7 @@ def taint_facts(sources: DataFrame, path: str = "path", text: str = "text") -> D
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            rows: list[tuple] = []
             for p, t in zip(batch["path"], batch["text"], strict=True):
                 try:
                     tree = ast.parse(t)
@@ -214,11 +217,17 @@ def taint_facts(sources: DataFrame, path: str = "path", text: str = "text") -> D
                     continue
                 facts = Facts(p)
                 facts.module(tree)
-                made = pd.DataFrame([{"path": p, **r} for r in facts.rows], columns=names, dtype=object)
-                yield made.where(made.notna(), None)
+                rows += [tuple({"path": p, **r}.get(n) for n in names) for r in facts.rows]
+                if len(rows) >= FRAME_ROWS:
+                    yield pd.DataFrame(rows, columns=names, dtype=object)
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=names, dtype=object)
 
     chosen = sources.select(F.col(path).alias("path"), F.col(text).alias("text")).where("path is not null and text is not null")
-    return settled(chosen.mapInPandas(run, f"path string, {FACT}"))
+    # Parsing costs time and not bytes, by which a small file would be one task.
+    chosen = chosen.repartition(max(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), sources.sparkSession.sparkContext.defaultParallelism))
+    return stored(chosen.mapInPandas(run, f"path string, {FACT}"))
 
 
 def named(c: Column, pattern: str, inner: bool = False) -> Column:
@@ -241,7 +250,7 @@ def call_edges(facts: DataFrame) -> DataFrame:
     params = facts.where("kind = 'param'").select("path", F.col("scope").alias("function"), F.col("dst").alias("param"), F.col("name").alias("pname"), F.col("pos").alias("ppos"))
     returns = facts.where("kind = 'edge' OR kind = 'source'").where(F.col("dst").endswith("::return")).select("path", F.col("scope").alias("function"), F.col("dst").alias("back")).distinct()
     calls = facts.where("kind = 'call'").select("path", F.col("dst").alias("call"), F.col("name").alias("target"))
-    calls = settled(calls.where("target <> ''"))
+    calls = stored(calls.where("target <> ''"))
     imports = facts.where("kind = 'import'").select("path", F.col("name").alias("local"), F.col("chain").alias("module"), F.col("src").alias("original"))
     plain = calls.join(imports.where("original is not null"), (calls["path"] == imports["path"]) & (calls["target"] == F.col("local"))).select("call", "module", F.col("original").alias("function"))
     head, tail = F.regexp_extract("target", r"^(.*)\.[^.]+$", 1), F.substring_index("target", ".", -1)
@@ -252,7 +261,7 @@ def call_edges(facts: DataFrame) -> DataFrame:
     files = files.select(F.col("path").alias("other"), F.explode(F.transform(F.sequence(F.lit(1), F.size("_m")), lambda k: F.array_join(F.slice("_m", k, F.size("_m")), "."))).alias("module"))
     far = plain.unionByName(dotted).join(files, "module").select("call", "other", "function")
     near = calls.select("call", F.col("path").alias("other"), F.col("target").alias("function"))
-    called = settled(near.unionByName(far).distinct())
+    called = stored(near.unionByName(far).distinct())
     args = facts.where("kind = 'arg'").select(F.col("dst").alias("call"), F.col("src").alias("arg"), "name", "pos")
     fits = F.when(F.col("name").isNotNull(), F.col("name") == F.col("pname")).otherwise((F.col("pos") >= 0) & (F.col("pos") == F.col("ppos")))
     into = called.join(params, (F.col("other") == params["path"]) & (called["function"] == params["function"])).select("call", "param", "pname", "ppos").join(args, "call").where(fits).select(F.col("arg").alias("src"), F.col("param").alias("dst"))
@@ -271,15 +280,15 @@ def taint_flows(facts: DataFrame, sources: tuple = SOURCES, sinks: tuple = SINKS
     for s in sanitisers:
         cleaned = cleaned | F.coalesce(F.col("chain").contains(s), F.lit(False))
     inner = facts.where("kind = 'edge'").where(~cleaned).select("src", "dst")
-    edges = settled(inner.unionByName(call_edges(facts)).distinct())
+    edges = stored(inner.unionByName(call_edges(facts)).distinct())
     starts = facts.where("kind = 'source'").where(~cleaned).withColumn("source_type", first_of(F.col("chain"), sources)).where("source_type is not null")
     starts = starts.groupBy("dst").agg(F.min(F.struct("line", "source_type", "path", "scope")).alias("s")).select(F.col("dst").alias("origin"), F.col("s.path").alias("source_path"), F.col("s.scope").alias("source_function"), F.col("s.line").alias("source_line"), F.col("s.source_type").alias("source_type"))
     patterns = tuple((p, kind) for kind, found in sinks for p in found)
     ends = facts.where("kind = 'arg'").withColumn("sink_type", first_of(F.col("chain"), patterns, inner=True)).where("sink_type is not null")
-    ends = settled(ends.select(F.col("src").alias("node"), F.col("dst").alias("call"), F.col("path").alias("sink_path"), F.col("scope").alias("sink_function"), F.col("line").alias("sink_line"), F.col("chain").alias("sink_name"), "sink_type"))
+    ends = stored(ends.select(F.col("src").alias("node"), F.col("dst").alias("call"), F.col("path").alias("sink_path"), F.col("scope").alias("sink_function"), F.col("line").alias("sink_line"), F.col("chain").alias("sink_name"), "sink_type"))
     back = levels(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ends.select(F.lit(0).alias("origin"), "node")).select(F.col("node").alias("dst"))
-    useful = settled(edges.join(back, "dst", "left_semi"))
-    starts = settled(starts.join(back.select(F.col("dst").alias("origin")), "origin", "left_semi"))
+    useful = stored(edges.join(back, "dst", "left_semi"))
+    starts = stored(starts.join(back.select(F.col("dst").alias("origin")), "origin", "left_semi"))
     reached = levels(useful, starts.select("origin", F.col("origin").alias("node")))
     beside = facts.where("kind = 'call'").select(F.col("dst").alias("call"), F.exists("beside", lambda x: F.exists(F.array(*map(F.lit, sanitisers)), lambda s: x.contains(s))).alias("sanitizers_present"))
     hits = reached.join(ends, "node").groupBy("origin", "call", "sink_path", "sink_function", "sink_line", "sink_name", "sink_type").agg(F.min("level").alias("steps"))

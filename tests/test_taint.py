@@ -1,5 +1,7 @@
 """Flows from sources to sinks within and across functions and files."""
 
+from pyspark.sql import functions as F
+
 from quarrylens.operators import taint
 
 FILES = {
@@ -94,3 +96,11 @@ def test_a_long_chain_and_no_flow(spark):
     assert [(r.source_line, r.sink_line, r.severity, r.cwe, r.steps) for r in rows] == [(1, 42, "critical", "CWE-95", 41)]
     none = spark.createDataFrame([("a.py", "x = 1\nexec(x)\n")], "path string, text string")
     assert taint.taint_flows(taint.taint_facts(none)).count() == 0
+
+
+def test_parsing_is_dealt_to_many_tasks(spark):
+    """A small file of many texts is one partition, but not one task of the parser."""
+    many = spark.range(40, numPartitions=1).select(F.format_string("m%d.py", "id").alias("path"), F.lit("import os\nos.system(input())\n").alias("text"))
+    facts = taint.taint_facts(many)
+    assert facts.select(F.input_file_name()).distinct().count() > 1
+    assert facts.select("path").distinct().count() == 40 and facts.where("beside is not null").count() == 2 * 40 and taint.taint_flows(facts).count() == 40
