@@ -367,6 +367,33 @@ def test_matched_runs_are_those_of_difflib():
         assert clones.matched(a, b, total + 1) == -1 and clones.matched(a, b, total) == total
 
 
+def test_tiles_of_blocks_against_difflib(monkeypatch):
+    import random
+    from difflib import SequenceMatcher
+
+    import pandas as pd
+
+    rng = random.Random(9)
+    words = lambda n, rare: [rng.choice(rare) if rng.random() < 0.04 else rng.choice("IIIIIIII.,") for _ in range(n)]
+    rare = [f"w{k}" for k in range(30)]
+    bases = [words(n, rare if k % 3 else ["I"]) for k, n in enumerate([150, 198, 205, 240, 420, 260])]
+    texts = []
+    for k in range(48):
+        x = list(bases[k % 6])
+        for _ in range(rng.randrange(0, 40)):
+            x[rng.randrange(len(x) * 8 * (k % 2) // 9, len(x))] = rng.choice([".", "I", *rare[:5]])
+        texts.append(x[: len(x) - rng.randrange(0, 12)])
+    table = pd.DataFrame({"place": range(len(texts)), "n": [len(x) for x in texts], "tokens": [" ".join(x) for x in texts]})
+    want = [(a, b, r) for b in range(len(texts)) for a in range(b) if (r := SequenceMatcher(None, texts[a], texts[b]).ratio()) >= 0.85]
+    assert any(len(texts[b]) >= 200 for _, b, _ in want) and any(len(texts[b]) < 200 for _, b, _ in want)
+    assert sorted(clones.tile_pairs(table, table, 0.85)) == sorted(want)
+    # Long blocks of the same few tokens are told apart without a sequence comparison; each pair took one before.
+    texts = [words(250, ["I"]) for _ in range(60)]
+    table = pd.DataFrame({"place": range(60), "n": 250, "tokens": [" ".join(x) for x in texts]})
+    monkeypatch.setattr(clones, "common_subsequence", None)
+    assert clones.tile_pairs(table, table, 0.85) == []
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"data": [{"timestamp": "2024-01-01T00:00:00", "value": 1.5}, {"value": 2}]}')
     assert [(r.seq, r.value) for r in readers.values_from_json(spark, str(tmp_path / "a.json")).collect()] == [(0, 1.5), (1, 2.0)]
