@@ -1,12 +1,13 @@
 """Phrase collocations of each language, mined over dictionary-encoded words.
 
-1. Words are counted by language. Those of `least` occurrences or more are the dictionary; a word's id is the 64-bit hash of
+1. Words are counted by language. Those of `least` occurrences or more are the dictionary; a word's id is the 56-bit hash of
    language and word (checked to be unique in the dictionary), so that a task needs no copy of the dictionary, but a bitmap of it,
    of bounded size. A word that the bitmap does not know breaks a piece; one that it passes wrongly only makes phrases that are
    too rare to count.
-2. Pairs of ids are packed into binary keys of fixed width, radix-sorted and merged by each task (a hot pair is one row for each
-   `HELD` windows), partitioned by ranges of the key's leading digit, sorted and run-length counted.
-3. Windows of up to `longest` ids, cut before the first pair that is not frequent, go the same way, with zeros behind their end. In
+2. Pairs of ids are radix-sorted and merged by each task, `HELD` windows at a time; what follows one word is one row of packed ids
+   and counts, so that a pair takes 8 bytes. Rows are partitioned by a leading digit of the word, sorted, merged and counted.
+3. Windows of up to `longest` ids, cut before the first pair that is not frequent, are packed into binary keys of fixed width,
+   partitioned by ranges of the key's leading digit, sorted and run-length counted, with zeros behind their end. In
    sorted order all windows that begin with a phrase follow each other, so one pass counts the phrases of every length.
 4. Counts join back by key for the cuts of each phrase, for longer phrases that make it redundant, and for the words of its ids.
 
@@ -38,6 +39,8 @@ SALTS = 16
 #: A word with more than one in so many occurrences is hot: its keys are dealt to 2 ** HOT_BITS ranges.
 HOT_WORDS, HOT_BITS = 2000, 6
 SEEDS = 16
+#: Bytes of an id that are not 0, and a count that is told apart from smaller ones, which take a byte.
+ID_BYTES, MANY = 7, 255
 
 #: Lower case; what ends a piece becomes a dot, and a tab a space.
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\x0a\x0b\x0c\x0d\t", b"abcdefghijklmnopqrstuvwxyz......... ")
@@ -69,8 +72,8 @@ def lang_salt(lang: str, seed: int) -> int:
 
 
 def ids_of(hashes: np.ndarray, salt: int) -> np.ndarray:
-    """Ids of words by their hash and language; 0, which ends a piece, stays 0."""
-    return np.where(hashes == 0, np.uint64(0), np.maximum(mix64(hashes ^ np.uint64(salt)), np.uint64(1)))
+    """Ids of words by their hash and language: the first ID_BYTES bytes tell them apart; 0, which ends a piece, stays 0."""
+    return np.where(hashes == 0, np.uint64(0), np.maximum(mix64(hashes ^ np.uint64(salt)) & ~np.uint64(255), np.uint64(256)))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -174,8 +177,83 @@ def windows(ids: np.ndarray, n: int, width: int, pairs: Bits | None) -> np.ndarr
     return rows[rows[:, 1 if pairs is None else 2] != 0]
 
 
+def places_in(starts: np.ndarray, sizes: np.ndarray, step: int) -> np.ndarray:
+    """starts, starts + step, ...: so many places for each row."""
+    return np.repeat(starts - step * (np.cumsum(sizes) - sizes), sizes) + step * np.arange(sizes.sum())
+
+
+def grouped_pairs(digit: np.ndarray, ids: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """key (digit, first id), m, rest: for each digit and first id of sorted pairs the m second ids in ID_BYTES bytes each, how often
+    each pair is there in a byte, and after them 8 bytes for each of those that are there MANY times or more."""
+    first = np.flatnonzero(np.append(True, (ids[1:, 0] != ids[:-1, 0]) | (digit[1:] != digit[:-1])))
+    m = np.diff(np.append(first, len(ids)))
+    row, many = np.repeat(np.arange(len(first)), m), np.flatnonzero(n >= MANY)
+    of_many = np.bincount(row[many], minlength=len(first))
+    size = (ID_BYTES + 1) * m + 8 * of_many
+    offsets = np.append(0, np.cumsum(size))
+    start = offsets[:-1]
+    rest = np.zeros(offsets[-1], np.uint8)
+    second = np.ascontiguousarray(ids[:, 1].astype(">u8")).view(np.uint8).reshape(-1, 8)[:, :ID_BYTES]
+    rest[places_in(start, m, ID_BYTES)[:, None] + np.arange(ID_BYTES)] = second
+    rest[places_in(start + ID_BYTES * m, m, 1)] = np.minimum(n, MANY)
+    rest[places_in(start + (ID_BYTES + 1) * m, of_many, 8)[:, None] + np.arange(8)] = np.ascontiguousarray(n[many].astype("<i8")).view(np.uint8).reshape(-1, 8)
+    keys = np.concatenate([np.ascontiguousarray(digit[first].astype(">u2")).view(np.uint8).reshape(-1, 2), np.ascontiguousarray(ids[first, 0].astype(">u8")).view(np.uint8).reshape(-1, 8)], axis=1)
+    binary = lambda at, data: pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data.tobytes())])
+    return pa.RecordBatch.from_arrays([binary(10 * np.arange(len(first) + 1), keys), pa.array(m, pa.int32()), binary(offsets, rest)], ["key", "m", "rest"])
+
+
+def ungrouped(m: np.ndarray, offsets: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Second ids and counts of rows of grouped_pairs, one row after the other."""
+    start, m = offsets[:-1].astype(np.int64), m.astype(np.int64)
+    ids = np.zeros((m.sum(), 8), np.uint8)
+    ids[:, :ID_BYTES] = rest[places_in(start, m, ID_BYTES)[:, None] + np.arange(ID_BYTES)]
+    n = rest[places_in(start + ID_BYTES * m, m, 1)].astype(np.int64)
+    of_many = (np.diff(offsets) - (ID_BYTES + 1) * m) // 8
+    n[n == MANY] = np.ascontiguousarray(rest[places_in(start + (ID_BYTES + 1) * m, of_many, 8)[:, None] + np.arange(8)]).view("<i8").ravel()
+    return ids.view(">u8").ravel().astype(np.uint64), n
+
+
+def pair_counts(packed: DataFrame, least: int = LEAST) -> DataFrame:
+    """key (two ids), n of the pairs with `least` occurrences or more. packed: rows of grouped_pairs, of which many may have a key.
+    A partition holds all rows of a key; of a key only the pairs that differ are held."""
+
+    def run(batches):
+        open_ = b"", np.zeros(0, np.uint64), np.zeros(0, np.int64)  # the key that may go on, its second ids and counts
+
+        def done(keys, group, second, n):
+            often = np.flatnonzero(n >= least)
+            both = np.concatenate([np.frombuffer(b"".join(keys[g][2:] for g in group[often].tolist()), np.uint8).reshape(-1, 8), np.ascontiguousarray(second[often].astype(">u8")).view(np.uint8).reshape(-1, 8)], axis=1)
+            return pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in both], pa.binary()), pa.array(n[often], pa.int64())], ["key", "n"])
+
+        for batch in batches:
+            m, low = batch.column("m").to_numpy(), 0
+            while low < len(m):
+                high = low + max(1, int(np.searchsorted(np.cumsum(m[low:], dtype=np.int64), HELD, "right")))
+                rest = batch.column("rest").slice(low, high - low)
+                offsets = np.frombuffer(rest.buffers()[1], np.int32)[rest.offset : rest.offset + len(rest) + 1]
+                second, n = ungrouped(m[low:high], offsets, np.frombuffer(rest.buffers()[2], np.uint8))
+                keys, group = [open_[0]], []
+                for key in batch.column("key").slice(low, high - low).to_pylist():
+                    if key != keys[-1]:
+                        keys.append(key)
+                    group.append(len(keys) - 1)
+                group = np.concatenate([np.zeros(len(open_[1]), np.int64), np.repeat(np.array(group), m[low:high])])
+                second, n = np.concatenate([open_[1], second]), np.concatenate([open_[2], n])
+                order = np.lexsort((second, group))
+                group, second = group[order], second[order]
+                at = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (second[1:] != second[:-1])))
+                group, second, n = group[at], second[at], np.add.reduceat(n[order], at)
+                last = int(np.searchsorted(group, len(keys) - 1))
+                open_ = keys[-1], second[last:], n[last:]
+                yield done(keys, group[:last], second[:last], n[:last])
+                low = high
+        yield done([open_[0]], np.zeros(len(open_[1]), np.int64), *open_[1:])
+
+    return packed.repartition(F.substring("key", 1, 2)).sortWithinPartitions("key").mapInArrow(run, "key binary, n long")
+
+
 def packed_keys(docs: DataFrame, seed: int, words: Bits, hot: np.ndarray, pairs: Bits | None, width: int) -> DataFrame:
-    """key, n: keys of a task that differ, and how often each is there. A key has `width` ids of 8 bytes behind a leading digit of
+    """Rows of grouped_pairs if no pairs are given, else key, n: keys of a task that differ, and how often each is there. A key has `width` ids of 8 bytes behind a leading digit of
     two bytes, the hash of its first id; that of a hot word also depends on the ids behind it (one, or two if pairs are given), so
     that no range is much larger than others. Keys of one word stay together and compress well."""
     shared = docs.sparkSession.sparkContext.broadcast((words, pairs, hot))  # two bitmaps of at most MOST_BITS, at most HOT_WORDS ids
@@ -203,7 +281,15 @@ def packed_keys(docs: DataFrame, seed: int, words: Bits, hot: np.ndarray, pairs:
             first, rest = ids[:, 0].astype(np.uint64), ids[:, 1].astype(np.uint64)
             if pairs is not None:
                 rest = pair_hash(rest, ids[:, 2].astype(np.uint64))
-            digit = mix64(first + np.where(np.isin(first, hot), mix64(rest) >> np.uint64(64 - HOT_BITS), np.uint64(0)) * _M)
+            is_hot = np.isin(first, hot)
+            digit = mix64(first + np.where(is_hot, mix64(rest) >> np.uint64(64 - HOT_BITS), np.uint64(0)) * _M)
+            if pairs is None:
+                digit, order, some = digit >> np.uint64(48), np.arange(len(ids)), np.flatnonzero(is_hot)
+                order[some] = some[np.lexsort((digit[some], first[some]))]  # the pairs of a word are together already
+                ids, n, digit = ids[order], n[order], digit[order]
+                for k in range(0, len(ids), 50_000):
+                    yield grouped_pairs(digit[k : k + 50_000], ids[k : k + 50_000], n[k : k + 50_000])
+                return
             keys = np.concatenate([(digit >> np.uint64(48)).astype(">u2").view(np.uint8).reshape(-1, 2), ids.view(np.uint8).reshape(len(ids), 8 * width)], axis=1)
             for k in range(0, len(keys), 50_000):
                 part = np.ascontiguousarray(keys[k : k + 50_000])
@@ -231,7 +317,7 @@ def packed_keys(docs: DataFrame, seed: int, words: Bits, hot: np.ndarray, pairs:
         if held:
             yield from rows()
 
-    return _input(docs).mapInArrow(run, "key binary, n long")
+    return _input(docs).mapInArrow(run, "key binary, m int, rest binary" if pairs is None else "key binary, n long")
 
 
 def run_lengths(packed: DataFrame, lengths: list[int], least: int = LEAST) -> DataFrame:
@@ -295,7 +381,8 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     known = bitmap(words.select(F.col("id").alias("key")), words.count(), most_bits)
     total = counts.where("word IS NULL").agg(F.sum("n")).first()[0] or 0
     hot = words.where(F.col("n") > total // HOT_WORDS).select("id").toArrow().column("id").to_numpy().view(np.uint64)  # fewer than HOT_WORDS
-    pairs = cut(run_lengths(packed_keys(docs, seed, known, hot, None, 2), [2], least))
+    release(spark)
+    pairs = cut(pair_counts(packed_keys(docs, seed, known, hot, None, 2), least))
     release(spark)
     found = [pairs]
     if longest > 2:

@@ -219,6 +219,23 @@ def test_windows_across_parts():
     assert np.array_equal(whole, np.concatenate(cut))
 
 
+def test_pairs_take_eight_bytes(spark):
+    rng = np.random.default_rng(3)
+    ids = rng.integers(1, 1 << 56, 900, dtype=np.uint64)[rng.integers(0, 900, (6000, 2))] << np.uint64(8)
+    ids[:3000, 0] = ids[0, 0]
+    ids[:2000] = ids[0]
+    keys, n = collocations.merged(ids)
+    keys = keys.astype(np.uint64)
+    made = collocations.grouped_pairs(keys[:, 0] >> np.uint64(60), keys, n)
+    rest = made.column("rest")
+    assert rest.buffers()[2].size == 8 * len(keys) + 8 * int((n >= 255).sum())
+    second, counts = collocations.ungrouped(made.column("m").to_numpy(), np.frombuffer(rest.buffers()[1], np.int32), np.frombuffer(rest.buffers()[2], np.uint8))
+    assert (second == keys[:, 1]).all() and (counts == n).all() and n.max() >= 2000
+    packed = spark.createDataFrame([(bytes(k), m, bytes(r)) for _ in range(3) for k, m, r in zip(*(made.column(c).to_pylist() for c in ("key", "m", "rest")), strict=True)], "key binary, m int, rest binary")
+    got = {bytes(r.key): r.n for r in collocations.pair_counts(packed, 6).collect()}
+    assert got == {k.astype(">u8").tobytes(): 3 * int(x) for k, x in zip(keys, n, strict=True) if x >= 2}
+
+
 def test_collocations_past_64_bits(spark):
     """Products of counts beyond 64 bits are exact."""
     a, l, r, n = 3_000_000_000_001, 5_000_000_000_003, 4_000_000_000_007, 90_000_000_000_011  # noqa: E741
