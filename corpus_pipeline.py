@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylens.llm import decontamination, jaccard_join, line_dedup, mixing, quality_classifier
-from quarrylens.llm.common import ensure_checkpoint_dir, table
+from quarrylens.llm.common import ensure_checkpoint_dir, release, table
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -62,6 +62,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{top}/{k}")
         docs = spark.read.parquet(f"{top}/{k}")
+        release(spark)
     return docs
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import itertools
+import time
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -47,8 +48,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let go of the shuffle and checkpoint files of finished phases: Spark deletes them when nothing refers to them any more."""
+    """Let go of the shuffle and checkpoint files of finished phases: Spark deletes them when nothing refers to them any more.
+
+    A thread of its own tells the JVM which tables Python let go of."""
     gc.collect()
+    time.sleep(0.1)
     spark.sparkContext._jvm.System.gc()
 
 

@@ -1,11 +1,13 @@
-"""Connected components of an edge table by alternating large-star and small-star steps (Kiveris et al., 2014)."""
+"""Connected components of an edge table by alternating large-star and small-star steps (Kiveris et al., 2014).
+
+Each round lets go of the files of the round before: a shuffle takes three files in each task, however few its rows are."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import cut
+from quarrylens.llm.common import cut, release
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -24,6 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.withColumnRenamed("m", "v")).distinct()
         now, before = cut(small), mark
+        del both, least, large, low, small
+        release(edges.sparkSession)
         mark = _mark(now)
         if mark == before:
             break

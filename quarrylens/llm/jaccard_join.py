@@ -226,7 +226,9 @@ def connected_classes(docs: DataFrame, described_docs: DataFrame, first_docs: Da
     batch = cut(star_pairs(lists, info, labels, percent).join(tested, ["u", "v"], "left_anti"))
     if not batch.isEmpty():
         tested = cut(tested.unionByName(batch))
-        labels = components(labels.unionByName(verified(docs, batch, first_docs, width, percent)))
+        new = cut(verified(docs, batch, first_docs, width, percent))
+        release(docs.sparkSession)
+        labels = components(labels.unionByName(new))
     release(docs.sparkSession)
 
     found = cut(untested_pairs(lists, info, labels, percent).join(tested, ["u", "v"], "left_anti"))
@@ -239,10 +241,13 @@ def connected_classes(docs: DataFrame, described_docs: DataFrame, first_docs: Da
         fresh = named.where("lu <> lv").join(tested, ["u", "v"], "left_anti")
         part = F.pmod(F.xxhash64("u", "v"), F.lit(most))
         batch = cut(fresh.groupBy(F.least("lu", "lv"), F.greatest("lu", "lv"), part).agg(F.min(F.struct("u", "v")).alias("p")).select("p.u", "p.v"))
+        del of, named, fresh
+        release(docs.sparkSession)
         if batch.isEmpty():
             return labels
-        new = verified(docs, batch, first_docs, width, percent)
+        new = cut(verified(docs, batch, first_docs, width, percent))
         tested = cut(tested.unionByName(batch))
+        release(docs.sparkSession)
         labels = components(labels.unionByName(new))
         release(docs.sparkSession)
         most *= 16

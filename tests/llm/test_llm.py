@@ -87,6 +87,13 @@ def brute_components(rows, width, percent):
     return sorted(((r[0], len(sets[i]), least.get(root(i))) for i, r in enumerate(rows)), key=repr)
 
 
+def test_component_rounds_let_go_of_their_files(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(components, "release", calls.append)
+    got = components.components(spark.createDataFrame([(k, k + 1) for k in range(12)], "u long, v long"))
+    assert collected(got) == collected(spark.createDataFrame([(k, 0) for k in range(1, 13)], "u long, v long")) and len(calls) >= 3
+
+
 @pytest.mark.parametrize(("width", "percent"), [(3, 90), (5, 80), (2, 50), (3, 100)])
 def test_jaccard_components(docs, rows, width, percent):
     got = jaccard_join.jaccard_components(docs, width, percent)
