@@ -8,6 +8,9 @@ logistic scorer on hashed features (word shapes, and the document's statistics i
 The counts cover all documents. The scorer alone is fitted on a bounded sample: the `TRAIN_ROWS` documents with the least
 hash of doc_id and text, so that only equal rows tie with the last of them, and the order of rows does not count.
 
+Each text is taken apart once: its features are stored, and counted, sampled and scored from there. Only the filter, which hands
+on whole rows, takes it apart again.
+
 Defined results: a null or empty text gets no votes but has a score, that of the prior and the intercept; equal rows have
 equal results, each its own row; an empty table gives an empty result; columns other than doc_id and text are ignored (score)
 or kept (filter). A document is kept if its score is at least one half.
@@ -20,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import MEMO_BYTES, SLICE_ROWS, WORD_HASH_MEMO, doc_input, map_batches, table, texts
+from quarrylens.llm.common import MEMO_BYTES, SLICE_ROWS, WORD_HASH_MEMO, cut, doc_input, map_batches, table, texts
 from quarrylens.llm.quality_rules import repeated_words
 
 TRAIN_ROWS = 20_000
@@ -101,15 +104,16 @@ def features(text: bytes, shapes: Shapes) -> tuple[int, np.ndarray, np.ndarray]:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """doc_id, pattern, at, value: the vote pattern and the hashed features of each document."""
+    """doc_id, k, pattern, at, value of each document (materialised): the key that draws the sample, the vote pattern and the hashed features."""
     memo: list[Shapes] = []
+    key = F.xxhash64(F.lit("train"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit("")))  # equal only for rows that are equal
 
     def run(batch):
         memo or memo.append(Shapes())
         rows = [features(t, memo[0]) for t in texts(batch)]
-        return {"doc_id": batch.column("doc_id").to_pylist(), "pattern": [r[0] for r in rows], "at": [r[1].astype(np.int32) for r in rows], "value": [r[2].astype(np.float32) for r in rows]}
+        return {c: batch.column(c) for c in ("doc_id", "k")} | {"pattern": [r[0] for r in rows], "at": [r[1].astype(np.int32) for r in rows], "value": [r[2] for r in rows]}
 
-    return map_batches(doc_input(docs), run, f"doc_id {dict(docs.dtypes)['doc_id']}, pattern int, at array<int>, value array<float>")
+    return cut(map_batches(doc_input(docs.withColumn("k", key), "k"), run, f"doc_id {dict(docs.dtypes)['doc_id']}, k long, pattern int, at array<int>, value array<double>"))
 
 
 def votes_of(pattern: int) -> list[int]:
@@ -154,13 +158,12 @@ def fit(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, label: np.ndarray)
     return w
 
 
-def learn(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, dict[int, float]]:
-    made = described(docs.select("doc_id", "text"))
+def learn(made: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, dict[int, float]]:
+    """Weights of the scorer, posterior of each pattern. made: described."""
     counts = {r.pattern: r.n for r in made.groupBy("pattern").agg(F.count("*").alias("n")).collect()}  # at most 3^10 patterns
     _, _, posterior = label_model(counts)
-    key = F.xxhash64(F.lit("train"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit("")))  # equal only for rows that are equal
-    chosen = docs.select(key.alias("k")).orderBy("k").limit(train_rows).agg(F.max("k")).first()[0]  # the sample bound is a parameter
-    some = described(docs.where(key <= F.lit(chosen)).select("doc_id", "text")).select("pattern", "at", "value") if chosen is not None else None
+    chosen = made.select("k").orderBy("k").limit(train_rows).agg(F.max("k")).first()[0]  # the sample bound is a parameter
+    some = made.where(F.col("k") <= F.lit(chosen)).select("pattern", "at", F.col("value").cast("array<float>").alias("value")) if chosen is not None else None
     if some is None:
         return fit(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)), posterior
     got = some.limit(train_rows).toArrow().combine_chunks()
@@ -172,23 +175,23 @@ def learn(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, di
 
 def score_quality(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, posterior (of the weak labels), score (of the linear scorer), kept."""
-    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, train_rows))
-    memo: list[Shapes] = []
+    made = described(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(learn(made, train_rows))
 
     def run(batch):
-        memo or memo.append(Shapes())
         weights, posterior = shared.value
-        made = [features(t, memo[0]) for t in texts(batch)]
-        z = [float(weights[at] @ value + weights[DIM]) for _, at, value in made]
-        score = [float(1 / (1 + np.exp(-np.clip(x, -500, 500)))) for x in z]
-        return {"doc_id": batch.column("doc_id").to_pylist(), "posterior": [posterior.get(p, 0.5) for p, _, _ in made], "score": score, "kept": [s >= 0.5 for s in score]}
+        at, value = (batch.column(c) for c in ("at", "value"))
+        row = np.repeat(np.arange(batch.num_rows), np.diff(at.offsets.to_numpy()))
+        z = np.bincount(row, weights[at.flatten().to_numpy()] * value.flatten().to_numpy(), batch.num_rows) + weights[DIM]
+        score = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+        return {"doc_id": batch.column("doc_id"), "posterior": [posterior.get(p, 0.5) for p in batch.column("pattern").to_pylist()], "score": score, "kept": score >= 0.5}
 
-    return map_batches(doc_input(docs), run, f"doc_id {dict(docs.dtypes)['doc_id']}, posterior double, score double, kept boolean")
+    return map_batches(made, run, f"doc_id {dict(docs.dtypes)['doc_id']}, posterior double, score double, kept boolean")
 
 
 def keep_good(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """The rows of docs that the classifier keeps, with all their columns, in one pass over the text."""
-    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, train_rows))
+    """The rows of docs that the classifier keeps, with all their columns, in one more pass over the text."""
+    shared = docs.sparkSession.sparkContext.broadcast(learn(described(docs), train_rows))
     at_text, memo = docs.columns.index("text"), []
 
     def run(batches):

@@ -275,3 +275,23 @@ def test_training_sample_does_not_depend_on_order(spark):
     rows = [(1, " ".join(rng.choice(WORDS) for _ in range(80)) + ".", "en", "s", 0) for _ in range(6)] + [(1, "%% ## " * k, "en", "s", 0) for k in range(1, 7)]
     one, two = ([(r.doc_id, round(r.score, 9)) for r in quality_classifier.score_quality(spark.createDataFrame(x, SCHEMA).coalesce(1), 4).collect()] for x in (rows, rows[::-1]))
     assert one == two[::-1]
+
+
+def test_texts_are_taken_apart_once_to_be_scored(spark):
+    from pyspark.sql import functions as F
+
+    from quarrylens.llm import quality_classifier
+
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        read.add(1)
+        return text
+
+    rows = [(k, " ".join(WORDS[: k + 3]), "en", "s", 0) for k in range(8)] + [(8, None, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    want = sorted((r.doc_id, r.score) for r in quality_classifier.score_quality(docs).collect())
+    once = docs.withColumn("text", counted.asNondeterministic()("text"))
+    assert sorted((r.doc_id, r.score) for r in quality_classifier.score_quality(once).collect()) == want
+    assert read.value == len(rows)
