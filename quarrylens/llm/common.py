@@ -61,6 +61,12 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def give_back() -> None:
+    """Hand the freed memory of a Python worker back to the system. Idle workers stay for a minute, and there may be more of them than
+    cores, so what each of them held at most would count for all."""
+    pa.system_memory_pool().release_unused()
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[dict[str, list]] | dict[str, list]], schema: str, rows: int = SLICE_ROWS) -> DataFrame:
     """mapInArrow with fn from so many rows of a record batch (0: all) to columns by name."""
     from pyspark.sql.types import StructType, _parse_datatype_string
@@ -76,6 +82,9 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[dict[str,
                 made = fn(batch)
                 for cols in [made] if isinstance(made, dict) else made:
                     yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type) for f in arrow], schema=arrow)
+                made = cols = batch = None
+            part = None
+            give_back()
 
     return df.mapInArrow(run, struct)
 

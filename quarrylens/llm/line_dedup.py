@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import ARRAY_ROWS, SLICE_ROWS, WordHashes, cut, doc_input, map_batches, small, table, texts, window_hashes
+from quarrylens.llm.common import ARRAY_ROWS, SLICE_ROWS, WordHashes, cut, doc_input, give_back, map_batches, small, table, texts, window_hashes
 
 MIN_TOKENS, DEPTH, MIN_DOCS, SIMILARITY = 4, 3, 5, 0.7
 #: Templates of so many words recur from two documents on.
@@ -214,6 +214,7 @@ def dedup_lines(docs: DataFrame, spare_copies: bool = False) -> DataFrame:
         return [met[j][0] for j in np.flatnonzero(masks[at] == mine).tolist() if first[at[j]] not in kept]
 
     def run(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
         for batch in (b.slice(k, SLICE_ROWS) for b in batches for k in range(0, b.num_rows, SLICE_ROWS)):
             new, n_lines, n_dropped = [], [], []
             drops = batch.column(batch.num_columns - 1).to_pylist() if shared is None else [None] * batch.num_rows
@@ -227,6 +228,8 @@ def dedup_lines(docs: DataFrame, spare_copies: bool = False) -> DataFrame:
             arrays = [batch.column(k) for k in range(batch.num_columns - (shared is None))]
             arrays[at] = pa.array(new, arrays[at].type)
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=schema.names)
+        batch = arrays = new = None
+        give_back()
 
     return joined.mapInArrow(run, schema)
 

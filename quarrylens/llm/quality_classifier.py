@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import MEMO_BYTES, SLICE_ROWS, WORD_HASH_MEMO, cut, doc_input, map_batches, table, texts
+from quarrylens.llm.common import MEMO_BYTES, SLICE_ROWS, WORD_HASH_MEMO, cut, doc_input, give_back, map_batches, table, texts
 from quarrylens.llm.quality_rules import repeated_words
 
 TRAIN_ROWS = 20_000
@@ -199,9 +199,12 @@ def keep_good(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
 
         memo or memo.append(Shapes())
         weights = shared.value[0]
+        pa.set_memory_pool(pa.system_memory_pool())
         for batch in (b.slice(k, SLICE_ROWS) for b in batches for k in range(0, b.num_rows, SLICE_ROWS)):
             made = (features((t or "").encode(), memo[0]) for t in batch.column(at_text).to_pylist())
             yield batch.filter(pa.array([bool(weights[at] @ value + weights[DIM] >= 0) for _, at, value in made], pa.bool_()))
+        batch = None
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

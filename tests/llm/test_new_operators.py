@@ -295,3 +295,30 @@ def test_texts_are_taken_apart_once_to_be_scored(spark):
     once = docs.withColumn("text", counted.asNondeterministic()("text"))
     assert sorted((r.doc_id, r.score) for r in quality_classifier.score_quality(once).collect()) == want
     assert read.value == len(rows)
+
+
+def test_workers_give_freed_memory_back():
+    import pyarrow as pa
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    from quarrylens.llm.common import map_batches
+
+    class Plain:
+        def mapInArrow(self, run, schema):
+            return run
+
+    def anonymous():
+        with open("/proc/self/smaps_rollup") as f:
+            return next(int(x.split()[1]) / 1024 for x in f if x.startswith("Anonymous:"))
+
+    pinned = []
+
+    def fn(batch):
+        held = [bytes([k % 251]) * 3000 for k in range(50_000)]  # 150 MB in blocks that the C library keeps once they are freed
+        pinned.append(bytes([len(held) % 251]) * 3000)  # above them, so that its heap can't shrink
+        return {"n": [len(held)]}
+
+    run = map_batches(Plain(), fn, StructType([StructField("n", LongType())]))
+    before = anonymous()
+    assert [x.column("n").to_pylist() for x in run(iter([pa.record_batch({"a": [1]})]))] == [[50_000]]
+    assert anonymous() - before < 75
