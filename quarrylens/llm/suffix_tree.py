@@ -51,6 +51,8 @@ DEPTH, DISCOUNT = 3, 0.5
 HEAD_ROWS, BITS_EACH, MOST_BITS = 2_000_000, 16, 1 << 29
 #: Bytes of a chunk of texts and of what is hashed at once, tokens of a task that adds counts, and the slices of codes that such a task has at least.
 CHUNK_BYTES, HASH_BYTES, TASK_TOKENS, SLICES = 1 << 21, 1 << 18, 2_000_000, 4
+#: Tokens that a slice has at least: each task makes a row for each slice that it meets, so slices follow the corpus, not the partitions.
+SLICE_TOKENS = 100_000
 #: Parts in which the texts are scored if there are more than PART_TOKENS training tokens, so that not all lookups are on disk at once.
 PARTS, PART_TOKENS = 4, 5_000_000
 #: Rows that a task that adds counts gathers before it adds them up.
@@ -363,8 +365,10 @@ def gram_counts(training: DataFrame, depth: int, frequent: Bitmap | None, slice_
             key = ((spread(parent) >> top) << top) | (gram.view(np.uint64) >> np.uint64(slice_bits - 1))
             order = np.argsort(key)
             first = firsts(gram[order])
-            at = order[first]
-            yield packed(GRAMS, key[at] >> top, a=context[some[at]], b=parent[at], c=np.diff(np.append(first, len(order))).astype(np.int32))
+            at, n = order[first], np.diff(np.append(first, len(order))).astype(np.int32)
+            by_parent = np.argsort(spread(parent[at]))  # by slice too; runs of a parent compress well
+            at, n = at[by_parent], n[by_parent]
+            yield packed(GRAMS, key[at] >> top, a=context[some[at]], b=parent[at], c=n)
 
     return map_batches(doc_input(training), run, PACKED, rows=0)
 
@@ -463,7 +467,7 @@ def learn(training: DataFrame, counts: DataFrame) -> Tree:
     spark = training.sparkSession
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // TASK_TOKENS + 1)
-    slice_bits = (SLICES * tasks).bit_length()
+    slice_bits = min(SLICES * tasks, n // SLICE_TOKENS + 1).bit_length()
     end = int(END.astype(np.int64))
     is_known = (F.col("n") >= max(LEAST, math.ceil(n * KNOWN_SHARE))) | (F.col("word") == F.lit(end))  # at most 1 / KNOWN_SHARE
     words, known = numbers(counts.where(is_known))

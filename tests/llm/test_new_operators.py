@@ -322,3 +322,16 @@ def test_workers_give_freed_memory_back():
     before = anonymous()
     assert [x.column("n").to_pylist() for x in run(iter([pa.record_batch({"a": [1]})]))] == [[50_000]]
     assert anonymous() - before < 75
+
+
+def test_slices_follow_the_corpus_and_not_the_partitions(spark):
+    from quarrylens.llm import suffix_tree
+
+    docs = spark.createDataFrame([(k, " ".join(WORDS), "en", "s", 0) for k in range(4)], SCHEMA)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        tree = suffix_tree.learn(docs, suffix_tree.word_counts(docs).cache())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert tree.slice_bits == 1
