@@ -394,6 +394,53 @@ def test_tiles_of_blocks_against_difflib(monkeypatch):
     assert clones.tile_pairs(table, table, 0.85) == []
 
 
+def test_first_runs_of_many_texts_at_once():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(12)
+    for _ in range(30):
+        y = [rng.choice([0, 0, 0, 0, 1, 2, 5, 9]) for _ in range(rng.randrange(1, 120))]
+        texts = [[rng.choice([0, 0, 0, 1, 2, 3, 5]) for _ in range(rng.randrange(1, 150))] for _ in range(20)] + [y, [7]]
+        sizes = np.array([len(x) for x in texts])
+        got = clones.first_runs(np.array(y), np.concatenate([np.array(x) for x in texts]), np.cumsum(sizes) - sizes, sizes)
+        for x, i, j, size in zip(texts, *got, strict=True):
+            want = clones.longest_run(clones.places_of(y), x, 0, len(x), 0, len(y))
+            assert size == want[2] and (not size or (i, j) == want[:2])
+
+
+def test_blocks_with_common_words_against_difflib(monkeypatch):
+    import random
+    from difflib import SequenceMatcher
+
+    import pandas as pd
+
+    rng = random.Random(21)
+    texts = []
+    for n, share in ((60, 0.02), (180, 0.01), (199, 0.1), (230, 0.01), (320, 0.004), (320, 0.1), (560, 0.01)):
+        rare = [f"r{k}" for k in range(12)]
+        base = [rng.choice(rare) if rng.random() < share else rng.choice("IIIIIIIII.,") for _ in range(n)]
+        for k in range(20):
+            x = list(base)
+            for _ in range(rng.randrange(0, n // 8 if n < 200 else 7)):  # near the end, near the beginning, or anywhere
+                at = (rng.randrange(len(x) // 2, len(x)), rng.randrange(0, len(x) // 4), rng.randrange(len(x)))[k % 3]
+                x[at : at + rng.randrange(2)] = [rng.choice(["I", ".", "!", rare[k % 12]])]
+            texts.append(x)
+    table = pd.DataFrame({"place": range(len(texts)), "n": [len(x) for x in texts], "tokens": [" ".join(x) for x in texts]}).sample(frac=1, random_state=3)
+    want = [(a, b, r) for b in range(len(texts)) for a in range(b) if (r := SequenceMatcher(None, texts[a], texts[b]).ratio()) >= 0.85]
+    assert sum(len(texts[b]) >= 200 for _, b, _ in want) > 20 and sum(len(texts[b]) < 200 for _, b, _ in want) > 50
+    assert sorted(clones.tile_pairs(table, table, 0.85)) == sorted(want)
+    assert sorted(clones.tile_pairs(table[:70], table[70:], 0.85)) == sorted(x for x in want if x[0] in set(table["place"][:70]) and x[1] in set(table["place"][70:]))
+    # Long blocks that share only a few tokens and a short beginning are not taken in pairs; each pair was before.
+    texts = [["I"] * 20 + ["."] * (k % 4 + 1) + [rng.choice("IIIIIIIII.,") for _ in range(250)] for k in range(60)]
+    for x in texts:
+        x[rng.randrange(40, 120)] = x[rng.randrange(150, 250)] = "!"
+    table = pd.DataFrame({"place": range(60), "n": [len(x) for x in texts], "tokens": [" ".join(x) for x in texts]})
+    monkeypatch.setattr(clones, "run_bound", None)
+    assert clones.tile_pairs(table, table, 0.85) == []
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"data": [{"timestamp": "2024-01-01T00:00:00", "value": 1.5}, {"value": 2}]}')
     assert [(r.seq, r.value) for r in readers.values_from_json(spark, str(tmp_path / "a.json")).collect()] == [(0, 1.5), (1, 2.0)]
